@@ -1,6 +1,6 @@
 """Customer metrics, recency-frequency-monetary scores and cohorts."""
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,20 +11,22 @@ from tradeloom.functions.numbers import floor_bin, mean, percent_of, segment, to
 from tradeloom.functions.text import gender_bucket
 from tradeloom.materialize import materialize
 from tradeloom.operators.quantiles import (
-    fifths, first_rank_order, quantiles, scalar_struct, score_by_edges, score_by_position,
+    fifths, quantiles, scalar_struct, score_by_edges, score_by_position, with_first_rank_order,
 )
 
 FIVE_NUMBERS = {"min": (0, 1), "q1": (1, 4), "median": (1, 2), "q3": (3, 4), "max": (1, 1)}
 
 
-def customer_metrics(base: DataFrame, as_of=None, order: Sequence[str] = ()) -> DataFrame:
+def customer_metrics(base: DataFrame, as_of=None, order: Sequence[str] = ("order_date",)) -> DataFrame:
     """One row per customer.
 
-    Country, gender and age are the first non-null values in ``order`` (order date, then order
-    number, unless given).  ``total_orders`` counts rows, ``unique_orders`` order numbers.
+    Country, gender and age are the first non-null values in ``order``; between rows in the same
+    place the smallest value counts.  ``total_orders`` counts rows, ``unique_orders`` order numbers.
     """
-    order = list(order) or ["order_date", "sls_ord_num"]
-    measured = base.where(F.col("CID").isNotNull()).groupBy("CID").agg(
+    # Texts would turn the whole aggregation into a sort, so they are aggregated on their own;
+    # both results are partitioned by CID and join without another shuffle.
+    known = base.where(F.col("CID").isNotNull())
+    measured = known.groupBy("CID").agg(
         F.min("order_date").alias("first_order"),
         F.max("order_date").alias("last_order"),
         F.count("order_date").alias("total_orders"),
@@ -34,12 +36,10 @@ def customer_metrics(base: DataFrame, as_of=None, order: Sequence[str] = ()) ->
         total(F.col("Profit")).alias("total_profit"),
         F.countDistinct("sls_ord_num").alias("unique_orders"),
         F.countDistinct("CAT").alias("categories_bought"),
-        _first("CNTRY", order).alias("country"),
-        _first("GEN", order).alias("gender"),
-        _first("customer_age", order).alias("age"),
     )
+    attributes = _first_values(known, {"CNTRY": "country", "GEN": "gender", "customer_age": "age"}, order)
     lifespan = days_between(F.col("last_order"), F.col("first_order"))
-    return measured.select(
+    return measured.join(attributes, "CID").select(
         "*",
         lifespan.alias("customer_lifespan_days"),
         days_between(as_of_date(as_of), F.col("last_order")).alias("recency_days"),
@@ -48,9 +48,17 @@ def customer_metrics(base: DataFrame, as_of=None, order: Sequence[str] = ()) ->
     )
 
 
-def _first(column: str, order: Sequence[str]) -> Column:
-    place = F.struct(*order, column)  # the value itself decides between rows in the same place
-    return F.min_by(column, F.when(F.col(column).isNotNull(), place))
+def _first_values(base: DataFrame, names: Mapping[str, str], order: Sequence[str]) -> DataFrame:
+    """First non-null value per customer and column.
+
+    A customer has few combinations of attributes: their earliest places are found by hash
+    aggregation, and only these are compared text by text.
+    """
+    place = F.min(order[0]) if len(order) == 1 else F.min(F.struct(*order))
+    combinations = base.groupBy("CID", *names).agg(place.alias("_place"))
+    return combinations.groupBy("CID").agg(*(
+        F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("_place", c))).alias(name) for c, name in names.items()
+    ))
 
 
 def rfm_scores(metrics: DataFrame, bins: int = config.SCORE_BINS, duplicates: str = "raise") -> DataFrame:
@@ -59,21 +67,22 @@ def rfm_scores(metrics: DataFrame, bins: int = config.SCORE_BINS, duplicates: st
     ``metrics`` is read for its cut points and again for the scores: store or persist it first.
     Recency and revenue are cut at interpolated quantiles, order counts at ranks with ties by ``CID``.
     """
-    cuts = scalar_struct(quantiles(
-        metrics,
+    ordered = with_first_rank_order(metrics, "total_orders", "CID", "_order")
+    cuts = quantiles(
+        ordered,
         fifths(bins),
         interpolated={"recency": F.col("recency_days"), "monetary": F.col("total_revenue")},
-        positional={"frequency": first_rank_order(metrics, "total_orders", "CID")},
-    ))
-    frequency = first_rank_order(metrics, "total_orders", "CID")
-    return metrics.withColumns({
-        "recency_score": score_by_edges(F.col("recency_days"), cuts["recency"], bins, True, duplicates),
-        "frequency_score": score_by_position(frequency, F.slice(cuts["frequency"], 2, bins - 1), bins),
-        "monetary_score": score_by_edges(F.col("total_revenue"), cuts["monetary"], bins, False, duplicates),
-    })
+        positional={"frequency": F.col("_order")},
+    )
+    inner = F.slice(F.col("_cuts.frequency"), 2, bins - 1)
+    return ordered.withColumn("_cuts", scalar_struct(cuts)).withColumns({
+        "recency_score": score_by_edges(F.col("recency_days"), F.col("_cuts.recency"), bins, True, duplicates),
+        "frequency_score": score_by_position(F.col("_order"), inner, bins),
+        "monetary_score": score_by_edges(F.col("total_revenue"), F.col("_cuts.monetary"), bins, False, duplicates),
+    }).drop("_cuts", "_order")
 
 
-def build_segments(base: DataFrame, as_of=None, order: Sequence[str] = (), duplicates: str = "raise") -> DataFrame:
+def build_segments(base: DataFrame, as_of=None, order: Sequence[str] = ("order_date",), duplicates: str = "raise") -> DataFrame:
     """Customer metrics, stored once, with scores and segments."""
     return rfm_segments(materialize(customer_metrics(base, as_of, order)), duplicates)
 

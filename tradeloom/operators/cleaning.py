@@ -33,8 +33,8 @@ def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def fill_median(df: DataFrame, columns: Sequence[str] = config.MEDIAN_COLUMNS) -> DataFrame:
     """Fill null numbers with the column's exact median over all rows; the result is a double."""
-    middle = scalar_struct(medians(df, columns))
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), middle[c]) for c in columns})
+    middle = df.withColumn("_middle", scalar_struct(medians(df, columns)))
+    return middle.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col("_middle")[c]) for c in columns}).drop("_middle")
 
 
 def keep_first(df: DataFrame, key: str | Sequence[str], order: Sequence[str | Column]) -> DataFrame:
@@ -62,9 +62,9 @@ def filter_zscore(df: DataFrame, columns: Sequence[str] = config.OUTLIER_COLUMNS
         *(F.avg(c).alias(f"{c}_mean") for c in columns),
         *(F.stddev_pop(c).alias(f"{c}_sd") for c in columns),
     )
-    known = scalar_struct(stats)
+    known = F.col("_stats")
     inside = [
         F.abs(F.try_divide(F.col(c).cast("double") - known[f"{c}_mean"], known[f"{c}_sd"])) < F.lit(float(limit))
         for c in columns
     ]
-    return df.where(reduce(and_, inside))
+    return df.withColumn("_stats", scalar_struct(stats)).where(reduce(and_, inside)).drop("_stats")

@@ -8,8 +8,6 @@ stops the job.
 """
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,56 +72,47 @@ def _sketch_brackets(values: DataFrame, fractions, keys, accuracy) -> DataFrame:
 
 def _count_by_value(values: DataFrame, brackets: DataFrame, targets: int, keys) -> DataFrame:
     """Row counts per distinct value inside a bracket and per gap between brackets, in value order."""
-    rows = values.join(brackets, keys)
-    value = F.col("_v")
-    inside = reduce(or_, (value.between(F.col("_b")[2 * t], F.col("_b")[2 * t + 1]) for t in range(targets)))
-    passed = reduce(lambda a, b: a + b, ((value > F.col("_b")[2 * t + 1]).cast("int") for t in range(targets)))
-    counted = rows.groupBy(
-        *keys,
-        "_n",
-        F.when(~inside, passed).alias("_gap"),
-        F.when(inside, value).alias("_value"),
-        F.when(inside, F.col("_x")).alias("_exact"),
+    inside = " or ".join(f"_v between _b[{2 * t}] and _b[{2 * t + 1}]" for t in range(targets))
+    passed = " + ".join(f"int(_v > _b[{2 * t + 1}])" for t in range(targets))
+    located = values.join(brackets, keys).selectExpr(
+        *keys, "_n", "_v", "_x", f"case when not ({inside}) then {passed} end as _gap"
+    )
+    counted = located.groupBy(
+        *keys, "_n", "_gap", F.expr("case when _gap is null then _v end"), F.expr("case when _gap is null then _x end")
     ).agg(
         F.count("*").alias("_rows"),
         F.min("_v").alias("_v_min"), F.max("_v").alias("_v_max"),
         F.min("_x").alias("_x_min"), F.max("_x").alias("_x_max"),
     )
     upto = Window.partitionBy(*keys).orderBy("_v_min", "_x_min").rowsBetween(Window.unboundedPreceding, 0)
-    return counted.withColumn("_end", F.sum("_rows").over(upto)).withColumn("_start", F.col("_end") - F.col("_rows"))
+    return counted.withColumn("_end", F.sum("_rows").over(upto))
 
 
 def _pick(located: DataFrame, fractions, keys) -> DataFrame:
     """Values at the wanted positions as one interpolated and one positional array per key."""
-    top = F.col("_n") - 1
-
-    def at(position: Column, low: str, high: str) -> Column:
-        # Later rows only offer larger values, so the minimum is the row that holds the position.
-        held = (
-            F.when(F.col("_start") >= position, F.col(low))
-            .when(F.col("_gap").isNull(), F.col(low))
-            .when(F.col("_end") - 1 == position, F.col(high))
-            .otherwise(F.raise_error(F.lit(_MISSED)).cast(located.schema[low].dataType))
-        )
-        return F.min(F.when(F.col("_end") > position, held))
-
-    picks, linear, exact = [], [], []
-    for i, (num, den) in enumerate(fractions):
-        point = top * F.lit(num / den)
-        floor = F.floor(point)
+    points = [f"(_n - 1) * {num / den!r}D" for num, den in fractions]
+    picks = []
+    for i, ((num, den), point) in enumerate(zip(fractions, points)):
         picks += [
-            at(floor, "_v_min", "_v_max").alias(f"_lo{i}"),
-            at(F.ceil(point), "_v_min", "_v_max").alias(f"_hi{i}"),
-            at(F.expr(f"(_n - 1) * {num} div {den}"), "_x_min", "_x_max").alias(f"_ex{i}"),
-            F.max(point - floor).alias(f"_part{i}"),
+            F.expr(f"{_value_at(f'floor({point})', '_v')} as _lo{i}"),
+            F.expr(f"{_value_at(f'ceil({point})', '_v')} as _hi{i}"),
+            F.expr(f"{_value_at(f'(_n - 1) * {num} div {den}', '_x')} as _ex{i}"),
         ]
-        linear.append(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_part{i}"))
-        exact.append(F.col(f"_ex{i}"))
-    return located.groupBy(*keys).agg(*picks).select(
-        *keys, F.array(*linear).alias("_linear"), F.array(*exact).alias("_exact")
+    linear = ", ".join(f"_lo{i} + (_hi{i} - _lo{i}) * ({p} - floor({p}))" for i, p in enumerate(points))
+    exact = ", ".join(f"_ex{i}" for i in range(len(fractions)))
+    return located.groupBy(*keys, "_n").agg(*picks).selectExpr(
+        *keys, f"array({linear}) as _linear", f"array({exact}) as _exact"
     )
 
 
+def _value_at(position: str, value: str) -> str:
+    """The value of the row that holds a position; later rows only offer larger values."""
+    return f"""min(case when _end > {position} then
+        case when _end - _rows >= {position} or _gap is null then {value}_min
+             when _end - 1 = {position} then {value}_max
+             else raise_error('{_MISSED}') end end)"""
+
+
 def scalar_struct(one_row: DataFrame) -> Column:
     """A one-row frame as a struct that other rows can read; no join is involved."""
     return one_row.select(F.struct(*one_row.columns).alias("s")).scalar()
@@ -164,19 +153,19 @@ def score_by_position(value: Column, cuts: Column, bins: int = config.SCORE_BINS
 def qcut(df: DataFrame, column: str, out: str, bins: int = config.SCORE_BINS,
          descending: bool = False, duplicates: str = "raise") -> DataFrame:
     """Add the equal-frequency bin number of a numeric column."""
-    edges = scalar_struct(quantiles(df, fifths(bins), interpolated={"edges": F.col(column)}))["edges"]
-    return df.withColumn(out, score_by_edges(F.col(column), edges, bins, descending, duplicates))
+    cuts = quantiles(df, fifths(bins), interpolated={"edges": F.col(column)})
+    score = score_by_edges(F.col(column), F.col("_cuts.edges"), bins, descending, duplicates)
+    return df.withColumn("_cuts", scalar_struct(cuts)).withColumn(out, score).drop("_cuts")
 
 
-def first_rank_order(df: DataFrame, column: str, tie: str) -> Column:
-    """One whole number that orders rows by ``column``, then by ``tie``; both integers, ``tie`` unique."""
+def with_first_rank_order(df: DataFrame, column: str, tie: str, out: str) -> DataFrame:
+    """Add one whole number that orders rows by ``column``, then by ``tie``; both integers, ``tie`` unique."""
     span = df.agg(
         F.min(tie).cast("decimal(20,0)").alias("low"),
         (F.max(tie).cast("decimal(20,0)") - F.min(tie).cast("decimal(20,0)") + 1).cast("decimal(20,0)").alias("width"),
     )
-    bounds = scalar_struct(span)
-    major = F.col(column).cast("decimal(18,0)") * bounds["width"]
-    return (major + (F.col(tie).cast("decimal(20,0)") - bounds["low"])).cast("decimal(38,0)")
+    order = f"""cast({column} as decimal(17,0)) * _span.width + (cast({tie} as decimal(20,0)) - _span.low)"""
+    return df.withColumn("_span", scalar_struct(span)).withColumn(out, F.expr(order).cast("decimal(38,0)")).drop("_span")
 
 
 def qcut_rank(df: DataFrame, column: str, tie: str, out: str, bins: int = config.SCORE_BINS) -> DataFrame:
@@ -184,6 +173,7 @@ def qcut_rank(df: DataFrame, column: str, tie: str, out: str, bins: int = config
 
     Only the rows at the cut positions are located; no row needs its own rank.
     """
-    order = first_rank_order(df, column, tie)
-    cuts = scalar_struct(quantiles(df, fifths(bins)[1:-1], positional={"cuts": order}))["cuts"]
-    return df.withColumn(out, score_by_position(order, cuts, bins))
+    ordered = with_first_rank_order(df, column, tie, "_order")
+    cuts = quantiles(ordered, fifths(bins)[1:-1], positional={"cuts": F.col("_order")})
+    score = score_by_position(F.col("_order"), F.col("_cuts.cuts"), bins)
+    return ordered.withColumn("_cuts", scalar_struct(cuts)).withColumn(out, score).drop("_cuts", "_order")

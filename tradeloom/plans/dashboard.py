@@ -18,44 +18,47 @@ def dashboard_base(warehouse: DataFrame, as_of=None) -> DataFrame:
 
     Columns whose inputs are absent are left out, so a caller that selects fewer columns reads fewer.
     """
-    have = set(warehouse.columns)
-    df = warehouse.withColumns({c: parse_date(F.col(c)) for c in config.DATE_COLUMNS if c in have and not _is_date(warehouse, c)})
-    if "CNTRY" in have:
-        df = df.withColumn("CNTRY", map_country(F.col("CNTRY")))
-    if "GEN" in have:
-        df = df.withColumn("GEN", map_gender(F.col("GEN")))
-    if "birth_date" in have:
-        df = df.withColumn("customer_age", age_years(F.col("birth_date"), as_of, "trunc"))
-    df = add_measures(df)
-    if "order_date" in have:
-        df = df.withColumn("order_year_month", month_of(F.col("order_date")))
-    if {"order_date", "ship_date"} <= have:
-        df = df.withColumn("order_to_ship_days", days_between(F.col("ship_date"), F.col("order_date")))
-    if {"ship_date", "due_date"} <= have:
-        df = df.withColumn("ship_delay", days_between(F.col("due_date"), F.col("ship_date")))
-    return df.withColumns({c + DISPLAY_SUFFIX: F.col(c) for c in DISPLAY_DATES if c in have})
+    types = {f.name: f.dataType for f in warehouse.schema}
+    clean = {
+        c: parse_date(F.col(c)) for c in config.DATE_COLUMNS if c in types and not isinstance(types[c], T.DateType)
+    }
+    if "CNTRY" in types:
+        clean["CNTRY"] = map_country(F.col("CNTRY"))
+    if "GEN" in types:
+        clean["GEN"] = map_gender(F.col("GEN"))
+    derived = _measures(types)
+    if "birth_date" in types:
+        derived["customer_age"] = age_years(F.col("birth_date"), as_of, "trunc")
+    if "order_date" in types:
+        derived["order_year_month"] = month_of(F.col("order_date"))
+    if {"order_date", "ship_date"} <= types.keys():
+        derived["order_to_ship_days"] = days_between(F.col("ship_date"), F.col("order_date"))
+    if {"ship_date", "due_date"} <= types.keys():
+        derived["ship_delay"] = days_between(F.col("due_date"), F.col("ship_date"))
+    derived |= {c + DISPLAY_SUFFIX: F.col(c) for c in DISPLAY_DATES if c in types}
+    normalised = warehouse.withColumns(clean) if clean else warehouse
+    return normalised.withColumns(derived) if derived else normalised
 
 
 def add_measures(df: DataFrame) -> DataFrame:
     """Revenue (quantity × price), Cost, Profit and Margin (percent, null without revenue)."""
-    have = set(df.columns)
-    if {"sls_quantity", "sls_price"} <= have:
-        df = df.withColumn("Revenue", _money(df, F.col("sls_quantity") * F.col("sls_price"), "sls_price"))
-    if {"sls_quantity", "prd_cost"} <= have:
-        df = df.withColumn("Cost", _money(df, F.col("sls_quantity") * F.col("prd_cost"), "prd_cost"))
-    if {"Revenue", "Cost"} <= set(df.columns):
-        df = df.withColumn("Profit", F.col("Revenue") - F.col("Cost"))
-        if isinstance(df.schema["Profit"].dataType, T.DecimalType):
-            df = df.withColumn("Profit", F.col("Profit").cast("decimal(18,2)"))
-        df = df.withColumn("Margin", percent_of(F.col("Profit"), F.col("Revenue")))
-    return df
-
-
-def _money(df: DataFrame, amount: Column, unit: str) -> Column:
-    """Whole-cent decimals stay within 18 digits, which Spark sums as plain longs."""
-    kind = df.schema[unit].dataType
-    return amount.cast("decimal(18,2)") if isinstance(kind, T.DecimalType) and kind.scale <= 2 else amount
+    return df.withColumns(_measures({f.name: f.dataType for f in df.schema}))
+
 
+def _measures(types: dict[str, T.DataType]) -> dict[str, Column]:
+    found = {}
+    if {"sls_quantity", "sls_price"} <= types.keys():
+        found["Revenue"] = _money(F.col("sls_quantity") * F.col("sls_price"), types["sls_price"])
+    if {"sls_quantity", "prd_cost"} <= types.keys():
+        found["Cost"] = _money(F.col("sls_quantity") * F.col("prd_cost"), types["prd_cost"])
+    if {"Revenue", "Cost"} <= found.keys():
+        profit = found["Revenue"] - found["Cost"]
+        exact = isinstance(types["sls_price"], T.DecimalType) and isinstance(types["prd_cost"], T.DecimalType)
+        found["Profit"] = profit.cast("decimal(18,2)") if exact else profit
+        found["Margin"] = percent_of(found["Profit"], found["Revenue"])
+    return found
 
-def _is_date(df: DataFrame, column: str) -> bool:
-    return isinstance(df.schema[column].dataType, T.DateType)
+
+def _money(amount: Column, unit: T.DataType) -> Column:
+    """Whole-cent decimals stay within 18 digits, which Spark sums as plain longs."""
+    return amount.cast("decimal(18,2)") if isinstance(unit, T.DecimalType) and unit.scale <= 2 else amount

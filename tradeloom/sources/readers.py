@@ -50,9 +50,10 @@ def with_row_order(df: DataFrame, out: str) -> DataFrame:
     return placed.withColumn(out, F.struct("_file_no", "_block", "_place")).drop("_file", "_block", "_place", "_file_no")
 
 
-def read_table(spark: SparkSession, source: str, fmt: str = "parquet", **options) -> DataFrame:
+def read_table(spark: SparkSession, source: str, fmt: str = "parquet", schema: str | None = None, **options) -> DataFrame:
     """A whole table: a path in a file format, a catalog table (``fmt='table'``) or a JDBC table.
 
+    A stated schema saves the job that would infer it from file footers.
     For JDBC the caller passes ``url`` and, for a parallel read, ``partitionColumn``,
     ``lowerBound``, ``upperBound`` and ``numPartitions``.
     """
@@ -60,7 +61,8 @@ def read_table(spark: SparkSession, source: str, fmt: str = "parquet", **options
         return spark.read.options(**options).table(source)
     if fmt == "jdbc":
         return spark.read.format("jdbc").options(dbtable=source, **options).load()
-    return spark.read.format(fmt).options(**options).load(source)
+    reader = spark.read.format(fmt).options(**options)
+    return (reader.schema(schema) if schema else reader).load(source)
 
 
 def read_warehouse(spark: SparkSession, source: str, start=None, end=None, fmt: str = "parquet") -> DataFrame:
