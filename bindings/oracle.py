@@ -110,7 +110,6 @@ DATES = {
 
 def _clean(key: str, required: str | None, extra: str = "") -> str:
     dates = ",\n         ".join(f"{sql} AS {name}" for name, sql in DATES.items())
-    complete = required or "COLUMNS(* EXCLUDE (cst_gndr))"
     visible = (
         ", ".join(FACT_KEPT) + ", GEN, CNTRY, cst_id, cst_firstname, cst_lastname, cst_marital_status, "
         "ROUND(sls_sales, 4) AS sls_sales, ROUND(sls_price, 4) AS sls_price, ROUND(prd_cost, 4) AS prd_cost, "
@@ -275,7 +274,7 @@ ORACLE = {
         monthname(birth_date) AS birth_date_month FROM base""",
     "revenue_measures": WITH_BASE + f"""SELECT sls_ord_num, line, CAST(Revenue AS {MONEY}) AS Revenue,
         CAST(Cost AS {MONEY}) AS Cost, CAST(Profit AS {MONEY}) AS Profit FROM base""",
-    "margin_safe": WITH_BASE + "SELECT sls_ord_num, line, ROUND(Margin, 9) AS Margin FROM base",
+    "margin_safe": WITH_BASE + "SELECT sls_ord_num, line, Margin FROM base",
     # filters, cleaning, profiling
     "filter_date_range": WITH_BASE + """SELECT sls_ord_num, line, order_date FROM base
         WHERE order_date BETWEEN DATE '1997-03-01' AND DATE '1998-02-28'""",
@@ -314,7 +313,7 @@ ORACLE = {
     "dashboard_base": WITH_BASE + f"""SELECT sls_ord_num, line, prd_key, CID, order_date, ship_date, due_date, birth_date, GEN,
         CNTRY, sls_quantity, sls_price, prd_cost, CAT, SUBCAT, prd_nm, MAINTENANCE, customer_age,
         CAST(Revenue AS {MONEY}) AS Revenue, CAST(Cost AS {MONEY}) AS Cost, CAST(Profit AS {MONEY}) AS Profit,
-        ROUND(Margin, 9) AS Margin, CAST(date_trunc('month', order_date) AS DATE) AS order_year_month,
+        Margin, CAST(date_trunc('month', order_date) AS DATE) AS order_year_month,
         order_to_ship_days, ship_delay FROM base""",
     # sales mart
     "sales_kpis": WITH_BASE + f"""SELECT CAST(sum(Revenue) AS {MONEY}) AS total_revenue, ROUND(avg(Margin), 6) AS avg_margin,
@@ -327,8 +326,7 @@ ORACLE = {
     "category_trend": WITH_BASE + f"""SELECT last_day(order_date) AS order_date, CAT, CAST(sum(Revenue) AS {MONEY}) AS Revenue
         FROM base WHERE CAT IS NOT NULL GROUP BY 1, 2""",
     # customer mart
-    "customer_metrics": WITH_METRICS + """SELECT * REPLACE (ROUND(revenue_std, 4) AS revenue_std,
-        ROUND(purchase_frequency, 9) AS purchase_frequency, ROUND(profit_margin, 9) AS profit_margin) FROM metrics""",
+    "customer_metrics": WITH_METRICS + """SELECT * REPLACE (ROUND(revenue_std, 4) AS revenue_std) FROM metrics""",
     "rfm_scores": WITH_SEGMENTS + """SELECT CID, recency_days, total_orders, total_revenue,
         CAST(recency_score AS INTEGER) AS recency_score, CAST(frequency_score AS INTEGER) AS frequency_score,
         CAST(monetary_score AS INTEGER) AS monetary_score FROM scored""",
@@ -341,9 +339,9 @@ ORACLE = {
         count(*) FILTER (segment = 'At Risk') AS at_risk,
         CAST(coalesce(sum(total_revenue) FILTER (segment = 'At Risk'), 0) AS {MONEY}) AS at_risk_revenue,
         CAST(sum(customer_lifespan_days) AS DOUBLE) / count(*) AS avg_lifespan_days,
-        ROUND(CAST(sum(customer_lifespan_days) AS DOUBLE) / count(*) / 30, 9) AS avg_lifespan_months,
+        CAST(sum(customer_lifespan_days) AS DOUBLE) / count(*) / 30 AS avg_lifespan_months,
         count(*) FILTER (total_orders > 1) AS repeat_customers,
-        ROUND(CAST(count(*) FILTER (total_orders > 1) AS DOUBLE) / count(*) * 100, 9) AS repeat_rate FROM segments""",
+        CAST(count(*) FILTER (total_orders > 1) AS DOUBLE) / count(*) * 100 AS repeat_rate FROM segments""",
     "segment_stats": WITH_SEGMENTS + f"""SELECT segment, count(CID) AS customer_count,
         CAST(sum(total_revenue) AS DOUBLE) / count(*) AS avg_revenue, CAST(sum(total_revenue) AS {MONEY}) AS total_segment_revenue,
         ROUND(avg(avg_order_value), 6) AS avg_order_value, CAST(sum(total_orders) AS DOUBLE) / count(*) AS avg_orders,
@@ -369,7 +367,7 @@ ORACLE = {
         CAST(CASE grouping(CAT, SUBCAT, prd_nm) WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END AS INTEGER) AS level,
         CAST(sum(Revenue) AS {MONEY}) AS Revenue
         FROM base GROUP BY ROLLUP (CAT, SUBCAT, prd_nm) HAVING grouping(CAT, SUBCAT, prd_nm) < 7""",
-    "product_characteristics": WITH_BASE + """SELECT prd_nm, prd_cost, sls_price, ROUND(Margin, 9) AS Margin, sls_quantity
+    "product_characteristics": WITH_BASE + """SELECT prd_nm, prd_cost, sls_price, Margin, sls_quantity
         FROM base WHERE Margin IS NOT NULL AND prd_cost IS NOT NULL AND sls_price IS NOT NULL
         AND sls_quantity IS NOT NULL""",
     "fulfilment_time": WITH_BASE + """SELECT MAINTENANCE, CAT, CAST(sum(order_to_ship_days) AS DOUBLE) / count(order_to_ship_days)

@@ -149,7 +149,7 @@ def revenue_measures(spark, d):
 
 def margin_safe(spark, d):
     rows = base(spark, d, "sls_ord_num", "line", "sls_quantity", "sls_price", "prd_cost")
-    return typed(rows, "sls_ord_num:bigint line:int Margin:double~9")
+    return typed(rows, "sls_ord_num:bigint line:int Margin:double")
 
 
 # --- filters, cleaning, profiling -----------------------------------------------------------------------
@@ -262,7 +262,7 @@ def warehouse_clean(spark, d):
 def warehouse_clean_active(spark, d):
     """The recommended call: open-ended products stay, lines are told apart."""
     fact = _fact(spark, d).withColumn("line", F.col("_sales_row.l_linenumber"))
-    required = [c for c in ("sls_ord_num", "CID", "order_date", "ship_date", "due_date", "CAT")]
+    required = ["sls_ord_num", "CID", "order_date", "ship_date", "due_date", "CAT"]
     return _rounded_prices(clean_warehouse(fact, AS_OF, key=["sls_ord_num", "line", "prd_key"], required=required))
 
 
@@ -281,7 +281,7 @@ def dashboard_base(spark, d):
         "sls_ord_num:bigint line:int prd_key:bigint CID:bigint order_date:date ship_date:date due_date:date "
         "birth_date:date GEN:string CNTRY:string sls_quantity:int sls_price:decimal(18,2) prd_cost:decimal(18,2) "
         "CAT:string SUBCAT:string prd_nm:string MAINTENANCE:string customer_age:bigint "
-        f"Revenue:{MONEY} Cost:{MONEY} Profit:{MONEY} Margin:double~9 order_year_month:date "
+        f"Revenue:{MONEY} Cost:{MONEY} Profit:{MONEY} Margin:double order_year_month:date "
         "order_to_ship_days:bigint ship_delay:bigint",
     )
 
@@ -327,7 +327,7 @@ METRICS = (
     "CID:bigint first_order:date last_order:date total_orders:bigint "
     f"total_revenue:{MONEY} avg_order_value:double revenue_std:double~4 total_profit:{MONEY} unique_orders:bigint "
     "categories_bought:bigint country:string gender:string age:bigint customer_lifespan_days:bigint "
-    "recency_days:bigint purchase_frequency:double~9 profit_margin:double~9"
+    "recency_days:bigint purchase_frequency:double profit_margin:double"
 )
 
 
@@ -356,7 +356,7 @@ def customer_kpis(spark, d):
     return typed(
         customers.customer_kpis(_segments(spark, d)),
         f"champions:bigint champions_revenue:{MONEY} at_risk:bigint at_risk_revenue:{MONEY} avg_lifespan_days:double "
-        "avg_lifespan_months:double~9 repeat_customers:bigint repeat_rate:double~9",
+        "avg_lifespan_months:double repeat_customers:bigint repeat_rate:double",
     )
 
 
@@ -420,7 +420,7 @@ def product_characteristics(spark, d):
     rows = base(spark, d, "prd_nm", *PROFIT)
     return typed(
         products.product_characteristics(rows),
-        "prd_nm:string prd_cost:decimal(18,2) sls_price:decimal(18,2) Margin:double~9 sls_quantity:int",
+        "prd_nm:string prd_cost:decimal(18,2) sls_price:decimal(18,2) Margin:double sls_quantity:int",
     )
 
 

@@ -36,7 +36,7 @@ def with_row_order(df: DataFrame, out: str) -> DataFrame:
     spark = df.sparkSession
     files = sorted(df.inputFiles())
     placed = df.withColumns({
-        "_file": F.col("_metadata.file_path"),
+        "_file": F.input_file_name(),  # spelled as in inputFiles()
         "_block": F.col("_metadata.file_block_start"),
         "_place": F.monotonically_increasing_id(),
     })
