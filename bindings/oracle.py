@@ -299,6 +299,11 @@ ORACLE = {
     "dedupe_keep_first": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem
         QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice,
         l_quantity, l_shipdate) = 1""",
+    # sources and sinks
+    "stage_csv": f"WITH {RAW_INFO} SELECT * EXCLUDE (info_row) FROM raw_info",
+    "export_json": f"WITH {RAW_PRD} SELECT * FROM raw_prd",
+    "warehouse_round_trip": WITH_BASE + """SELECT sls_ord_num, line, order_date, sls_price FROM base
+        WHERE order_date BETWEEN DATE '1997-03-10' AND DATE '1998-02-20'""",
     # dimensions, fact, warehouse
     "customer_dim": f"""WITH {RAW_CUST}, {RAW_INFO}, {RAW_LOC}, {CUSTOMER}
         SELECT * EXCLUDE (cust_row, info_row, loc_row) FROM customer_dim""",
@@ -370,6 +375,9 @@ ORACLE = {
     "product_characteristics": WITH_BASE + """SELECT prd_nm, prd_cost, sls_price, Margin, sls_quantity
         FROM base WHERE Margin IS NOT NULL AND prd_cost IS NOT NULL AND sls_price IS NOT NULL
         AND sls_quantity IS NOT NULL""",
+    "product_profile": WITH_BASE + """SELECT prd_nm, count(*) AS rows,
+        CAST(sum(prd_cost) AS DOUBLE) / count(*) AS prd_cost, CAST(sum(sls_price) AS DOUBLE) / count(*) AS sls_price,
+        ROUND(avg(Margin), 6) AS Margin, CAST(sum(sls_quantity) AS DOUBLE) / count(*) AS sls_quantity FROM base WHERE Margin IS NOT NULL GROUP BY prd_nm""",
     "fulfilment_time": WITH_BASE + """SELECT MAINTENANCE, CAT, CAST(sum(order_to_ship_days) AS DOUBLE) / count(order_to_ship_days)
         AS order_to_ship_days FROM base GROUP BY MAINTENANCE, CAT""",
     "daily_orders": DAILY,

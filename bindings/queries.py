@@ -11,12 +11,14 @@ from bindings import testdata as td
 from bindings.testdata import AS_OF, base, table
 from tradeloom.functions import dates, numbers, text
 from tradeloom.marts import customers, explorer, operations, products, sales
-from tradeloom.materialize import materialize
+from tradeloom.materialize import materialize, new_path
 from tradeloom.operators import cleaning, profile, ranking
 from tradeloom.operators.filters import filter_sales
 from tradeloom.plans.dimensions import build_customer, build_product
 from tradeloom.plans.fact import build_fact
+from tradeloom.plans.staging import stage
 from tradeloom.plans.warehouse import clean_warehouse
+from tradeloom.sources import readers, writers
 
 MONEY = "decimal(28,2)"
 
@@ -217,6 +219,33 @@ def dedupe_keep_first(spark, d):
     return typed(first, "l_orderkey:bigint l_linenumber:int l_partkey:bigint l_suppkey:bigint l_extendedprice:double")
 
 
+# --- sources and sinks ---------------------------------------------------------------------------------------
+
+
+def stage_csv(spark, d):
+    """Customer information exported as CSV, staged again with its row order and read from the raw zone."""
+    files, raw_root = new_path(spark), new_path(spark)
+    writers.export_csv(_visible(td.raw_cust_info(spark, d)), files)
+    return _visible(stage(spark, {"cust_info": files}, raw_root)["cust_info"])
+
+
+def export_json(spark, d):
+    target = new_path(spark)
+    product = _visible(td.raw_prd(spark, d))
+    writers.export_json(product, target)
+    return readers.read_table(spark, target, "json", schema=product._jdf.schema().toDDL())
+
+
+def warehouse_round_trip(spark, d):
+    """Stored by order month; the date range prunes folders."""
+    target = new_path(spark)
+    writers.write_warehouse(td.warehouse(spark, d, "sls_ord_num", "line", "order_date", "sls_price"), target)
+    return typed(
+        readers.read_warehouse(spark, target, "1997-03-10", "1998-02-20"),
+        "sls_ord_num:bigint line:int order_date:date sls_price:decimal(18,2)",
+    )
+
+
 # --- dimensions, fact, warehouse ----------------------------------------------------------------------------
 
 
@@ -371,7 +400,7 @@ def segment_stats(spark, d):
 
 def segment_distribution(spark, d):
     return typed(
-        customers.segment_distribution(_segments(spark, d)),
+        customers.segment_distribution(materialize(_segments(spark, d))),  # two passes
         "segment:string min:double~6 q1:double~6 median:double~6 q3:double~6 max:double~6",
     )
 
@@ -424,6 +453,11 @@ def product_characteristics(spark, d):
     )
 
 
+def product_profile(spark, d):
+    found = products.product_profile(base(spark, d, "prd_nm", *PROFIT))
+    return typed(found, "prd_nm:string rows:bigint prd_cost:double sls_price:double Margin:double~6 sls_quantity:double")
+
+
 def fulfilment_time(spark, d):
     rows = base(spark, d, "MAINTENANCE", "CAT", "order_date", "ship_date")
     return operations.fulfilment_time(rows)
@@ -461,12 +495,12 @@ def explorer_page(spark, d):
 KEYS = (
     "age_by_gender age_floor_365 age_gender_revenue age_trunc_365 category_id_slice category_path category_trend "
     "columns_equal country_ops country_top10 customer_dim customer_kpis customer_metrics daily_orders dashboard_base "
-    "dedupe_keep_first distinct_marital dropna_any duplicate_count explorer_page extract_digits_key fill_constant "
+    "dedupe_keep_first distinct_marital dropna_any duplicate_count explorer_page export_json extract_digits_key fill_constant "
     "filter_date_range filter_domains filter_in_list fulfilment_time gender_bucket global_rank is_active_flag "
     "map_country map_gender_ci map_gender_code margin_by_category margin_safe median_fill month_names monthly_active "
     "monthly_revenue na_tokens new_vs_returning null_profile order_density_calendar order_ship_delay parse_iso_date "
-    "parse_yyyymmdd product_characteristics product_code_suffix product_dim product_hierarchy revenue_measures "
-    "rfm_scores rfm_segments sales_kpis scan_filter_tables segment_distribution segment_stats strip_hyphen_key "
-    "upper_trim warehouse_clean warehouse_clean_active wide_fact wide_fact_fanout zscore_filter"
+    "parse_yyyymmdd product_characteristics product_code_suffix product_dim product_hierarchy product_profile revenue_measures "
+    "rfm_scores rfm_segments sales_kpis scan_filter_tables segment_distribution segment_stats stage_csv strip_hyphen_key "
+    "upper_trim warehouse_clean warehouse_clean_active warehouse_round_trip wide_fact wide_fact_fanout zscore_filter"
 ).split()
 QUERIES = {key: globals()[key] for key in KEYS}

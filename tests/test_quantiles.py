@@ -17,7 +17,7 @@ def shuffled(spark, values, kind="double", parts=7, seed=0):
 @pytest.mark.parametrize("n", [1, 2, 7, 8, 9, 53, 1203])
 def test_interpolated_points_match_numpy(spark, n):
     values = np.random.default_rng(n).normal(size=n).round(2)
-    found = quantiles(shuffled(spark, values.tolist()), fifths(), interpolated={"q": F.col("v")}).first().q
+    found = quantiles(shuffled(spark, values.tolist()), fifths(), interpolated={"q": "v"}).first().q
     assert found == pytest.approx(np.quantile(values, [0, 0.2, 0.4, 0.6, 0.8, 1]).tolist(), abs=1e-12)
 
 
@@ -25,27 +25,27 @@ def test_large_column_beyond_the_sketch(spark):
     """With a coarse sketch the brackets are real ranges and the second pass decides."""
     df = spark.range(0, 200_000, 1, 13).select((F.xxhash64("id") % 100_000_007).cast("double").alias("v"))
     values = np.array([r.v for r in df.collect()])
-    found = quantiles(df, fifths(), interpolated={"q": F.col("v")}, accuracy=200).first().q
+    found = quantiles(df, fifths(), interpolated={"q": "v"}, accuracy=200).first().q
     assert found == pytest.approx(np.quantile(values, [0, 0.2, 0.4, 0.6, 0.8, 1]).tolist(), rel=1e-15)
 
 
 def test_one_value_holds_most_rows(spark):
     values = [5.0] * 700 + np.arange(300.0).tolist()
     df = shuffled(spark, values)
-    found = quantiles(df, [(1, 2), (9, 10)], interpolated={"q": F.col("v")}, accuracy=100).first().q
+    found = quantiles(df, [(1, 2), (9, 10)], interpolated={"q": "v"}, accuracy=100).first().q
     assert found == pytest.approx(np.quantile(values, [0.5, 0.9]).tolist())
 
 
 def test_groups_nulls_and_several_columns(spark):
     rows = [("a", 1.0, 4), ("a", 2.0, None), ("a", None, 6), ("b", 7.0, 1), (None, 3.0, 3)]
     df = spark.createDataFrame(rows, "g string, x double, y int")
-    found = quantiles(df, [(1, 2)], interpolated={"x": F.col("x"), "y": F.col("y")}, by=["g"])
+    found = quantiles(df, [(1, 2)], interpolated={"x": "x", "y": "y"}, by=["g"])
     assert {r.g: (r.x, r.y) for r in found.where("g is not null").collect()} == {"a": ([1.5], [5.0]), "b": ([7.0], [1.0])}
 
 
 def test_empty_input_gives_null(spark):
     empty = spark.createDataFrame([], "v double")
-    assert quantiles(empty, [(1, 2)], interpolated={"q": F.col("v")}).first().q is None
+    assert quantiles(empty, [(1, 2)], interpolated={"q": "v"}).first().q is None
 
 
 @pytest.mark.parametrize("n", [12, 13, 14, 52, 98])

@@ -71,14 +71,13 @@ def rfm_scores(metrics: DataFrame, bins: int = config.SCORE_BINS, duplicates: st
     cuts = quantiles(
         ordered,
         fifths(bins),
-        interpolated={"recency": F.col("recency_days"), "monetary": F.col("total_revenue")},
-        positional={"frequency": F.col("_order")},
+        interpolated={"recency": "recency_days", "monetary": "total_revenue"},
+        positional={"frequency": "_order"},
     )
-    inner = F.slice(F.col("_cuts.frequency"), 2, bins - 1)
     return ordered.withColumn("_cuts", scalar_struct(cuts)).withColumns({
-        "recency_score": score_by_edges(F.col("recency_days"), F.col("_cuts.recency"), bins, True, duplicates),
-        "frequency_score": score_by_position(F.col("_order"), inner, bins),
-        "monetary_score": score_by_edges(F.col("total_revenue"), F.col("_cuts.monetary"), bins, False, duplicates),
+        "recency_score": score_by_edges("recency_days", "_cuts.recency", bins, True, duplicates),
+        "frequency_score": score_by_position("_order", "_cuts.frequency", bins),
+        "monetary_score": score_by_edges("total_revenue", "_cuts.monetary", bins, False, duplicates),
     }).drop("_cuts", "_order")
 
 
@@ -138,7 +137,7 @@ def segment_stats(segments: DataFrame, digits: int | None = 2) -> DataFrame:
 def five_numbers(df: DataFrame, group: str, value: str) -> DataFrame:
     """Exact minimum, quartiles and maximum of a column per group; null groups dropped."""
     found = quantiles(df.where(F.col(group).isNotNull()), list(FIVE_NUMBERS.values()),
-                      interpolated={"points": F.col(value)}, by=[group])
+                      interpolated={"points": value}, by=[group])
     return found.select(group, *(F.col("points")[i].alias(name) for i, name in enumerate(FIVE_NUMBERS)))
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tradeloom.functions.numbers import mean
 from tradeloom.operators.cleaning import require
 from tradeloom.operators.hierarchy import hierarchy
 
@@ -33,4 +34,4 @@ def product_profile(base: DataFrame) -> DataFrame:
     """The same measures averaged per product, a size that can be drawn."""
     rows = product_characteristics(base)
     measures = [c for c in rows.columns if c != "prd_nm"]
-    return rows.groupBy("prd_nm").agg(F.count("*").alias("rows"), *(F.avg(c).alias(c) for c in measures))
+    return rows.groupBy("prd_nm").agg(F.count("*").alias("rows"), *(mean(F.col(c)).alias(c) for c in measures))

@@ -32,10 +32,15 @@ def _application_dir(spark: SparkSession) -> str:
     return f"{_shared_dir(spark).rstrip('/')}/tradeloom-{spark.sparkContext.applicationId}"
 
 
+def new_path(spark: SparkSession) -> str:
+    """An unused path of this application in the shared folder."""
+    return f"{_application_dir(spark)}/{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Run ``df`` once, store it in the shared folder and return the stored table."""
     spark = df.sparkSession
-    path = f"{_application_dir(spark)}/{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -27,7 +27,7 @@ def fill_text(df: DataFrame, columns: Sequence[str] = config.FILL_COLUMNS, value
 
 def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row with the exact median of every column, nulls skipped."""
-    found = quantiles(df, [(1, 2)], interpolated={c: F.col(c) for c in columns})
+    found = quantiles(df, [(1, 2)], interpolated={c: c for c in columns})
     return found.select(*(F.col(c)[0].alias(c) for c in columns))
 
 

@@ -24,30 +24,23 @@ _MISSED = "a quantile fell outside its sketch bracket; raise the accuracy"
 def quantiles(
     df: DataFrame,
     fractions: Sequence[Fraction],
-    interpolated: Mapping[str, Column] | None = None,
-    positional: Mapping[str, Column] | None = None,
+    interpolated: Mapping[str, str] | None = None,
+    positional: Mapping[str, str] | None = None,
     by: Sequence[str] = (),
     accuracy: int = SKETCH_ACCURACY,
 ) -> DataFrame:
     """One row (per group) with one array per requested name, one entry per fraction.
 
-    ``interpolated`` entries are doubles interpolated between the two neighbours of position
-    ``(n-1)*num/den``; ``positional`` entries are the ``decimal(38,0)`` value at the floor of that
+    ``interpolated`` and ``positional`` map names to SQL expressions.  Interpolated entries are doubles interpolated between the two neighbours of position
+    ``(n-1)*num/den``; positional entries are the ``decimal(38,0)`` value at the floor of that
     position.  Nulls are skipped.
     """
     interpolated, positional = dict(interpolated or {}), dict(positional or {})
     by = list(by)
     fractions = sorted(fractions, key=lambda f: f[0] / f[1])
-    whole_number = "decimal(38,0)"
-
-    entries = [
-        F.struct(F.lit(name).alias("_name"), col.cast("double").alias("_v"), F.lit(None).cast(whole_number).alias("_x"))
-        for name, col in interpolated.items()
-    ] + [
-        F.struct(F.lit(name).alias("_name"), col.cast("double").alias("_v"), col.cast(whole_number).alias("_x"))
-        for name, col in positional.items()
-    ]
-    values = df.select(*by, F.explode(F.array(*entries)).alias("_e")).select(*by, "_e.*").where("_v is not null")
+    entries = [f"named_struct('_name', '{n}', '_v', double({e}), '_x', cast(null as decimal(38,0)))" for n, e in interpolated.items()]
+    entries += [f"named_struct('_name', '{n}', '_v', double({e}), '_x', cast({e} as decimal(38,0)))" for n, e in positional.items()]
+    values = df.selectExpr(*by, f"inline(array({', '.join(entries)}))").where("_v is not null")
 
     brackets = _sketch_brackets(values, fractions, [*by, "_name"], accuracy)
     # Without groups the bracket table has one row per requested name; with groups its size is
@@ -57,8 +50,8 @@ def quantiles(
     located = _count_by_value(values, brackets, len(fractions), [*by, "_name"])
     picked = _pick(located, fractions, [*by, "_name"])
 
-    wide = [F.max(F.when(F.col("_name") == name, F.col("_linear"))).alias(name) for name in interpolated]
-    wide += [F.max(F.when(F.col("_name") == name, F.col("_exact"))).alias(name) for name in positional]
+    wide = [F.expr(f"max(case when _name = '{name}' then _linear end) as {name}") for name in interpolated]
+    wide += [F.expr(f"max(case when _name = '{name}' then _exact end) as {name}") for name in positional]
     return picked.groupBy(*by).agg(*wide)
 
 
@@ -123,49 +116,49 @@ def fifths(bins: int = config.SCORE_BINS) -> list[Fraction]:
     return [(k, bins) for k in range(bins + 1)]
 
 
-def score_by_edges(value: Column, edges: Column, bins: int = config.SCORE_BINS,
+def score_by_edges(value: str, edges: str, bins: int = config.SCORE_BINS,
                    descending: bool = False, duplicates: str = "raise") -> Column:
     """Bin number 1..bins of right-closed quantile bins; equal values share a bin.
 
-    ``duplicates='raise'`` stops on repeated edges, ``'drop'`` merges the empty bins.
+    ``edges`` holds all ``bins + 1`` edges.  ``duplicates='raise'`` stops on repeated edges,
+    ``'drop'`` merges the empty bins.
     """
-    distinct = F.array_distinct(edges)
-    inner = F.slice(distinct, F.lit(2), F.greatest(F.size(distinct) - 2, F.lit(0)))
     if duplicates == "raise":
-        inner = F.slice(edges, 2, bins - 1)
-        passed = sum(((value.cast("double") > inner[k]).cast("int") for k in range(bins - 1)), F.lit(0))
-        unique = F.size(distinct) == F.size(edges)
-        passed = F.when(unique, passed).otherwise(F.raise_error(F.lit("quantile edges must be unique")).cast("int"))
+        passed = " + ".join(f"int(double({value}) > {edges}[{k}])" for k in range(1, bins))
+        repeated = f"size(array_distinct({edges})) < {bins + 1}"
+        passed = f"case when {repeated} then int(raise_error('quantile edges must be unique')) else {passed} end"
     elif duplicates == "drop":
-        passed = F.size(F.filter(inner, lambda edge: value.cast("double") > edge))
+        inner = f"slice(array_distinct({edges}), 2, greatest(size(array_distinct({edges})) - 2, 0))"
+        passed = f"size(filter({inner}, e -> double({value}) > e))"
     else:
         raise ValueError(f"duplicates must be 'raise' or 'drop', not {duplicates!r}")
-    score = F.lit(bins) - passed if descending else F.lit(1) + passed
-    return F.when(value.isNotNull(), score).cast("int")
+    score = f"{bins} - ({passed})" if descending else f"1 + ({passed})"
+    return F.expr(f"int(case when {value} is not null then {score} end)")
 
 
-def score_by_position(value: Column, cuts: Column, bins: int = config.SCORE_BINS) -> Column:
-    """Bin number of a unique value given the values at the ``bins - 1`` inner cut positions."""
-    passed = sum(((value > cuts[k]).cast("int") for k in range(bins - 1)), F.lit(0))
-    return F.when(value.isNotNull(), F.lit(1) + passed).cast("int")
+def score_by_position(value: str, cuts: str, bins: int = config.SCORE_BINS) -> Column:
+    """Bin number of a unique value given the values at all ``bins + 1`` cut positions."""
+    passed = " + ".join(f"int({value} > {cuts}[{k}])" for k in range(1, bins))
+    return F.expr(f"int(case when {value} is not null then 1 + {passed} end)")
 
 
 def qcut(df: DataFrame, column: str, out: str, bins: int = config.SCORE_BINS,
          descending: bool = False, duplicates: str = "raise") -> DataFrame:
     """Add the equal-frequency bin number of a numeric column."""
-    cuts = quantiles(df, fifths(bins), interpolated={"edges": F.col(column)})
-    score = score_by_edges(F.col(column), F.col("_cuts.edges"), bins, descending, duplicates)
+    cuts = quantiles(df, fifths(bins), interpolated={"edges": column})
+    score = score_by_edges(column, "_cuts.edges", bins, descending, duplicates)
     return df.withColumn("_cuts", scalar_struct(cuts)).withColumn(out, score).drop("_cuts")
 
 
 def with_first_rank_order(df: DataFrame, column: str, tie: str, out: str) -> DataFrame:
     """Add one whole number that orders rows by ``column``, then by ``tie``; both integers, ``tie`` unique."""
+    number = "decimal(20,0)"
     span = df.agg(
-        F.min(tie).cast("decimal(20,0)").alias("low"),
-        (F.max(tie).cast("decimal(20,0)") - F.min(tie).cast("decimal(20,0)") + 1).cast("decimal(20,0)").alias("width"),
+        F.expr(f"cast(min({tie}) as {number}) as low"),
+        F.expr(f"cast(cast(max({tie}) as {number}) - cast(min({tie}) as {number}) + 1 as {number}) as width"),
     )
-    order = f"""cast({column} as decimal(17,0)) * _span.width + (cast({tie} as decimal(20,0)) - _span.low)"""
-    return df.withColumn("_span", scalar_struct(span)).withColumn(out, F.expr(order).cast("decimal(38,0)")).drop("_span")
+    order = f"cast(cast({column} as decimal(17,0)) * _span.width + (cast({tie} as {number}) - _span.low) as decimal(38,0))"
+    return df.withColumn("_span", scalar_struct(span)).withColumn(out, F.expr(order)).drop("_span")
 
 
 def qcut_rank(df: DataFrame, column: str, tie: str, out: str, bins: int = config.SCORE_BINS) -> DataFrame:
@@ -174,6 +167,6 @@ def qcut_rank(df: DataFrame, column: str, tie: str, out: str, bins: int = config
     Only the rows at the cut positions are located; no row needs its own rank.
     """
     ordered = with_first_rank_order(df, column, tie, "_order")
-    cuts = quantiles(ordered, fifths(bins)[1:-1], positional={"cuts": F.col("_order")})
-    score = score_by_position(F.col("_order"), F.col("_cuts.cuts"), bins)
+    cuts = quantiles(ordered, fifths(bins), positional={"cuts": "_order"})
+    score = score_by_position("_order", "_cuts.cuts", bins)
     return ordered.withColumn("_cuts", scalar_struct(cuts)).withColumn(out, score).drop("_cuts", "_order")
