@@ -68,6 +68,9 @@ def test_messy_dates(one):
 def test_text_dates(one):
     values = ["2013-07-28", "28.07.2013", "", "2013-02-30", None, "9999-01-01"]
     assert one("string", values, dates.parse_date) == [dt.date(2013, 7, 28), None, None, None, None, None]
+    assert one("string", ["2013-7-28", "2013", "2013-07-28T10", "2013-07", "abcd-ef-gh"], dates.parse_date) == [None] * 5
+    assert one("string", ["28.07.2013", "2013-07-28"], lambda c: dates.parse_date(c, "dd.MM.yyyy")) == [
+        dt.date(2013, 7, 28), None]
     assert one("date", [dt.date(2013, 7, 28), None], dates.parse_date) == [dt.date(2013, 7, 28), None]
 
 

@@ -5,6 +5,7 @@ import re
 import pytest
 
 from bindings import queries as q
+from tradeloom.plans.fact import build_fact
 
 SF = "/root/testdata/sf0.001"
 LAZY = [k for k in q.KEYS if k not in ("warehouse_clean", "warehouse_clean_active", "stage_csv", "export_json", "warehouse_round_trip")]
@@ -54,3 +55,34 @@ def test_customer_numbers_use_hash_aggregation(spark):
     for line in plan.splitlines():
         if "SortAggregate" in line:
             assert "min_by" in line and "sum(" not in line
+
+
+def test_hot_customer_is_split_in_the_fact_join(spark):
+    """A customer with a third of the sales does not end up in one task."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "16",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        sales = spark.range(0, 150_000, 1, 6).selectExpr(
+            "if(id % 3 = 0, 7, id % 5000) as sls_cust_id", "concat('P', id % 50) as sls_prd_key", "uuid() as note")
+        people = spark.range(5000).selectExpr("id as CID", "concat('n', id) as name")
+        customer = people.join(spark.range(5000).selectExpr("id as CID", "id % 7 as kind"), "CID")
+        product = spark.range(50).selectExpr("concat('P', id) as prd_key", "id as prd_id")
+        fact = build_fact(sales, customer, product)
+        assert len(fact.collect()) == 150_000
+        plan = fact._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert "SortMergeJoin(skew=true) [CID" in plan
+
+
+def test_small_dimensions_are_broadcast_by_size(spark):
+    plan = q._fact(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"BroadcastHashJoin \[CID", plan) and re.search(r"BroadcastHashJoin \[prd_key", plan)

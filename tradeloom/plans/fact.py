@@ -2,14 +2,22 @@
 
 from pyspark.sql import DataFrame
 
+from tradeloom.materialize import materialize
+
 SALES_KEYS = {"sls_prd_key": "prd_key", "sls_cust_id": "CID"}
 
 
-def build_fact(sales: DataFrame, customer: DataFrame, product: DataFrame) -> DataFrame:
+def build_fact(sales: DataFrame, customer: DataFrame, product: DataFrame, store_dimensions: bool = True) -> DataFrame:
     """Every sale, with nulls where customer or product is unknown.
 
     A product with several versions repeats the sale once per version.
+
+    Dimensions are stored first: their size is then known, so that a small one is broadcast, and a large one is
+    shuffled for this join alone, which is what lets AQE split a key that holds a large share of the sales.
+    (A customer dimension still partitioned by ``CID`` from its own joins would be joined without such a split.)
     """
+    if store_dimensions:
+        customer, product = materialize(customer), materialize(product)
     renamed = sales.withColumnsRenamed(SALES_KEYS)
     with_customer = renamed.join(_suffix_clashes(customer, renamed, "CID", "_cust"), "CID", "left")
     return with_customer.join(_suffix_clashes(product, with_customer, "prd_key", "_prd"), "prd_key", "left")
