@@ -17,7 +17,7 @@ from tradeloom.operators.filters import filter_sales
 from tradeloom.plans.dimensions import build_customer, build_product
 from tradeloom.plans.fact import build_fact
 from tradeloom.plans.staging import stage
-from tradeloom.plans.warehouse import clean_warehouse
+from tradeloom.plans.warehouse import build_warehouse
 from tradeloom.sources import readers, writers
 
 MONEY = "decimal(28,2)"
@@ -285,14 +285,16 @@ def wide_fact_fanout(spark, d):
 
 
 def warehouse_clean(spark, d):
-    return _rounded_prices(clean_warehouse(_fact(spark, d), AS_OF))
+    return _rounded_prices(build_warehouse(td.raw_sales(spark, d), _customer(spark, d), _product(spark, d), as_of=AS_OF))
 
 
 def warehouse_clean_active(spark, d):
     """The recommended call: open-ended products stay, lines are told apart."""
-    fact = _fact(spark, d).withColumn("line", F.col("_sales_row.l_linenumber"))
-    required = ["sls_ord_num", "CID", "order_date", "ship_date", "due_date", "CAT"]
-    return _rounded_prices(clean_warehouse(fact, AS_OF, key=["sls_ord_num", "line", "prd_key"], required=required))
+    lines = td.raw_sales(spark, d).withColumn("line", F.col("_sales_row.l_linenumber"))
+    return _rounded_prices(build_warehouse(
+        lines, _customer(spark, d), _product(spark, d), as_of=AS_OF, key=["sls_ord_num", "line", "prd_key"],
+        required=["sls_ord_num", "CID", "order_date", "ship_date", "due_date", "CAT"],
+    ))
 
 
 def _rounded_prices(df):

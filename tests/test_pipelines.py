@@ -6,7 +6,7 @@ from tradeloom.marts import customers, explorer, operations, products, sales
 from tradeloom.plans.dashboard import dashboard_base
 from tradeloom.plans.dimensions import build_customer, build_product
 from tradeloom.plans.fact import build_fact
-from tradeloom.plans.warehouse import clean_warehouse
+from tradeloom.plans.warehouse import build_warehouse, clean_warehouse
 
 AS_OF = dt.date(2020, 1, 1)
 D = dt.date
@@ -108,6 +108,15 @@ def test_clean_warehouse_with_required_columns(fact):
     assert found["SO2", "CD"].cst_firstname == "Not Specified" and found["SO2", "CD"].birth_date is None
 
 
+def test_dates_may_be_parsed_before_the_joins(raw, fact):
+    customer = build_customer(raw["cust"], raw["cust_info"], raw["loc"])
+    early = build_warehouse(raw["sales"], customer, build_product(raw["prd"], raw["cat"]), as_of=AS_OF,
+                            order=["_sales_row", "prd_id"], required=["CID"])
+    late = clean_warehouse(fact, AS_OF, order=["_sales_row", "prd_id"], required=["CID"])
+    assert sorted(map(repr, early.select(sorted(early.columns)).collect())) == sorted(
+        map(repr, late.select(sorted(late.columns)).collect()))
+
+
 def test_identifier_column_is_dropped_when_equal(fact):
     known = fact.where("CID <> 9")
     assert len(clean_warehouse(known, AS_OF, order=["_sales_row", "prd_id"]).columns) == 36

@@ -11,6 +11,7 @@ from tradeloom.functions.text import standardise_text
 from tradeloom.materialize import materialize
 from tradeloom.operators.cleaning import fill_median, fill_text, filter_zscore, keep_first, require
 from tradeloom.operators.profile import columns_equal
+from tradeloom.plans.fact import build_fact
 from tradeloom.schemas import RAW_SCHEMAS, row_column
 
 ROW_ORDER = tuple(row_column(t) for t in ("sales", "cust", "cust_info", "loc", "prd", "cat") if t in RAW_SCHEMAS)
@@ -27,6 +28,14 @@ def convert_dates(df: DataFrame) -> DataFrame:
     return df
 
 
+def build_warehouse(sales: DataFrame, customer: DataFrame, product: DataFrame, **cleaning) -> DataFrame:
+    """Wide fact and its cleaning in one call; keyword arguments go to :func:`clean_warehouse`.
+
+    Dates are parsed before the joins: once per customer and product, not once per joined row.
+    """
+    return clean_warehouse(build_fact(*(convert_dates(df) for df in (sales, customer, product))), **cleaning)
+
+
 def clean_warehouse(
     fact: DataFrame,
     as_of=None,
