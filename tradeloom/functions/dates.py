@@ -13,13 +13,15 @@ _ANY_FOUR_DIGIT_YEAR = (dt.date(1000, 1, 1), dt.date(9999, 12, 31))
 def parse_yyyymmdd(col: Column, bounds=config.DATE_BOUNDS) -> Column:
     """Eight-digit integer such as 20130728; anything that is not a real date gives null.
 
-    Bounds are compared as integers; a cast then parses the ISO spelling far faster than a date pattern.
+    Plain integer arithmetic, with the bounds compared as integers too.
     """
     low, high = (int(d.strftime("%Y%m%d")) for d in bounds or _ANY_FOUR_DIGIT_YEAR)
     number = col.try_cast("bigint")
-    text = number.cast("string")
-    iso = F.concat(F.substring(text, 1, 4), F.lit("-"), F.substring(text, 5, 2), F.lit("-"), F.substring(text, 7, 2))
-    return F.when(number.between(low, high), iso.try_cast("date"))
+    year = F.call_function("div", number, F.lit(10000)).cast("int")
+    month, day = (F.call_function("div", number, F.lit(100)) % 100).cast("int"), (number % 100).cast("int")
+    first = F.make_date(year, month, F.lit(1))
+    exists = (day >= 1) & (day <= F.dayofmonth(F.last_day(first)))
+    return F.when(number.between(low, high) & month.between(1, 12), F.when(exists, F.date_add(first, day - 1)))
 
 
 def parse_date(col: Column, fmt: str = "yyyy-MM-dd", bounds=config.DATE_BOUNDS) -> Column:
