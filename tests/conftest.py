@@ -5,6 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+from tradeloom.materialize import scratch_if_unset  # noqa: E402
 from tradeloom.session import build_session  # noqa: E402
 
 
@@ -14,6 +15,7 @@ def spark():
         "tests", "local[4]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false", spark__driver__memory="4g"
     )
     session.sparkContext.setLogLevel("ERROR")
+    scratch_if_unset(session)
     yield session
     session.stop()
 

@@ -12,24 +12,31 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_dir: str | None = None
 
-
-def _shared_dir(spark: SparkSession) -> str:
+def shared_dir(spark: SparkSession) -> str:
+    """The folder every executor can reach; stops if the session names none."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not configured:
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    global _local_dir
-    if _local_dir is None:
-        _local_dir = tempfile.mkdtemp(prefix="tradeloom-")
-        atexit.register(shutil.rmtree, _local_dir, ignore_errors=True)
-    return "file://" + _local_dir
+    return configured
+
+
+def scratch_if_unset(spark: SparkSession) -> None:
+    """For tests and trials in one process: name a temporary folder if the session names none.
+
+    On any other master nothing is set, so that :func:`shared_dir` stops the job.
+    """
+    context = spark.sparkContext
+    if spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir():
+        return
+    if context.master == "local" or context.master.startswith("local["):
+        folder = tempfile.mkdtemp(prefix="tradeloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir("file://" + folder)
 
 
 def _application_dir(spark: SparkSession) -> str:
-    return f"{_shared_dir(spark).rstrip('/')}/tradeloom-{spark.sparkContext.applicationId}"
+    return f"{shared_dir(spark).rstrip('/')}/tradeloom-{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession) -> str:
