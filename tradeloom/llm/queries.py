@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeloom.llm import mixing, url_filter
+from tradeloom.llm import mixing, secrets, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,12 +18,22 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    counts = [F.size(of(i)).cast("long").alias(f"n_{kind}") for i, kind in enumerate(secrets.KINDS)]
+    return found.select(
+        "doc_id", *counts, F.sha2(secrets.span_text(of(0, 1, 2)), 256).alias("base_sha256"),
+        secrets.span_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mixing.mix(docs)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op7_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op6_secret_scan, op7_source_mix)}
 
 ORACLE: dict[str, str] = {}
