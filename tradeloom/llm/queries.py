@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeloom.llm import mixing, secrets, url_filter
+from tradeloom.llm import mixing, packing, secrets, url_filter, warc
+from tradeloom.materialize import new_path
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,14 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark)
+    warc.write(_read(spark, sf_dir, "pages"), path, min_bytes=0)
+    return warc.read(spark, path, with_payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
@@ -34,6 +43,12 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op6_secret_scan, op7_source_mix)}
+def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_url_filter, op4_warc_round_trip, op6_secret_scan, op7_source_mix, op8_pack,
+)}
 
 ORACLE: dict[str, str] = {}
