@@ -26,7 +26,7 @@ TASK_BYTES = 24 << 20  # of payload, on average
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # of URLs, RFC 4122
-_CHUNK = 1 << 20
+_CHUNK, _HELD = 1 << 16, 8 << 20
 MANIFEST = "file string, attempt string, records long, bytes long"
 RECORDS = "page_id {}, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to {}"
 
@@ -176,7 +176,7 @@ def read(spark: SparkSession, path: str, id_type: str = "long", with_payload: bo
                         rows.append((page, headers.get("WARC-Target-URI"), kind,
                                      payload if with_payload and kind == "response" else None, size, digest, first))
                         held += len(payload)
-                        if held > 8 * _CHUNK or len(rows) >= 5000:
+                        if held > _HELD or len(rows) >= 5000:
                             yield _frame(rows)
                             rows, held = [], 0
                     yield _frame(rows)
