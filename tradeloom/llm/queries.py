@@ -1,9 +1,9 @@
 """The dealt operators over the given tables, with their production parameters."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeloom.llm import mixing, packing, secrets, url_filter, warc
+from tradeloom.llm import langid, mixing, packing, secrets, url_filter, warc
 from tradeloom.materialize import new_path
 
 
@@ -27,6 +27,18 @@ def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def held_out() -> Column:
+    """True for the documents that no model may learn from; a null id is neither held out nor learned."""
+    return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~held_out()).select("text", "lang"))
+    predicted = langid.predict(docs.select("doc_id", "text"), model)
+    return predicted.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
@@ -48,7 +60,7 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_url_filter, op4_warc_round_trip, op6_secret_scan, op7_source_mix, op8_pack,
+    op1_url_filter, op4_warc_round_trip, op5_language, op6_secret_scan, op7_source_mix, op8_pack,
 )}
 
 ORACLE: dict[str, str] = {}
