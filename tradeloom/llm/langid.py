@@ -19,6 +19,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tradeloom.materialize import materialize
 
@@ -261,7 +262,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 [*batch.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"]
             )
 
-    schema = kept.schema.add("lang_pred", "string").add("score", "double")
+    schema = StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     return kept.mapInArrow(run, schema)
 
 
