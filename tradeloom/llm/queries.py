@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeloom.llm import langid, mixing, packing, secrets, url_filter, warc
+from tradeloom.llm import embed_dedup, langid, mixing, packing, secrets, topk, url_filter, warc
 from tradeloom.materialize import new_path
 
 
@@ -19,6 +19,20 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings")
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
+    rows = rows.where(F.coalesce(finite, F.lit(False))).select(
+        F.col("vec_id").alias("id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("values")
+    )
+    asked = rows.where("id % 50 = 0").withColumnRenamed("id", "query_id")
+    return topk.top_k(rows, asked, 5).withColumnRenamed("id", "vec_id")
+
+
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.dedup(_read(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
 def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark)
     warc.write(_read(spark, sf_dir, "pages"), path, min_bytes=0)
@@ -60,7 +74,7 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_url_filter, op4_warc_round_trip, op5_language, op6_secret_scan, op7_source_mix, op8_pack,
+    op1_url_filter, op2_top_k, op3_embedding_dedup, op4_warc_round_trip, op5_language, op6_secret_scan, op7_source_mix, op8_pack,
 )}
 
 ORACLE: dict[str, str] = {}
