@@ -107,7 +107,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         "query_id", F.col("values").cast("array<long>").alias("values")).distinct())
     index = build(materialize(rows))
     chunks = max(1, -(-asked.count() // QUERY_ROWS))
-    places = index.select("size", "block").distinct()
+    places = materialize(index.select("size", "block").distinct())
     per_chunk = index.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     chunk = F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int")
     per_block = asked.select(F.size("values").alias("size"), chunk.alias("chunk"), "query_id", "values").join(places, "size")
