@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradeloom.llm.graph import components
+from tradeloom.llm.graph import components, smallest_reached
 from tradeloom.materialize import materialize
 
 THRESHOLD = 0.98
@@ -60,19 +60,6 @@ def _signed(vectors: DataFrame, bits: int, tables: int) -> DataFrame:
     return vectors.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in kinds.items()) + ", codes array<long>")
 
 
-def _smallest(ids, a, b):
-    """Smallest id connected with each of ``ids`` by the pairs of places ``a``, ``b``."""
-    label = ids.copy()
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _compare(threshold: float):
     """Compare the members of each group of a sorted stream of rows; groups are bounded, so little is carried over."""
 
@@ -120,7 +107,7 @@ def _compare(threshold: float):
         links = np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids))
         rows = np.flatnonzero(links)
         unique, place = np.unique(ids, return_inverse=True)
-        lowest = _smallest(unique, place[a], place[b])[place]
+        lowest = smallest_reached(unique, place[a], place[b])[place]
         return pa.RecordBatch.from_arrays(
             [pa.array(ids[rows]), pa.array(links[rows].astype(np.int64)), pa.array(lowest[rows])], ["id", "n_links", "lowest"]
         )

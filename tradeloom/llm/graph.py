@@ -1,5 +1,6 @@
 """Connected components of a distributed edge table."""
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,3 +50,16 @@ def _shorten(parents: DataFrame) -> DataFrame:
         parents = materialize(
             parents.join(above, "root", "left").select("id", F.coalesce("above", "root").alias("root"))
         )
+
+
+def smallest_reached(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Within a task: the smallest id connected with each of ``ids`` by the pairs of places ``a``, ``b``."""
+    label = ids.copy()
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        if (new == label).all():
+            return label
+        label = new

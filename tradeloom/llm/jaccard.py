@@ -10,21 +10,23 @@ with one shingle deleted: asking there with one deletion allowed counts twice in
 Each set chooses what to skip by the cost it expects, the number of sets that share a subset of that size.
 
 Rows meet by sorting on subset and id over range partitions, which splits any subset that many sets share.  Small
-buckets give all their pairs; a large one first compares all its members with one of them, and only members that the
-links found so far do not connect go on, to further centres and at last to each other.  Every pair is verified on the
+buckets give all their pairs.  Sets that share a large bucket, directly or through others, form a cluster; a cluster is dealt
+into blocks by size, and blocks of compatible sizes are compared as bit sets in a task of their own, which returns what
+is connected and no pairs, however many there are.  Every comparison is on the
 whole sets; equal sets are one class from the start.  Shingles are told apart by 64 bits.
 """
 
 import functools
+import math
 import re
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradeloom.llm.graph import components
+from tradeloom.llm.graph import components, smallest_reached
 from tradeloom.materialize import materialize
 
 WORDS, PERCENT = 3, 90
@@ -32,7 +34,8 @@ BAND_RATIO = 1.5
 SHARED = 0.05  # expected chance that another set of the band agrees in a shingle of a subset
 BAND_SHARE = 0.05  # expected share of all sets in a band
 SMALL_BUCKET = 8
-CENTRES = 3
+BLOCK = 256
+BIT_COLUMNS = 1 << 16
 BITMAP_WORDS = 1 << 18
 _SLICE = 1 << 22
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
@@ -180,7 +183,7 @@ def _signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def _bucket_pairs(batches):
-    """From rows sorted by key and id: pairs of small buckets, star pairs and members of large ones.
+    """From rows sorted by key and id: pairs of small buckets and members of large ones.
 
     The first and last bucket of a partition may go on elsewhere, so their members are kept too.
     """
@@ -198,9 +201,7 @@ def _bucket_pairs(batches):
             a = np.flatnonzero((key[:-distance] == key[distance:]) & ~large[:-distance])
             left.append(a)
             right.append(a + distance)
-        first = np.repeat(starts, sizes)
-        rest = np.flatnonzero(large & (first != np.arange(len(key))))
-        a, b = np.concatenate([*left, first[rest]]), np.concatenate([*right, rest])
+        a, b = (np.concatenate([np.empty(0, np.int64), *x]) for x in (left, right))
         good = (asks[a] | asks[b]) & (ids[a] != ids[b])
         if good.any():
             a, b = ids[a[good]], ids[b[good]]
@@ -228,22 +229,29 @@ def _bucket_pairs(batches):
 
 
 def _maybe_among(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
-    """Drop most rows whose id is not ``wanted`` before they are shuffled: a bitmap of fixed size, broadcast.
+    """Drop most rows whose id is not ``wanted`` before they are shuffled, by a bitmap of fixed size (2 MB).
 
     The more ids are wanted the less it drops; the exact join that follows decides.
     """
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP_WORDS * 64))
-    bitmap = wanted.select(bit("id").alias("bit")).groupBy(F.shiftright("bit", 6).alias("_word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("_bits")
+    bits = wanted.select(bit("id").alias("bit")).groupBy(F.shiftright("bit", 6).alias("id")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")
     )
-    marked = rows.withColumn("_bit", bit(column)).withColumn("_word", F.shiftright("_bit", 6))
-    return marked.join(F.broadcast(materialize(bitmap)), "_word").where(
-        "(shiftrightunsigned(_bits, cast(_bit & 63 as int)) & 1) = 1"
-    ).drop("_bit", "_word", "_bits")
+    every = wanted.sparkSession.range(BITMAP_WORDS).join(bits, "id", "left")
+    bitmap = materialize(every.agg(
+        F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))).alias("all")
+    ).select(F.transform("all", lambda x: x["bits"]).alias("bits"))).scalar()
+    word = F.get(bitmap, F.shiftright(bit(column), 6).cast("int"))
+    return rows.where(word.bitwiseAND(_power(bit(column))) != 0)
+
+
+def _power(bit):
+    """The bit's value in its word."""
+    return F.get(F.array(*[F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)]), F.pmod(bit, F.lit(64)).cast("int"))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """``(id, hashes)`` of the wanted documents."""
+    """``(id, hashes)`` of the wanted documents; an id may come with several texts."""
 
     def run(batches):
         for batch in batches:
@@ -255,7 +263,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), listed], ["id", "hashes"])
 
     near = _maybe_among(docs, "id", wanted).join(wanted, "id", "left_semi")
-    return materialize(near.mapInArrow(run, "id long, hashes array<long>").dropDuplicates(["id"]))
+    return materialize(near.mapInArrow(run, "id long, hashes array<long>"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -268,6 +276,93 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     ).select("a", "b")
 
 
+def _clusters(members: DataFrame) -> DataFrame:
+    """``(id, cluster)``: sets connected by large buckets of which a member asks."""
+    first = materialize(members.groupBy("key").agg(
+        F.min("id").alias("first"), F.max("id").alias("last"), F.max("asks").alias("any")
+    ).where("first < last and any").select("key", "first"))
+    edges = members.join(first, "key").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    return materialize(components(edges).withColumnRenamed("component", "cluster"))
+
+
+def _common(arrays: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections, by bit sets over the hashes that at least two arrays hold."""
+    owner = np.repeat(np.arange(len(arrays)), [len(x) for x in arrays])
+    _, column, often = np.unique(np.concatenate(arrays), return_inverse=True, return_counts=True)
+    shared = often[column] > 1
+    owner, column = owner[shared], np.cumsum(often > 1)[column[shared]] - 1
+    total = np.zeros((len(arrays), len(arrays)), np.int64)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, BIT_COLUMNS):
+        a, b = np.searchsorted(column, [start, start + BIT_COLUMNS])
+        width = min(BIT_COLUMNS, int(column[-1]) + 1 - start)
+        flags = np.zeros((len(arrays), -(-width // 64) * 64), bool)
+        flags[owner[a:b], column[a:b] - start] = True
+        bits = np.packbits(flags, axis=1).view(np.uint64)
+        for i in range(len(arrays)):
+            total[i, i:] += np.bitwise_count(bits[i] & bits[i:]).sum(1, dtype=np.int64)
+    return total
+
+
+def _connected(percent: int):
+    """From rows sorted by group: what the links inside each group connect, as ``(a, b)`` with ``b`` the smallest id."""
+
+    def settle(ids, sides, arrays):
+        sizes, common = np.array([len(x) for x in arrays]), _common(arrays)
+        union = sizes[:, None] + sizes[None, :] - common
+        a, b = np.nonzero(np.triu(100 * common >= percent * union, 1))
+        across = (sides[a] != sides[b]) | (sides[a] == 2)
+        a, b = a[across], b[across]
+        if len(a):
+            unique, place = np.unique(ids, return_inverse=True)
+            lowest = smallest_reached(unique, place[a], place[b])
+            moved = lowest < unique
+            yield pa.RecordBatch.from_arrays([pa.array(unique[moved]), pa.array(lowest[moved])], ["a", "b"])
+
+    def run(batches):
+        current, rows = None, []
+        for batch in batches:
+            groups, ids, sides = (batch.column(i).to_numpy() for i in range(3))
+            ends, flat = batch.column(3).offsets.to_numpy(), batch.column(3).values.to_numpy()
+            for i, group in enumerate(groups):
+                if group != current:
+                    if len(rows) > 1:
+                        yield from settle(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), [r[2] for r in rows])
+                    current, rows = group, []
+                rows.append((ids[i], sides[i], flat[ends[i] : ends[i + 1]].copy()))
+        if len(rows) > 1:
+            yield from settle(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), [r[2] for r in rows])
+
+    return run
+
+
+def _places(blocks: str, step: int) -> Column:
+    """All blocks of the level ``step`` above a row's own; none if the cluster has no such level."""
+    kind, level = "array<struct<level:int,block:int>>", F.col("level") + step
+    numbers = F.sequence(F.lit(0), F.col(blocks) - 1)
+    listed = F.transform(numbers, lambda j: F.struct(level.alias("level"), j.cast("int").alias("block")))
+    return F.when(F.col(blocks) > 0, listed.cast(kind)).otherwise(F.array().cast(kind))
+
+
+def _within(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges that connect what is linked inside the clusters, from comparisons of blocks of compatible sizes."""
+    level = F.floor(F.log(F.size("hashes")) / math.log(100 / percent) + 1e-9).cast("int")
+    rows = clusters.join(sets, "id").select("cluster", "id", level.alias("level"), "hashes")
+    counts = rows.groupBy("cluster", "level").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    counts = materialize(counts)
+    for name, step in (("own", 0), ("up", 1), ("down", -1)):
+        near = counts.select("cluster", (F.col("level") - step).alias("level"), F.col("blocks").alias(name))
+        rows = rows.join(near, ["cluster", "level"], "left")
+    block = F.pmod(F.xxhash64("id"), F.col("own")).cast("int")
+    others = F.concat(*[_places(name, step) for name, step in (("own", 0), ("up", 1), ("down", -1))])
+    rows = rows.select("cluster", "id", "hashes", F.struct("level", block.alias("block")).alias("at"), F.explode(others).alias("other"))
+    group = F.xxhash64("cluster", F.least("at", "other"), F.greatest("at", "other"))
+    side = F.when(F.col("at") == F.col("other"), 2).otherwise((F.col("at") < F.col("other")).cast("int"))
+    dealt = rows.select(group.alias("group"), "id", side.alias("side"), "hashes")
+    return dealt.repartition("group").sortWithinPartitions("group").mapInArrow(_connected(percent), "a long, b long")
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``(id, n_shingles, component_id)``, a row per row of ``docs``.
 
@@ -288,32 +383,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int
     met = materialize(dealt.mapInArrow(_bucket_pairs, "kind long, key long, a long, b long"))
     pairs = materialize(met.where("kind = 0").select("a", "b").distinct())
     members = materialize(met.where("kind = 1").groupBy("key", F.col("a").alias("id")).agg((F.max("b") == 1).alias("asks")))
-    wanted = materialize(
-        pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
-        .unionByName(members.select("id")).distinct()
-    )
-    sets = _sets(rows, wanted, words)
-    links = materialize(equal.unionByName(_verified(pairs, sets, percent)))
-    labels = materialize(components(links))
-    for turn in range(CENTRES + 1):
-        placed = members.join(labels, "id", "left").select("key", "id", "asks", F.coalesce("component", "id").alias("label"))
-        centre = F.min_by(F.struct("id", "asks", "label"), F.xxhash64("id", F.lit(turn)))
-        open_ = materialize(placed.groupBy("key").agg(
-            F.min("label").alias("low"), F.max("label").alias("high"), F.max("asks").alias("any"), centre.alias("centre")
-        ).where("low < high and any").select("key", "centre"))
-        if open_.isEmpty():
-            break
-        placed = materialize(placed.join(open_.select("key"), "key", "left_semi"))
-        if turn < CENTRES:
-            met = placed.join(open_, "key").where(
-                (F.col("label") != F.col("centre.label")) & (F.col("asks") | F.col("centre.asks"))
-            ).select("id", F.col("centre.id").alias("other"))
-        else:
-            with_all = placed.where("asks").select("key", F.col("id").alias("other"), F.col("label").alias("other_label"))
-            met = placed.join(with_all, "key").where("label <> other_label").select("id", "other")
-        met = materialize(met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
-        links = materialize(links.unionByName(_verified(met, sets, percent)))
-        labels = materialize(components(links))
+    clusters = _clusters(members)
+    own = lambda c: clusters.select(F.col("id").alias(c), F.col("cluster").alias("of_" + c))
+    pairs = materialize(pairs.join(own("a"), "a", "left").join(own("b"), "b", "left").where(
+        "of_a is null or of_b is null or of_a <> of_b").select("a", "b"))
+    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+    sets = _sets(rows, materialize(ends.unionByName(clusters.select("id")).distinct()), words)
+    paired = sets.join(materialize(ends.distinct()), "id", "left_semi")
+    links = materialize(equal.unionByName(_verified(pairs, paired, percent)).unionByName(_within(clusters, sets, percent)))
+    labels = components(links)
     return sized.join(labels, "id", "left").select(
         "id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
     )
