@@ -9,10 +9,10 @@ A segment whose subset is empty or tiny matches many sets.  The first segments o
 with one shingle deleted: asking there with one deletion allowed counts twice in the pigeonhole, so a set may skip a segment.
 Each set chooses what to skip by the cost it expects, the number of sets that share a subset of that size.
 
-Rows meet by sorting on subset and id over range partitions, which splits any subset that many sets share.  Small
-buckets give all their pairs.  Sets that share a large bucket, directly or through others, form a cluster; a cluster is dealt
-into blocks by size, and blocks of compatible sizes are compared as bit sets in a task of their own, which returns what
-is connected and no pairs, however many there are.  Every comparison is on the
+Rows meet by sorting on subset and id over range partitions, which splits any subset that many sets share.  Sets that
+share a subset, directly or through others, form a cluster.  Clusters are compared as bit sets, each set being sent once; a
+cluster that is too large for one comparison is dealt into blocks by size, and each two blocks of compatible sizes meet in a
+task of their own.  What returns is what is connected and no pairs, however many there are.  Every comparison is on the
 whole sets; equal sets are one class from the start.  Shingles are told apart by 64 bits.
 """
 
@@ -250,38 +250,14 @@ def _power(bit):
     return F.get(F.array(*[F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)]), F.pmod(bit, F.lit(64)).cast("int"))
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """``(id, hashes)`` of the wanted documents; an id may come with several texts."""
-
-    def run(batches):
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                arrays = [shingles(v.as_py() or "", words) for v in part.column(1)]
-                ends = np.cumsum([0, *map(len, arrays)])
-                listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), listed], ["id", "hashes"])
-
-    near = _maybe_among(docs, "id", wanted).join(wanted, "id", "left_semi")
-    return materialize(near.mapInArrow(run, "id long, hashes array<long>"))
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sets are similar enough: ``100 * intersection >= percent * union``."""
-    one, two = (sets.select(F.col("id").alias(c), F.col("hashes").alias("of_" + c)) for c in "ab")
-    joined = pairs.join(one, "a").join(two, "b")
-    common = F.size(F.array_intersect("of_a", "of_b")).cast("long")
-    return joined.withColumn("common", common).where(
-        F.col("common") * (100 + percent) >= (F.size("of_a") + F.size("of_b")).cast("long") * percent
-    ).select("a", "b")
-
-
-def _clusters(members: DataFrame) -> DataFrame:
-    """``(id, cluster)``: sets connected by large buckets of which a member asks."""
+def _clusters(met: DataFrame) -> DataFrame:
+    """``(id, cluster)``: sets connected by pairs of small buckets and by large buckets of which a member asks."""
+    members = materialize(met.where("kind = 1").groupBy("key", F.col("a").alias("id")).agg((F.max("b") == 1).alias("asks")))
     first = materialize(members.groupBy("key").agg(
         F.min("id").alias("first"), F.max("id").alias("last"), F.max("asks").alias("any")
     ).where("first < last and any").select("key", "first"))
     edges = members.join(first, "key").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    edges = edges.unionByName(met.where("kind = 0").select("a", "b"))
     return materialize(components(edges).withColumnRenamed("component", "cluster"))
 
 
@@ -345,22 +321,57 @@ def _places(blocks: str, step: int) -> Column:
     return F.when(F.col(blocks) > 0, listed.cast(kind)).otherwise(F.array().cast(kind))
 
 
-def _within(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges that connect what is linked inside the clusters, from comparisons of blocks of compatible sizes."""
-    level = F.floor(F.log(F.size("hashes")) / math.log(100 / percent) + 1e-9).cast("int")
-    rows = clusters.join(sets, "id").select("cluster", "id", level.alias("level"), "hashes")
-    counts = rows.groupBy("cluster", "level").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    counts = materialize(counts)
+def _dealt(clusters: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """``(id, n, groups)``: the comparisons that a set takes part in; ``side`` 2 means with all others there."""
+    level = F.floor(F.log("n") / math.log(100 / percent) + 1e-9).cast("int")
+    rows = materialize(clusters.join(sizes.where("n > 0").select("id", "n").distinct(), "id").withColumn("level", level))
+    whole = materialize(rows.groupBy("cluster").agg(F.count("*").alias("total")))
+    blocks = F.ceil(F.count("*") / BLOCK).cast("int")
+    counts = rows.join(whole.where(F.col("total") > BLOCK), "cluster", "left_semi").groupBy("cluster", "level")
+    counts = materialize(counts.agg(blocks.alias("blocks")))
+    rows = rows.join(whole, "cluster")
     for name, step in (("own", 0), ("up", 1), ("down", -1)):
         near = counts.select("cluster", (F.col("level") - step).alias("level"), F.col("blocks").alias(name))
         rows = rows.join(near, ["cluster", "level"], "left")
-    block = F.pmod(F.xxhash64("id"), F.col("own")).cast("int")
-    others = F.concat(*[_places(name, step) for name, step in (("own", 0), ("up", 1), ("down", -1))])
-    rows = rows.select("cluster", "id", "hashes", F.struct("level", block.alias("block")).alias("at"), F.explode(others).alias("other"))
-    group = F.xxhash64("cluster", F.least("at", "other"), F.greatest("at", "other"))
-    side = F.when(F.col("at") == F.col("other"), 2).otherwise((F.col("at") < F.col("other")).cast("int"))
-    dealt = rows.select(group.alias("group"), "id", side.alias("side"), "hashes")
-    return dealt.repartition("group").sortWithinPartitions("group").mapInArrow(_connected(percent), "a long, b long")
+    block = F.coalesce(F.pmod(F.xxhash64("id"), F.col("own")), F.lit(0)).cast("int")
+    rows = rows.withColumns({
+        "at": F.struct("level", block.alias("block")),
+        "others": F.concat(*[_places(name, step) for name, step in (("own", 0), ("up", 1), ("down", -1))]),
+    })
+
+    def group(other):
+        own = F.col("at")
+        return F.struct(
+            F.xxhash64("cluster", F.least(own, other), F.greatest(own, other)).alias("group"),
+            F.when(own == other, 2).otherwise((own < other).cast("int")).alias("side"),
+        )
+
+    alone = F.array(F.struct(F.xxhash64("cluster").alias("group"), F.lit(2).alias("side")))
+    groups = F.when(F.col("total") > BLOCK, F.transform("others", group)).otherwise(alone)
+    return materialize(rows.select("id", "n", groups.alias("groups")))
+
+
+def _within(docs: DataFrame, dealt: DataFrame, words: int, percent: int) -> DataFrame:
+    """Edges ``(a, b)`` that connect what is linked inside the clusters."""
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part, rows = batch.slice(start, 256), []
+                for key, text, n, groups in zip(*(part.column(i) for i in range(4))):
+                    hashes = shingles(text.as_py() or "", words)
+                    if len(hashes) == n.as_py():  # else another text of the same id
+                        rows += [(g["group"], g["side"], key.as_py(), hashes) for g in groups.as_py()]
+                ends = np.cumsum([0, *(len(r[3]) for r in rows)])
+                flat = np.concatenate([np.empty(0, np.uint64), *(r[3] for r in rows)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([r[0] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()),
+                    pa.array([r[1] for r in rows], pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
+                ], ["group", "id", "side", "hashes"])
+
+    near = _maybe_among(docs, "id", dealt).join(dealt, "id").select("id", "text", "n", "groups")
+    sets = near.mapInArrow(run, "group long, id long, side int, hashes array<long>")
+    return sets.repartition("group").sortWithinPartitions("group").mapInArrow(_connected(percent), "a long, b long")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -381,16 +392,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int
         signed.select("id", F.explode("listed").alias("key"), F.lit(False).alias("asks")))
     dealt = keys.select("key", "id", "asks").repartitionByRange("key", "id").sortWithinPartitions("key", "id")
     met = materialize(dealt.mapInArrow(_bucket_pairs, "kind long, key long, a long, b long"))
-    pairs = materialize(met.where("kind = 0").select("a", "b").distinct())
-    members = materialize(met.where("kind = 1").groupBy("key", F.col("a").alias("id")).agg((F.max("b") == 1).alias("asks")))
-    clusters = _clusters(members)
-    own = lambda c: clusters.select(F.col("id").alias(c), F.col("cluster").alias("of_" + c))
-    pairs = materialize(pairs.join(own("a"), "a", "left").join(own("b"), "b", "left").where(
-        "of_a is null or of_b is null or of_a <> of_b").select("a", "b"))
-    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
-    sets = _sets(rows, materialize(ends.unionByName(clusters.select("id")).distinct()), words)
-    paired = sets.join(materialize(ends.distinct()), "id", "left_semi")
-    links = materialize(equal.unionByName(_verified(pairs, paired, percent)).unionByName(_within(clusters, sets, percent)))
+    dealt = _dealt(_clusters(met), sized, percent)
+    links = materialize(equal.unionByName(_within(rows, dealt, words, percent)))
     labels = components(links)
     return sized.join(labels, "id", "left").select(
         "id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
