@@ -10,9 +10,11 @@ with one shingle deleted: asking there with one deletion allowed counts twice in
 Each set chooses what to skip by the cost it expects, the number of sets that share a subset of that size.
 
 Rows meet by sorting on subset and id over range partitions, which splits any subset that many sets share.  Sets that
-share a subset, directly or through others, form a cluster.  Clusters are compared as bit sets, each set being sent once; a
-cluster that is too large for one comparison is dealt into blocks by size, and each two blocks of compatible sizes meet in a
-task of their own.  What returns is what is connected and no pairs, however many there are.  Every comparison is on the
+share a subset are first compared by parity sketches: a bit per hash value, flipped by each shingle, so two sketches differ
+in no more bits than the sets in shingles.  Pairs that may still link connect clusters.  In clusters whole sets are compared, as
+bit sets, each set being sent once; a cluster that is too large for one comparison is dealt into overlapping ranges of
+size, and a range that is still too large into blocks of which each two meet in a task of their own.  A task returns
+what is connected and no pairs, however many there are.  The links that count are all found on the
 whole sets; equal sets are one class from the start.  Shingles are told apart by 64 bits.
 """
 
@@ -23,7 +25,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradeloom.llm.graph import components, smallest_reached
@@ -34,8 +36,10 @@ BAND_RATIO = 1.5
 SHARED = 0.05  # expected chance that another set of the band agrees in a shingle of a subset
 BAND_SHARE = 0.05  # expected share of all sets in a band
 SMALL_BUCKET = 8
-BLOCK = 256
-BIT_COLUMNS = 1 << 16
+BLOCK_ROWS = 2048  # of one side of a comparison of sketches
+BLOCK_SHINGLES = 1 << 20  # of the sets that one side of a comparison holds
+LEVELS = 4
+BIT_COLUMNS = 1 << 14
 BITMAP_WORDS = 1 << 18
 _SLICE = 1 << 22
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
@@ -123,15 +127,41 @@ def _skipped(sizes: np.ndarray, deletable: int, others: float) -> tuple[list[int
     return skipped, widened
 
 
+def _sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parity of the number of hashes at each of ``2^k`` places, at least as many as hashes."""
+    places = 1 << max(6, (len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)
+
+
+def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    while len(sketch) > words:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
+
+
+def _may_link(sizes: np.ndarray, sketches: list[np.ndarray], percent: int):
+    """Places of the pairs that the sketches cannot tell to differ too much."""
+    words = min(map(len, sketches))
+    bits, left, right = np.stack([_folded(x, words) for x in sketches]), [], []
+    for i in range(len(bits) - 1):
+        apart = np.bitwise_count(bits[i] ^ bits[i + 1 :]).sum(1, dtype=np.int64)
+        both, small, large = sizes[i] + sizes[i + 1 :], np.minimum(sizes[i], sizes[i + 1 :]), np.maximum(sizes[i], sizes[i + 1 :])
+        near = np.flatnonzero((apart * (100 + percent) <= (100 - percent) * both) & (100 * small >= percent * large)) + i + 1
+        left.append(np.full(len(near), i))
+        right.append(near)
+    return np.concatenate(left), np.concatenate(right)
+
+
 def signatures(text: str, words: int, percent: int, others: float):
-    """``(size, check, check2, asked, listed)``: subset keys to ask with and those only to be found by."""
+    """``(size, check, check2, asked, listed, sketch)``: subset keys to ask with and those only to be found by."""
     hashes = shingles(text, words)
     if not len(hashes):
-        return 0, 0, 0, hashes, hashes
+        return 0, 0, 0, hashes, hashes, hashes
     values = _mix(hashes * _M1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values)])
     checks = int(sums[-1].view(np.int64)), int(np.bitwise_xor.reduce(_mix(values)).view(np.int64))
-    return len(hashes), *checks, *_keys(hashes, values, sums, percent, others)
+    return len(hashes), *checks, *_keys(hashes, values, sums, percent, others), _sketch(hashes)
 
 
 def _keys(hashes, values, sums, percent, others):
@@ -149,7 +179,7 @@ def _keys(hashes, values, sums, percent, others):
     return np.concatenate(asked), np.concatenate(listed)
 
 
-SIGNED = "n long, c1 long, c2 long, asked array<long>, listed array<long>"
+SIGNED = "n long, c1 long, c2 long, asked array<long>, listed array<long>, sketch array<long>"
 
 
 def _signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -168,15 +198,15 @@ def _signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 row = signatures(value.as_py() or "", words, percent, others)
                 if key is None or row[:3] in met:
-                    row = (*row[:3], none, none)
+                    row = (*row[:3], none, none, none)
                 met.add(row[:3])
                 rows.append(row)
                 if len(met) > 500_000:
                     met.clear()
             columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *columns, lists([r[3] for r in rows]), lists([r[4] for r in rows])],
-                ["id", "n", "c1", "c2", "asked", "listed"],
+                [batch.column(0), *columns, *(lists([r[i] for r in rows]) for i in (3, 4, 5))],
+                ["id", "n", "c1", "c2", "asked", "listed", "sketch"],
             )
 
     return docs.mapInArrow(run, f"id long, {SIGNED}")
@@ -250,15 +280,34 @@ def _power(bit):
     return F.get(F.array(*[F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)]), F.pmod(bit, F.lit(64)).cast("int"))
 
 
-def _clusters(met: DataFrame) -> DataFrame:
-    """``(id, cluster)``: sets connected by pairs of small buckets and by large buckets of which a member asks."""
+def _clusters(met: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """``(id, cluster)``: sets connected by pairs that share a bucket and may link by their sketches.
+
+    ``sketches`` has ``id``, ``n`` and ``sketch``.
+    """
+    end = lambda c: sketches.select(F.col("id").alias(c), F.col("n").alias("n_" + c), F.col("sketch").alias("s_" + c))
+    pairs = materialize(met.where("kind = 0").select("a", "b").distinct()).join(end("a"), "a").join(end("b"), "b")
+
+    def near(batches):
+        for batch in batches:
+            a, b, n_a, n_b = (batch.column(c).to_numpy() for c in ("a", "b", "n_a", "n_b"))
+            one, two = batch.column("s_a"), batch.column("s_b")
+            kept = [i for i in range(len(a)) if len(_may_link(
+                np.array([n_a[i], n_b[i]]), [np.asarray(x[i].values, np.int64).view(np.uint64) for x in (one, two)], percent)[0])]
+            yield pa.RecordBatch.from_arrays([pa.array(a[kept]), pa.array(b[kept])], ["a", "b"])
+
+    close = pairs.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(near, "a long, b long")
     members = materialize(met.where("kind = 1").groupBy("key", F.col("a").alias("id")).agg((F.max("b") == 1).alias("asks")))
-    first = materialize(members.groupBy("key").agg(
-        F.min("id").alias("first"), F.max("id").alias("last"), F.max("asks").alias("any")
-    ).where("first < last and any").select("key", "first"))
-    edges = members.join(first, "key").select(F.col("id").alias("a"), F.col("first").alias("b"))
-    edges = edges.unionByName(met.where("kind = 0").select("a", "b"))
-    return materialize(components(edges).withColumnRenamed("component", "cluster"))
+    large = materialize(members.groupBy("key").agg(F.max("asks").alias("any"), F.count("*").alias("total")).where("any and total > 1"))
+    rows = members.select("key", "id").join(large.select("key", F.ceil(F.col("total") / BLOCK_ROWS).alias("blocks")), "key")
+    rows = rows.select("key", "id", "blocks", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).alias("block"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    group = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+    side = F.when(F.col("block") == F.col("other"), 2).otherwise((F.col("block") < F.col("other")).cast("int"))
+    rows = rows.select(group.alias("group"), "id", side.alias("side")).join(sketches, "id")
+    dealt = rows.select("group", "id", "side", "n", F.col("sketch").alias("values")).repartition("group").sortWithinPartitions("group")
+    alike = dealt.mapInArrow(_connected(lambda n, x: _may_link(n, x, percent)), "a long, b long")
+    return materialize(components(materialize(close.unionByName(alike))).withColumnRenamed("component", "cluster"))
 
 
 def _common(arrays: list[np.ndarray]) -> np.ndarray:
@@ -281,74 +330,69 @@ def _common(arrays: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def _connected(percent: int):
-    """From rows sorted by group: what the links inside each group connect, as ``(a, b)`` with ``b`` the smallest id."""
+def _links(sizes: np.ndarray, arrays: list[np.ndarray], percent: int):
+    """Places of the pairs that link."""
+    common = _common(arrays)
+    return np.nonzero(np.triu(100 * common >= percent * (sizes[:, None] + sizes[None, :] - common), 1))
+
+
+def _connected(pairs):
+    """From rows sorted by group: what ``pairs`` connects inside each, as ``(a, b)`` with ``b`` the smallest id.
+
+    Rows are group, id, side, size and an array; in a group of two sides only pairs across count.
+    """
 
-    def settle(ids, sides, arrays):
-        sizes, common = np.array([len(x) for x in arrays]), _common(arrays)
-        union = sizes[:, None] + sizes[None, :] - common
-        a, b = np.nonzero(np.triu(100 * common >= percent * union, 1))
+    def settle(rows):
+        if len(rows) < 2:
+            return
+        ids, sides, sizes = (np.array([r[i] for r in rows]) for i in range(3))
+        a, b = pairs(sizes, [r[3] for r in rows])
         across = (sides[a] != sides[b]) | (sides[a] == 2)
-        a, b = a[across], b[across]
-        if len(a):
-            unique, place = np.unique(ids, return_inverse=True)
-            lowest = smallest_reached(unique, place[a], place[b])
-            moved = lowest < unique
+        unique, place = np.unique(ids, return_inverse=True)
+        lowest = smallest_reached(unique, place[a[across]], place[b[across]])
+        moved = lowest < unique
+        if moved.any():
             yield pa.RecordBatch.from_arrays([pa.array(unique[moved]), pa.array(lowest[moved])], ["a", "b"])
 
     def run(batches):
         current, rows = None, []
         for batch in batches:
-            groups, ids, sides = (batch.column(i).to_numpy() for i in range(3))
-            ends, flat = batch.column(3).offsets.to_numpy(), batch.column(3).values.to_numpy()
+            groups, ids, sides, sizes = (batch.column(i).to_numpy() for i in range(4))
+            ends, flat = batch.column(4).offsets.to_numpy(), batch.column(4).values.to_numpy().view(np.uint64)
             for i, group in enumerate(groups):
                 if group != current:
-                    if len(rows) > 1:
-                        yield from settle(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), [r[2] for r in rows])
+                    yield from settle(rows)
                     current, rows = group, []
-                rows.append((ids[i], sides[i], flat[ends[i] : ends[i + 1]].copy()))
-        if len(rows) > 1:
-            yield from settle(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), [r[2] for r in rows])
+                rows.append((ids[i], sides[i], sizes[i], flat[ends[i] : ends[i + 1]].copy()))
+        yield from settle(rows)
 
     return run
 
 
-def _places(blocks: str, step: int) -> Column:
-    """All blocks of the level ``step`` above a row's own; none if the cluster has no such level."""
-    kind, level = "array<struct<level:int,block:int>>", F.col("level") + step
-    numbers = F.sequence(F.lit(0), F.col(blocks) - 1)
-    listed = F.transform(numbers, lambda j: F.struct(level.alias("level"), j.cast("int").alias("block")))
-    return F.when(F.col(blocks) > 0, listed.cast(kind)).otherwise(F.array().cast(kind))
-
-
 def _dealt(clusters: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """``(id, n, groups)``: the comparisons that a set takes part in; ``side`` 2 means with all others there."""
-    level = F.floor(F.log("n") / math.log(100 / percent) + 1e-9).cast("int")
+    """``(id, n, groups)``: the comparisons that a set takes part in; ``side`` 2 means with all others there.
+
+    Sizes of linked sets lie in the same or neighbouring levels, so a range of levels also gets the lowest of the next.
+    """
+    level = F.floor(F.log("n") / math.log(100 / percent) + 1e-9)
     rows = materialize(clusters.join(sizes.where("n > 0").select("id", "n").distinct(), "id").withColumn("level", level))
-    whole = materialize(rows.groupBy("cluster").agg(F.count("*").alias("total")))
-    blocks = F.ceil(F.count("*") / BLOCK).cast("int")
-    counts = rows.join(whole.where(F.col("total") > BLOCK), "cluster", "left_semi").groupBy("cluster", "level")
-    counts = materialize(counts.agg(blocks.alias("blocks")))
-    rows = rows.join(whole, "cluster")
-    for name, step in (("own", 0), ("up", 1), ("down", -1)):
-        near = counts.select("cluster", (F.col("level") - step).alias("level"), F.col("blocks").alias(name))
-        rows = rows.join(near, ["cluster", "level"], "left")
-    block = F.coalesce(F.pmod(F.xxhash64("id"), F.col("own")), F.lit(0)).cast("int")
-    rows = rows.withColumns({
-        "at": F.struct("level", block.alias("block")),
-        "others": F.concat(*[_places(name, step) for name, step in (("own", 0), ("up", 1), ("down", -1))]),
-    })
+    large = materialize(rows.groupBy("cluster").agg(F.sum("n").alias("total")).where(F.col("total") > BLOCK_SHINGLES))
+    large = large.select("cluster", F.lit(True).alias("large"))
+    own = F.floor(F.col("level") / LEVELS)
+    ranges = F.when(F.col("large") & (F.col("level") % LEVELS == 0), F.array(own, own - 1)).when(F.col("large"), F.array(own))
+    rows = materialize(rows.join(large, "cluster", "left").withColumn("range", F.explode(F.coalesce(ranges, F.array(F.lit(-2).cast("long"))))))
+    blocks = materialize(rows.groupBy("cluster", "range").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks")))
+    rows = rows.join(blocks, ["cluster", "range"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
 
     def group(other):
-        own = F.col("at")
+        own = F.col("block")
         return F.struct(
-            F.xxhash64("cluster", F.least(own, other), F.greatest(own, other)).alias("group"),
+            F.xxhash64("cluster", "range", F.least(own, other), F.greatest(own, other)).alias("group"),
             F.when(own == other, 2).otherwise((own < other).cast("int")).alias("side"),
         )
 
-    alone = F.array(F.struct(F.xxhash64("cluster").alias("group"), F.lit(2).alias("side")))
-    groups = F.when(F.col("total") > BLOCK, F.transform("others", group)).otherwise(alone)
-    return materialize(rows.select("id", "n", groups.alias("groups")))
+    each = rows.select("id", "n", F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), group).alias("groups"))
+    return materialize(each.groupBy("id", "n").agg(F.flatten(F.collect_list("groups")).alias("groups")))
 
 
 def _within(docs: DataFrame, dealt: DataFrame, words: int, percent: int) -> DataFrame:
@@ -366,12 +410,14 @@ def _within(docs: DataFrame, dealt: DataFrame, words: int, percent: int) -> Data
                 flat = np.concatenate([np.empty(0, np.uint64), *(r[3] for r in rows)]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([r[0] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()),
-                    pa.array([r[1] for r in rows], pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
-                ], ["group", "id", "side", "hashes"])
+                    pa.array([r[1] for r in rows], pa.int32()), pa.array([len(r[3]) for r in rows], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
+                ], ["group", "id", "side", "n", "values"])
 
     near = _maybe_among(docs, "id", dealt).join(dealt, "id").select("id", "text", "n", "groups")
-    sets = near.mapInArrow(run, "group long, id long, side int, hashes array<long>")
-    return sets.repartition("group").sortWithinPartitions("group").mapInArrow(_connected(percent), "a long, b long")
+    sets = near.mapInArrow(run, "group long, id long, side int, n long, values array<long>")
+    return sets.repartition("group").sortWithinPartitions("group").mapInArrow(
+        _connected(lambda n, x: _links(n, x, percent)), "a long, b long")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -392,7 +438,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int
         signed.select("id", F.explode("listed").alias("key"), F.lit(False).alias("asks")))
     dealt = keys.select("key", "id", "asks").repartitionByRange("key", "id").sortWithinPartitions("key", "id")
     met = materialize(dealt.mapInArrow(_bucket_pairs, "kind long, key long, a long, b long"))
-    dealt = _dealt(_clusters(met), sized, percent)
+    sketches = signed.where("size(sketch) > 0 and id is not null").select("id", "n", "sketch")
+    dealt = _dealt(_clusters(met, sketches, percent), sized, percent)
     links = materialize(equal.unionByName(_within(rows, dealt, words, percent)))
     labels = components(links)
     return sized.join(labels, "id", "left").select(
