@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeloom.llm import embed_dedup, jaccard, langid, mixing, packing, secrets, topk, url_filter, warc
+from tradeloom.llm import cotrain, embed_dedup, jaccard, langid, mixing, packing, secrets, topk, url_filter, warc
 from tradeloom.materialize import new_path
 
 
@@ -73,13 +73,19 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    models = cotrain.fit(docs, _read(spark, sf_dir, "labels"))
+    return cotrain.score(docs, models).select("doc_id", "score", "label_pred", "text_score", "meta_score")
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_top_k, op3_embedding_dedup, op4_warc_round_trip, op5_language, op6_secret_scan, op7_source_mix, op8_pack,
-    op10_jaccard_join,
+    op9_quality, op10_jaccard_join,
 )}
 
 ORACLE: dict[str, str] = {}
