@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-LABELLED, POOL = 8_000, 8_000
+LABELLED, POOL = 5_000, 5_000
 TEXT_FEATURES, META_FEATURES = 1 << 15, 1 << 10
 ROUNDS, SHARE = 4, 0.05  # each round, each view labels this share of the pool
 STEPS, RATE, DECAY = 40, 0.5, 1e-4
@@ -54,12 +54,9 @@ _NOT_UPPER = bytes(b for b in range(256) if not 65 <= b <= 90)
 class _View:
     """Sparse rows of one view and a logistic regression on them."""
 
-    def __init__(self, rows, width):
-        self.width = width
-        self.place = np.concatenate([np.empty(0, np.int64), *(r[0] for r in rows)])
-        self.value = np.concatenate([np.empty(0), *(r[1] for r in rows)])
-        self.row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-        self.count = len(rows)
+    def __init__(self, places, values, sizes, width):
+        self.place, self.value, self.width, self.count = places, values, width, len(sizes)
+        self.row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         self.weights, self.bias = np.zeros(width), 0.0
 
     def scores(self):
@@ -99,8 +96,8 @@ def _calibrated(z, target):
 
 
 def co_train(text_rows, meta_rows, labels: np.ndarray, held_out: np.ndarray):
-    """Fitted views and their calibrations; ``labels`` has -1 for the pool."""
-    views = [_View(text_rows, TEXT_FEATURES), _View(meta_rows, META_FEATURES)]
+    """Fitted views and their calibrations; rows are ``(places, values, sizes)``, ``labels`` has -1 for the pool."""
+    views = [_View(*text_rows, TEXT_FEATURES), _View(*meta_rows, META_FEATURES)]
     learned = (labels >= 0) & ~held_out
     targets = [np.where(learned, labels, 0).astype(float) for _ in views]
     weights = [learned.astype(float) for _ in views]
@@ -145,9 +142,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
 
     kind = docs.schema[id_col].dataType.simpleString()
     table = rows.mapInArrow(features, f"id {kind}, label int, held boolean, tp array<int>, mp array<int>, tv array<float>, mv array<float>")
-    found = table.toPandas().sort_values("id", kind="stable")
-    pairs = lambda p, v: [(np.asarray(a, np.int64), np.asarray(b, float)) for a, b in zip(found[p], found[v])]
-    return co_train(pairs("tp", "tv"), pairs("mp", "mv"), found["label"].to_numpy(int), found["held"].to_numpy(bool))
+    found = table.orderBy("id", F.xxhash64("tp")).toArrow()
+
+    def flat(places, values):
+        lists = found.column(places).combine_chunks(), found.column(values).combine_chunks()
+        sizes = np.diff(lists[0].offsets.to_numpy())
+        return lists[0].flatten().to_numpy(), lists[1].flatten().to_numpy(), sizes
+
+    labels_of, held = found.column("label").to_numpy(), found.column("held").to_numpy()
+    return co_train(flat("tp", "tv"), flat("mp", "mv"), labels_of, held.astype(bool))
 
 
 def score(docs: DataFrame, models, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
