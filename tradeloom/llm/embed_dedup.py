@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradeloom.llm.graph import components, smallest_reached
+from tradeloom.llm.rows import boxed, unboxed
 from tradeloom.materialize import materialize
 
 THRESHOLD = 0.98
@@ -167,8 +168,8 @@ def dedup(
     nothing: they are components of their own and kept.  Rows equal in id, label and vector count once; ids are the
     nodes, so rows of one id share its component and the sum of its links.  Columns of the added names are replaced.
     """
-    kept = vectors.drop("n_links", "component_id", "kept")
-    usable = kept.where(is_usable(F.col(vector)) & F.col(label).isNotNull() & F.col(id_col).isNotNull())
+    added = ("n_links", "component_id", "kept")
+    usable = vectors.where(is_usable(F.col(vector)) & F.col(label).isNotNull() & F.col(id_col).isNotNull())
     usable = materialize(usable.select(
         F.col(id_col).cast("long").alias("id"), F.col(label).cast("long").alias("label"),
         F.col(vector).cast("array<double>").alias("vector"),
@@ -179,8 +180,9 @@ def dedup(
     nodes = totals.join(grouped, "id", "left").select(
         F.col("id").alias("_id"), "n_links", F.coalesce("component", "id").alias("component_id")
     )
-    joined = kept.join(nodes, F.col(id_col).cast("long") == F.col("_id"), "left").drop("_id")
-    return joined.withColumns({
-        "n_links": F.coalesce("n_links", F.lit(0).cast("long")),
-        "component_id": F.coalesce("component_id", F.col(id_col).cast("long")),
-    }).withColumn("kept", F.coalesce(F.col(id_col).cast("long") == F.col("component_id"), F.lit(True)))
+    own = F.col("_row")[id_col].cast("long")
+    joined = boxed(vectors, *added).join(nodes, own == F.col("_id"), "left")
+    joined = joined.withColumns({
+        "n_links": F.coalesce("n_links", F.lit(0).cast("long")), "component_id": F.coalesce("component_id", own),
+    })
+    return unboxed(joined.withColumn("kept", F.coalesce(own == F.col("component_id"), F.lit(True))), *added)

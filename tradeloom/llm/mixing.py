@@ -13,6 +13,7 @@ ordered.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tradeloom.llm.rows import boxed, unboxed
 from tradeloom.materialize import materialize
 
 SIZE_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -124,10 +125,10 @@ def mix(
     with certain copies.  Rows that agree in id and size draw the same rank and are taken or left together.  An
     empty table stays empty.  Columns of the added names are replaced.
     """
-    own = ("size", "source_size", "target", "copies")
-    kept = docs.select(*[c for c in docs.columns if c not in own])
-    sized = kept.withColumns({
-        "size": words(F.col(text)), "_u": _draw(F.col(doc_id), F.col(text), seed), "_source": F.col(source),
+    added = ("size", "source_size", "target", "copies")
+    of = lambda c: F.col("_row")[c]
+    sized = boxed(docs, *added).withColumns({
+        "size": words(of(text)), "_u": _draw(of(doc_id), of(text), seed), "_source": of(source),
     }).withColumn("_w", doc_weight(F.col("size")) if doc_weight else F.lit(1).cast("long"))
     table = materialize(sized.select("_source", "size", "_u", "_w"))
     totals = table.groupBy(F.col("_source").alias("source")).agg(
@@ -156,7 +157,7 @@ def mix(
     decided = _ranked(sized, materialize(plan.join(limits, "key", "left")))
     extra = F.exists(F.coalesce("limits", F.array().cast("array<struct<gap:bigint,edge:bigint>>")),
                      lambda x: (F.col("size") <= x["gap"]) & (F.col("rank") <= x["edge"]) & (F.col("size") > 0))
-    return decided.withColumn("copies", F.col("whole") + extra.cast("long")).select(*kept.columns, *own)
+    return unboxed(decided.withColumn("copies", F.col("whole") + extra.cast("long")), *added)
 
 
 def _ranked(rows: DataFrame, plan: DataFrame) -> DataFrame:

@@ -88,4 +88,50 @@ QUERIES = {f.__name__: f for f in (
     op9_quality, op10_jaccard_join,
 )}
 
-ORACLE: dict[str, str] = {}
+_USABLE = "len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_REACH = """
+    reach(id, place) AS (
+        SELECT id, id FROM nodes UNION
+        SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.place),
+    lowest AS (SELECT id, min(place) AS component_id FROM reach GROUP BY id)"""
+
+ORACLE: dict[str, str] = {
+    "op2_top_k": f"""
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+                   FROM embeddings WHERE embedding IS NOT NULL AND {_USABLE}),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
+              FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+        SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+    "op3_embedding_dedup": f"""
+        WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings
+            WHERE embedding IS NOT NULL AND label IS NOT NULL AND {_USABLE} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.label = q.label AND p.vec_id <> q.vec_id
+                  AND list_cosine_similarity(p.x, q.x) >= 0.98),
+        nodes AS (SELECT vec_id AS id FROM embeddings), {_REACH}
+        SELECT e.vec_id, (SELECT count(*) FROM links WHERE a = e.vec_id) AS n_links, component_id, e.vec_id = component_id AS kept
+        FROM embeddings e JOIN lowest ON lowest.id = e.vec_id""",
+    "op4_warc_round_trip": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+        b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i:
+                  substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * instr('0123456789abcdef', hex[i]) - 3, 4)), '') AS bits,
+              min(page_id) OVER (PARTITION BY hex) AS first FROM p)
+        SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+               array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + 16 * CAST(bits[5 * i + 1] AS INT) + 8 * CAST(bits[5 * i + 2] AS INT) + 4 * CAST(bits[5 * i + 3] AS INT)
+                   + 2 * CAST(bits[5 * i + 4] AS INT) + CAST(bits[5 * i + 5] AS INT), 1)), '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+        FROM b""",
+    "op10_jaccard_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS MATERIALIZED (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) < 3 THEN CASE WHEN len(w) = 0 THEN [] ELSE [array_to_string(w, ' ')] END
+                ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS g FROM w),
+        n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        c AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS k FROM s p JOIN s q ON p.g = q.g AND p.doc_id <> q.doc_id GROUP BY ALL),
+        links AS MATERIALIZED (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+        nodes AS (SELECT doc_id AS id FROM documents), {_REACH}
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id
+        FROM documents d JOIN lowest ON lowest.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+}

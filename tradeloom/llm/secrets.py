@@ -17,6 +17,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tradeloom.llm.rows import boxed, unboxed
+
 # fixed values: the patterns of the result's contract
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # a run of 20 or more characters: shorter runs fail as a whole
@@ -74,39 +76,67 @@ def _normal_tail(z: Column) -> Column:
     return 1 / (1 + F.exp(1.5976 * z + 0.07056 * z * z * z))
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used, also inside functions of elements."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
+def _characters(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda c: c != "")
+
+
+def _neighbours(values: Column) -> Column:
+    return F.arrays_zip(F.slice(values, F.lit(1), F.size(values) - 1).alias("a"), F.slice(values, F.lit(2), F.size(values) - 1).alias("b"))
+
+
 def _tests(token: Column) -> Column:
-    """Smallest of the three p-values of randomness, times three."""
-    body = F.regexp_replace(token, "=+$", "")
-    alphabet, size = F.lit(None).cast("string"), F.lit(None).cast("int")
-    for symbols, count in reversed(ALPHABETS):
-        fits = F.length(F.translate(body, symbols, "")) == 0
-        alphabet, size = F.when(fits, F.lit(symbols)).otherwise(alphabet), F.when(fits, F.lit(count)).otherwise(size)
-    k, n = size.cast("double"), F.length(body).cast("double")
-    symbols = F.filter(F.split(body, ""), lambda c: c != "")
-    counts = F.transform(F.array_distinct(symbols), lambda c: n - F.length(F.replace(body, c, F.lit(""))))
-    chi = F.aggregate(counts, F.lit(0.0), lambda s, c: s + c * c) * k / n - n
-    spread = 2 / (9 * (k - 1))
-    p_chi = _normal_tail((F.pow(F.greatest(chi, F.lit(0.0)) / (k - 1), F.lit(1 / 3)) - (1 - spread)) / F.sqrt(spread))
-    values = F.transform(symbols, lambda c: F.instr(alphabet, c) - 1)
-    pairs = F.arrays_zip(F.slice(values, F.lit(1), F.length(body) - 1).alias("a"), F.slice(values, F.lit(2), F.length(body) - 1).alias("b"))
-    runs = F.aggregate(pairs, F.lit(1.0), lambda s, p: s + ((p["a"] * 2 >= k) != (p["b"] * 2 >= k)).cast("double"))
-    p_runs = 2 * _normal_tail(F.abs(runs - 1 - (n - 1) / 2) / (F.sqrt(n - 1) / 2))
-    middle, variance = (k - 1) / 2, (k * k - 1) / 12
-    serial = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + (p["a"] - middle) * (p["b"] - middle))
-    p_serial = 2 * _normal_tail(F.abs(serial / variance) / F.sqrt(n - 1))
-    return 3 * F.least(p_chi, p_runs, p_serial)
+    """Smallest of the three p-values of randomness, times three; in time proportional to the length."""
+
+    def encoded(body):
+        alphabet = F.lit(None).cast("string")
+        for symbols, _ in reversed(ALPHABETS):
+            alphabet = F.when(F.length(F.translate(body, symbols, "")) == 0, F.lit(symbols)).otherwise(alphabet)
+        return F.struct(body.alias("body"), alphabet.alias("alphabet"), _characters(body).alias("symbols"))
+
+    def valued(x):
+        values = F.transform(x["symbols"], lambda c: F.instr(x["alphabet"], c) - 1)
+        counts = F.transform(F.array_distinct(x["symbols"]), lambda c: (F.length(x["body"]) - F.length(F.replace(x["body"], c, F.lit("")))).cast("double"))
+        return F.struct(
+            F.length(x["alphabet"]).cast("double").alias("k"), F.length(x["body"]).cast("double").alias("n"),
+            F.aggregate(counts, F.lit(0.0), lambda s, c: s + c * c).alias("squares"), values.alias("values"),
+        )
+
+    def judged(x):
+        k, n = x["k"], x["n"]
+        spread = 2 / (9 * (k - 1))
+        chi = F.greatest(x["squares"] * k / n - n, F.lit(0.0))
+        p_chi = _normal_tail((F.pow(chi / (k - 1), F.lit(1 / 3)) - (1 - spread)) / F.sqrt(spread))
+        changes = F.aggregate(_neighbours(x["values"]), F.lit(0.0), lambda s, p: s + ((p["a"] * 2 >= k) != (p["b"] * 2 >= k)).cast("double"))
+        p_runs = 2 * _normal_tail(F.abs(changes - (n - 1) / 2) / (F.sqrt(n - 1) / 2))
+        serial = F.aggregate(_neighbours(x["values"]), F.lit(0.0), lambda s, p: s + (p["a"] - (k - 1) / 2) * (p["b"] - (k - 1) / 2))
+        p_serial = 2 * _normal_tail(F.abs(serial * 12 / (k * k - 1)) / F.sqrt(n - 1))
+        return 3 * F.least(p_chi, p_runs, p_serial)
+
+    return _let(F.regexp_replace(token, "=+$", ""), lambda b: _let(encoded(b), lambda x: _let(valued(x), judged)))
 
 
 def _evidence(token: Column) -> Column:
     """-ln of the p-value against an ordinary name; 0 without evidence."""
-    classes = F.filter(F.split(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(
-        F.regexp_replace(token, "=+$", ""), "[+/_-]", "!"), "[0-9]", "0"), "[a-z]", "a"), "[A-Z]", "A"), ""), lambda c: c != "")
-    n = F.size(classes) - 1
-    pairs = F.arrays_zip(F.slice(classes, F.lit(1), n).alias("a"), F.slice(classes, F.lit(2), n).alias("b"))
-    share = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + (p["a"] != p["b"]).cast("double")) / n
+    kinds = F.regexp_replace(token, "=+$", "")
+    for pattern, mark in (("[+/_-]", "!"), ("[0-9]", "0"), ("[a-z]", "a"), ("[A-Z]", "A")):
+        kinds = F.regexp_replace(kinds, pattern, mark)
     q = ORDINARY_CHANGE
-    rest = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - q))).otherwise(F.lit(0.0))
-    return F.when(share > q, n * (share * F.log(share / q) + rest)).otherwise(F.lit(0.0))
+
+    def bound(x):
+        n, share = x["n"], x["changes"] / x["n"]
+        rest = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - q))).otherwise(F.lit(0.0))
+        return F.when(share > q, n * (share * F.log(share / q) + rest)).otherwise(F.lit(0.0))
+
+    counted = lambda c: F.struct(
+        (F.size(c) - 1).cast("double").alias("n"),
+        F.aggregate(_neighbours(c), F.lit(0.0), lambda s, p: s + (p["a"] != p["b"]).cast("double")).alias("changes"),
+    )
+    return _let(_characters(kinds), lambda c: _let(counted(c), bound))
 
 
 def _band(length: Column) -> Column:
@@ -118,7 +148,7 @@ def _band(length: Column) -> Column:
 
 def _scanned(docs: DataFrame, text: str) -> DataFrame:
     """Add ``_base`` (spans of the patterns) and ``_found`` (other random-looking runs with their evidence)."""
-    rows = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    rows = boxed(docs, "spans").withColumn("_text", F.coalesce(F.col("_row")[text], F.lit("")))
     base = F.concat(_spans(F.col("_text"), ASSIGN, 0, 2, MIN_VALUE), _spans(F.col("_text"), ACCESS, 1), _spans(F.col("_text"), HEX, 2))
     mixed = lambda s: F.rlike(s["value"], F.lit("[0-9]")) & F.rlike(s["value"], F.lit("[A-Za-z]"))
     rows = rows.withColumns({"_base": base, "_runs": F.filter(_spans(F.col("_text"), CANDIDATE, 3), mixed)})
@@ -159,8 +189,7 @@ def find(docs: DataFrame, needed: list[float], text: str = "text") -> DataFrame:
     limits = F.array(*[F.lit(float(x)) for x in needed])
     added = F.filter("_found", lambda c: c["random"] & (F.floor(c["evidence"] / STEP) * STEP >= F.get(limits, c["band"])))
     places = lambda a: F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    kept = docs.drop("spans", "_base", "_found", "_text", "_runs")
-    return _scanned(kept, text).withColumn("spans", F.array_sort(F.concat(places("_base"), places(added)))).drop("_base", "_found")
+    return unboxed(_scanned(docs, text).withColumn("spans", F.array_sort(F.concat(places("_base"), places(added)))), "spans")
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -15,6 +15,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tradeloom.llm.rows import boxed, unboxed
 from tradeloom.materialize import materialize
 
 ORDER = 3
@@ -139,23 +140,20 @@ def judge(urls: DataFrame, allow: list[str], block: list[str], url: str = "url")
     and path; a URL without characters scores 0.  Without labelled URLs of both kinds the cut is 0; without any the
     models agree, all scores are 0 and all URLs pass.  Columns of the same names in the input are replaced.
     """
-    own = ("host", "path", "rule", "score", "verdict", "_allow", "_url", "_score")
-    kept = [c for c in urls.columns if c == url or c not in own]
-    rows = urls.select(*kept).withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
+    added = ("host", "path", "rule", "score", "verdict")
+    rows = boxed(urls, *added).withColumn("_url", F.col("_row")[url])
+    rows = rows.withColumns({"host": host_of(F.col("_url")), "path": path_of(F.col("_url"))})
     rows = rows.withColumn("rule", matching_rule(F.col("host"), F.col("path"), [*allow, *block]))
     rows = rows.withColumn("_allow", F.when(F.col("rule").isNotNull(), F.col("rule").isin(list(allow))))
     labelled = rows.where(F.col("rule").isNotNull()).select(
-        F.col(url).alias("_url"), "_allow", (F.crc32(F.col(url)) % HELD_OUT == 0).alias("_fold")
+        "_url", "_allow", F.coalesce(F.crc32("_url") % HELD_OUT == 0, F.lit(False)).alias("_fold")
     )
     model = fit(with_grams(labelled.where(~F.col("_fold")), "_url"))
     held_out = labelled.where("_fold")
     cut = calibrate(held_out.join(mean_ratio(held_out.distinct(), "_url", model), "_url"))
-    scores = mean_ratio(rows.select(F.col(url).alias("_url")).distinct(), "_url", model)
-    scored = rows.join(scores, F.col(url) == F.col("_url"), "left").withColumn(
-        "score", F.coalesce("_score", F.lit(0.0))
-    )
+    scores = mean_ratio(rows.select("_url").distinct(), "_url", model)
+    scored = rows.join(scores, "_url", "left").withColumn("score", F.coalesce("_score", F.lit(0.0)))
     by_score = F.when(F.col("score") >= cut, F.lit("allow")).otherwise(F.lit("block"))
     by_rule = F.when(F.col("_allow"), F.lit("allow")).otherwise(F.lit("block"))
-    return scored.withColumn("verdict", F.when(F.col("rule").isNotNull(), by_rule).otherwise(by_score)).drop(
-        "_allow", "_url", "_score"
-    )
+    verdict = F.when(F.col("rule").isNotNull(), by_rule).otherwise(by_score)
+    return unboxed(scored.withColumn("verdict", verdict), *added)
