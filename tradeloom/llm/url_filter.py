@@ -59,13 +59,18 @@ def with_grams(urls: DataFrame, url: str, out: str = "_grams") -> DataFrame:
         "_codes", F.transform(characters, lambda c: F.coalesce(F.get(_symbol_table(), F.ascii(c)), F.lit(0)))
     )
 
-    def gram(_, i):
+    # the codes beside themselves, shifted: the time stays in proportion to the length
+    edge = lambda n: F.array_repeat(F.lit(_EDGE), n)
+    shifted = [F.concat(edge(back), "_codes").alias(f"c{back}") for back in range(ORDER, -1, -1)]
+    beside = F.slice(F.arrays_zip(*shifted), F.lit(1), F.size("_codes"))
+
+    def gram(c):
         total = F.lit(0)
         for back in range(ORDER, -1, -1):
-            total = total * SYMBOLS + F.coalesce(F.get(F.col("_codes"), i - back), F.lit(_EDGE))
+            total = total * SYMBOLS + c[f"c{back}"]
         return total
 
-    return coded.withColumn(out, F.transform("_codes", gram)).drop("_codes")
+    return coded.withColumn(out, F.transform(beside, gram)).drop("_codes")
 
 
 def fit(labelled: DataFrame) -> DataFrame:
