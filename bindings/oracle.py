@@ -117,9 +117,9 @@ def _clean(key: str, required: str | None, extra: str = "") -> str:
         + ", ".join(f"monthname({d}) AS {d}_month" for d in DATES) + extra
     )
     not_null = " AND ".join(f"{c} IS NOT NULL" for c in (required.split() if required else _ALL_CLEAN))
-    return f"""WITH {FACT_TABLES}, middle AS (
+    return f"""WITH {FACT_TABLES}, middle AS MATERIALIZED (
   SELECT median(sls_sales) AS m_sales, median(sls_price) AS m_price, median(prd_cost) AS m_cost FROM fact),
-filled AS (
+filled AS MATERIALIZED (
   SELECT {', '.join(FACT_KEPT)}, cst_id, {ROW_ORDER.replace(', prd_id', '')},
          {dates},
          prd_end_dt IS NULL AS is_active_product,
@@ -130,7 +130,7 @@ filled AS (
          coalesce(cst_marital_status, 'Not Specified') AS cst_marital_status,
          trim(upper(GEN)) AS GEN, trim(upper(CNTRY)) AS CNTRY
   FROM fact, middle),
-first_rows AS (
+first_rows AS MATERIALIZED (
   SELECT * FROM filled QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY {ROW_ORDER}) = 1),
 stats AS (
   SELECT avg(sls_quantity) AS mq, stddev_pop(sls_quantity) AS sq, avg(sls_price) AS mp, stddev_pop(sls_price) AS sp

@@ -246,3 +246,22 @@ def test_marts_accept_empty_input(spark):
                  operations.fulfilment_time, operations.order_density, operations.country_ops, customers.age_by_gender):
         assert mart(empty).collect() == [], mart.__name__
     assert customers.build_segments(empty, AS_OF).collect() == []
+
+
+def test_dates_may_be_timestamps_and_text_is_strict(spark):
+    from tradeloom.functions.dates import parse_date
+
+    df = spark.sql("SELECT TIMESTAMP '2013-07-01 10:00:00' AS order_date, TIMESTAMP_NTZ '2013-07-04 00:00:00' AS ship_date")
+    assert [str(x) for x in dashboard_base(df).select("order_date", "ship_date").first()] == ["2013-07-01", "2013-07-04"]
+    with pytest.raises(TypeError):
+        dashboard_base(spark.sql("SELECT 20130701 AS order_date"))
+    texts = spark.createDataFrame([("2013-07-1T",), ("2013-07-1 ",), ("2013-07-01",)], "d string")
+    assert [r[0] is None for r in texts.select(parse_date(texts["d"])).collect()] == [True, True, False]
+
+
+def test_nan_is_missing(spark):
+    from tradeloom.operators.cleaning import fill_median, filter_zscore
+
+    df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (float("nan"),)], "x double")
+    assert sorted(r[0] for r in fill_median(df, ["x"]).collect()) == [1.0, 2.0, 2.0, 3.0]
+    assert filter_zscore(df, ["x"]).count() == 3

@@ -29,7 +29,7 @@ def parse_date(col: Column, fmt: str = "yyyy-MM-dd", bounds=config.DATE_BOUNDS)
     low, high = bounds or _ANY_FOUR_DIGIT_YEAR
     text = col.cast("string")
     if fmt == "yyyy-MM-dd":  # a cast parses this shape far faster than a date pattern, and text order is date order
-        shaped = (F.length(text) == 10) & (F.substring(text, 5, 1) == "-") & (F.substring(text, 8, 1) == "-")
+        shaped = F.rlike(text, F.lit("^[0-9]{4}-[0-9]{2}-[0-9]{2}\\z"))
         return F.when(shaped & text.between(low.isoformat(), high.isoformat()), text.try_cast("date"))
     date = F.try_to_date(text, fmt)
     return F.when(date.between(F.lit(low), F.lit(high)), date)

@@ -25,14 +25,21 @@ def fill_text(df: DataFrame, columns: Sequence[str] = config.FILL_COLUMNS, value
     return df.fillna(value, subset=list(columns))
 
 
+def _without_nan(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Not-a-number counts as missing."""
+    floats = [f.name for f in df.schema if f.name in columns and isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats})
+
+
 def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row with the exact median of every column, nulls skipped."""
-    found = quantiles(df, [(1, 2)], interpolated={c: c for c in columns})
+    found = quantiles(_without_nan(df, columns), [(1, 2)], interpolated={c: c for c in columns})
     return found.select(*(F.col(c)[0].alias(c) for c in columns))
 
 
 def fill_median(df: DataFrame, columns: Sequence[str] = config.MEDIAN_COLUMNS) -> DataFrame:
     """Fill null numbers with the column's exact median over all rows; the result is a double."""
+    df = _without_nan(df, columns)
     middle = df.withColumn("_middle", scalar_struct(medians(df, columns)))
     return middle.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col("_middle")[c]) for c in columns}).drop("_middle")
 
@@ -56,8 +63,9 @@ def require(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 def filter_zscore(df: DataFrame, columns: Sequence[str] = config.OUTLIER_COLUMNS, limit: float = config.Z_LIMIT) -> DataFrame:
     """Keep rows whose population z-score is below the limit in every column.
 
-    A null value, or a column without spread, fails the test.
+    A null value or NaN, or a column without spread, fails the test.
     """
+    df = _without_nan(df, columns)
     stats = df.agg(
         *(F.avg(c).alias(f"{c}_mean") for c in columns),
         *(F.stddev_pop(c).alias(f"{c}_sd") for c in columns),

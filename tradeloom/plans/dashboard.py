@@ -13,15 +13,23 @@ DISPLAY_SUFFIX = "_display"
 DISPLAY_DATES = ("order_date", "ship_date", "due_date")
 
 
-def dashboard_base(warehouse: DataFrame, as_of=None) -> DataFrame:
+def _as_date(name: str, kind: T.DataType, bounds) -> Column:
+    if isinstance(kind, T.DateType):
+        return F.col(name)
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.col(name).cast("date")
+    if isinstance(kind, T.StringType):
+        return parse_date(F.col(name), bounds=bounds)
+    raise TypeError(f"{name} is {kind.simpleString()}, not a date, timestamp or text")
+
+
+def dashboard_base(warehouse: DataFrame, as_of=None, bounds=config.DATE_BOUNDS) -> DataFrame:
     """Normalised texts plus revenue, cost, profit, margin, age and delay columns.
 
     Columns whose inputs are absent are left out, so a caller that selects fewer columns reads fewer.
     """
     types = {f.name: f.dataType for f in warehouse.schema}
-    clean = {
-        c: parse_date(F.col(c)) for c in config.DATE_COLUMNS if c in types and not isinstance(types[c], T.DateType)
-    }
+    clean = {c: _as_date(c, types[c], bounds) for c in config.DATE_COLUMNS if c in types}
     if "CNTRY" in types:
         clean["CNTRY"] = map_country(F.col("CNTRY"))
     if "GEN" in types:

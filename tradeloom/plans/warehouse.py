@@ -17,23 +17,26 @@ from tradeloom.schemas import RAW_SCHEMAS, row_column
 ROW_ORDER = tuple(row_column(t) for t in ("sales", "cust", "cust_info", "loc", "prd", "cat") if t in RAW_SCHEMAS)
 
 
-def convert_dates(df: DataFrame) -> DataFrame:
-    """Replace raw date columns by parsed ones; columns that are absent are skipped."""
+def convert_dates(df: DataFrame, bounds=config.DATE_BOUNDS) -> DataFrame:
+    """Replace raw date columns by parsed ones; columns that are absent are skipped.
+
+    Dates outside ``bounds`` become null; ``None`` keeps all years from 1000 to 9999.
+    """
     for raw, clean in config.MESSY_DATES.items():
         if raw in df.columns:
-            df = df.withColumn(clean, parse_yyyymmdd(F.col(raw))).drop(raw)
+            df = df.withColumn(clean, parse_yyyymmdd(F.col(raw), bounds)).drop(raw)
     for raw, clean in config.TEXT_DATES.items():
         if raw in df.columns:
-            df = df.withColumn(clean, parse_date(F.col(raw))).drop(raw)
+            df = df.withColumn(clean, parse_date(F.col(raw), bounds=bounds)).drop(raw)
     return df
 
 
-def build_warehouse(sales: DataFrame, customer: DataFrame, product: DataFrame, **cleaning) -> DataFrame:
+def build_warehouse(sales: DataFrame, customer: DataFrame, product: DataFrame, bounds=config.DATE_BOUNDS, **cleaning) -> DataFrame:
     """Wide fact and its cleaning in one call; keyword arguments go to :func:`clean_warehouse`.
 
     Dates are parsed before the joins: once per customer and product, not once per joined row.
     """
-    return clean_warehouse(build_fact(*(convert_dates(df) for df in (sales, customer, product))), **cleaning)
+    return clean_warehouse(build_fact(*(convert_dates(df, bounds) for df in (sales, customer, product))), bounds=bounds, **cleaning)
 
 
 def clean_warehouse(
@@ -42,18 +45,25 @@ def clean_warehouse(
     key: str | Sequence[str] = "sls_ord_num",
     order: Sequence[str] | None = None,
     required: Sequence[str] | None = None,
+    bounds=config.DATE_BOUNDS,
 ) -> DataFrame:
     """Imputed, de-duplicated, outlier-free sales with date features.
 
     The order of the steps decides the result: medians are taken over the joined rows, the outlier
     statistics over the de-duplicated ones, and rows with nulls go last.  ``order`` says which row of a
-    ``key`` comes first (raw row order by default).  By default a null in *any* column removes
+    ``key`` comes first (raw row order by default); a name that ``fact`` lacks is an error.  By default a null in *any* column removes
     the row, which removes every product without an end date; pass ``required`` to keep them.
     """
-    order = [c for c in (order or ROW_ORDER) if c in fact.columns]
+    missing = [c for c in order or () if isinstance(c, str) and c not in fact.columns]
+    if missing:
+        raise ValueError(f"no such columns to order by: {missing}")
+    # raw row order also decides between rows that are equal in the given order
+    order = [*(order or ()), *(c for c in ROW_ORDER if c in fact.columns and c not in [o for o in order or () if isinstance(o, str)])]
+    if not order:
+        raise ValueError("fact has no row order columns; pass order")
     # Medians, the identifier check and the rows themselves all read the joined fact.
     joined = materialize(
-        convert_dates(fact).withColumn("is_active_product", F.col("product_end_date").isNull())
+        convert_dates(fact, bounds).withColumn("is_active_product", F.col("product_end_date").isNull()).hint("rebalance")
     )
     filled = fill_text(fill_median(joined)).withColumns({
         "GEN": standardise_text(F.col("GEN")),
@@ -62,7 +72,8 @@ def clean_warehouse(
     if _same_identifier(joined):
         filled = filled.drop("cst_id")
     # De-duplicated rows are read for the outlier statistics and again for the filter.
-    unique = materialize(keep_first(filled, key, order))
+    # Rows that agree in the order are told apart by their values, so the choice does not depend on partitions.
+    unique = materialize(keep_first(filled, key, [*order, F.xxhash64(*sorted(filled.columns))]))
     typical = filter_zscore(unique)
     featured = typical.withColumns({
         "customer_age": age_years(F.col("birth_date"), as_of, "floor"),
