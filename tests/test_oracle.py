@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from bindings.queries import KEYS
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,7 +22,7 @@ def sorted_rows(table):
     return names, sorted(repr(row) for row in zip(*(table[n].to_pylist() for n in names)))
 
 
-@pytest.mark.parametrize("key", sorted(queries()))
+@pytest.mark.parametrize("key", KEYS)
 def test_query_equals_sql(spark, con, key):
     assert sorted_rows(queries()[key](spark, SF).toArrow()) == sorted_rows(con.sql(oracle_sql()[key]).to_arrow_table())
 
