@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tradeloom.materialize import materialize, release
+from tradeloom.materialize import materialize, release, released
 from tradeloom.plans.staging import stage
 from tradeloom.schemas import RAW_SCHEMAS
 from tradeloom.sources.readers import read_raw, read_table, read_warehouse
@@ -32,6 +32,20 @@ def test_bad_csv_stops_the_job(spark, tmp_path, line):
         read_raw(spark, path, RAW_SCHEMAS["prd"]).collect()
 
 
+def test_a_file_with_another_header_stops_the_job(spark, tmp_path):
+    write(tmp_path / "loc" / "a.csv", "CID,CNTRY\nA1,DE\n")
+    assert read_raw(spark, str(tmp_path / "loc"), RAW_SCHEMAS["loc"]).collect() == [("A1", "DE")]
+    write(tmp_path / "loc" / "b.csv", "CNTRY,CID\nFR,A2\n")
+    with pytest.raises(Exception, match="header"):
+        read_raw(spark, str(tmp_path / "loc"), RAW_SCHEMAS["loc"], row_order="_row").collect()
+
+
+def test_csv_keeps_outer_spaces(spark, tmp_path):
+    df = spark.createDataFrame([(" a ", 'say "x", y'), ("b", None)], "CID string, CNTRY string")
+    export_csv(df, str(tmp_path / "out"))
+    assert sorted(read_raw(spark, str(tmp_path / "out"), RAW_SCHEMAS["loc"]).collect()) == sorted(df.collect())
+
+
 def test_row_order_over_files_and_splits(spark, tmp_path):
     folder = tmp_path / "a folder"
     for name, start in (("b.csv", 3000), ("a.csv", 0), ("c.csv", 4000)):
@@ -96,6 +110,21 @@ def test_exports_hold_every_row(spark, tmp_path):
     assert '{"n":1,"order_date":"2023-01-05"}' in lines and '{"n":null,"order_date":null}' in lines
 
 
+def test_a_block_releases_only_what_it_stored(spark):
+    outer = materialize(spark.range(3))
+    with pytest.raises(ValueError), released(spark):
+        inner = materialize(spark.range(4))
+        with released(spark):
+            innermost = materialize(inner)
+        with pytest.raises(Exception):
+            innermost.collect()
+        assert inner.count() == 4
+        raise ValueError
+    with pytest.raises(Exception):
+        inner.collect()
+    assert outer.count() == 3 and materialize(spark.range(2)).count() == 2
+
+
 def test_materialize_keeps_schema_and_can_be_released(spark):
     df = spark.range(5).select(F.col("id").cast("decimal(18,2)").alias("d"), F.struct("id").alias("s"))
     stored = materialize(df)

@@ -9,17 +9,16 @@ from tradeloom import config
 from tradeloom.functions.dates import as_of_date, month_of
 from tradeloom.operators.cleaning import normalise_na
 
-_FILE_INDEX_BROADCAST_ROWS = 100_000
-
 
 def read_raw(spark: SparkSession, path: str, schema: Mapping[str, str], row_order: str | None = None,
              tokens=config.NA_TOKENS, **options) -> DataFrame:
-    """CSV with a header, columns matched by name.
+    """CSV with a header, columns matched by name; a further file whose header differs stops the job.
 
     Missing-value tokens become null in every column, numbers included; any other text
     that does not fit the type stops the job.  ``row_order`` names a column that keeps file order.
     """
-    reader = spark.read.option("header", True).option("mode", "FAILFAST").option("escape", '"').options(**options)
+    reader = spark.read.option("header", True).option("mode", "FAILFAST").option("escape", '"')
+    reader = reader.option("enforceSchema", False).options(**options)
     text = reader.csv(path)
     if row_order:
         text = with_row_order(text, row_order)
@@ -33,21 +32,11 @@ def with_row_order(df: DataFrame, out: str) -> DataFrame:
 
     Splits may be scanned in any order, so the running row number alone is not file order.
     """
-    spark = df.sparkSession
-    files = sorted(df.inputFiles())
-    placed = df.withColumns({
-        "_file": F.input_file_name(),  # spelled as in inputFiles()
-        "_block": F.col("_metadata.file_block_start"),
-        "_place": F.monotonically_increasing_id(),
-    })
-    if len(files) <= 1:
-        placed = placed.withColumn("_file_no", F.lit(0))
-    else:
-        index = spark.createDataFrame([(f, i) for i, f in enumerate(files)], "_file string, _file_no int")
-        if len(files) <= _FILE_INDEX_BROADCAST_ROWS:
-            index = F.broadcast(index)
-        placed = placed.join(index, "_file", "left")
-    return placed.withColumn(out, F.struct("_file_no", "_block", "_place")).drop("_file", "_block", "_place", "_file_no")
+    return df.withColumn(out, F.struct(
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_place"),
+    ))
 
 
 def read_table(spark: SparkSession, source: str, fmt: str = "parquet", schema: str | None = None, **options) -> DataFrame:

@@ -36,8 +36,9 @@ def write_warehouse(df: DataFrame, target: str, fmt: str = "parquet") -> None:
 
 
 def export_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header, one part file per task."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """CSV with a header, one part file per task; texts keep their outer spaces."""
+    writer = df.write.mode("overwrite").option("header", True).option("escape", '"')
+    writer.options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def export_json(df: DataFrame, path: str) -> None:
