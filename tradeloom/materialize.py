@@ -9,10 +9,15 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_INNER: ContextVar[str] = ContextVar("folder of the innermost released() block", default="")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach; stops if the session names none."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -41,7 +46,7 @@ def _application_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession) -> str:
     """An unused path of this application in the shared folder."""
-    return f"{_application_dir(spark)}/{uuid.uuid4().hex}"
+    return f"{_application_dir(spark)}{_INNER.get()}/{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -52,8 +57,26 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def released(spark: SparkSession):
+    """Delete on leaving what was materialised inside the block, also after an error.
+
+    Frames of the block are lazy and read what was stored, so write or collect the result before the block ends.
+    """
+    token = _INNER.set(f"{_INNER.get()}/{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        folder = _application_dir(spark) + _INNER.get()
+        _INNER.reset(token)
+        _delete(spark, folder)
+
+
 def release(spark: SparkSession) -> None:
     """Delete everything this application materialised; frames built on it become invalid."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_application_dir(spark))
+    _delete(spark, _application_dir(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
