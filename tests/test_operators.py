@@ -95,6 +95,13 @@ def test_hierarchy_levels_add_up(spark):
     assert (None, None, None) not in {(r.x, r.y, r.z) for r in found}
 
 
+def test_hierarchy_leaves_unnamed_nodes_out(spark):
+    rows = [("A", "a", None, 1), ("A", None, "q", 2), (None, "b", "p", 4), ("B", "c", "r", 8)]
+    found = hierarchy(spark.createDataFrame(rows, "x string, y string, z string, v int"), ["x", "y", "z"], "v").collect()
+    assert sorted(((r.level, r.x, r.y, r.z, r.v) for r in found), key=str) == [
+        (1, "A", None, None, 3), (1, "B", None, None, 8), (2, "A", "a", None, 1), (2, "B", "c", None, 8), (3, "B", "c", "r", 8)]
+
+
 def test_profiles(spark):
     df = spark.createDataFrame([(1, "a"), (1, None), (None, None)], "k int, t string")
     assert {r.column_name: (r.data_type, r.non_null, r.nulls) for r in profile.profile(df).collect()} == {

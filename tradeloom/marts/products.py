@@ -31,7 +31,7 @@ def product_characteristics(base: DataFrame) -> DataFrame:
 
 
 def product_profile(base: DataFrame) -> DataFrame:
-    """The same measures averaged per product, a size that can be drawn."""
-    rows = product_characteristics(base)
+    """The same measures averaged per named product, a size that can be drawn."""
+    rows = product_characteristics(base).where(F.col("prd_nm").isNotNull())
     measures = [c for c in rows.columns if c != "prd_nm"]
     return rows.groupBy("prd_nm").agg(F.count("*").alias("rows"), *(mean(F.col(c)).alias(c) for c in measures))
