@@ -117,6 +117,17 @@ def test_dates_may_be_parsed_before_the_joins(raw, fact):
         map(repr, late.select(sorted(late.columns)).collect()))
 
 
+def test_row_order_reaches_the_marts(fact):
+    kept = clean_warehouse(fact, key=["sls_ord_num", "prd_key"], required=["order_date"], row_order="raw_row")
+    assert not [c for c in kept.columns if c.startswith("_")]
+    rows = dashboard_base(kept, dt.date(2020, 1, 1))
+    first = rows.orderBy("raw_row").where("CID = 2 and CNTRY is not null").first()
+    found = customers.customer_metrics(rows, dt.date(2020, 1, 1), ("raw_row",)).where("CID = 2").first()
+    assert found.country == first.CNTRY
+    assert [r.raw_row["_sales_row"] for r in rows.orderBy("raw_row").collect()] == sorted(
+        r.raw_row["_sales_row"] for r in rows.collect())
+
+
 def test_identifier_column_is_dropped_when_equal(fact):
     known = fact.where("CID <> 9")
     assert len(clean_warehouse(known, AS_OF, order=["_sales_row", "prd_id"]).columns) == 36

@@ -11,14 +11,14 @@ from tradeloom.functions.numbers import floor_bin, mean, percent_of, segment, to
 from tradeloom.functions.text import gender_bucket
 from tradeloom.materialize import materialize
 from tradeloom.operators.quantiles import (
-    fifths, quantiles, scalar_struct, score_by_edges, score_by_position, with_first_rank_order,
+    SKETCH_ACCURACY, fifths, quantiles, scalar_struct, score_by_edges, score_by_position, with_first_rank_order,
 )
 
 FIVE_NUMBERS = {"min": (0, 1), "q1": (1, 4), "median": (1, 2), "q3": (3, 4), "max": (1, 1)}
 
 
 def customer_metrics(base: DataFrame, as_of=None, order: Sequence[str] = ("order_date",)) -> DataFrame:
-    """One row per customer.
+    """One row per customer.  ``base`` is read twice: store it first if it is more than a scan.
 
     Country, gender and age are the first non-null values in ``order``; between rows in the same
     place the smallest value counts.  ``total_orders`` counts rows, ``unique_orders`` order numbers.
@@ -61,7 +61,8 @@ def _first_values(base: DataFrame, names: Mapping[str, str], order: Sequence[str
     ))
 
 
-def rfm_scores(metrics: DataFrame, bins: int = config.SCORE_BINS, duplicates: str = "raise") -> DataFrame:
+def rfm_scores(metrics: DataFrame, bins: int = config.SCORE_BINS, duplicates: str = "raise",
+               accuracy: int = SKETCH_ACCURACY) -> DataFrame:
     """Add recency, frequency and monetary scores 1..bins.
 
     ``metrics`` is read for its cut points and again for the scores: store or persist it first.
@@ -73,6 +74,7 @@ def rfm_scores(metrics: DataFrame, bins: int = config.SCORE_BINS, duplicates: st
         fifths(bins),
         interpolated={"recency": "recency_days", "monetary": "total_revenue"},
         positional={"frequency": "_order"},
+        accuracy=accuracy,
     )
     return ordered.withColumn("_cuts", scalar_struct(cuts)).withColumns({
         "recency_score": score_by_edges("recency_days", "_cuts.recency", bins, True, duplicates),
@@ -81,15 +83,16 @@ def rfm_scores(metrics: DataFrame, bins: int = config.SCORE_BINS, duplicates: st
     }).drop("_cuts", "_order")
 
 
-def build_segments(base: DataFrame, as_of=None, order: Sequence[str] = ("order_date",), duplicates: str = "raise") -> DataFrame:
+def build_segments(base: DataFrame, as_of=None, order: Sequence[str] = ("order_date",), duplicates: str = "raise",
+                   accuracy: int = SKETCH_ACCURACY) -> DataFrame:
     """Customer metrics, stored once, with scores and segments."""
-    return rfm_segments(materialize(customer_metrics(base, as_of, order)), duplicates)
+    return rfm_segments(materialize(customer_metrics(base, as_of, order)), duplicates, accuracy)
 
 
-def rfm_segments(metrics: DataFrame, duplicates: str = "raise") -> DataFrame:
+def rfm_segments(metrics: DataFrame, duplicates: str = "raise", accuracy: int = SKETCH_ACCURACY) -> DataFrame:
     """Scores plus their mean, the segment and the gender bucket."""
     points = F.col("recency_score") + F.col("frequency_score") + F.col("monetary_score")
-    return rfm_scores(metrics, duplicates=duplicates).withColumns({
+    return rfm_scores(metrics, duplicates=duplicates, accuracy=accuracy).withColumns({
         "rfm_score": points / F.lit(3),
         "segment": segment(points),
         "gender": gender_bucket(F.col("gender")),
@@ -134,21 +137,21 @@ def segment_stats(segments: DataFrame, digits: int | None = 2) -> DataFrame:
     return stats.withColumns({c: F.bround(c, digits) for c in stats.columns if c not in ("segment", "customer_count")})
 
 
-def five_numbers(df: DataFrame, group: str, value: str) -> DataFrame:
+def five_numbers(df: DataFrame, group: str, value: str, accuracy: int = SKETCH_ACCURACY) -> DataFrame:
     """Exact minimum, quartiles and maximum of a column per group; null groups dropped."""
     found = quantiles(df.where(F.col(group).isNotNull()), list(FIVE_NUMBERS.values()),
-                      interpolated={"points": value}, by=[group])
+                      interpolated={"points": value}, by=[group], accuracy=accuracy)
     return found.select(group, *(F.col("points")[i].alias(name) for i, name in enumerate(FIVE_NUMBERS)))
 
 
-def segment_distribution(segments: DataFrame) -> DataFrame:
+def segment_distribution(segments: DataFrame, accuracy: int = SKETCH_ACCURACY) -> DataFrame:
     """Spread of customer revenue per segment."""
-    return five_numbers(segments, "segment", "total_revenue")
+    return five_numbers(segments, "segment", "total_revenue", accuracy)
 
 
-def age_by_gender(base: DataFrame) -> DataFrame:
+def age_by_gender(base: DataFrame, accuracy: int = SKETCH_ACCURACY) -> DataFrame:
     """Spread of customer age over the sales rows per gender value."""
-    return five_numbers(base, "GEN", "customer_age")
+    return five_numbers(base, "GEN", "customer_age", accuracy)
 
 
 def age_gender_revenue(segments: DataFrame, width: int = config.AGE_BIN_YEARS) -> DataFrame:

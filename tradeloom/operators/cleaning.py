@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tradeloom import config
 from tradeloom.functions.text import none_if_token
-from tradeloom.operators.quantiles import quantiles, scalar_struct
+from tradeloom.operators.quantiles import SKETCH_ACCURACY, quantiles, scalar_struct
 
 
 def normalise_na(df: DataFrame, columns: Sequence[str] | None = None, tokens=config.NA_TOKENS) -> DataFrame:
@@ -31,16 +31,19 @@ def _without_nan(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats})
 
 
-def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def medians(df: DataFrame, columns: Sequence[str], accuracy: int = SKETCH_ACCURACY) -> DataFrame:
     """One row with the exact median of every column, nulls skipped."""
-    found = quantiles(_without_nan(df, columns), [(1, 2)], interpolated={c: c for c in columns})
+    found = quantiles(_without_nan(df, columns), [(1, 2)], interpolated={c: c for c in columns}, accuracy=accuracy)
     return found.select(*(F.col(c)[0].alias(c) for c in columns))
 
 
-def fill_median(df: DataFrame, columns: Sequence[str] = config.MEDIAN_COLUMNS) -> DataFrame:
-    """Fill null numbers with the column's exact median over all rows; the result is a double."""
+def fill_median(df: DataFrame, columns: Sequence[str] = config.MEDIAN_COLUMNS, accuracy: int = SKETCH_ACCURACY) -> DataFrame:
+    """Fill null numbers with the column's exact median over all rows; the result is a double.
+
+    ``df`` is read three times: store it first if it is more than a scan.
+    """
     df = _without_nan(df, columns)
-    middle = df.withColumn("_middle", scalar_struct(medians(df, columns)))
+    middle = df.withColumn("_middle", scalar_struct(medians(df, columns, accuracy)))
     return middle.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col("_middle")[c]) for c in columns}).drop("_middle")
 
 

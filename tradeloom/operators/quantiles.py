@@ -2,9 +2,9 @@
 
 ``percentile`` buffers every distinct value of a group in one task.  Here a sketch first
 brackets each wanted position; a second pass counts rows per distinct value inside the
-brackets and only per gap outside them.  What is ordered in the end is the small set
-of values inside the brackets, yet the answer is exact: a position that a bracket should miss
-stops the job.
+brackets and only per gap outside them.  These counts are dealt into ranges of values of a fixed
+size, summed range by range and shifted by the totals of the ranges before, so that no task orders a
+share of the data.  The answer is exact: a position that a bracket should miss stops the job.
 """
 
 from collections.abc import Mapping, Sequence
@@ -18,6 +18,7 @@ from tradeloom.materialize import materialize
 Fraction = tuple[int, int]
 
 SKETCH_ACCURACY = 10_000
+ROWS_PER_RANGE = 10_000  # counted values that one task orders; decides the work per task, not the result
 _MISSED = "a quantile fell outside its sketch bracket; raise the accuracy"
 
 
@@ -47,8 +48,8 @@ def quantiles(
     # only known once it is stored, and the planner then picks the join from that size.
     brackets = materialize(brackets) if by else F.broadcast(brackets)
 
-    located = _count_by_value(values, brackets, len(fractions), [*by, "_name"])
-    picked = _pick(located, fractions, [*by, "_name"])
+    counted = _count_by_value(values, brackets, len(fractions), [*by, "_name"])
+    picked = _pick(_running_total(counted, [*by, "_name"]), fractions, [*by, "_name"])
 
     wide = [F.expr(f"max(case when _name = '{name}' then _linear end) as {name}") for name in interpolated]
     wide += [F.expr(f"max(case when _name = '{name}' then _exact end) as {name}") for name in positional]
@@ -64,21 +65,40 @@ def _sketch_brackets(values: DataFrame, fractions, keys, accuracy) -> DataFrame:
 
 
 def _count_by_value(values: DataFrame, brackets: DataFrame, targets: int, keys) -> DataFrame:
-    """Row counts per distinct value inside a bracket and per gap between brackets, in value order."""
+    """Row counts per distinct value inside a bracket and per gap between brackets."""
     inside = " or ".join(f"_v between _b[{2 * t}] and _b[{2 * t + 1}]" for t in range(targets))
     passed = " + ".join(f"int(_v > _b[{2 * t + 1}])" for t in range(targets))
     located = values.join(brackets, keys).selectExpr(
         *keys, "_n", "_v", "_x", f"case when not ({inside}) then {passed} end as _gap"
     )
-    counted = located.groupBy(
+    return located.groupBy(
         *keys, "_n", "_gap", F.expr("case when _gap is null then _v end"), F.expr("case when _gap is null then _x end")
     ).agg(
         F.count("*").alias("_rows"),
         F.min("_v").alias("_v_min"), F.max("_v").alias("_v_max"),
         F.min("_x").alias("_x_min"), F.max("_x").alias("_x_max"),
     )
-    upto = Window.partitionBy(*keys).orderBy("_v_min", "_x_min").rowsBetween(Window.unboundedPreceding, 0)
-    return counted.withColumn("_end", F.sum("_rows").over(upto))
+
+
+def _running_total(counted: DataFrame, keys, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """Add ``_end``, the rows of a key up to and including this value.
+
+    The number of ranges follows the number of counted values.  A range is small whatever the key, and the
+    window over the ranges' totals sees one row per range.
+    """
+    counted = materialize(counted)
+    ranges = counted.count() // rows_per_range + 1
+    # stored, as both passes must see the same ranges
+    ranged = materialize(counted.repartitionByRange(ranges, *keys, "_v_min", "_x_min").withColumn("_range", F.spark_partition_id()))
+    inside = Window.partitionBy("_range", *keys).orderBy("_v_min", "_x_min").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_range", *keys).agg(F.sum("_rows").alias("_total"))
+    shifts = totals.select("_range", *keys, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_shift"))
+    return (
+        ranged.withColumn("_end", F.sum("_rows").over(inside))
+        .join(shifts, ["_range", *keys])
+        .withColumn("_end", F.col("_end") + F.col("_shift")).drop("_range", "_shift")
+    )
 
 
 def _pick(located: DataFrame, fractions, keys) -> DataFrame:
@@ -143,9 +163,9 @@ def score_by_position(value: str, cuts: str, bins: int = config.SCORE_BINS) -> C
 
 
 def qcut(df: DataFrame, column: str, out: str, bins: int = config.SCORE_BINS,
-         descending: bool = False, duplicates: str = "raise") -> DataFrame:
+         descending: bool = False, duplicates: str = "raise", accuracy: int = SKETCH_ACCURACY) -> DataFrame:
     """Add the equal-frequency bin number of a numeric column."""
-    cuts = quantiles(df, fifths(bins), interpolated={"edges": column})
+    cuts = quantiles(df, fifths(bins), interpolated={"edges": column}, accuracy=accuracy)
     score = score_by_edges(column, "_cuts.edges", bins, descending, duplicates)
     return df.withColumn("_cuts", scalar_struct(cuts)).withColumn(out, score).drop("_cuts")
 
@@ -161,12 +181,13 @@ def with_first_rank_order(df: DataFrame, column: str, tie: str, out: str) -> Dat
     return df.withColumn("_span", scalar_struct(span)).withColumn(out, F.expr(order)).drop("_span")
 
 
-def qcut_rank(df: DataFrame, column: str, tie: str, out: str, bins: int = config.SCORE_BINS) -> DataFrame:
+def qcut_rank(df: DataFrame, column: str, tie: str, out: str, bins: int = config.SCORE_BINS,
+              accuracy: int = SKETCH_ACCURACY) -> DataFrame:
     """Add the equal-frequency bin number of the row's rank, ties broken by ``tie``.
 
     Only the rows at the cut positions are located; no row needs its own rank.
     """
     ordered = with_first_rank_order(df, column, tie, "_order")
-    cuts = quantiles(ordered, fifths(bins), positional={"cuts": "_order"})
+    cuts = quantiles(ordered, fifths(bins), positional={"cuts": "_order"}, accuracy=accuracy)
     score = score_by_position("_order", "_cuts.cuts", bins)
     return ordered.withColumn("_cuts", scalar_struct(cuts)).withColumn(out, score).drop("_cuts", "_order")

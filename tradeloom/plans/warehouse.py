@@ -11,6 +11,7 @@ from tradeloom.functions.text import standardise_text
 from tradeloom.materialize import materialize
 from tradeloom.operators.cleaning import fill_median, fill_text, filter_zscore, keep_first, require
 from tradeloom.operators.profile import columns_equal
+from tradeloom.operators.quantiles import SKETCH_ACCURACY
 from tradeloom.plans.fact import build_fact
 from tradeloom.schemas import RAW_SCHEMAS, row_column
 
@@ -46,6 +47,8 @@ def clean_warehouse(
     order: Sequence[str] | None = None,
     required: Sequence[str] | None = None,
     bounds=config.DATE_BOUNDS,
+    accuracy: int = SKETCH_ACCURACY,
+    row_order: str | None = None,
 ) -> DataFrame:
     """Imputed, de-duplicated, outlier-free sales with date features.
 
@@ -53,6 +56,9 @@ def clean_warehouse(
     statistics over the de-duplicated ones, and rows with nulls go last.  ``order`` says which row of a
     ``key`` comes first (raw row order by default); a name that ``fact`` lacks is an error.  By default a null in *any* column removes
     the row, which removes every product without an end date; pass ``required`` to keep them.
+
+    ``row_order`` names a column that keeps the place of the row in the raw tables, for marts that need the
+    first value in that order.
     """
     missing = [c for c in order or () if isinstance(c, str) and c not in fact.columns]
     if missing:
@@ -65,7 +71,7 @@ def clean_warehouse(
     joined = materialize(
         convert_dates(fact, bounds).withColumn("is_active_product", F.col("product_end_date").isNull()).hint("rebalance")
     )
-    filled = fill_text(fill_median(joined)).withColumns({
+    filled = fill_text(fill_median(joined, accuracy=accuracy)).withColumns({
         "GEN": standardise_text(F.col("GEN")),
         "CNTRY": standardise_text(F.col("CNTRY")),
     })
@@ -78,7 +84,10 @@ def clean_warehouse(
     featured = typical.withColumns({
         "customer_age": age_years(F.col("birth_date"), as_of, "floor"),
         "order_to_ship_days": days_between(F.col("ship_date"), F.col("order_date")),
-    }).drop("cst_gndr", *(c for c in typical.columns if c.startswith("_")))
+    })
+    if row_order:
+        featured = featured.withColumn(row_order, F.struct(*(c for c in ROW_ORDER if c in typical.columns)))
+    featured = featured.drop("cst_gndr", *(c for c in typical.columns if c.startswith("_") and c != row_order))
     complete = require(featured, required)
     return complete.withColumns({f"{c}_month": month_name(F.col(c)) for c in config.DATE_COLUMNS})
 
