@@ -239,6 +239,16 @@ SELECT {label} AS order_date, CAST(coalesce(v, 0) AS {kind}) AS {name} FROM spin
 
 DAILY = _gap_filled("order_date", "1 DAY", "count(DISTINCT sls_ord_num)", "b", "orders", "BIGINT")
 
+STATS = """customer_count, avg_revenue, total_segment_revenue, avg_order_value, avg_orders, avg_recency, avg_margin"""
+SEGMENT_STATS = f"""SELECT segment, count(CID) AS customer_count, CAST(sum(total_revenue) AS DOUBLE) / count(*) AS avg_revenue,
+        CAST(sum(total_revenue) AS {MONEY}) AS total_segment_revenue, avg(avg_order_value) AS avg_order_value,
+        CAST(sum(total_orders) AS DOUBLE) / count(*) AS avg_orders, CAST(sum(recency_days) AS DOUBLE) / count(*) AS avg_recency,
+        avg(profit_margin) AS avg_margin FROM segments GROUP BY segment"""
+UNNAMED = """unnamed AS (SELECT * REPLACE (CASE WHEN prd_key % 50 <> 7 THEN CAT END AS CAT,
+        CASE WHEN prd_key % 50 <> 8 THEN SUBCAT END AS SUBCAT, CASE WHEN prd_key % 50 <> 9 THEN prd_nm END AS prd_nm) FROM base)"""
+SALES_TYPES = dict.fromkeys(SALES_COLUMNS, "bigint") | dict.fromkeys(("sls_ord_num", "sls_prd_key"), "string") | dict.fromkeys(
+    ("sls_sales", "sls_price"), "double")
+
 ORACLE = {
     # scans, texts, dates, measures
     "scan_filter_tables": "SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01'",
@@ -252,6 +262,14 @@ ORACLE = {
     "parse_yyyymmdd": f"""WITH {RAW_SALES} SELECT sls_ord_num, sls_prd_key, sls_order_dt,
         {MESSY.format(c='sls_order_dt')} AS order_date FROM raw_sales""",
     "parse_iso_date": f"WITH {RAW_CUST} SELECT BDATE, TRY_CAST(BDATE AS DATE) AS birth_date FROM raw_cust",
+    "timestamp_dates": """SELECT l_orderkey AS sls_ord_num, l_linenumber AS line, CAST(o_orderdate AS DATE) AS order_date,
+        CAST(l_shipdate AS DATE) AS ship_date, date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS order_to_ship_days
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+        WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1997-03-01' AND DATE '1998-02-28'""",
+    "dates_unbounded": """SELECT o_orderkey,
+        CASE o_orderkey % 7 WHEN 0 THEN DATE '9999-12-31' WHEN 1 THEN DATE '1600-01-01' ELSE CAST(o_orderdate AS DATE) END AS order_date,
+        CASE o_orderkey % 5 WHEN 0 THEN DATE '9999-12-31' WHEN 1 THEN DATE '1600-01-01' ELSE CAST(o_orderdate AS DATE) END
+        AS product_end_date FROM orders""",
     "is_active_flag": f"WITH {RAW_PRD} SELECT prd_id, prd_end_dt IS NULL AS is_active_product FROM raw_prd",
     "fill_constant": f"""WITH {RAW_INFO} SELECT cst_key, coalesce(cst_firstname, 'Not Specified') AS cst_firstname,
         coalesce(cst_lastname, 'Not Specified') AS cst_lastname,
@@ -272,6 +290,10 @@ ORACLE = {
     "month_names": WITH_BASE + """SELECT sls_ord_num, line, monthname(order_date) AS order_date_month,
         monthname(ship_date) AS ship_date_month, monthname(due_date) AS due_date_month,
         monthname(birth_date) AS birth_date_month FROM base""",
+    "month_names_texts": f"""WITH {RAW_INFO}, {RAW_PRD}
+        SELECT 'customer_creation_date' AS field, CAST(cst_id AS BIGINT) AS key, monthname(CAST(cst_create_date AS DATE)) AS month FROM raw_info
+        UNION ALL SELECT 'product_start_date', prd_id, monthname(CAST(prd_start_dt AS DATE)) FROM raw_prd
+        UNION ALL SELECT 'product_end_date', prd_id, monthname(CAST(prd_end_dt AS DATE)) FROM raw_prd""",
     "revenue_measures": WITH_BASE + f"""SELECT sls_ord_num, line, CAST(Revenue AS {MONEY}) AS Revenue,
         CAST(Cost AS {MONEY}) AS Cost, CAST(Profit AS {MONEY}) AS Profit FROM base""",
     "margin_safe": WITH_BASE + "SELECT sls_ord_num, line, Margin FROM base",
@@ -290,17 +312,28 @@ ORACLE = {
     "median_fill": f"""WITH {RAW_SALES} SELECT sls_ord_num, sls_prd_key,
         ROUND(coalesce(sls_sales, (SELECT median(sls_sales) FROM raw_sales)), 4) AS sls_sales,
         ROUND(coalesce(sls_price, (SELECT median(sls_price) FROM raw_sales)), 4) AS sls_price FROM raw_sales""",
+    "median_fill_nan": f"""WITH {RAW_SALES}, known AS (
+        SELECT sls_ord_num, sls_prd_key, CASE WHEN sls_cust_id % 10 <> 3 THEN sls_sales END AS sls_sales, sls_price FROM raw_sales)
+        SELECT sls_ord_num, sls_prd_key, ROUND(coalesce(sls_sales, (SELECT median(sls_sales) FROM known)), 4) AS sls_sales,
+        ROUND(coalesce(sls_price, (SELECT median(sls_price) FROM known)), 4) AS sls_price FROM known""",
+    "zscore_filter_nan": """WITH known AS (SELECT event_id, value FROM events WHERE event_id % 13 <> 5)
+        SELECT event_id, value FROM known, (SELECT avg(value) AS mu, stddev_pop(value) AS sd FROM known)
+        WHERE abs((value - mu) / sd) < 3""",
     "zscore_filter": """SELECT event_id, value FROM events, (SELECT avg(value) AS mu, stddev_pop(value) AS sd FROM events)
         WHERE abs((value - mu) / sd) < 3""",
     "duplicate_count": f"""WITH {RAW_SALES} SELECT count(*) - count(DISTINCT sls_ord_num) AS duplicates FROM raw_sales""",
     "columns_equal": f"""SELECT bool_and(o_custkey IS NOT DISTINCT FROM {DIGITS.format(c='c_name')}) AS columns_equal
         FROM orders JOIN customer ON o_custkey = c_custkey""",
     "null_profile": _nulls(),
+    "null_profile_types": f"""SELECT *, CASE column_name {' '.join(f"WHEN '{c}' THEN '{t}'" for c, t in SALES_TYPES.items())} END
+        AS data_type FROM ({_nulls()})""",
     "dedupe_keep_first": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem
         QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice,
         l_quantity, l_shipdate) = 1""",
     # sources and sinks
     "stage_csv": f"WITH {RAW_INFO} SELECT * EXCLUDE (info_row) FROM raw_info",
+    "stage_all_csv": f"""WITH {FACT_TABLES} SELECT * EXCLUDE (cust_row, info_row, loc_row, l_orderkey, l_linenumber, l_partkey,
+        l_suppkey, l_extendedprice, l_quantity, l_shipdate) FROM fact""",
     "export_json": f"WITH {RAW_PRD} SELECT * FROM raw_prd",
     "warehouse_round_trip": WITH_BASE + """SELECT sls_ord_num, line, order_date, sls_price FROM base
         WHERE order_date BETWEEN DATE '1997-03-10' AND DATE '1998-02-20'""",
@@ -332,6 +365,14 @@ ORACLE = {
         FROM base WHERE CAT IS NOT NULL GROUP BY 1, 2""",
     # customer mart
     "customer_metrics": WITH_METRICS + """SELECT * REPLACE (ROUND(revenue_std, 4) AS revenue_std) FROM metrics""",
+    "first_values": WITH_BASE + """, changing AS (SELECT CID, order_date, sls_ord_num, line,
+            CASE sls_ord_num % 4 WHEN 0 THEN 'Male' WHEN 2 THEN 'Female' WHEN 3 THEN 'M' END AS g,
+            CASE (sls_ord_num + line) % 5 WHEN 2 THEN 'FRANCE' WHEN 3 THEN 'SPAIN' WHEN 4 THEN 'ITALY' END AS c,
+            CASE WHEN line % 3 <> 0 THEN sls_ord_num % 60 END AS a FROM base)
+        SELECT CID, first(c ORDER BY order_date, sls_ord_num, line, c) FILTER (WHERE c IS NOT NULL) AS country,
+            first(g ORDER BY order_date, sls_ord_num, line, g) FILTER (WHERE g IS NOT NULL) AS gender,
+            first(a ORDER BY order_date, sls_ord_num, line, a) FILTER (WHERE a IS NOT NULL) AS age
+        FROM changing GROUP BY CID""",
     "rfm_scores": WITH_SEGMENTS + """SELECT CID, recency_days, total_orders, total_revenue,
         CAST(recency_score AS INTEGER) AS recency_score, CAST(frequency_score AS INTEGER) AS frequency_score,
         CAST(monetary_score AS INTEGER) AS monetary_score FROM scored""",
@@ -352,6 +393,8 @@ ORACLE = {
         ROUND(avg(avg_order_value), 6) AS avg_order_value, CAST(sum(total_orders) AS DOUBLE) / count(*) AS avg_orders,
         CAST(sum(recency_days) AS DOUBLE) / count(*) AS avg_recency, ROUND(avg(profit_margin), 6) AS avg_margin
         FROM segments GROUP BY segment""",
+    "segment_stats_rounded": WITH_SEGMENTS + f"""SELECT segment, customer_count, total_segment_revenue,
+        {', '.join(f'round_even({c}, 2) AS {c}' for c in STATS.split(', ') if c.startswith('avg'))} FROM ({SEGMENT_STATS})""",
     "segment_distribution": WITH_SEGMENTS + _five("segment", "total_revenue", "segments"),
     "age_gender_revenue": WITH_SEGMENTS + f"""SELECT CAST(floor(age / 5.0) * 5 AS BIGINT) AS age_bin, gender,
         CAST(sum(total_revenue) AS {MONEY}) AS total_revenue FROM segments WHERE gender IN ('Male', 'Female')
@@ -372,6 +415,15 @@ ORACLE = {
         CAST(CASE grouping(CAT, SUBCAT, prd_nm) WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END AS INTEGER) AS level,
         CAST(sum(Revenue) AS {MONEY}) AS Revenue
         FROM base GROUP BY ROLLUP (CAT, SUBCAT, prd_nm) HAVING grouping(CAT, SUBCAT, prd_nm) < 7""",
+    "product_hierarchy_nulls": WITH_BASE + ", " + UNNAMED + " " + " UNION ALL ".join(
+        f"""SELECT CAT, {'SUBCAT' if level > 1 else 'NULL'} AS SUBCAT, {'prd_nm' if level > 2 else 'NULL'} AS prd_nm, {level} AS level,
+        CAST(sum(Revenue) AS {MONEY}) AS Revenue FROM unnamed
+        WHERE {' AND '.join(c + ' IS NOT NULL' for c in ('CAT', 'SUBCAT', 'prd_nm')[:level])}
+        GROUP BY {', '.join(('CAT', 'SUBCAT', 'prd_nm')[:level])}""" for level in (1, 2, 3)),
+    "product_profile_nulls": WITH_BASE + ", " + UNNAMED + """ SELECT prd_nm, count(*) AS rows,
+        CAST(sum(prd_cost) AS DOUBLE) / count(*) AS prd_cost, CAST(sum(sls_price) AS DOUBLE) / count(*) AS sls_price,
+        ROUND(avg(Margin), 6) AS Margin, CAST(sum(sls_quantity) AS DOUBLE) / count(*) AS sls_quantity
+        FROM unnamed WHERE Margin IS NOT NULL AND prd_nm IS NOT NULL GROUP BY prd_nm""",
     "product_characteristics": WITH_BASE + """SELECT prd_nm, prd_cost, sls_price, Margin, sls_quantity
         FROM base WHERE Margin IS NOT NULL AND prd_cost IS NOT NULL AND sls_price IS NOT NULL
         AND sls_quantity IS NOT NULL""",
@@ -389,4 +441,8 @@ ORACLE = {
     "explorer_page": WITH_BASE + f"""SELECT sls_ord_num, line, prd_key, order_date, ship_date, due_date, CNTRY, CAT,
         CAST(Revenue AS {MONEY}) AS Revenue FROM base ORDER BY base.Revenue DESC NULLS LAST, sls_ord_num, line, prd_key, supplier,
         sls_price, ship_date LIMIT 100""",
+    "explorer_page_ascending": WITH_BASE + """SELECT sls_ord_num, line, prd_key, CASE WHEN sls_ord_num % 2000 = 1 THEN ship_delay END AS ship_delay
+        FROM base ORDER BY CASE WHEN sls_ord_num % 2000 = 1 THEN base.ship_delay END NULLS LAST, sls_ord_num, line, prd_key, supplier,
+        sls_price, ship_date LIMIT 100""",
+    "row_count": "SELECT count(*) AS records FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
 }

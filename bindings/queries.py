@@ -9,15 +9,17 @@ from pyspark.sql import functions as F
 
 from bindings import testdata as td
 from bindings.testdata import AS_OF, base, table
+from tradeloom import config
 from tradeloom.functions import dates, numbers, text
 from tradeloom.marts import customers, explorer, operations, products, sales
 from tradeloom.materialize import materialize, new_path
 from tradeloom.operators import cleaning, profile, ranking
 from tradeloom.operators.filters import filter_sales
+from tradeloom.plans import dashboard
 from tradeloom.plans.dimensions import build_customer, build_product
 from tradeloom.plans.fact import build_fact
 from tradeloom.plans.staging import stage
-from tradeloom.plans.warehouse import build_warehouse
+from tradeloom.plans.warehouse import build_warehouse, convert_dates
 from tradeloom.sources import readers, writers
 
 MONEY = "decimal(28,2)"
@@ -81,6 +83,28 @@ def parse_iso_date(spark, d):
     return td.raw_cust(spark, d).select("BDATE", dates.parse_date(F.col("BDATE")).alias("birth_date"))
 
 
+def timestamp_dates(spark, d):
+    """Both timestamp types become dates, and the date filter sees them."""
+    lines = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    stored = lines.select(
+        F.col("l_orderkey").alias("sls_ord_num"), F.col("l_linenumber").alias("line"), F.col("o_orderdate").alias("order_date"),
+        F.col("l_shipdate").cast("timestamp").alias("ship_date"),
+    )
+    kept = filter_sales(dashboard.dashboard_base(stored, AS_OF), "1997-03-01", "1998-02-28")
+    return typed(kept, "sls_ord_num:bigint line:int order_date:date ship_date:date order_to_ship_days:bigint")
+
+
+def dates_unbounded(spark, d):
+    """Open ends such as 9999-12-31 stay dates when no bounds are asked for."""
+    key, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    raw = table(spark, d, "orders").select(
+        key,
+        F.when(key % 7 == 0, 99991231).when(key % 7 == 1, 16000101).otherwise(td._yyyymmdd(day)).cast("bigint").alias("sls_order_dt"),
+        F.when(key % 5 == 0, "9999-12-31").when(key % 5 == 1, "1600-01-01").otherwise(day.cast("string")).alias("prd_end_dt"),
+    )
+    return convert_dates(raw, bounds=None)
+
+
 def is_active_flag(spark, d):
     flag = dates.parse_date(F.col("prd_end_dt")).isNull()
     return td.raw_prd(spark, d).select("prd_id", flag.alias("is_active_product"))
@@ -98,7 +122,7 @@ def upper_trim(spark, d):
 
 def map_gender_code(spark, d):
     info = td.raw_cust_info(spark, d)
-    mapped = text.map_values(F.col("cst_gndr"), {"Male": "M", "Female": "F", "m": "M", "f": "F"}, "Unknown")
+    mapped = text.map_values(F.col("cst_gndr"), config.GENDER_CODES, config.UNKNOWN)
     return info.select("cst_key", mapped.alias("cst_gndr"))
 
 
@@ -144,6 +168,20 @@ def month_names(spark, d):
     return rows.select("sls_ord_num", "line", *(dates.month_name(F.col(c)).alias(f"{c}_month") for c in named))
 
 
+def month_names_texts(spark, d):
+    """Month names of the dates that raw tables hold as text."""
+    info, product = td.raw_cust_info(spark, d), td.raw_prd(spark, d)
+    named = [
+        convert_dates(df).select(
+            F.lit(c).alias("field"), F.col(key).cast("bigint").alias("key"), dates.month_name(F.col(c)).alias("month")
+        )
+        for df, key, c in (
+            (info, "cst_id", "customer_creation_date"), (product, "prd_id", "product_start_date"), (product, "prd_id", "product_end_date")
+        )
+    ]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
 def revenue_measures(spark, d):
     rows = base(spark, d, "sls_ord_num", "line", "sls_quantity", "sls_price", "prd_cost")
     return typed(rows, f"sls_ord_num:bigint line:int Revenue:{MONEY} Cost:{MONEY} Profit:{MONEY}")
@@ -188,7 +226,17 @@ def dropna_any(spark, d):
 
 
 def median_fill(spark, d):
-    rows = td.raw_sales(spark, d).select("sls_ord_num", "sls_prd_key", "sls_sales", "sls_price")
+    return _median_filled(td.raw_sales(spark, d))
+
+
+def median_fill_nan(spark, d):
+    """Planted NaN counts as missing: it is filled and is no part of the median."""
+    sales_ = F.when(F.col("sls_cust_id") % 10 == 3, float("nan")).otherwise(F.col("sls_sales"))
+    return _median_filled(td.raw_sales(spark, d).withColumn("sls_sales", sales_))
+
+
+def _median_filled(sales_rows):
+    rows = materialize(sales_rows.select("sls_ord_num", "sls_prd_key", "sls_sales", "sls_price"))  # three passes
     return typed(
         cleaning.fill_median(rows, ["sls_sales", "sls_price"]),
         "sls_ord_num:string sls_prd_key:string sls_sales:double~4 sls_price:double~4",
@@ -199,6 +247,12 @@ def zscore_filter(spark, d):
     return typed(cleaning.filter_zscore(table(spark, d, "events"), ["value"]), "event_id:bigint value:double")
 
 
+def zscore_filter_nan(spark, d):
+    """Planted NaN goes, as a null does, and leaves the statistics alone."""
+    events = table(spark, d, "events").withColumn("value", F.when(F.col("event_id") % 13 == 5, float("nan")).otherwise(F.col("value")))
+    return typed(cleaning.filter_zscore(events, ["value"]), "event_id:bigint value:double")
+
+
 def duplicate_count(spark, d):
     return profile.duplicate_count(td.raw_sales(spark, d), "sls_ord_num")
 
@@ -211,7 +265,11 @@ def columns_equal(spark, d):
 
 
 def null_profile(spark, d):
-    return profile.profile(td.raw_sales(spark, d).drop("_sales_row")).drop("data_type")
+    return null_profile_types(spark, d).drop("data_type")
+
+
+def null_profile_types(spark, d):
+    return profile.profile(td.raw_sales(spark, d).drop("_sales_row"))
 
 
 def dedupe_keep_first(spark, d):
@@ -229,6 +287,20 @@ def stage_csv(spark, d):
     return _visible(stage(spark, {"cust_info": files}, raw_root)["cust_info"])
 
 
+def stage_all_csv(spark, d):
+    """All six tables exported as CSV, staged again and joined into the wide fact."""
+    raw_root, files = new_path(spark), {}
+    for name, rows in (
+        ("cust", td.raw_cust), ("cust_info", td.raw_cust_info), ("loc", td.raw_loc), ("prd", td.raw_prd), ("cat", td.raw_cat),
+        ("sales", td.raw_sales),
+    ):
+        files[name] = new_path(spark)
+        writers.export_csv(_visible(rows(spark, d)), files[name])
+    raw = stage(spark, files, raw_root)
+    customer = build_customer(raw["cust"], raw["cust_info"], raw["loc"])
+    return _visible(build_fact(raw["sales"], customer, build_product(raw["prd"], raw["cat"])))
+
+
 def export_json(spark, d):
     target = new_path(spark)
     product = _visible(td.raw_prd(spark, d))
@@ -347,7 +419,11 @@ def category_trend(spark, d):
 
 
 def _rfm_base(spark, d):
-    return base(spark, d, "sls_ord_num", "CID", "order_date", "birth_date", "GEN", "CNTRY", "CAT", *PROFIT)
+    """Stored, as the customer mart reads it more than once."""
+    rows = base(spark, d, "sls_ord_num", "CID", "order_date", "birth_date", "GEN", "CNTRY", "CAT", *PROFIT)
+    return materialize(rows.select(
+        "sls_ord_num", "CID", "order_date", "GEN", "CNTRY", "CAT", "customer_age", "Revenue", "Profit"
+    ))
 
 
 def _segments(spark, d):
@@ -366,6 +442,19 @@ def customer_metrics(spark, d):
     return typed(customers.customer_metrics(_rfm_base(spark, d), AS_OF), METRICS)
 
 
+def first_values(spark, d):
+    """Attributes that change from row to row: the first known one in row order counts."""
+    rows = base(spark, d, "sls_ord_num", "line", "CID", "order_date", "CAT", *PROFIT)
+    order, line = F.col("sls_ord_num"), F.col("line")
+    changing = rows.withColumns({
+        "GEN": td._one_of(order, "Male", None, "Female", "M"),
+        "CNTRY": td._one_of(order + line, None, None, "FRANCE", "SPAIN", "ITALY"),
+        "customer_age": F.when(line % 3 != 0, order % 60),
+    })
+    found = customers.customer_metrics(materialize(changing), AS_OF, ("order_date", "sls_ord_num", "line"))
+    return typed(found, "CID:bigint country:string gender:string age:bigint")
+
+
 def rfm_scores(spark, d):
     metrics = materialize(customers.customer_metrics(_rfm_base(spark, d), AS_OF))
     return typed(
@@ -400,6 +489,14 @@ def segment_stats(spark, d):
     )
 
 
+def segment_stats_rounded(spark, d):
+    return typed(
+        customers.segment_stats(_segments(spark, d)),
+        f"segment:string customer_count:bigint avg_revenue:double total_segment_revenue:{MONEY} avg_order_value:double "
+        "avg_orders:double avg_recency:double avg_margin:double",
+    )
+
+
 def segment_distribution(spark, d):
     return typed(
         customers.segment_distribution(materialize(_segments(spark, d))),  # two passes
@@ -460,6 +557,26 @@ def product_profile(spark, d):
     return typed(found, "prd_nm:string rows:bigint prd_cost:double sls_price:double Margin:double~6 sls_quantity:double")
 
 
+def _unnamed(rows):
+    """Some products without category, some without subcategory, some without name."""
+    key = F.col("prd_key") % 50
+    return rows.withColumns({
+        c: F.when(key != at, F.col(c)) for at, c in ((7, "CAT"), (8, "SUBCAT"), (9, "prd_nm")) if c in rows.columns
+    })
+
+
+def product_hierarchy_nulls(spark, d):
+    rows = _unnamed(base(spark, d, "prd_key", "CAT", "SUBCAT", "prd_nm", *SALES))
+    return typed(
+        products.product_hierarchy(rows), f"CAT:string SUBCAT:string prd_nm:string level:int Revenue:{MONEY}"
+    )
+
+
+def product_profile_nulls(spark, d):
+    found = products.product_profile(_unnamed(base(spark, d, "prd_key", "prd_nm", *PROFIT)))
+    return typed(found, "prd_nm:string rows:bigint prd_cost:double sls_price:double Margin:double~6 sls_quantity:double")
+
+
 def fulfilment_time(spark, d):
     rows = base(spark, d, "MAINTENANCE", "CAT", "order_date", "ship_date")
     return operations.fulfilment_time(rows)
@@ -494,15 +611,29 @@ def explorer_page(spark, d):
     )
 
 
+def explorer_page_ascending(spark, d):
+    """Sorted by a value that most rows lack, which come last."""
+    rows = base(spark, d, "sls_ord_num", "line", "prd_key", "supplier", "ship_date", "due_date", "sls_price")
+    rows = rows.withColumn("ship_delay", F.when(F.col("sls_ord_num") % 2000 == 1, F.col("ship_delay")))
+    tie = ["sls_ord_num", "line", "prd_key", "supplier", "sls_price", "ship_date"]
+    return typed(
+        explorer.page(rows, "ship_delay", tie=tie), "sls_ord_num:bigint line:int prd_key:bigint ship_delay:bigint"
+    )
+
+
+def row_count(spark, d):
+    return explorer.record_count(td.warehouse(spark, d, "sls_ord_num"))
+
+
 KEYS = (
     "age_by_gender age_floor_365 age_gender_revenue age_trunc_365 category_id_slice category_path category_trend "
-    "columns_equal country_ops country_top10 customer_dim customer_kpis customer_metrics daily_orders dashboard_base "
-    "dedupe_keep_first distinct_marital dropna_any duplicate_count explorer_page export_json extract_digits_key fill_constant "
-    "filter_date_range filter_domains filter_in_list fulfilment_time gender_bucket global_rank is_active_flag "
-    "map_country map_gender_ci map_gender_code margin_by_category margin_safe median_fill month_names monthly_active "
-    "monthly_revenue na_tokens new_vs_returning null_profile order_density_calendar order_ship_delay parse_iso_date "
-    "parse_yyyymmdd product_characteristics product_code_suffix product_dim product_hierarchy product_profile revenue_measures "
-    "rfm_scores rfm_segments sales_kpis scan_filter_tables segment_distribution segment_stats stage_csv strip_hyphen_key "
-    "upper_trim warehouse_clean warehouse_clean_active warehouse_round_trip wide_fact wide_fact_fanout zscore_filter"
+    "columns_equal country_ops country_top10 customer_dim customer_kpis customer_metrics daily_orders dashboard_base dates_unbounded "
+    "dedupe_keep_first distinct_marital dropna_any duplicate_count explorer_page explorer_page_ascending export_json extract_digits_key fill_constant "
+    "filter_date_range filter_domains filter_in_list first_values fulfilment_time gender_bucket global_rank is_active_flag "
+    "map_country map_gender_ci map_gender_code margin_by_category margin_safe median_fill median_fill_nan month_names month_names_texts monthly_active "
+    "monthly_revenue na_tokens new_vs_returning null_profile null_profile_types order_density_calendar order_ship_delay parse_iso_date "
+    "parse_yyyymmdd product_characteristics product_code_suffix product_dim product_hierarchy product_hierarchy_nulls product_profile product_profile_nulls revenue_measures "
+    "rfm_scores rfm_segments row_count sales_kpis scan_filter_tables segment_distribution segment_stats segment_stats_rounded stage_all_csv stage_csv strip_hyphen_key "
+    "timestamp_dates upper_trim warehouse_clean warehouse_clean_active warehouse_round_trip wide_fact wide_fact_fanout zscore_filter zscore_filter_nan"
 ).split()
 QUERIES = {key: globals()[key] for key in KEYS}
