@@ -29,6 +29,16 @@ def test_large_column_beyond_the_sketch(spark):
     assert found == pytest.approx(np.quantile(values, [0, 0.2, 0.4, 0.6, 0.8, 1]).tolist(), rel=1e-15)
 
 
+def test_values_spread_over_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr("tradeloom.operators.quantiles.ROWS_PER_RANGE", 50)
+    df = spark.range(0, 20_000, 1, 5).select((F.xxhash64("id") % 9973).cast("double").alias("v"), (F.col("id") % 3).alias("g"))
+    rows = df.collect()
+    found = {r.g: r.q for r in quantiles(df, fifths(), interpolated={"q": "v"}, by=["g"], accuracy=100).collect()}
+    for g in range(3):
+        expected = np.quantile([r.v for r in rows if r.g == g], [0, 0.2, 0.4, 0.6, 0.8, 1])
+        assert found[g] == pytest.approx(expected.tolist(), rel=1e-15)
+
+
 def test_one_value_holds_most_rows(spark):
     values = [5.0] * 700 + np.arange(300.0).tolist()
     df = shuffled(spark, values)

@@ -18,7 +18,7 @@ from tradeloom.materialize import materialize
 Fraction = tuple[int, int]
 
 SKETCH_ACCURACY = 10_000
-ROWS_PER_RANGE = 10_000  # counted values that one task orders; decides the work per task, not the result
+ROWS_PER_RANGE = 100_000  # counted values that one task orders; decides the work per task, not the result
 _MISSED = "a quantile fell outside its sketch bracket; raise the accuracy"
 
 
@@ -43,13 +43,13 @@ def quantiles(
     entries += [f"named_struct('_name', '{n}', '_v', double({e}), '_x', cast({e} as decimal(38,0)))" for n, e in positional.items()]
     values = df.selectExpr(*by, f"inline(array({', '.join(entries)}))").where("_v is not null")
 
-    brackets = _sketch_brackets(values, fractions, [*by, "_name"], accuracy)
-    # Without groups the bracket table has one row per requested name; with groups its size is
-    # only known once it is stored, and the planner then picks the join from that size.
-    brackets = materialize(brackets) if by else F.broadcast(brackets)
+    # Stored, so that the planner picks the join from its size (one row per name and group).
+    brackets = materialize(_sketch_brackets(values, fractions, [*by, "_name"], accuracy))
+    rows = brackets.agg(F.sum("_n")).first()[0] or 0
 
     counted = _count_by_value(values, brackets, len(fractions), [*by, "_name"])
-    picked = _pick(_running_total(counted, [*by, "_name"]), fractions, [*by, "_name"])
+    ranged = _in_ranges(counted, [*by, "_name"], _ranges(rows, len(fractions), accuracy))
+    picked = _pick(_running_total(ranged, [*by, "_name"]), fractions, [*by, "_name"])
 
     wide = [F.expr(f"max(case when _name = '{name}' then _linear end) as {name}") for name in interpolated]
     wide += [F.expr(f"max(case when _name = '{name}' then _exact end) as {name}") for name in positional]
@@ -80,16 +80,22 @@ def _count_by_value(values: DataFrame, brackets: DataFrame, targets: int, keys)
     )
 
 
-def _running_total(counted: DataFrame, keys, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+def _ranges(rows: int, targets: int, accuracy: int) -> int:
+    """How many ranges hold at most about ``ROWS_PER_RANGE`` values each, from the share of rows inside brackets."""
+    share = min(1.0, targets * 8 / accuracy)  # twice the slack of an edge, plus the sketch's own error
+    return int(rows * share) // ROWS_PER_RANGE + 1
+
+
+def _in_ranges(counted: DataFrame, keys, ranges: int) -> DataFrame:
+    """The counted values with the number of their range; stored, as two passes must see the same ranges."""
+    return materialize(counted.repartitionByRange(ranges, *keys, "_v_min", "_x_min").withColumn("_range", F.spark_partition_id()))
+
+
+def _running_total(ranged: DataFrame, keys) -> DataFrame:
     """Add ``_end``, the rows of a key up to and including this value.
 
-    The number of ranges follows the number of counted values.  A range is small whatever the key, and the
-    window over the ranges' totals sees one row per range.
+    A range is small whatever the key, and the window over the ranges' totals sees one row per range and key.
     """
-    counted = materialize(counted)
-    ranges = counted.count() // rows_per_range + 1
-    # stored, as both passes must see the same ranges
-    ranged = materialize(counted.repartitionByRange(ranges, *keys, "_v_min", "_x_min").withColumn("_range", F.spark_partition_id()))
     inside = Window.partitionBy("_range", *keys).orderBy("_v_min", "_x_min").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy("_range", *keys).agg(F.sum("_rows").alias("_total"))
