@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tradeloom.llm.graph import components, smallest_reached
 from tradeloom.materialize import materialize
 
-WORDS, PERCENT = 3, 90
+WORDS, PERCENT = 3, 90  # the contract of op10; the pipeline passes its own
 BAND_RATIO = 1.5
 SHARED = 0.05  # expected chance that another set of the band agrees in a shingle of a subset
 BAND_SHARE = 0.05  # expected share of all sets in a band

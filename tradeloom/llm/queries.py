@@ -80,7 +80,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(_read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return jaccard.join(_read(spark, sf_dir, "documents"), words=3, percent=90).withColumnRenamed("id", "doc_id")
 
 
 QUERIES = {f.__name__: f for f in (
