@@ -59,3 +59,12 @@ def test_stage_drops_edited_copies(spark):
     assert kept == {k for k in label if label[k] == k} == {r[0] for r in rows if r[0] % 10 in (0, 3)}
     strict, _ = lowest_linked(rows, 3, 90)
     assert len({k for k in strict if strict[k] == k}) > len(kept)  # the contract of op10 would keep some of them
+
+
+def test_row_without_id_does_not_hide_its_copies(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    rows = [(None, text), (5, text), (6, text + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r["id"]: r["component_id"] for r in jaccard.join(docs).collect()}
+    assert got == {None: None, 5: 5, 6: 5}
+    assert {r["doc_id"] for r in jaccard.dedup(docs).collect()} == {None, 5}

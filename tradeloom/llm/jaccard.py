@@ -199,7 +199,8 @@ def _signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 row = signatures(value.as_py() or "", words, percent, others)
                 if key is None or row[:3] in met:
                     row = (*row[:3], none, none, none)
-                met.add(row[:3])
+                if key is not None:  # a row without id is no node, so it indexes nothing for others
+                    met.add(row[:3])
                 rows.append(row)
                 if len(met) > 500_000:
                     met.clear()
