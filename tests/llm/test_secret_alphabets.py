@@ -1,0 +1,49 @@
+"""Secrets planted in the alphabets that the scan infers, among ordinary names."""
+
+import collections
+
+import numpy as np
+import pytest
+
+from tests.llm.test_operators import docs_of
+from tradeloom.llm import secrets
+
+KINDS = {"base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
+         "BASE36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "HEX": "0123456789ABCDEF"}
+LENGTHS = (20, 24, 32, 40)
+WORDS = ("order customer invoice report garden stone bridge river monthly revenue country product category archive backup image "
+         "thumbnail version release candidate section chapter index summary figure table account").split()
+
+
+def names(rng, n):
+    """Identifiers and file names of 20 characters or more, each with a digit."""
+    out = []
+    while len(out) < n:
+        parts = [str(w) for w in rng.choice(WORDS, 4)]
+        style = len(out) % 4
+        name = ("_".join(parts) + f"_{rng.integers(1, 2030)}", "".join(p.title() for p in parts) + str(rng.integers(1, 99)),
+                "-".join(parts).upper() + f"-{rng.integers(1, 2030)}", "".join(parts) + str(rng.integers(1, 9)))[style]
+        if len(name) >= 20:
+            out.append(name)
+    return out
+
+
+@pytest.mark.parametrize("each,ordinary", [(10, 16_000), (10, 0)])
+def test_planted_secrets_are_found(spark, each, ordinary):
+    rng = np.random.default_rng(14)
+    planted = []
+    for kind, symbols in KINDS.items():
+        for length in LENGTHS:
+            while sum(p[:2] == (kind, length) for p in planted) < each:
+                value = "".join(rng.choice(list(symbols), length))
+                if any(c.isdigit() for c in value) and any(c.isalpha() for c in value):
+                    planted.append((kind, length, value))
+    other = names(rng, ordinary)
+    rows = [(i, f"see {p[2]} here", "en", "a") for i, p in enumerate(planted)]
+    rows += [(100_000 + i, f"see {name} here", "en", "a") for i, name in enumerate(other)]
+    found = {r["doc_id"] for r in secrets.scan(docs_of(spark, rows)).select("doc_id", "spans").collect() if r["spans"]}
+    recall = collections.Counter(p[:2] for i, p in enumerate(planted) if i in found)
+    print({k: recall[k] / each for k in sorted({p[:2] for p in planted})}, "false", sum(i >= 100_000 for i in found))
+    assert min(recall[kind, n] for kind in KINDS for n in LENGTHS) >= 0.8 * each
+    assert sum(recall.values()) >= 0.95 * len(planted)
+    assert sum(i >= 100_000 for i in found) <= 0.05 * len(planted)

@@ -2,10 +2,12 @@
 
 Patterns find assignments, access keys and long hex runs.  Besides, every other run of letters, digits and ``+ / _ -`` with
 at least ``MIN_RUN`` characters, one letter and one digit is a candidate.  Its encoding is inferred from the characters it uses
-(hex, base 32, 36, 62 or 64), and three tests ask whether its symbols could be uniform draws of that alphabet: chi-squared
-of the counts, runs above and below the middle, and serial correlation of neighbours.  A candidate that fails none of
-them must also be unlikely as an ordinary name: under that null hypothesis the class of character (lower, upper, digit,
-sign) changes between neighbours with chance ``ORDINARY_CHANGE``, and a Chernoff bound of the changes seen gives the p-value.
+(hex, base 32, 36, 62 or 64), and its evidence is the log likelihood ratio of uniform draws from that alphabet against ordinary
+text, a chain in which the class of character (lower, upper, digit, sign) before decides on the next symbol.  The chain starts
+from fixed values (classes change with chance ``ORDINARY_CHANGE``) and is fitted on all candidates, each by its chance to be
+ordinary, so that secrets do not teach it.  Under the chain the ratio has mean 1, so its inverse, times the number of alphabets,
+is a p-value.  Three tests ask whether the symbols could be uniform draws at all: chi-squared of the counts, runs above and below
+the middle, and serial correlation of neighbours; the p-value is divided by theirs, so what looks uneven needs more evidence.
 Per band of lengths the Benjamini-Hochberg rule over all candidates of all documents sets the p-value that counts, so
 short runs, of which there are many, need more evidence.
 
@@ -18,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradeloom.llm.rows import boxed, unboxed
+from tradeloom.materialize import materialize
 
 # fixed values: the patterns of the result's contract
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -36,8 +39,13 @@ ALPHABETS = (  # the first that holds all characters is the encoding
     ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", 64),
     ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_", 66),
 )
-NOT_RANDOM = 0.001  # a test whose p-value is below rejects randomness
+SYMBOLS = ALPHABETS[-1][0]
+CLASSES = [0 if c.isupper() else 1 if c.islower() else 2 if c.isdigit() else 3 for c in SYMBOLS]
 ORDINARY_CHANGE = 0.15
+FIRST = (0.25, 0.5, 0.2, 0.05)  # chances of the class of the first symbol
+LETTERS = (90, 16, 32, 42, 140, 15, 18, 32, 75, 4, 8, 45, 27, 75, 60, 25, 6, 66, 68, 72, 45, 13, 12, 3, 9, 6)  # a to z, of European texts
+PRIOR_SYMBOLS = 500  # what the fixed values of a class count for when the chain is fitted
+LEAST_P = 1e-300
 FALSE_DISCOVERIES = 0.01
 BANDS = (24, 32, 48, 96)  # upper ends of the length bands; the last is open
 STEP, STEPS = 0.25, 800  # of the histogram of -ln p
@@ -89,8 +97,37 @@ def _neighbours(values: Column) -> Column:
     return F.arrays_zip(F.slice(values, F.lit(1), F.size(values) - 1).alias("a"), F.slice(values, F.lit(2), F.size(values) - 1).alias("b"))
 
 
-def _tests(token: Column) -> Column:
-    """Smallest of the three p-values of randomness, times three; in time proportional to the length."""
+def ordinary(counts: dict[tuple[int, int], float] | None = None) -> list[float]:
+    """Log chances of each symbol after each class, and last of a first symbol, row by row.
+
+    ``counts`` of (row, symbol) are added to the fixed values.
+    """
+    counts, chances = counts or {}, []
+    for row in range(5):
+        fixed = []
+        for i, (symbol, kind) in enumerate(zip(SYMBOLS, CLASSES)):
+            by_kind = FIRST[kind] if row == 4 else 1 - ORDINARY_CHANGE if row == kind else ORDINARY_CHANGE / 3
+            alike = LETTERS[ord(symbol.lower()) - 97] / sum(LETTERS) if kind < 2 else 1 / CLASSES.count(kind)
+            fixed.append(by_kind * alike)
+        total = sum(counts.get((row, i), 0.0) for i in range(len(SYMBOLS)))
+        chances += [math.log((PRIOR_SYMBOLS * p + counts.get((row, i), 0.0)) / (PRIOR_SYMBOLS + total)) for i, p in enumerate(fixed)]
+    return chances
+
+
+def _places(symbols: Column) -> Column:
+    return F.transform(symbols, lambda c: F.instr(F.lit(SYMBOLS), c) - 1)
+
+
+def _rows(places: Column) -> Column:
+    """The row of the chain and the symbol for each symbol of a candidate."""
+    kinds = F.array(*[F.lit(k) for k in CLASSES])
+    return F.transform(places, lambda at, i: F.struct(
+        F.when(i == 0, 4).otherwise(F.get(kinds, F.get(places, F.greatest(i - 1, F.lit(0))))).alias("row"), at.alias("symbol")))
+
+
+def _evidence(token: Column, model: list[float]) -> Column:
+    """-ln of the p-value against ordinary text, the tests of randomness included; in time proportional to the length."""
+    chances = F.array(*[F.lit(float(x)) for x in model])
 
     def encoded(body):
         alphabet = F.lit(None).cast("string")
@@ -104,6 +141,7 @@ def _tests(token: Column) -> Column:
         return F.struct(
             F.length(x["alphabet"]).cast("double").alias("k"), F.length(x["body"]).cast("double").alias("n"),
             F.aggregate(counts, F.lit(0.0), lambda s, c: s + c * c).alias("squares"), values.alias("values"),
+            _places(x["symbols"]).alias("places"),
         )
 
     def judged(x):
@@ -115,30 +153,13 @@ def _tests(token: Column) -> Column:
         p_runs = 2 * _normal_tail(F.abs(changes - (n - 1) / 2) / (F.sqrt(n - 1) / 2))
         serial = F.aggregate(_neighbours(x["values"]), F.lit(0.0), lambda s, p: s + (p["a"] - (k - 1) / 2) * (p["b"] - (k - 1) / 2))
         p_serial = 2 * _normal_tail(F.abs(serial * 12 / (k * k - 1)) / F.sqrt(n - 1))
-        return 3 * F.least(p_chi, p_runs, p_serial)
+        p_uniform = F.greatest(F.least(3 * F.least(p_chi, p_runs, p_serial), F.lit(1.0)), F.lit(LEAST_P))
+        likely = F.aggregate(_rows(x["places"]), F.lit(0.0), lambda s, r: s + F.get(chances, r["row"] * len(SYMBOLS) + r["symbol"]))
+        return -n * F.log(k) - likely - math.log(len(ALPHABETS)) + F.log(p_uniform)
 
     return _let(F.regexp_replace(token, "=+$", ""), lambda b: _let(encoded(b), lambda x: _let(valued(x), judged)))
 
 
-def _evidence(token: Column) -> Column:
-    """-ln of the p-value against an ordinary name; 0 without evidence."""
-    kinds = F.regexp_replace(token, "=+$", "")
-    for pattern, mark in (("[+/_-]", "!"), ("[0-9]", "0"), ("[a-z]", "a"), ("[A-Z]", "A")):
-        kinds = F.regexp_replace(kinds, pattern, mark)
-    q = ORDINARY_CHANGE
-
-    def bound(x):
-        n, share = x["n"], x["changes"] / x["n"]
-        rest = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - q))).otherwise(F.lit(0.0))
-        return F.when(share > q, n * (share * F.log(share / q) + rest)).otherwise(F.lit(0.0))
-
-    counted = lambda c: F.struct(
-        (F.size(c) - 1).cast("double").alias("n"),
-        F.aggregate(_neighbours(c), F.lit(0.0), lambda s, p: s + (p["a"] != p["b"]).cast("double")).alias("changes"),
-    )
-    return _let(_characters(kinds), lambda c: _let(counted(c), bound))
-
-
 def _band(length: Column) -> Column:
     band = F.lit(len(BANDS))
     for i, end in reversed(list(enumerate(BANDS))):
@@ -147,47 +168,52 @@ def _band(length: Column) -> Column:
 
 
 def _scanned(docs: DataFrame, text: str) -> DataFrame:
-    """Add ``_base`` (spans of the patterns) and ``_found`` (other random-looking runs with their evidence)."""
+    """Add ``_base`` (spans of the patterns) and ``_found`` (all other candidates with their bands)."""
     rows = boxed(docs, "spans").withColumn("_text", F.coalesce(F.col("_row")[text], F.lit("")))
     base = F.concat(_spans(F.col("_text"), ASSIGN, 0, 2, MIN_VALUE), _spans(F.col("_text"), ACCESS, 1), _spans(F.col("_text"), HEX, 2))
     mixed = lambda s: F.rlike(s["value"], F.lit("[0-9]")) & F.rlike(s["value"], F.lit("[A-Za-z]"))
     rows = rows.withColumns({"_base": base, "_runs": F.filter(_spans(F.col("_text"), CANDIDATE, 3), mixed)})
     rows = rows.withColumn("_runs", F.filter("_runs", lambda s: ~_overlaps(s, F.col("_base"))))
-    judged = F.transform("_runs", lambda s: F.struct(
+    banded = F.transform("_runs", lambda s: F.struct(
         s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value"),
-        _band(s["end"] - s["start"]).alias("band"), (_tests(s["value"]) >= NOT_RANDOM).alias("random"),
-        _evidence(s["value"]).alias("evidence"),
+        _band(s["end"] - s["start"]).alias("band"),
     ))
-    return rows.withColumn("_found", judged).drop("_text", "_runs")
+    return rows.withColumn("_found", banded).drop("_text", "_runs")
 
 
-def fit(docs: DataFrame, text: str = "text") -> list[float]:
-    """Evidence that a candidate needs in each length band, over all candidates of ``docs``.
+def fit(docs: DataFrame, text: str = "text") -> tuple[list[float], list[float]]:
+    """The chain of ordinary text, and the evidence that a candidate needs in each length band, over all candidates.
 
     Only counts of a fixed number of cells reach the driver.
     """
-    cells = _scanned(docs.select(text), text).select(F.explode("_found").alias("c")).groupBy(
-        "c.band", F.when(F.col("c.random"), F.least(F.floor(F.col("c.evidence") / STEP), F.lit(STEPS))).otherwise(F.lit(-1)).alias("step")
-    ).count().collect()
+    found = materialize(_scanned(docs.select(F.col(text).alias("text")), "text").select(F.explode("_found").alias("c")).select("c.band", "c.value"))
+    first = found.withColumn("ordinary", 1 / (1 + F.exp(F.least(_evidence(F.col("value"), ordinary()), F.lit(500.0)))))
+    body = F.regexp_replace("value", "=+$", "")
+    cells = first.select("ordinary", F.explode(_let(_places(_characters(body)), _rows)).alias("r")).groupBy("r.row", "r.symbol").agg(
+        F.sum("ordinary").alias("n")).collect()
+    model = ordinary({(x["row"], x["symbol"]): x["n"] for x in cells})
+    step = F.floor(F.greatest(F.least(_evidence(F.col("value"), model), F.lit(STEP * STEPS)), F.lit(0.0)) / STEP)
+    cells = found.groupBy("band", step.alias("step")).count().collect()
     needed = []
     for band in range(len(BANDS) + 1):
         by_step = {x["step"]: x["count"] for x in cells if x["band"] == band}
-        total, found, cut = sum(by_step.values()), 0, math.inf
+        total, n, cut = sum(by_step.values()), 0, math.inf
         for step in range(STEPS, -1, -1):
-            found += by_step.get(step, 0)
-            if found and math.exp(-step * STEP) * total <= FALSE_DISCOVERIES * found:
+            n += by_step.get(step, 0)
+            if n and math.exp(-step * STEP) * total <= FALSE_DISCOVERIES * n:
                 cut = step * STEP
         needed.append(cut)
-    return needed
+    return model, needed
 
 
-def find(docs: DataFrame, needed: list[float], text: str = "text") -> DataFrame:
+def find(docs: DataFrame, fitted: tuple[list[float], list[float]], text: str = "text") -> DataFrame:
     """Add ``spans``: all spans as ``array<struct<start, kind, end>>``, by start, then kind (index into ``KINDS``).
 
     Null texts have no span.  A column of that name is replaced.
     """
+    model, needed = fitted
     limits = F.array(*[F.lit(float(x)) for x in needed])
-    added = F.filter("_found", lambda c: c["random"] & (F.floor(c["evidence"] / STEP) * STEP >= F.get(limits, c["band"])))
+    added = F.filter("_found", lambda c: F.floor(F.least(_evidence(c["value"], model), F.lit(STEP * STEPS)) / STEP) * STEP >= F.get(limits, c["band"]))
     places = lambda a: F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     return unboxed(_scanned(docs, text).withColumn("spans", F.array_sort(F.concat(places("_base"), places(added)))), "spans")
 
