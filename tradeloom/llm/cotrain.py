@@ -1,33 +1,48 @@
 """Quality classifier by co-training on two views of a document.
 
 One view sees the words of the text, the other the page's metadata: source, language, length, lines and how its characters
-divide.  Both are logistic regressions that start from the labelled documents; in each round each view labels the documents
-of an unlabelled pool that it is surest of, for the other to learn from.  Labelled documents that no view learned from
+divide.  Both are logistic regressions that start from the labelled documents; in each round each view labels those of all
+unlabelled documents that it is surest of, for the other to learn from.  Labelled documents that no view learned from
 calibrate the two scores, whose log-odds are then averaged.  All documents are scored, whole.
 
-The models are fitted on bounded samples (``LABELLED`` and ``POOL`` rows, the first by a hash of the id), which is all that
-reaches the driver; a model is an array of fixed size that travels with the tasks.
+Only the labelled sample is bounded (``LABELLED`` ids, the first by a hash of the id) and reaches the driver.  Unlabelled
+documents stay on Spark as features: in each round a histogram of their scores gives the limits of the confident share, what
+passes them is stored, and each gradient step adds up the slopes of the stored rows, an array of fixed size per task.  A model
+is an array of fixed size that travels with the tasks.
 """
 
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-LABELLED, POOL = 5_000, 5_000
+from tradeloom.materialize import materialize
+
+LABELLED = 5_000
 TEXT_FEATURES, META_FEATURES = 1 << 15, 1 << 10
-ROUNDS, SHARE = 4, 0.05  # each round, each view labels this share of the pool
+ROUNDS, SHARE = 4, 0.05  # each round, each view labels this share of the unlabelled documents
 STEPS, RATE, DECAY = 40, 0.5, 1e-4
 HELD_OUT = 5  # one labelled document in so many calibrates
+FACTS = 8  # metadata of a document
+BINS_PER_UNIT, FARTHEST = 512, 30  # of the histogram of log-odds
+SLICE_ROWS = 1000
+SLOPES, GROUPS = 32, 16  # more slopes than that are added up in groups before they reach the driver
 
 
-def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed words and their damped counts, of length one; empty for a text without words."""
+def word_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed words and how often they occur; empty for a text without words."""
     words = (text or "").lower().encode("utf-8", "surrogatepass").split()
-    places, counts = np.unique(np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % TEXT_FEATURES, return_counts=True)
+    return np.unique(np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % TEXT_FEATURES, return_counts=True)
+
+
+def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed words and their damped counts, of length one."""
+    places, counts = word_counts(text)
     values = np.log1p(counts)
     return places, values / max(np.sqrt((values**2).sum()), 1e-12)
 
@@ -44,7 +59,7 @@ def meta_features(text: str | None, lang, source) -> tuple[np.ndarray, np.ndarra
         f"upper={int(20 * upper / n)}",
     ]
     places = np.unique(np.fromiter((zlib.crc32(f.encode()) for f in facts), np.int64, len(facts)) % META_FEATURES)
-    return places, np.full(len(places), 1 / np.sqrt(len(facts)))
+    return places, np.full(len(places), 1 / np.sqrt(FACTS))
 
 
 _NOT_LETTERS = bytes(b for b in range(256) if not (65 <= b <= 90 or 97 <= b <= 122 or b > 127))
@@ -62,19 +77,21 @@ class _View:
     def scores(self):
         return np.bincount(self.row, self.value * self.weights[self.place], self.count) + self.bias
 
-    def fit(self, target, weight):
-        """Batch gradient steps with a rate per weight; rows of weight 0 are not learned."""
-        used = weight[self.row] > 0
-        row, place, value = self.row[used], self.place[used], self.value[used]
-        squared, squared_bias, total = np.full(self.width, 1e-8), 1e-8, max(weight.sum(), 1e-12)
-        for _ in range(STEPS):
-            z = np.bincount(row, value * self.weights[place], self.count) + self.bias
-            error = weight * (_chance(z) - target) / total
-            slope = np.bincount(place, value * error[row], self.width) + DECAY * self.weights
-            squared += slope**2
-            squared_bias += error.sum() ** 2
-            self.weights -= RATE * slope / np.sqrt(squared)
-            self.bias -= RATE * error.sum() / np.sqrt(squared_bias)
+    def start(self):
+        self.squared, self.squared_bias = np.full(self.width, 1e-8), 1e-8
+
+    def slope(self, target, weight):
+        """Sums of the errors over all rows by weight, and of the bias."""
+        error = weight * (_chance(self.scores()) - target)
+        return np.bincount(self.place, self.value * error[self.row], self.width), error.sum()
+
+    def step(self, slope, slope_bias):
+        """A gradient step with a rate per weight."""
+        slope = slope + DECAY * self.weights
+        self.squared += slope**2
+        self.squared_bias += slope_bias**2
+        self.weights = self.weights - RATE * slope / np.sqrt(self.squared)
+        self.bias -= RATE * slope_bias / np.sqrt(self.squared_bias)
 
 
 def _chance(z):
@@ -95,39 +112,199 @@ def _calibrated(z, target):
     return float(a), float(b)
 
 
-def co_train(text_rows, meta_rows, labels: np.ndarray, held_out: np.ndarray):
-    """Fitted views and their calibrations; rows are ``(places, values, sizes)``, ``labels`` has -1 for the pool."""
+def _packed(batches):
+    """Features of unlabelled documents as bytes: places and counts of words, places of metadata."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            part, rows = batch.slice(start, SLICE_ROWS), []
+            for text, lang, source in zip(*(part.column(c).to_pylist() for c in ("text", "lang", "source"))):
+                words, values = word_counts(text)
+                rows.append((words.astype("<u2").tobytes(), values.astype("<u4").tobytes(), meta_features(text, lang, source)[0].astype("<u2").tobytes()))
+            columns = [pa.array([r[i] for r in rows], pa.binary()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_key"), *columns], ["_id", "key", "words", "counts", "facts"])
+
+
+def _unpacked(places, counts=None):
+    """Places, values and sizes of the rows of one view; without counts those of metadata."""
+    sizes = pc.binary_length(places).to_numpy(zero_copy_only=False).astype(np.int64) // 2
+    place = np.frombuffer(b"".join(places.to_pylist()), "<u2").astype(np.int64)
+    if counts is None:
+        return place, np.full(len(place), 1 / np.sqrt(FACTS)), sizes
+    value = np.log1p(np.frombuffer(b"".join(counts.to_pylist()), "<u4"))
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    length = np.sqrt(np.bincount(row, value**2, len(sizes)))
+    return place, value / np.maximum(length, 1e-12)[row], sizes
+
+
+def _slices(batches):
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(start, SLICE_ROWS)
+
+
+def _view(k, rows, model):
+    view = _View(*rows, (TEXT_FEATURES, META_FEATURES)[k])
+    view.weights, view.bias = model
+    return view
+
+
+def _bins(z):
+    return np.floor((np.clip(z, -FARTHEST, FARTHEST) + FARTHEST) * BINS_PER_UNIT).astype(np.int64)
+
+
+def _draws(keys, turn):
+    """Reproducible numbers in [0, 1), new in each round."""
+    x = keys.view(np.uint64) + np.uint64((turn + 1) * 0x9E3779B97F4A7C15 % 2**64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / float(2**53)
+
+
+def _limits(histogram, bad, good):
+    """Lowest and highest bins: the last of each, and the share of it that counts."""
+
+    def edge(counts, wanted):
+        total = np.cumsum(counts)
+        if wanted <= 0 or not total[-1]:
+            return -1, 0.0
+        at = int(np.searchsorted(total, min(wanted, total[-1])))
+        return at, float((min(wanted, total[-1]) - (total[at] - counts[at])) / counts[at])
+
+    low, high = edge(histogram, bad), edge(histogram[::-1], good)
+    return *low, len(histogram) - 1 - high[0], high[1]
+
+
+def _judged(z, draw, limits):
+    """1 and 0 for what passes the limits, else -1; rows of an edge bin count by their draw."""
+    low, low_share, high, high_share = limits
+    bins = _bins(z)
+    good = (bins > high) | ((bins == high) & (draw >= 1 - high_share))
+    bad = (bins < low) | ((bins == low) & (draw < low_share))
+    return np.where(good, 1, np.where(bad, 0, -1))
+
+
+class _Unlabelled:
+    """All unlabelled documents, and those that a view taught the other."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows, self.count = rows, rows.count()
+        self.rounds, self.tables, self.taught = [], None, [0, 0]
+
+    def teach(self, views, share):
+        """Each view labels the rows that it is surest of and that it has not labelled yet."""
+        models, past = [(v.weights, v.bias) for v in views], list(self.rounds)
+        take = int(SHARE * self.count)
+        if not take:
+            return
+
+        def free(part, k, rows):
+            """Log-odds by view ``k`` and which rows it has not labelled."""
+            open_ = np.ones(part.num_rows, bool)
+            for turn, (old, limits) in enumerate(past):
+                open_ &= _judged(_view(k, rows, old[k]).scores(), _draws(part.column("key").to_numpy(), turn), limits[k]) < 0
+            return _view(k, rows, models[k]).scores(), open_
+
+        def both(part):
+            return _unpacked(part.column("words"), part.column("counts")), _unpacked(part.column("facts"))
+
+        def count(batches):
+            total = np.zeros((2, 2 * FARTHEST * BINS_PER_UNIT + 1), np.int64)
+            for part in _slices(batches):
+                for k, rows in enumerate(both(part)):
+                    z, open_ = free(part, k, rows)
+                    total[k] += np.bincount(_bins(z[open_]), minlength=total.shape[1])
+            k, at = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(total[k, at])], ["k", "bin", "n"])
+
+        cells = self.rows.mapInArrow(count, "k int, bin int, n long").groupBy("k", "bin").agg(F.sum("n").alias("n")).toArrow()
+        histogram = np.zeros((2, 2 * FARTHEST * BINS_PER_UNIT + 1), np.int64)
+        histogram[cells.column("k").to_numpy(), cells.column("bin").to_numpy()] = cells.column("n").to_numpy()
+        limits = [_limits(h, round(take * (1 - share)), round(take * share)) for h in histogram]
+
+        def pick(batches):
+            for part in _slices(batches):
+                draw = _draws(part.column("key").to_numpy(), len(past))
+                for k, rows in enumerate(both(part)):
+                    z, open_ = free(part, k, rows)
+                    label = np.where(open_, _judged(z, draw, limits[k]), -1)
+                    chosen = part.filter(pa.array(label >= 0))
+                    n = chosen.num_rows
+                    places, counts = (chosen.column("facts"), pa.array([b""] * n, pa.binary())) if k == 0 else (chosen.column("words"), chosen.column("counts"))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, 1 - k, np.int32)), pa.array(label[label >= 0].astype(np.int32)), places, counts],
+                                                     ["view", "label", "places", "counts"])
+
+        new = materialize(self.rows.mapInArrow(pick, "view int, label int, places binary, counts binary"))
+        for row in new.groupBy("view").count().collect():
+            self.taught[row["view"]] += row["count"]
+        self.tables = new if self.tables is None else self.tables.unionByName(new)
+        self.rounds.append((models, limits))
+
+    def slopes(self, views):
+        """Sums of the errors of each view over the rows that the other taught it."""
+        widths = [v.width for v in views]
+        if self.tables is None:
+            return [(np.zeros(w), 0.0) for w in widths]
+        models = [(v.weights, v.bias) for v in views]
+
+        def run(batches):
+            total = [np.zeros(w + 1) for w in widths]
+            for part in _slices(batches):
+                for k in range(2):
+                    own = part.filter(pc.equal(part.column("view"), k))
+                    if own.num_rows:
+                        view = _view(k, _unpacked(own.column("places"), None if k else own.column("counts")), models[k])
+                        slope, bias = view.slope(own.column("label").to_numpy().astype(float), np.ones(own.num_rows))
+                        total[k][:-1] += slope
+                        total[k][-1] += bias
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % GROUPS], pa.int32()),
+                                              pa.array([np.concatenate(total).tobytes()], pa.binary())], ["part", "sums"])
+
+        def add(batches):
+            total = {}
+            for batch in batches:
+                for part, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    total[part] = total.get(part, 0.0) + np.frombuffer(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["part", "sums"])
+
+        parts = self.tables.mapInArrow(run, "part int, sums binary")
+        if self.tables.rdd.getNumPartitions() > SLOPES:
+            parts = parts.repartition(GROUPS, "part").mapInArrow(add, "part int, sums binary")
+        total = np.zeros(sum(widths) + 2)
+        for sums in parts.toArrow().column("sums").to_pylist():
+            total += np.frombuffer(sums)
+        text, meta = total[: widths[0] + 1], total[widths[0] + 1 :]
+        return [(text[:-1], text[-1]), (meta[:-1], meta[-1])]
+
+
+def co_train(text_rows, meta_rows, labels: np.ndarray, held_out: np.ndarray, unlabelled: _Unlabelled):
+    """Fitted views and their calibrations; rows of labelled documents are ``(places, values, sizes)``."""
     views = [_View(*text_rows, TEXT_FEATURES), _View(*meta_rows, META_FEATURES)]
-    learned = (labels >= 0) & ~held_out
-    targets = [np.where(learned, labels, 0).astype(float) for _ in views]
-    weights = [learned.astype(float) for _ in views]
-    pool, share = labels < 0, labels[learned].mean() if learned.any() else 0.5
-    for turn in range(ROUNDS + 1):
-        for view, target, weight in zip(views, targets, weights):
-            view.fit(target, weight)
-        if turn == ROUNDS or not learned.any():
-            break
-        for k, view in enumerate(views):  # what a view is surest of teaches the other
-            free = np.flatnonzero(pool & (weights[1 - k] == 0))
-            order = free[np.argsort(view.scores()[free], kind="stable")]
-            take = int(SHARE * pool.sum())
-            good, bad = round(take * share), round(take * (1 - share))
-            for rows, label in ((order[len(order) - good :] if good else order[:0], 1.0), (order[:bad], 0.0)):
-                targets[1 - k][rows], weights[1 - k][rows] = label, 1.0
-    check = (labels >= 0) & held_out
-    scales = [_calibrated(v.scores()[check], labels[check].astype(float)) for v in views]
+    weight, target = (~held_out).astype(float), labels.astype(float)
+    for turn in range(ROUNDS + 1 if weight.any() else 0):
+        for view in views:
+            view.start()
+        for _ in range(STEPS):
+            more = unlabelled.slopes(views)
+            for view, (slope, bias), taught in zip(views, more, unlabelled.taught):
+                own, own_bias = view.slope(target, weight)
+                total = weight.sum() + taught
+                view.step((own + slope) / total, (own_bias + bias) / total)
+        if turn < ROUNDS:  # what a view is surest of teaches the other
+            unlabelled.teach(views, labels[~held_out].mean())
+    scales = [_calibrated(v.scores()[held_out], target[held_out]) for v in views]
     return [(v.weights, v.bias, *s) for v, s in zip(views, scales)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", labelled: int = LABELLED, pool: int = POOL):
-    """Fit both views.  Null labels and ids are left out; of several labels of an id the smallest counts."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", labelled: int = LABELLED):
+    """Fit both views.  Null labels and their ids are left out; of several labels of an id the smallest counts.
+
+    Every row whose id has no label, and every row without id, is unlabelled.
+    """
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(
         F.min(label).cast("int").alias("_label"))
-    first = known.orderBy(F.xxhash64("_id"), "_id").limit(labelled)
-    free = docs.select(F.col(id_col).alias("_id")).where("_id is not null").join(known, "_id", "left_anti").distinct()
-    free = free.orderBy(F.xxhash64("_id"), "_id").limit(pool).withColumn("_label", F.lit(-1))
-    chosen = first.unionByName(free)  # bounded by the two limits
-    rows = docs.select(F.col(id_col).alias("_id"), "text", "lang", "source").join(F.broadcast(chosen), "_id")
+    chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(labelled)
+    every = docs.select(F.col(id_col).alias("_id"), "text", "lang", "source")
+    rows = every.join(F.broadcast(chosen), "_id")
     rows = rows.withColumn("_check", F.crc32(F.col("_id").cast("string")) % HELD_OUT == 0)
 
     def features(batches):
@@ -149,8 +326,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
         sizes = np.diff(lists[0].offsets.to_numpy())
         return lists[0].flatten().to_numpy(), lists[1].flatten().to_numpy(), sizes
 
-    labels_of, held = found.column("label").to_numpy(), found.column("held").to_numpy()
-    return co_train(flat("tp", "tv"), flat("mp", "mv"), labels_of, held.astype(bool))
+    pack = lambda rows: rows.withColumn("_key", F.xxhash64("_id", "text")).mapInArrow(_packed, f"_id {kind}, key long, words binary, counts binary, facts binary")
+    # rows without id need no partner and stay where they are
+    free = pack(every.where("_id is not null")).join(known, "_id", "left_anti").unionByName(pack(every.where("_id is null"))).drop("_id")
+    labels_of, held = found.column("label").to_numpy(), found.column("held").to_numpy(zero_copy_only=False)
+    return co_train(flat("tp", "tv"), flat("mp", "mv"), labels_of, held.astype(bool), _Unlabelled(materialize(free)))
 
 
 def score(docs: DataFrame, models, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
