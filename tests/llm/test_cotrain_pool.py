@@ -36,3 +36,12 @@ def test_share_of_all_unlabelled_documents_teaches(spark, monkeypatch, slopes):
     assert pool.count == 11_710
     wanted = cotrain.ROUNDS * int(cotrain.SHARE * pool.count)  # 5,000 documents would give 1,000
     assert all(abs(n - wanted) <= 0.1 * wanted for n in pool.taught) and wanted > 2000
+
+
+def test_repeated_labelled_id_is_one_row(spark, monkeypatch):
+    rows = [(i, f"word{i} text", "en", "a") for i in range(20)] + [(3, f"another {j}", "en", "b") for j in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, quality int")
+    seen = {}
+    monkeypatch.setattr(cotrain, "co_train", lambda text, meta, labels, held, pool: seen.update(labels=labels, sizes=text[2], pool=pool.count))
+    cotrain.fit(docs_of(spark, rows), labels)
+    assert len(seen["labels"]) == len(seen["sizes"]) == 10 and seen["pool"] == 10

@@ -296,7 +296,8 @@ def co_train(text_rows, meta_rows, labels: np.ndarray, held_out: np.ndarray, unl
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", labelled: int = LABELLED):
-    """Fit both views.  Null labels and their ids are left out; of several labels of an id the smallest counts.
+    """Fit both views.  Null labels and their ids are left out; of several labels of an id the smallest counts,
+    of several rows of a labelled id the first by text, language and source.
 
     Every row whose id has no label, and every row without id, is unlabelled.
     """
@@ -304,7 +305,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
         F.min(label).cast("int").alias("_label"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(labelled)
     every = docs.select(F.col(id_col).alias("_id"), "text", "lang", "source")
-    rows = every.join(F.broadcast(chosen), "_id")
+    # one row per chosen id, so that a repeated id counts once and its rows stay on Spark
+    rows = every.join(F.broadcast(chosen), "_id").groupBy("_id", "_label").agg(F.min(F.struct("text", "lang", "source")).alias("_row"))
+    rows = rows.select("_id", "_label", "_row.*")
     rows = rows.withColumn("_check", F.crc32(F.col("_id").cast("string")) % HELD_OUT == 0)
 
     def features(batches):
