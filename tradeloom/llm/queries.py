@@ -3,7 +3,9 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeloom.llm import cotrain, embed_dedup, jaccard, langid, mixing, packing, secrets, topk, url_filter, warc
+from tradeloom.llm import (
+    codes, cotrain, embed_dedup, infill, jaccard, langid, mixing, neighbours, packing, secrets, topk, url_filter, warc,
+)
 from tradeloom.materialize import new_path
 
 
@@ -83,9 +85,30 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_read(spark, sf_dir, "documents"), words=3, percent=90).withColumnRenamed("id", "doc_id")
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = neighbours.nearest(rows, rows.where("vec_id % 20 = 0"), k=20)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = infill.transform(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    again = infill.restored(F.col("output"), F.col("form"))
+    return docs.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(again, 256).alias("restored_sha256"),
+    )
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    coded = codes.with_group_error(coded.drop("embedding"), "label", "label_error")
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(codes.books_digest(books)).alias("codebooks_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_top_k, op3_embedding_dedup, op4_warc_round_trip, op5_language, op6_secret_scan, op7_source_mix, op8_pack,
-    op9_quality, op10_jaccard_join,
+    op9_quality, op10_jaccard_join, op11_nearest, op12_fill_in_middle, op13_vector_codes,
 )}
 
 _USABLE = "len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
@@ -95,6 +118,33 @@ _REACH = """
         SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.place),
     lowest AS (SELECT id, min(place) AS component_id FROM reach GROUP BY id)"""
 
+
+
+def _codes_sql(rounds: int = 6) -> str:
+    """One pair of CTEs a round: the nearest entry of each part, then the floored means."""
+    assign = lambda k: f"""
+        a{k} AS MATERIALIZED (SELECT id, pos, min(d) AS d, arg_min(e, d * 16 + e) AS e FROM (
+            SELECT p.id, p.pos, b.e, list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+            FROM p JOIN b{k} b ON b.pos = p.pos) GROUP BY id, pos)"""
+    learn = lambda k: f"""
+        b{k + 1} AS MATERIALIZED (SELECT b.pos, b.e, coalesce(m.x, b.x) AS x FROM b{k} b LEFT JOIN (
+            SELECT pos, e, list((s - ((s % n) + n) % n) // n ORDER BY j) AS x FROM (
+                SELECT a.pos, a.e, j, CAST(sum(p.x[j]) AS BIGINT) AS s, count(*) AS n
+                FROM a{k} a JOIN p ON p.id = a.id AND p.pos = a.pos, range(1, len(p.x) + 1) r(j) GROUP BY ALL) GROUP BY pos, e) m
+            ON m.pos = b.pos AND m.e = b.e)"""
+    steps = ",".join(assign(k) + "," + learn(k) for k in range(rounds))
+    return f"""
+        WITH v AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+                   FROM embeddings WHERE embedding IS NOT NULL AND {_USABLE}),
+        p AS MATERIALIZED (SELECT id, pos, x[(pos * len(x) // 8 + 1):((pos + 1) * len(x) // 8)] AS x FROM v, range(8) r(pos)),
+        b0 AS MATERIALIZED (SELECT pos, x, row_number() OVER (PARTITION BY pos ORDER BY id) - 1 AS e FROM p WHERE id IN (SELECT id FROM v ORDER BY id LIMIT 16)),
+        {steps}, {assign(rounds)},
+        c AS (SELECT id, string_agg(printf('%02x', e), '' ORDER BY pos) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY id)
+        SELECT v.id AS vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+               (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY pos, e)) FROM b{rounds}) AS codebooks_sha256
+        FROM v JOIN c ON c.id = v.id"""
+
+
 ORACLE: dict[str, str] = {
     "op2_top_k": f"""
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
@@ -134,4 +184,18 @@ ORACLE: dict[str, str] = {
         nodes AS (SELECT doc_id AS id FROM documents), {_REACH}
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id
         FROM documents d JOIN lowest ON lowest.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op12_fill_in_middle": r"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS x, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+                       regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
+        d AS (SELECT *, CAST(len(u) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS p1, CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS p2,
+                  CASE WHEN x = '' OR regexp_matches(x, '<[PSM]>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 50 THEN 'plain'
+                       WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM t),
+        c AS (SELECT *, array_to_string(u[1:least(p1, p2)], '') AS p, array_to_string(u[least(p1, p2) + 1:greatest(p1, p2)], '') AS m,
+                  array_to_string(u[greatest(p1, p2) + 1:n], '') AS s FROM d)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+               sha256(x) AS restored_sha256
+        FROM c""",
+    "op13_vector_codes": _codes_sql(),
 }
