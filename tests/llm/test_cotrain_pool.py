@@ -1,5 +1,7 @@
 """Co-training sees every unlabelled document."""
 
+import zlib
+
 import numpy as np
 import pytest
 
@@ -45,3 +47,66 @@ def test_repeated_labelled_id_is_one_row(spark, monkeypatch):
     monkeypatch.setattr(cotrain, "co_train", lambda text, meta, labels, held, pool: seen.update(labels=labels, sizes=text[2], pool=pool.count))
     cotrain.fit(docs_of(spark, rows), labels)
     assert len(seen["labels"]) == len(seen["sizes"]) == 10 and seen["pool"] == 10
+
+
+def test_labels_beyond_the_bound_are_unlabelled(spark, monkeypatch):
+    rows = [(i, f"word{i} text", "en", "a") for i in range(50)] + [(None, "no id", "en", "a")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    seen = {}
+    monkeypatch.setattr(cotrain, "co_train", lambda text, meta, labels, held, pool: seen.update(labels=labels, pool=pool.count))
+    cotrain.fit(docs_of(spark, rows), labels, labelled=12)
+    assert len(seen["labels"]) == 12 and seen["pool"] + 12 == len(rows)
+
+
+def plain(docs, labels, steps):
+    """Co-training on dense rows: ``docs`` are (id, text, lang, source, key)."""
+    widths = cotrain.TEXT_FEATURES, cotrain.META_FEATURES
+    views = [np.zeros((len(docs), w)) for w in widths]
+    for i, (_, text, lang, source, _) in enumerate(docs):
+        for view, (place, value) in zip(views, (cotrain.text_features(text), cotrain.meta_features(text, lang, source))):
+            view[i, place] = value
+    own = np.array([d[0] in labels for d in docs])
+    held = own & np.array([zlib.crc32(str(d[0]).encode()) % 5 == 0 for d in docs])
+    target = np.array([labels.get(d[0], 0) for d in docs], float)
+    keys = np.array([d[4] for d in docs])
+    given = [np.full(len(docs), -1) for _ in views]  # what view k was taught
+    said = [np.full(len(docs), -1) for _ in views]  # what view k has labelled
+    models = [(np.zeros(w), 0.0) for w in widths]
+    for turn in range(cotrain.ROUNDS + 1):
+        for k, view in enumerate(views):
+            weights, bias = models[k]
+            squared, squared_bias = np.full(widths[k], 1e-8), 1e-8
+            learned = (own & ~held) | (given[k] >= 0)
+            wanted = np.where(given[k] >= 0, given[k], target)
+            for _ in range(steps):
+                error = learned * (1 / (1 + np.exp(-(view @ weights + bias))) - wanted)
+                slope, slope_bias = view.T @ error / learned.sum() + cotrain.DECAY * weights, error.sum() / learned.sum()
+                squared, squared_bias = squared + slope**2, squared_bias + slope_bias**2
+                weights = weights - cotrain.RATE * slope / np.sqrt(squared)
+                bias = bias - cotrain.RATE * slope_bias / np.sqrt(squared_bias)
+            models[k] = weights, bias
+        if turn < cotrain.ROUNDS:
+            take, share = int(cotrain.SHARE * (~own).sum()), target[own & ~held].mean()
+            for k, view in enumerate(views):
+                z, open_ = view @ models[k][0] + models[k][1], ~own & (said[k] < 0)
+                histogram = np.bincount(cotrain._bins(z[open_]), minlength=2 * cotrain.FARTHEST * cotrain.BINS_PER_UNIT + 1)
+                limits = cotrain._limits(histogram, round(take * (1 - share)), round(take * share))
+                label = np.where(open_, cotrain._judged(z, cotrain._draws(keys, turn), limits), -1)
+                said[k] = np.where(label >= 0, label, said[k])
+                given[1 - k] = np.where(label >= 0, label, given[1 - k])
+    return models
+
+
+def test_models_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(cotrain, "STEPS", 8)
+    rng = np.random.default_rng(17)
+    words = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join(rng.choice(words[: 50] if i % 2 else words[30:], 9)), "en", f"s{(i + i // 7) % 2}") for i in range(400)]
+    labels = {i: i % 2 for i in range(0, 90)}
+    df = docs_of(spark, rows)
+    keyed = df.selectExpr("doc_id", "text", "lang", "source", "xxhash64(doc_id, text)").collect()
+    monkeypatch.setattr(cotrain, "_calibrated", lambda z, target: (1.0, 0.0))
+    got = cotrain.fit(df, spark.createDataFrame(list(labels.items()), "doc_id long, quality int"))
+    want = plain([tuple(r) for r in keyed], labels, 8)
+    for (weights, bias, _, _), (expected, expected_bias) in zip(got, want):
+        assert np.allclose(weights, expected, atol=1e-4) and abs(bias - expected_bias) < 1e-4

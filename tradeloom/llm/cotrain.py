@@ -121,7 +121,7 @@ def _packed(batches):
                 words, values = word_counts(text)
                 rows.append((words.astype("<u2").tobytes(), values.astype("<u4").tobytes(), meta_features(text, lang, source)[0].astype("<u2").tobytes()))
             columns = [pa.array([r[i] for r in rows], pa.binary()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_key"), *columns], ["_id", "key", "words", "counts", "facts"])
+            yield pa.RecordBatch.from_arrays([part.column("_key"), *columns], ["key", "words", "counts", "facts"])
 
 
 def _unpacked(places, counts=None):
@@ -188,7 +188,7 @@ class _Unlabelled:
 
     def __init__(self, rows: DataFrame):
         self.rows, self.count = rows, rows.count()
-        self.rounds, self.tables, self.taught = [], None, [0, 0]
+        self.rounds, self.tables, self.tasks, self.taught = [], None, 0, [0, 0]
 
     def teach(self, views, share):
         """Each view labels the rows that it is surest of and that it has not labelled yet."""
@@ -234,8 +234,11 @@ class _Unlabelled:
                                                      ["view", "label", "places", "counts"])
 
         new = materialize(self.rows.mapInArrow(pick, "view int, label int, places binary, counts binary"))
-        for row in new.groupBy("view").count().collect():
-            self.taught[row["view"]] += row["count"]
+        placed = new.select("view", F.spark_partition_id().alias("task")).groupBy("view")
+        stored = placed.agg(F.count("*").alias("n"), F.max("task").alias("task")).collect()
+        for row in stored:
+            self.taught[row["view"]] += row["n"]
+        self.tasks += max((row["task"] + 1 for row in stored), default=0)
         self.tables = new if self.tables is None else self.tables.unionByName(new)
         self.rounds.append((models, limits))
 
@@ -267,7 +270,7 @@ class _Unlabelled:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["part", "sums"])
 
         parts = self.tables.mapInArrow(run, "part int, sums binary")
-        if self.tables.rdd.getNumPartitions() > SLOPES:
+        if self.tasks > SLOPES:
             parts = parts.repartition(GROUPS, "part").mapInArrow(add, "part int, sums binary")
         total = np.zeros(sum(widths) + 2)
         for sums in parts.toArrow().column("sums").to_pylist():
@@ -299,14 +302,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
     """Fit both views.  Null labels and their ids are left out; of several labels of an id the smallest counts,
     of several rows of a labelled id the first by text, language and source.
 
-    Every row whose id has no label, and every row without id, is unlabelled.
+    Every other row is unlabelled: those whose id has no label, those whose label lies beyond the bound, and those without id.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(
         F.min(label).cast("int").alias("_label"))
-    chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(labelled)
+    chosen = F.broadcast(materialize(known.orderBy(F.xxhash64("_id"), "_id").limit(labelled)))  # at most ``labelled`` rows
     every = docs.select(F.col(id_col).alias("_id"), "text", "lang", "source")
     # one row per chosen id, so that a repeated id counts once and its rows stay on Spark
-    rows = every.join(F.broadcast(chosen), "_id").groupBy("_id", "_label").agg(F.min(F.struct("text", "lang", "source")).alias("_row"))
+    rows = every.join(chosen, "_id").groupBy("_id", "_label").agg(F.min(F.struct("text", "lang", "source")).alias("_row"))
     rows = rows.select("_id", "_label", "_row.*")
     rows = rows.withColumn("_check", F.crc32(F.col("_id").cast("string")) % HELD_OUT == 0)
 
@@ -329,9 +332,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
         sizes = np.diff(lists[0].offsets.to_numpy())
         return lists[0].flatten().to_numpy(), lists[1].flatten().to_numpy(), sizes
 
-    pack = lambda rows: rows.withColumn("_key", F.xxhash64("_id", "text")).mapInArrow(_packed, f"_id {kind}, key long, words binary, counts binary, facts binary")
-    # rows without id need no partner and stay where they are
-    free = pack(every.where("_id is not null")).join(known, "_id", "left_anti").unionByName(pack(every.where("_id is null"))).drop("_id")
+    # the few chosen ids go to the rows, so no row moves; a null id matches none of them
+    free = every.join(chosen, "_id", "left_anti").withColumn("_key", F.xxhash64("_id", "text"))
+    free = free.drop("_id").mapInArrow(_packed, "key long, words binary, counts binary, facts binary")
     labels_of, held = found.column("label").to_numpy(), found.column("held").to_numpy(zero_copy_only=False)
     return co_train(flat("tp", "tv"), flat("mp", "mv"), labels_of, held.astype(bool), _Unlabelled(materialize(free)))
 
