@@ -15,7 +15,6 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +29,7 @@ STEPS, RATE, DECAY = 40, 0.5, 1e-4
 HELD_OUT = 5  # one labelled document in so many calibrates
 FACTS = 8  # metadata of a document
 BINS_PER_UNIT, FARTHEST = 512, 30  # of the histogram of log-odds
-SLICE_ROWS = 1000
+SLICE_ROWS, SLICE_WORDS = 1000, 1 << 21  # of a block of stored documents
 SLOPES, GROUPS = 32, 16  # more slopes than that are added up in groups before they reach the driver
 
 
@@ -112,34 +111,60 @@ def _calibrated(z, target):
     return float(a), float(b)
 
 
+#: A block of documents in one row: keys, then sizes, places and values of the text view, sizes and places of the metadata.
+_POOL = "n long, keys binary, sizes binary, places binary, numbers binary, fact_sizes binary, facts binary"
+_TAUGHT = "view int, n long, labels binary, sizes binary, places binary, numbers binary"
+
+
+def _one_row(names, *values):
+    arrays = [pa.array([v], pa.int32() if n == "view" else pa.int64()) if isinstance(v, int) else pa.array([v.tobytes()], pa.binary()) for n, v in zip(names, values)]
+    return pa.RecordBatch.from_arrays(arrays, names)
+
+
+def _names(schema):
+    return [column.split()[0] for column in schema.split(", ")]
+
+
 def _packed(batches):
-    """Features of unlabelled documents as bytes: places and counts of words, places of metadata."""
+    """Features of unlabelled documents as blocks, so that a block is unpacked at once however often it is read."""
+    keys, words, facts, held = [], [], [], 0
+
+    def block():
+        sizes, fact_sizes = (np.array([len(r[0]) for r in rows], "<u4") for rows in (words, facts))
+        places, numbers = (np.concatenate([r[i] for r in words]).astype(kind) for i, kind in enumerate(("<u2", "<f4")))
+        return _one_row(_names(_POOL), len(keys), np.array(keys, "<i8"), sizes, places, numbers, fact_sizes, np.concatenate([r[0] for r in facts]).astype("<u2"))
+
     for batch in batches:
-        for start in range(0, batch.num_rows, SLICE_ROWS):
-            part, rows = batch.slice(start, SLICE_ROWS), []
-            for text, lang, source in zip(*(part.column(c).to_pylist() for c in ("text", "lang", "source"))):
-                words, values = word_counts(text)
-                rows.append((words.astype("<u2").tobytes(), values.astype("<u4").tobytes(), meta_features(text, lang, source)[0].astype("<u2").tobytes()))
-            columns = [pa.array([r[i] for r in rows], pa.binary()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([part.column("_key"), *columns], ["key", "words", "counts", "facts"])
-
-
-def _unpacked(places, counts=None):
-    """Places, values and sizes of the rows of one view; without counts those of metadata."""
-    sizes = pc.binary_length(places).to_numpy(zero_copy_only=False).astype(np.int64) // 2
-    place = np.frombuffer(b"".join(places.to_pylist()), "<u2").astype(np.int64)
-    if counts is None:
-        return place, np.full(len(place), 1 / np.sqrt(FACTS)), sizes
-    value = np.log1p(np.frombuffer(b"".join(counts.to_pylist()), "<u4"))
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    length = np.sqrt(np.bincount(row, value**2, len(sizes)))
-    return place, value / np.maximum(length, 1e-12)[row], sizes
-
-
-def _slices(batches):
+        for key, text, lang, source in zip(*(batch.column(c) for c in ("_key", "text", "lang", "source"))):
+            text = text.as_py()
+            keys.append(key.as_py())
+            words.append(text_features(text))
+            facts.append(meta_features(text, lang.as_py(), source.as_py()))
+            held += len(words[-1][0])
+            if len(keys) == SLICE_ROWS or held > SLICE_WORDS:
+                yield block()
+                keys, words, facts, held = [], [], [], 0
+    if keys:
+        yield block()
+
+
+def _blocks(batches):
+    """The columns of each block: numbers as they are, bytes for :func:`_array`."""
     for batch in batches:
-        for start in range(0, batch.num_rows, SLICE_ROWS):
-            yield batch.slice(start, SLICE_ROWS)
+        for i in range(batch.num_rows):
+            yield {n: batch.column(j)[i].as_py() for j, n in enumerate(batch.schema.names)}
+
+
+def _array(block, name):
+    return np.frombuffer(block[name], {"keys": "<i8", "labels": "u1", "numbers": "<f4"}.get(name, "<u4" if name.endswith("sizes") else "<u2"))
+
+
+def _rows_of(block, k):
+    """Places, values and sizes of the rows of one view."""
+    if k == 0:
+        return _array(block, "places"), _array(block, "numbers"), _array(block, "sizes")
+    facts = _array(block, "facts")
+    return facts, np.full(len(facts), 1 / np.sqrt(FACTS)), _array(block, "fact_sizes")
 
 
 def _view(k, rows, model):
@@ -187,7 +212,7 @@ class _Unlabelled:
     """All unlabelled documents, and those that a view taught the other."""
 
     def __init__(self, rows: DataFrame):
-        self.rows, self.count = rows, rows.count()
+        self.rows, self.count = rows, rows.agg(F.sum("n")).first()[0] or 0
         self.rounds, self.tables, self.tasks, self.taught = [], None, 0, [0, 0]
 
     def teach(self, views, share):
@@ -197,21 +222,18 @@ class _Unlabelled:
         if not take:
             return
 
-        def free(part, k, rows):
+        def free(block, k, rows):
             """Log-odds by view ``k`` and which rows it has not labelled."""
-            open_ = np.ones(part.num_rows, bool)
+            open_ = np.ones(block["n"], bool)
             for turn, (old, limits) in enumerate(past):
-                open_ &= _judged(_view(k, rows, old[k]).scores(), _draws(part.column("key").to_numpy(), turn), limits[k]) < 0
+                open_ &= _judged(_view(k, rows, old[k]).scores(), _draws(_array(block, "keys"), turn), limits[k]) < 0
             return _view(k, rows, models[k]).scores(), open_
 
-        def both(part):
-            return _unpacked(part.column("words"), part.column("counts")), _unpacked(part.column("facts"))
-
         def count(batches):
             total = np.zeros((2, 2 * FARTHEST * BINS_PER_UNIT + 1), np.int64)
-            for part in _slices(batches):
-                for k, rows in enumerate(both(part)):
-                    z, open_ = free(part, k, rows)
+            for block in _blocks(batches):
+                for k in range(2):
+                    z, open_ = free(block, k, _rows_of(block, k))
                     total[k] += np.bincount(_bins(z[open_]), minlength=total.shape[1])
             k, at = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(total[k, at])], ["k", "bin", "n"])
@@ -222,20 +244,31 @@ class _Unlabelled:
         limits = [_limits(h, round(take * (1 - share)), round(take * share)) for h in histogram]
 
         def pick(batches):
-            for part in _slices(batches):
-                draw = _draws(part.column("key").to_numpy(), len(past))
-                for k, rows in enumerate(both(part)):
-                    z, open_ = free(part, k, rows)
+            chosen = [], []  # labels, sizes, places and values for each view to learn from
+
+            def taught(k):
+                parts = [np.concatenate(x) for x in zip(*chosen[k])]
+                chosen[k].clear()
+                return _one_row(_names(_TAUGHT), k, len(parts[0]), *(x.astype(kind) for x, kind in zip(parts, ("u1", "<u4", "<u2", "<f4"))))
+
+            for block in _blocks(batches):
+                draw, rows = _draws(_array(block, "keys"), len(past)), [_rows_of(block, k) for k in range(2)]
+                for k in range(2):
+                    z, open_ = free(block, k, rows[k])
                     label = np.where(open_, _judged(z, draw, limits[k]), -1)
-                    chosen = part.filter(pa.array(label >= 0))
-                    n = chosen.num_rows
-                    places, counts = (chosen.column("facts"), pa.array([b""] * n, pa.binary())) if k == 0 else (chosen.column("words"), chosen.column("counts"))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, 1 - k, np.int32)), pa.array(label[label >= 0].astype(np.int32)), places, counts],
-                                                     ["view", "label", "places", "counts"])
-
-        new = materialize(self.rows.mapInArrow(pick, "view int, label int, places binary, counts binary"))
-        placed = new.select("view", F.spark_partition_id().alias("task")).groupBy("view")
-        stored = placed.agg(F.count("*").alias("n"), F.max("task").alias("task")).collect()
+                    place, value, sizes = rows[1 - k]
+                    own = np.repeat(label >= 0, sizes)
+                    if (label >= 0).any():
+                        chosen[1 - k].append((label[label >= 0], sizes[label >= 0], place[own], value[own]))
+                    if sum(len(x[2]) for x in chosen[1 - k]) > SLICE_WORDS:
+                        yield taught(1 - k)
+            for k in range(2):
+                if chosen[k]:
+                    yield taught(k)
+
+        new = materialize(self.rows.mapInArrow(pick, _TAUGHT))
+        placed = new.select("view", "n", F.spark_partition_id().alias("task")).groupBy("view")
+        stored = placed.agg(F.sum("n").alias("n"), F.max("task").alias("task")).collect()
         for row in stored:
             self.taught[row["view"]] += row["n"]
         self.tasks += max((row["task"] + 1 for row in stored), default=0)
@@ -251,14 +284,12 @@ class _Unlabelled:
 
         def run(batches):
             total = [np.zeros(w + 1) for w in widths]
-            for part in _slices(batches):
-                for k in range(2):
-                    own = part.filter(pc.equal(part.column("view"), k))
-                    if own.num_rows:
-                        view = _view(k, _unpacked(own.column("places"), None if k else own.column("counts")), models[k])
-                        slope, bias = view.slope(own.column("label").to_numpy().astype(float), np.ones(own.num_rows))
-                        total[k][:-1] += slope
-                        total[k][-1] += bias
+            for block in _blocks(batches):
+                k = block["view"]
+                view = _view(k, (_array(block, "places"), _array(block, "numbers"), _array(block, "sizes")), models[k])
+                slope, bias = view.slope(_array(block, "labels").astype(float), np.ones(block["n"]))
+                total[k][:-1] += slope
+                total[k][-1] += bias
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % GROUPS], pa.int32()),
                                               pa.array([np.concatenate(total).tobytes()], pa.binary())], ["part", "sums"])
 
@@ -334,7 +365,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
 
     # the few chosen ids go to the rows, so no row moves; a null id matches none of them
     free = every.join(chosen, "_id", "left_anti").withColumn("_key", F.xxhash64("_id", "text"))
-    free = free.drop("_id").mapInArrow(_packed, "key long, words binary, counts binary, facts binary")
+    free = free.drop("_id").mapInArrow(_packed, _POOL)
     labels_of, held = found.column("label").to_numpy(), found.column("held").to_numpy(zero_copy_only=False)
     return co_train(flat("tp", "tv"), flat("mp", "mv"), labels_of, held.astype(bool), _Unlabelled(materialize(free)))
 
