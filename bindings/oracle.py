@@ -249,6 +249,12 @@ UNNAMED = """unnamed AS (SELECT * REPLACE (CASE WHEN prd_key % 50 <> 7 THEN CAT
 SALES_TYPES = dict.fromkeys(SALES_COLUMNS, "bigint") | dict.fromkeys(("sls_ord_num", "sls_prd_key"), "string") | dict.fromkeys(
     ("sls_sales", "sls_price"), "double")
 
+def _page(direction: str) -> str:
+    return WITH_BASE + f"""SELECT sls_ord_num, line, prd_key, order_date, ship_date, due_date, CNTRY, CAT,
+        CAST(Revenue AS {MONEY}) AS Revenue FROM base ORDER BY base.Revenue {direction} NULLS LAST, sls_ord_num, line, prd_key, supplier,
+        sls_price, ship_date LIMIT 100 OFFSET 4900"""
+
+
 ORACLE = {
     # scans, texts, dates, measures
     "scan_filter_tables": "SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01'",
@@ -445,4 +451,44 @@ ORACLE = {
         FROM base ORDER BY CASE WHEN sls_ord_num % 2000 = 1 THEN base.ship_delay END NULLS LAST, sls_ord_num, line, prd_key, supplier,
         sls_price, ship_date LIMIT 100""",
     "row_count": "SELECT count(*) AS records FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
+    # versions, footers, pages
+    "warehouse_replace": WITH_BASE + "SELECT sls_ord_num, line, order_date, sls_price FROM base WHERE year(order_date) = 1997",
+    "write_metrics": _nulls(),
+    "read_back_check": f"WITH {RAW_CAT} SELECT * FROM raw_cat",
+    "stored_bounds": WITH_BASE + "SELECT " + ", ".join(
+        f"min({c}) AS min_{c}, max({c}) AS max_{c}, count({c}) AS count_{c}" for c in ("order_date", "ship_date", "sls_quantity")
+    ) + " FROM base",
+    "stored_month_counts": WITH_BASE + "SELECT CAST(date_trunc('month', order_date) AS DATE) AS order_month, count(*) AS records FROM base GROUP BY 1",
+    "explorer_page_50": _page("DESC"),
+    "explorer_page_50_ascending": _page("ASC"),
+    "explorer_after_row": WITH_BASE + """SELECT sls_ord_num, line, prd_key, CASE WHEN sls_ord_num % 50 = 1 THEN ship_delay END AS ship_delay
+        FROM base WHERE sls_ord_num % 50 <> 1 AND sls_ord_num > 300 ORDER BY sls_ord_num, line, prd_key, supplier, sls_price, ship_date LIMIT 100""",
+}
+# one pass for several marts, estimates, guards
+ORACLE |= {
+    "shared_marts": " UNION ALL ".join((
+        f"SELECT 'month' AS mart, CAST(order_date AS VARCHAR) AS k1, CAST(NULL AS VARCHAR) AS k2, ROUND(CAST(Revenue AS DOUBLE), 2) AS v FROM ({ORACLE['monthly_revenue']})",
+        f"SELECT 'trend', CAST(order_date AS VARCHAR), CAT, ROUND(CAST(Revenue AS DOUBLE), 2) FROM ({ORACLE['category_trend']})",
+        f"SELECT 'country', CNTRY, NULL, ROUND(CAST(Revenue AS DOUBLE), 2) FROM ({ORACLE['country_top10']})",
+        f"SELECT 'margin', CAT, NULL, Margin FROM ({ORACLE['margin_by_category']})",
+        f"SELECT 'product', CAT, SUBCAT, ROUND(CAST(Revenue AS DOUBLE), 2) FROM ({ORACLE['product_hierarchy']}) WHERE level = 2",
+        f"SELECT 'fulfilment', MAINTENANCE, CAT, ROUND(order_to_ship_days, 6) FROM ({ORACLE['fulfilment_time']})",
+        f"SELECT 'delay', CNTRY, NULL, ROUND(ship_delay, 6) FROM ({ORACLE['country_ops']})",
+        f"SELECT 'total', NULL, NULL, avg_margin FROM ({ORACLE['sales_kpis']})",
+    )),
+    "grouped_totals": WITH_BASE + f"""SELECT concat_ws(',', CASE WHEN grouping(CAT) = 0 THEN 'CAT' END, CASE WHEN grouping(CNTRY) = 0 THEN 'CNTRY' END,
+            CASE WHEN grouping(MAINTENANCE) = 0 THEN 'MAINTENANCE' END) AS grouping, CNTRY, CAT, MAINTENANCE, count(*) AS rows,
+        CAST(sum(Revenue) AS {MONEY}) AS Revenue, CAST(sum(Profit) AS {MONEY}) AS Profit
+        FROM base GROUP BY GROUPING SETS ((CNTRY), (CAT, MAINTENANCE), ())""",
+    "active_estimates": WITH_BASE + """SELECT CNTRY, count(DISTINCT CID) AS customers, count(DISTINCT sls_ord_num) AS orders, true AS customers_near,
+        true AS orders_near FROM base WHERE order_date >= DATE '1997-01-01' AND CNTRY IS NOT NULL GROUP BY CNTRY""",
+    "quantile_estimates": WITH_BASE + "SELECT GEN, count(*) AS sales_rows, true AS quartiles_near FROM base WHERE GEN IS NOT NULL GROUP BY GEN",
+    "column_guard": WITH_BASE + """SELECT sls_ord_num, line, order_date, sls_quantity, sls_price, Revenue,
+        CAST(date_trunc('month', order_date) AS DATE) AS order_year_month, order_date AS order_date_display FROM base""",
+    "empty_input": f"""SELECT CAST(0 AS {MONEY}) AS total_revenue, CAST(NULL AS DOUBLE) AS avg_margin, count(*) AS active_customers,
+        CAST(NULL AS DOUBLE) AS avg_order_value, count(*) AS countries, count(*) AS months FROM orders WHERE o_orderdate < DATE '1900-01-01'""",
+    "warehouse_medians": f"""WITH {FACT_TABLES} SELECT ROUND(median(sls_sales), 4) AS sls_sales, ROUND(median(sls_price), 4) AS sls_price,
+        ROUND(median(prd_cost), 4) AS prd_cost FROM fact""",
+    "warehouse_first_rows": f"""WITH {FACT_TABLES} SELECT sls_ord_num, prd_key, prd_id, CID, l_linenumber AS line FROM fact
+        QUALIFY row_number() OVER (PARTITION BY sls_ord_num ORDER BY {ROW_ORDER}) = 1""",
 }

@@ -11,16 +11,16 @@ from bindings import testdata as td
 from bindings.testdata import AS_OF, base, table
 from tradeloom import config
 from tradeloom.functions import dates, numbers, text
-from tradeloom.marts import customers, explorer, operations, products, sales
+from tradeloom.marts import customers, explorer, operations, pages, products, sales, shared, sketches
 from tradeloom.materialize import materialize, new_path
 from tradeloom.operators import cleaning, profile, ranking
 from tradeloom.operators.filters import filter_sales
-from tradeloom.plans import dashboard
+from tradeloom.plans import dashboard, warehouse
 from tradeloom.plans.dimensions import build_customer, build_product
 from tradeloom.plans.fact import build_fact
 from tradeloom.plans.staging import stage
 from tradeloom.plans.warehouse import build_warehouse, convert_dates
-from tradeloom.sources import readers, writers
+from tradeloom.sources import footers, readers, versions, writers
 
 MONEY = "decimal(28,2)"
 
@@ -418,16 +418,12 @@ def category_trend(spark, d):
 # --- customer mart ---------------------------------------------------------------------------------------------
 
 
-def _rfm_base(spark, d):
-    """Stored, as the customer mart reads it more than once."""
-    rows = base(spark, d, "sls_ord_num", "CID", "order_date", "birth_date", "GEN", "CNTRY", "CAT", *PROFIT)
-    return materialize(rows.select(
-        "sls_ord_num", "CID", "order_date", "GEN", "CNTRY", "CAT", "customer_age", "Revenue", "Profit"
-    ))
+def _rfm_rows(spark, d):
+    return base(spark, d, "sls_ord_num", "CID", "order_date", "birth_date", "GEN", "CNTRY", "CAT", *PROFIT)
 
 
 def _segments(spark, d):
-    return customers.build_segments(_rfm_base(spark, d), AS_OF)
+    return customers.build_segments(_rfm_rows(spark, d), AS_OF)
 
 
 METRICS = (
@@ -439,7 +435,7 @@ METRICS = (
 
 
 def customer_metrics(spark, d):
-    return typed(customers.customer_metrics(_rfm_base(spark, d), AS_OF), METRICS)
+    return typed(customers.customer_metrics(_rfm_rows(spark, d), AS_OF), METRICS)
 
 
 def first_values(spark, d):
@@ -451,12 +447,12 @@ def first_values(spark, d):
         "CNTRY": td._one_of(order + line, None, None, "FRANCE", "SPAIN", "ITALY"),
         "customer_age": F.when(line % 3 != 0, order % 60),
     })
-    found = customers.customer_metrics(materialize(changing), AS_OF, ("order_date", "sls_ord_num", "line"))
+    found = customers.customer_metrics(changing, AS_OF, ("order_date", "sls_ord_num", "line"))
     return typed(found, "CID:bigint country:string gender:string age:bigint")
 
 
 def rfm_scores(spark, d):
-    metrics = materialize(customers.customer_metrics(_rfm_base(spark, d), AS_OF))
+    metrics = materialize(customers.customer_metrics(_rfm_rows(spark, d), AS_OF))
     return typed(
         customers.rfm_scores(metrics),
         f"CID:bigint recency_days:bigint total_orders:bigint total_revenue:{MONEY} "
@@ -625,6 +621,167 @@ def row_count(spark, d):
     return explorer.record_count(td.warehouse(spark, d, "sls_ord_num"))
 
 
+# --- versions, footers, pages ------------------------------------------------------------------------------------
+
+
+def warehouse_replace(spark, d):
+    """The third write fails its check, so the second version is what readers see."""
+    root = new_path(spark)
+    rows = td.warehouse(spark, d, "sls_ord_num", "line", "order_date", "sls_price")
+    versions.replace(rows, root)
+    versions.replace(versions.read(spark, root).where("year(order_date) = 1997"), root)
+    try:
+        versions.replace(rows.where("line > 3"), root, check=versions.expect_rows(-1))
+    except RuntimeError:
+        pass
+    return typed(versions.read(spark, root), "sls_ord_num:bigint line:int order_date:date sls_price:decimal(18,2)")
+
+
+def write_metrics(spark, d):
+    """Null counts that the writing job took, next to the version it made."""
+    raw = _visible(td.raw_sales(spark, d))
+    found = versions.replace(raw, new_path(spark), metrics=versions.null_metrics(raw))
+    return versions.null_report(spark, found)
+
+
+def read_back_check(spark, d):
+    target, rows = new_path(spark), td.raw_cat(spark, d)
+    writers.write_table(rows, target)
+    return writers.verify_write(spark, target, rows.count(), n=1_000_000)
+
+
+def _stored_warehouse(spark, d):
+    target = new_path(spark)
+    writers.write_warehouse(td.warehouse(spark, d, "sls_ord_num", "order_date", "ship_date", "sls_quantity"), target)
+    return target
+
+
+def stored_bounds(spark, d):
+    path = _stored_warehouse(spark, d)
+    return footers.bounds(spark, path, ["order_date", "ship_date", "sls_quantity"])
+
+
+def stored_month_counts(spark, d):
+    return footers.folder_counts(spark, _stored_warehouse(spark, d))
+
+
+PAGE_COLUMNS = ("sls_ord_num", "line", "prd_key", "supplier", "order_date", "ship_date", "due_date", "CNTRY", "CAT")
+PAGE_TIE = ("sls_ord_num", "line", "prd_key", "supplier", "sls_price", "ship_date")
+PAGE_TYPES = f"sls_ord_num:bigint line:int prd_key:bigint order_date:date ship_date:date due_date:date CNTRY:string CAT:string Revenue:{MONEY}"
+
+
+def explorer_page_50(spark, d):
+    rows = base(spark, d, *PAGE_COLUMNS, *SALES)
+    return typed(pages.build_pages(rows, "Revenue", False, PAGE_TIE).page(50), PAGE_TYPES)
+
+
+def explorer_page_50_ascending(spark, d):
+    rows = base(spark, d, *PAGE_COLUMNS, *SALES)
+    return typed(pages.build_pages(rows, "Revenue", True, PAGE_TIE).page(50), PAGE_TYPES)
+
+
+def explorer_after_row(spark, d):
+    """The hundred rows after a place that no row has, among values that most rows lack."""
+    rows = base(spark, d, *PAGE_COLUMNS[:4], "ship_date", "due_date", "sls_price")
+    rows = rows.withColumn("ship_delay", F.when(F.col("sls_ord_num") % 50 == 1, F.col("ship_delay")))
+    found = pages.build_pages(rows, "ship_delay", False, PAGE_TIE)
+    return typed(found.after({"ship_delay": None, "sls_ord_num": 300, **{c: None for c in PAGE_TIE[1:]}}),
+                 "sls_ord_num:bigint line:int prd_key:bigint ship_delay:bigint")
+
+
+# --- one pass for several marts, estimates -----------------------------------------------------------------------
+
+
+def _cube(spark, d):
+    rows = base(spark, d, "order_date", "ship_date", "due_date", "CNTRY", "CAT", "SUBCAT", "prd_nm", "MAINTENANCE", *PROFIT)
+    return materialize(shared.sales_cube(rows))
+
+
+def shared_marts(spark, d):
+    """Seven results of the sales, product and operations marts from one scan of the sales."""
+    cube = _cube(spark, d)
+    text, none = lambda c: F.col(c).cast("string"), F.lit(None).cast("string")
+
+    def rows(name, df, first, second, value, digits=6):
+        return df.select(F.lit(name).alias("mart"), first.alias("k1"), second.alias("k2"), F.round(F.col(value).cast("double"), digits).alias("v"))
+
+    parts = [
+        rows("month", shared.monthly_revenue(cube), text("order_date"), none, "Revenue", 2),
+        rows("trend", shared.category_trend(cube), text("order_date"), text("CAT"), "Revenue", 2),
+        rows("country", shared.country_top(cube), text("CNTRY"), none, "Revenue", 2),
+        rows("margin", shared.margin_by_category(cube), text("CAT"), none, "Margin"),
+        rows("product", shared.product_hierarchy(cube).where("level = 2"), text("CAT"), text("SUBCAT"), "Revenue", 2),
+        rows("fulfilment", shared.fulfilment_time(cube), text("MAINTENANCE"), text("CAT"), "order_to_ship_days"),
+        rows("delay", shared.country_ops(cube), text("CNTRY"), none, "ship_delay"),
+        rows("total", shared.sales_totals(cube), none, none, "avg_margin"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def grouped_totals(spark, d):
+    found = shared.group_totals(_cube(spark, d), [("CNTRY",), ("CAT", "MAINTENANCE"), ()])
+    return typed(found, f"grouping:string CNTRY:string CAT:string MAINTENANCE:string rows:bigint Revenue:{MONEY} Profit:{MONEY}")
+
+
+def active_estimates(spark, d):
+    """Exact distinct customers and orders per country since 1997, and whether the merged sketches are within five standard errors."""
+    rows = base(spark, d, "sls_ord_num", "CID", "order_date", "CNTRY")
+    since = rows.where("order_date >= date'1997-01-01' and CNTRY is not null")
+    exact = since.groupBy("CNTRY").agg(F.countDistinct("CID").alias("customers"), F.countDistinct("sls_ord_num").alias("orders"))
+    stored = sketches.of_months(materialize(sketches.month_sketches(rows)), "1997-01-01")
+    error = 5 * 1.04 / 2 ** (sketches.LG_BUCKETS / 2)
+    near = lambda c: F.abs(F.col(f"{c}_estimate") - F.col(c)) <= F.lit(error) * F.col(c) + 0.5
+    met = exact.join(sketches.distinct_estimates(stored, ["CNTRY"]), "CNTRY")
+    return met.select("CNTRY", "customers", "orders", near("customers").alias("customers_near"), near("orders").alias("orders_near"))
+
+
+def quantile_estimates(spark, d):
+    """Rows per gender, and whether estimated quartiles of the revenue have nearly the wanted rank among them."""
+    rows = base(spark, d, "order_date", "GEN", *SALES).where("GEN is not null")
+    stored = materialize(sketches.month_sketches(rows, ["GEN"]))
+    found = sketches.quantile_estimates(stored, [0.25, 0.5, 0.75], ["GEN"])
+    ranked = rows.select("GEN", F.col("Revenue").cast("double").alias("v")).join(found, "GEN")
+    below = [F.avg((F.col("v") < F.col("revenue_quantiles")[i]).cast("int")) for i in range(3)]
+    upto = [F.avg((F.col("v") <= F.col("revenue_quantiles")[i]).cast("int")) for i in range(3)]
+    near = F.lit(True)
+    for want, low, high in zip((0.25, 0.5, 0.75), below, upto):
+        near = near & (low <= want + 0.012) & (high >= want - 0.012)
+    return ranked.groupBy("GEN").agg(F.count("*").alias("sales_rows"), near.alias("quartiles_near"))
+
+
+# --- guards ------------------------------------------------------------------------------------------------------
+
+
+def column_guard(spark, d):
+    """Without cost and shipment columns the base has no profit, margin or delay."""
+    return dashboard.dashboard_base(td.warehouse(spark, d, "sls_ord_num", "line", "order_date", "sls_quantity", "sls_price"), AS_OF)
+
+
+def empty_input(spark, d):
+    """Marts over no rows: totals of 0, means that are null."""
+    none = base(spark, d, "CID", "order_date", "ship_date", "due_date", "CNTRY", *PROFIT).where("order_date < date'1900-01-01'")
+    kpis = typed(sales.sales_kpis(none), f"total_revenue:{MONEY} avg_margin:double active_customers:bigint avg_order_value:double")
+    groups = operations.country_ops(none).agg(F.count("*").alias("countries"))
+    months = sales.monthly_revenue(none).agg(F.count("*").alias("months"))
+    return kpis.withColumns({"countries": groups.scalar(), "months": months.scalar()})
+
+
+def warehouse_medians(spark, d):
+    """First step of the cleaning: medians over the joined rows."""
+    found = cleaning.medians(_fact(spark, d), ["sls_sales", "sls_price", "prd_cost"])
+    return found.select(*(F.round(c, 4).alias(c) for c in found.columns))
+
+
+def warehouse_first_rows(spark, d):
+    """Second step: which joined row of each order number stays."""
+    order = [c for c in warehouse.ROW_ORDER if c != "_cat_row"]
+    kept = cleaning.keep_first(_fact(spark, d), "sls_ord_num", order)
+    return kept.select("sls_ord_num", "prd_key", "prd_id", "CID", F.col("_sales_row.l_linenumber").alias("line"))
+
+
 KEYS = (
     "age_by_gender age_floor_365 age_gender_revenue age_trunc_365 category_id_slice category_path category_trend "
     "columns_equal country_ops country_top10 customer_dim customer_kpis customer_metrics daily_orders dashboard_base dates_unbounded "
@@ -634,6 +791,9 @@ KEYS = (
     "monthly_revenue na_tokens new_vs_returning null_profile null_profile_types order_density_calendar order_ship_delay parse_iso_date "
     "parse_yyyymmdd product_characteristics product_code_suffix product_dim product_hierarchy product_hierarchy_nulls product_profile product_profile_nulls revenue_measures "
     "rfm_scores rfm_segments row_count sales_kpis scan_filter_tables segment_distribution segment_stats segment_stats_rounded stage_all_csv stage_csv strip_hyphen_key "
-    "timestamp_dates upper_trim warehouse_clean warehouse_clean_active warehouse_round_trip wide_fact wide_fact_fanout zscore_filter zscore_filter_nan"
+    "timestamp_dates upper_trim warehouse_clean warehouse_clean_active warehouse_round_trip wide_fact wide_fact_fanout zscore_filter zscore_filter_nan "
+    "warehouse_replace write_metrics read_back_check stored_bounds stored_month_counts explorer_page_50 explorer_page_50_ascending "
+    "explorer_after_row shared_marts grouped_totals active_estimates quantile_estimates column_guard empty_input warehouse_medians "
+    "warehouse_first_rows"
 ).split()
 QUERIES = {key: globals()[key] for key in KEYS}

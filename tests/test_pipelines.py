@@ -1,5 +1,6 @@
 import datetime as dt
 
+import numpy as np
 import pytest
 
 from tradeloom.marts import customers, explorer, operations, products, sales
@@ -276,3 +277,22 @@ def test_nan_is_missing(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (float("nan"),)], "x double")
     assert sorted(r[0] for r in fill_median(df, ["x"]).collect()) == [1.0, 2.0, 2.0, 3.0]
     assert filter_zscore(df, ["x"]).count() == 3
+
+
+@pytest.mark.parametrize("kind", ["decimal(18,2)", "double"])
+def test_merged_spread_equals_the_spread_of_the_rows(spark, kind):
+    """Large amounts that hardly differ, a hot customer, single rows and missing amounts."""
+    rng = np.random.default_rng(8)
+    rows = [(1, i % 50, f"c{i % 4}", round(1e7 + float(rng.random()), 2)) for i in range(3000)]
+    rows += [(2, i, "c", float(i)) for i in range(5)] + [(3, 1, "c", 7.5), (4, 1, "c", None), (None, 1, "c", 1.0), (5, None, None, 2.0), (5, None, None, 4.0)]
+    df = spark.createDataFrame(rows, "CID long, sls_ord_num long, CAT string, amount double").repartition(5)
+    df = df.selectExpr("CID", "sls_ord_num", "CAT", f"cast(amount as {kind}) as Revenue", f"cast(1 as {kind}) as Profit", "date'2020-01-05' as order_date",
+                       "'X' as CNTRY", "'M' as GEN", "30 as customer_age")
+    got = {r["CID"]: r for r in customers.customer_metrics(df, AS_OF).collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5]
+    want = np.std([r[3] for r in rows if r[0] == 1], ddof=1)
+    assert got[1]["revenue_std"] == pytest.approx(want, rel=1e-9 if kind != "double" else 1e-3)
+    assert got[2]["revenue_std"] == pytest.approx(np.std(range(5), ddof=1))
+    assert got[3]["revenue_std"] is None and got[4]["revenue_std"] is None and got[5]["revenue_std"] == pytest.approx(2**0.5)
+    assert (got[1]["unique_orders"], got[1]["categories_bought"], got[1]["total_orders"]) == (50, 4, 3000)
+    assert (got[5]["unique_orders"], got[5]["categories_bought"], got[4]["total_revenue"]) == (0, 0, 0)

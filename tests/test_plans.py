@@ -99,3 +99,15 @@ def test_hot_customer_is_split_in_the_fact_join(spark):
 def test_small_dimensions_are_broadcast_by_size(spark):
     plan = q._fact(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"BroadcastHashJoin \[CID", plan) and re.search(r"BroadcastHashJoin \[prd_key", plan)
+
+
+def test_customer_metrics_scan_the_sales_once(spark, monkeypatch):
+    """The pass that stores the roll-up reads each table once, and nothing expands rows for distinct counts."""
+    from tradeloom.marts import customers
+
+    plans, store = [], customers.materialize
+    monkeypatch.setattr(customers, "materialize", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or store(df))
+    found = q.QUERIES["customer_metrics"](spark, SF)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) == 2 and plans[0].count("lineitem.parquet") == 1 and "lineitem" not in plans[1]
+    assert not any("Expand" in p for p in plans)

@@ -1,11 +1,13 @@
 import datetime as dt
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from tradeloom.materialize import materialize, release, released
+from tradeloom.materialize import materialize, new_path, release, released
 from tradeloom.plans.staging import stage
 from tradeloom.schemas import RAW_SCHEMAS
+from tradeloom.sources import footers, versions
 from tradeloom.sources.readers import read_raw, read_table, read_warehouse
 from tradeloom.sources.writers import export_csv, export_json, verify_write, write_table, write_warehouse
 
@@ -132,3 +134,67 @@ def test_materialize_keeps_schema_and_can_be_released(spark):
     release(spark)
     with pytest.raises(Exception):
         stored.collect()
+
+
+def test_a_failed_replace_leaves_the_old_rows(spark):
+    root = new_path(spark)
+    first = versions.replace(spark.range(10).toDF("a"), root)
+    assert (first["version"], first["rows"]) == (1, 10)
+    broken = spark.range(0, 1000, 1, 8).selectExpr("if(id = 997, raise_error('lost'), id) as a")
+    with pytest.raises(Exception, match="lost"):
+        versions.replace(broken, root)
+    assert versions.read(spark, root).count() == 10 and versions.versions(spark, root) == [1]
+    with pytest.raises(RuntimeError, match="expected 4"):
+        versions.replace(spark.range(3).toDF("a"), root, check=versions.expect_rows(4))
+    assert versions.read(spark, root).count() == 10
+    own = versions.read(spark, root).where("a < 6")  # a table may be replaced by what is read from it
+    assert versions.replace(own, root) == {"version": 2, "rows": 6}
+    assert versions.read(spark, root).count() == 6 and versions.read(spark, root, 1).count() == 10
+    versions.replace(spark.range(1).toDF("a"), root)
+    assert versions.versions(spark, root) == [2, 3]
+    folders = [p for p in Path(root.removeprefix("file://").removeprefix("file:")).iterdir() if p.name.startswith("data-")]
+    assert len(folders) == 2  # versions that expired and jobs that failed leave nothing
+    with pytest.raises(FileNotFoundError):
+        versions.read(spark, root, 1)
+    with pytest.raises(FileNotFoundError):
+        versions.read(spark, new_path(spark))
+
+
+def test_of_two_writers_of_a_version_the_second_stops(spark):
+    root = new_path(spark)
+    versions.replace(spark.range(2).toDF("a"), root)
+    versions._commit(spark, root, 2, "data-0000000002-other")
+    with pytest.raises(versions.VersionConflict):
+        versions._commit(spark, root, 2, "data-0000000002-mine")
+
+
+def test_a_write_counts_its_rows_and_nulls_without_a_second_read(spark):
+    rows = spark.range(0, 100, 1, 7).selectExpr("id as a", "if(id % 4 = 0, null, id) as b", "cast(null as string) as `c.d`")
+    root = new_path(spark)
+    found = versions.replace(rows.repartition(3), root, metrics=versions.null_metrics(rows))
+    assert found == {"version": 1, "rows": 100, "nulls:a": 0, "nulls:b": 25, "nulls:c.d": 100}
+    assert versions.replace(rows.limit(0), root, metrics=versions.null_metrics(rows))["rows"] == 0
+    assert versions.read(spark, root).count() == 0 and versions.read(spark, root).columns == ["a", "b", "c.d"]
+
+
+def test_versions_by_month(spark):
+    root = new_path(spark)
+    rows = spark.range(60).selectExpr("id", "add_months(date'2020-01-01', cast(id % 3 as int)) as m")
+    versions.replace(rows.hint("rebalance", "m"), root, partition_by=["m"])
+    assert versions.read(spark, root).where("m = date'2020-02-01'").count() == 20
+
+
+def test_counts_and_bounds_come_from_footers(spark, tmp_path):
+    target = str(tmp_path / "w")
+    rows = spark.range(100).selectExpr("id", "date_add(date'2020-01-01', cast(id as int)) as order_date", "if(id % 2 = 0, null, id) as b", "'x' as t")
+    write_warehouse(rows, target)
+    plans = [f._jdf.queryExecution().executedPlan().toString() for f in (
+        footers.row_count(spark, target), footers.bounds(spark, target, ["order_date", "b"]), footers.folder_counts(spark, target))]
+    assert all("PushedAggregation: [" in p and "PushedAggregation: []" not in p for p in plans)
+    assert footers.row_count(spark, target).first()[0] == 100
+    found = footers.bounds(spark, target, ["order_date", "b"]).first()
+    assert tuple(found) == (dt.date(2020, 1, 1), dt.date(2020, 4, 9), 100, 1, 99, 50)
+    assert footers.folder_counts(spark, target).orderBy("order_month").first()["records"] == 31
+    with pytest.raises(TypeError, match="t string"):
+        footers.bounds(spark, target, ["t"])
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"  # the caller's session is as it was

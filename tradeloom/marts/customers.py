@@ -4,6 +4,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tradeloom import config
 from tradeloom.functions.dates import as_of_date, days_between, month_end
@@ -17,29 +18,97 @@ from tradeloom.operators.quantiles import (
 FIVE_NUMBERS = {"min": (0, 1), "q1": (1, 4), "median": (1, 2), "q3": (3, 4), "max": (1, 1)}
 
 
+#: What a roll-up groups by: coarser groups are made from it without the sales rows.
+ROLLUP_KEYS = ("CID", "sls_ord_num", "CAT", "CNTRY", "GEN", "customer_age")
+
+
+def customer_rollup(base: DataFrame, order: Sequence[str] = ("order_date",)) -> DataFrame:
+    """One pass over the sales rows: mergeable measures per customer, order, category and attributes.
+
+    Counts, sums, bounds and the first place in ``order`` merge as they are.  The spread of the revenue merges
+    through moments: for decimals the exact sums of the unscaled numbers and of their squares, for doubles the squared distances
+    from each group's own mean.  Rows without customer are left out.
+    """
+    place = F.min(order[0]) if len(order) == 1 else F.min(F.struct(*order))
+    revenue = F.col("Revenue")
+    moments = [F.count(revenue).alias("n")]
+    if _scale(base) is None:
+        value = revenue.cast("double")
+        moments += [F.sum(value).alias("s1"), (F.var_pop(value) * F.count(value)).alias("m2")]
+    else:
+        units = _units(revenue, _scale(base))
+        moments += [F.sum(units).alias("s1"), F.sum((units * units).cast("decimal(38,0)")).alias("s2")]
+    return base.where(F.col("CID").isNotNull()).groupBy(*ROLLUP_KEYS).agg(
+        F.min("order_date").alias("first_order"), F.max("order_date").alias("last_order"),
+        F.count("order_date").alias("orders"), F.sum("Revenue").alias("revenue"), F.sum("Profit").alias("profit"),
+        place.alias("place"), *moments,
+    )
+
+
+def _scale(base: DataFrame) -> int | None:
+    """Decimal places of the revenue; none for other types."""
+    kind = base.schema["Revenue"].dataType
+    return kind.scale if isinstance(kind, T.DecimalType) else None
+
+
+def _units(revenue: Column, scale: int) -> Column:
+    """Whole number of the smallest unit; squares of 19 digits fit a decimal, and their sums are checked by Spark."""
+    return (revenue.cast(f"decimal(19,{scale})") * F.lit(10**scale).cast(f"decimal({scale + 1},0)")).cast("decimal(19,0)")
+
+
+def _spread(scale: int | None) -> Column:
+    """Sample standard deviation from merged moments; null below two values."""
+    n = F.sum("n").cast("double")
+    if scale is None:
+        deviations = F.sum("m2")
+    else:
+        # n * s2 - s1 * s1 loses nothing in decimals; only where these products pass 38 digits are they taken in doubles
+        whole = lambda c: F.sum(c).cast("decimal(38,0)")
+        product = lambda a, b: F.try_multiply(a, b).cast("decimal(38,0)")
+        exact = F.try_subtract(product(F.sum("n").cast("decimal(19,0)"), whole("s2")), product(whole("s1"), whole("s1")))
+        rough = n * F.sum("s2").cast("double") - F.sum("s1").cast("double") * F.sum("s1").cast("double")
+        deviations = F.try_divide(F.coalesce(exact.cast("double"), F.greatest(rough, F.lit(0.0))), n * F.lit(float(10 ** (2 * scale))))
+    return F.when(F.sum("n") > 1, F.sqrt(deviations / (n - 1)))
+
+
 def customer_metrics(base: DataFrame, as_of=None, order: Sequence[str] = ("order_date",)) -> DataFrame:
-    """One row per customer.  ``base`` is read twice: store it first if it is more than a scan.
+    """One row per customer, from one pass over ``base`` that stores a roll-up.
 
     Country, gender and age are the first non-null values in ``order``; between rows in the same
     place the smallest value counts.  ``total_orders`` counts rows, ``unique_orders`` order numbers.
     """
-    # Texts would turn the whole aggregation into a sort, so they are aggregated on their own;
-    # both results are partitioned by CID and join without another shuffle.
-    known = base.where(F.col("CID").isNotNull())
-    measured = known.groupBy("CID").agg(
-        F.min("order_date").alias("first_order"),
-        F.max("order_date").alias("last_order"),
-        F.count("order_date").alias("total_orders"),
-        total(F.col("Revenue")).alias("total_revenue"),
-        mean(F.col("Revenue")).alias("avg_order_value"),
-        F.stddev_samp("Revenue").alias("revenue_std"),
-        total(F.col("Profit")).alias("total_profit"),
-        F.countDistinct("sls_ord_num").alias("unique_orders"),
-        F.countDistinct("CAT").alias("categories_bought"),
+    return metrics_of_rollup(materialize(customer_rollup(base, order)), as_of, _scale(base))
+
+
+def metrics_of_rollup(rollup: DataFrame, as_of=None, scale: int | None = 2) -> DataFrame:
+    """Customer metrics from a stored :func:`customer_rollup`.
+
+    A hot customer's groups are spread: they meet per order, per category and per combination of
+    attributes before anything is summed per customer.  The three results are partitioned by customer.
+    """
+    sums = ("n", "s1", "m2" if scale is None else "s2", "orders", "revenue", "profit")
+    if scale is None:  # distances from each group's own mean become distances from the customer's
+        means = rollup.groupBy("CID").agg(F.try_divide(F.sum("s1"), F.sum("n").cast("double")).alias("_mean"))
+        off = F.try_divide(F.col("s1"), F.col("n").cast("double")) - F.col("_mean")
+        rollup = rollup.join(means, "CID").withColumn("m2", F.col("m2") + F.col("n") * off * off).drop("_mean")
+    per_order = rollup.groupBy("CID", "sls_ord_num").agg(
+        F.min("first_order").alias("first_order"), F.max("last_order").alias("last_order"),
+        *(F.sum(c).alias(c) for c in sums),
+    )
+    measured = per_order.groupBy("CID").agg(
+        F.min("first_order").alias("first_order"),
+        F.max("last_order").alias("last_order"),
+        F.sum("orders").alias("total_orders"),
+        total(F.col("revenue")).alias("total_revenue"),
+        F.try_divide(F.sum("revenue").cast("double"), F.sum("n").cast("double")).alias("avg_order_value"),
+        _spread(scale).alias("revenue_std"),
+        total(F.col("profit")).alias("total_profit"),
+        F.count("sls_ord_num").alias("unique_orders"),
     )
-    attributes = _first_values(known, {"CNTRY": "country", "GEN": "gender", "customer_age": "age"}, order)
+    bought = rollup.select("CID", "CAT").distinct().groupBy("CID").agg(F.count("CAT").alias("categories_bought"))
+    attributes = _first_values(rollup, {"CNTRY": "country", "GEN": "gender", "customer_age": "age"}, ["place"])
     lifespan = days_between(F.col("last_order"), F.col("first_order"))
-    return measured.join(attributes, "CID").select(
+    return measured.join(bought, "CID").join(attributes, "CID").select(
         "*",
         lifespan.alias("customer_lifespan_days"),
         days_between(as_of_date(as_of), F.col("last_order")).alias("recency_days"),
