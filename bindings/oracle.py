@@ -117,29 +117,29 @@ def _clean(key: str, required: str | None, extra: str = "") -> str:
         + ", ".join(f"monthname({d}) AS {d}_month" for d in DATES) + extra
     )
     not_null = " AND ".join(f"{c} IS NOT NULL" for c in (required.split() if required else _ALL_CLEAN))
-    return f"""WITH {FACT_TABLES}, middle AS MATERIALIZED (
-  SELECT median(sls_sales) AS m_sales, median(sls_price) AS m_price, median(prd_cost) AS m_cost FROM fact),
+    # Only numbers and keys are ranked; wide columns are taken for the rows that stay.
+    narrow = ", ".join(dict.fromkeys((key + ", " + ROW_ORDER).split(", ")))
+    within = lambda c: f"abs(({c} - (SELECT avg({c}) FROM filled)) / (SELECT stddev_pop({c}) FROM filled)) < 3"
+    return f"""WITH {FACT_TABLES},
+numbered AS MATERIALIZED (SELECT *, row_number() OVER () AS place FROM fact),
+narrow AS (SELECT place, {narrow} FROM numbered),
+first_rows AS MATERIALIZED (SELECT place FROM narrow QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY {ROW_ORDER}) = 1),
 filled AS MATERIALIZED (
   SELECT {', '.join(FACT_KEPT)}, cst_id, {ROW_ORDER.replace(', prd_id', '')},
          {dates},
          prd_end_dt IS NULL AS is_active_product,
-         coalesce(sls_sales, m_sales) AS sls_sales, coalesce(sls_price, m_price) AS sls_price,
-         coalesce(prd_cost, m_cost) AS prd_cost,
+         coalesce(sls_sales, (SELECT median(sls_sales) FROM numbered)) AS sls_sales,
+         coalesce(sls_price, (SELECT median(sls_price) FROM numbered)) AS sls_price,
+         coalesce(prd_cost, (SELECT median(prd_cost) FROM numbered)) AS prd_cost,
          coalesce(cst_firstname, 'Not Specified') AS cst_firstname,
          coalesce(cst_lastname, 'Not Specified') AS cst_lastname,
          coalesce(cst_marital_status, 'Not Specified') AS cst_marital_status,
          trim(upper(GEN)) AS GEN, trim(upper(CNTRY)) AS CNTRY
-  FROM fact, middle),
-first_rows AS MATERIALIZED (
-  SELECT * FROM filled QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY {ROW_ORDER}) = 1),
-stats AS (
-  SELECT avg(sls_quantity) AS mq, stddev_pop(sls_quantity) AS sq, avg(sls_price) AS mp, stddev_pop(sls_price) AS sp
-  FROM first_rows),
+  FROM numbered WHERE place IN (SELECT place FROM first_rows)),
 featured AS (
-  SELECT first_rows.*, CAST(floor(date_diff('day', birth_date, {AS_OF}) / 365.0) AS BIGINT) AS customer_age,
+  SELECT *, CAST(floor(date_diff('day', birth_date, {AS_OF}) / 365.0) AS BIGINT) AS customer_age,
          date_diff('day', order_date, ship_date) AS order_to_ship_days
-  FROM first_rows, stats
-  WHERE abs((sls_quantity - mq) / sq) < 3 AND abs((sls_price - mp) / sp) < 3)
+  FROM filled WHERE {within('sls_quantity')} AND {within('sls_price')})
 SELECT {visible} FROM featured WHERE {not_null}"""
 
 
@@ -491,4 +491,7 @@ ORACLE |= {
         ROUND(median(prd_cost), 4) AS prd_cost FROM fact""",
     "warehouse_first_rows": f"""WITH {FACT_TABLES} SELECT sls_ord_num, prd_key, prd_id, CID, l_linenumber AS line FROM fact
         QUALIFY row_number() OVER (PARTITION BY sls_ord_num ORDER BY {ROW_ORDER}) = 1""",
+    "wide_fact_bucketed": ORACLE["wide_fact"],
+    "median_estimates": f"""WITH {RAW_SALES} SELECT 'sls_sales' AS column_name, count(sls_sales) AS known, true AS near FROM raw_sales
+        UNION ALL SELECT 'sls_quantity', count(sls_quantity), true FROM raw_sales""",
 }

@@ -229,6 +229,20 @@ def median_fill(spark, d):
     return _median_filled(td.raw_sales(spark, d))
 
 
+def median_estimates(spark, d):
+    """Rows per column, and whether the estimated median has nearly the middle rank among them."""
+    rows, names = td.raw_sales(spark, d), ["sls_sales", "sls_quantity"]
+    found = cleaning.medians(rows, names, estimate=2000).select(*(F.col(c).alias(f"m_{c}") for c in names))
+    parts = []
+    for c in names:
+        value = F.col(c).cast("double")
+        known = rows.select(value.alias("v")).where("v is not null")
+        middle = found.select(f"m_{c}").scalar()
+        low, high = F.avg((F.col("v") < middle).cast("int")), F.avg((F.col("v") <= middle).cast("int"))
+        parts.append(known.agg(F.lit(c).alias("column_name"), F.count("*").alias("known"), ((low <= 0.505) & (high >= 0.495)).alias("near")))
+    return parts[0].unionByName(parts[1])
+
+
 def median_fill_nan(spark, d):
     """Planted NaN counts as missing: it is filled and is no part of the median."""
     sales_ = F.when(F.col("sls_cust_id") % 10 == 3, float("nan")).otherwise(F.col("sls_sales"))
@@ -349,6 +363,13 @@ def wide_fact(spark, d):
     return _visible(_fact(spark, d))
 
 
+def wide_fact_bucketed(spark, d):
+    """The wide fact from sales stored in buckets of the customer key."""
+    name = f"sales_{new_path(spark).rsplit('/', 1)[-1]}"
+    writers.write_bucketed(td.raw_sales(spark, d), name, new_path(spark), ["sls_cust_id"], 8)
+    return _visible(build_fact(spark.table(name), _customer(spark, d), _product(spark, d)))
+
+
 def wide_fact_fanout(spark, d):
     keys = td.raw_sales(spark, d).select("sls_ord_num", "sls_prd_key", "sls_cust_id")
     customer = _customer(spark, d).select("CID")
@@ -794,6 +815,6 @@ KEYS = (
     "timestamp_dates upper_trim warehouse_clean warehouse_clean_active warehouse_round_trip wide_fact wide_fact_fanout zscore_filter zscore_filter_nan "
     "warehouse_replace write_metrics read_back_check stored_bounds stored_month_counts explorer_page_50 explorer_page_50_ascending "
     "explorer_after_row shared_marts grouped_totals active_estimates quantile_estimates column_guard empty_input warehouse_medians "
-    "warehouse_first_rows"
+    "warehouse_first_rows wide_fact_bucketed median_estimates"
 ).split()
 QUERIES = {key: globals()[key] for key in KEYS}

@@ -111,3 +111,27 @@ def test_customer_metrics_scan_the_sales_once(spark, monkeypatch):
     plans.append(found._jdf.queryExecution().executedPlan().toString())
     assert len(plans) == 2 and plans[0].count("lineitem.parquet") == 1 and "lineitem" not in plans[1]
     assert not any("Expand" in p for p in plans)
+
+
+def test_bucketed_sales_are_not_moved_for_the_customer_join(spark):
+    """The rows of the stored buckets are joined where they are; a hot key is refused."""
+    from tradeloom.materialize import new_path
+    from tradeloom.sources.writers import write_bucketed
+
+    sales = spark.range(0, 20_000, 1, 4).selectExpr("id % 700 as sls_cust_id", "concat('P', id % 50) as sls_prd_key", "id")
+    write_bucketed(sales, "bucketed_sales", new_path(spark), ["sls_cust_id"], 6)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        customer = spark.range(700).selectExpr("id as CID", "concat('n', id) as name")
+        fact = build_fact(spark.table("bucketed_sales"), customer, spark.range(50).selectExpr("concat('P', id) as prd_key", "id as prd_id"))
+        plan = fact._jdf.queryExecution().executedPlan().toString().splitlines()
+        assert fact.count() == 20_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("DROP TABLE bucketed_sales")
+    joined = next(i for i, line in enumerate(plan) if "SortMergeJoin [CID" in line or "ShuffledHashJoin [CID" in line)
+    scan = next(i for i, line in enumerate(plan) if "Bucketed: true" in line)
+    assert joined < scan and not any("Exchange" in line for line in plan[joined:scan])
+    with pytest.raises(ValueError, match="largest"):
+        write_bucketed(sales.selectExpr("if(id % 3 > 0, 1, sls_cust_id) as sls_cust_id"), "hot", new_path(spark), ["sls_cust_id"], 16)

@@ -43,13 +43,22 @@ def quantiles(
     entries += [f"named_struct('_name', '{n}', '_v', double({e}), '_x', cast({e} as decimal(38,0)))" for n, e in positional.items()]
     values = df.selectExpr(*by, f"inline(array({', '.join(entries)}))").where("_v is not null")
 
-    # Stored, so that the planner picks the join from its size (one row per name and group).
-    brackets = materialize(_sketch_brackets(values, fractions, [*by, "_name"], accuracy))
-    rows = brackets.agg(F.sum("_n")).first()[0] or 0
+    keys = [*by, "_name"]
+    brackets = _sketch_brackets(values, fractions, keys, accuracy)
+    if by:
+        # Stored, so that the planner picks the join from its size (one row per name and group).
+        brackets = materialize(brackets)
+        rows = brackets.agg(F.sum("_n")).first()[0] or 0
+        located = values.join(brackets, keys)
+    else:
+        edges = brackets.collect()  # one row per requested name
+        rows = sum(r["_n"] for r in edges)
+        located = _with_brackets(values, edges)
 
-    counted = _count_by_value(values, brackets, len(fractions), [*by, "_name"])
-    ranged = _in_ranges(counted, [*by, "_name"], _ranges(rows, len(fractions), accuracy))
-    picked = _pick(_running_total(ranged, [*by, "_name"]), fractions, [*by, "_name"])
+    counted = _count_by_value(located, len(fractions), keys)
+    ranges = _ranges(rows, len(fractions), accuracy)
+    running = _running_total(_in_ranges(counted, keys, ranges), keys) if ranges > 1 else _short_total(counted, keys)
+    picked = _pick(running, fractions, keys)
 
     wide = [F.expr(f"max(case when _name = '{name}' then _linear end) as {name}") for name in interpolated]
     wide += [F.expr(f"max(case when _name = '{name}' then _exact end) as {name}") for name in positional]
@@ -64,11 +73,20 @@ def _sketch_brackets(values: DataFrame, fractions, keys, accuracy) -> DataFrame:
     return values.groupBy(*keys).agg(F.count("_v").alias("_n"), sketch.alias("_b"))
 
 
-def _count_by_value(values: DataFrame, brackets: DataFrame, targets: int, keys) -> DataFrame:
+def _with_brackets(values: DataFrame, edges) -> DataFrame:
+    """Give each row the row count and brackets of its name, which are few, as constants."""
+    found = F.lit(None).cast("struct<_n:bigint,_b:array<double>>")
+    for r in edges:
+        known = F.struct(F.lit(r["_n"]).cast("long").alias("_n"), F.array(*map(F.lit, r["_b"])).alias("_b"))
+        found = F.when(F.col("_name") == r["_name"], known).otherwise(found)
+    return values.withColumn("_k", found).select("*", "_k._n", "_k._b").drop("_k")
+
+
+def _count_by_value(located: DataFrame, targets: int, keys) -> DataFrame:
     """Row counts per distinct value inside a bracket and per gap between brackets."""
     inside = " or ".join(f"_v between _b[{2 * t}] and _b[{2 * t + 1}]" for t in range(targets))
     passed = " + ".join(f"int(_v > _b[{2 * t + 1}])" for t in range(targets))
-    located = values.join(brackets, keys).selectExpr(
+    located = located.selectExpr(
         *keys, "_n", "_v", "_x", f"case when not ({inside}) then {passed} end as _gap"
     )
     return located.groupBy(
@@ -91,6 +109,12 @@ def _in_ranges(counted: DataFrame, keys, ranges: int) -> DataFrame:
     return materialize(counted.repartitionByRange(ranges, *keys, "_v_min", "_x_min").withColumn("_range", F.spark_partition_id()))
 
 
+def _short_total(counted: DataFrame, keys) -> DataFrame:
+    """Add ``_end`` to counted values that fit one range: nothing is stored and no totals of ranges are needed."""
+    so_far = Window.partitionBy(*keys).orderBy("_v_min", "_x_min").rowsBetween(Window.unboundedPreceding, 0)
+    return counted.withColumn("_end", F.sum("_rows").over(so_far))
+
+
 def _running_total(ranged: DataFrame, keys) -> DataFrame:
     """Add ``_end``, the rows of a key up to and including this value.
 

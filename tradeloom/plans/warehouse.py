@@ -49,6 +49,7 @@ def clean_warehouse(
     bounds=config.DATE_BOUNDS,
     accuracy: int = SKETCH_ACCURACY,
     row_order: str | None = None,
+    estimate: int | None = None,
 ) -> DataFrame:
     """Imputed, de-duplicated, outlier-free sales with date features.
 
@@ -58,7 +59,7 @@ def clean_warehouse(
     the row, which removes every product without an end date; pass ``required`` to keep them.
 
     ``row_order`` names a column that keeps the place of the row in the raw tables, for marts that need the
-    first value in that order.
+    first value in that order.  ``estimate`` fills with estimated medians (see :func:`tradeloom.operators.cleaning.medians`).
     """
     missing = [c for c in order or () if isinstance(c, str) and c not in fact.columns]
     if missing:
@@ -71,7 +72,7 @@ def clean_warehouse(
     joined = materialize(
         convert_dates(fact, bounds).withColumn("is_active_product", F.col("product_end_date").isNull()).hint("rebalance")
     )
-    filled = fill_text(fill_median(joined, accuracy=accuracy)).withColumns({
+    filled = fill_text(fill_median(joined, accuracy=accuracy, estimate=estimate)).withColumns({
         "GEN": standardise_text(F.col("GEN")),
         "CNTRY": standardise_text(F.col("CNTRY")),
     })

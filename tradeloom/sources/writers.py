@@ -1,5 +1,7 @@
 """Table, warehouse and export outputs; every write replaces its target as a whole."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -7,6 +9,8 @@ from tradeloom import config
 from tradeloom.functions.dates import month_of
 from tradeloom.sources.readers import read_table
 
+UNEVEN = 4.0  # a bucket may hold so many times the mean
+
 
 def write_table(df: DataFrame, target: str, fmt: str = "parquet", **options) -> None:
     """Replace a path, a catalog table (``fmt='table'``) or a JDBC table."""
@@ -35,6 +39,21 @@ def write_warehouse(df: DataFrame, target: str, fmt: str = "parquet") -> None:
         writer.format(fmt).save(target)
 
 
+def write_bucketed(df: DataFrame, table: str, path: str, keys: Sequence[str], buckets: int, uneven: float = UNEVEN) -> None:
+    """Replace a catalog table stored in buckets of its join keys, for tables that are joined by them again and again.
+
+    Joins by the keys then read the stored buckets without moving the rows.  A bucket is read by one task and cannot be split, so
+    a table whose largest bucket holds more than ``uneven`` times the mean (a hot key) is refused: stored plainly, its
+    joins are split at run time.
+    """
+    sizes = df.groupBy(F.pmod(F.hash(*keys), F.lit(buckets)).alias("bucket")).count()
+    found = sizes.agg(F.max("count").alias("most"), F.sum("count").alias("rows")).first()
+    if found["rows"] and found["most"] > uneven * max(found["rows"] / buckets, 1000):
+        raise ValueError(f"the largest of {buckets} buckets holds {found['most']} of {found['rows']} rows; store the table without buckets")
+    writer = df.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys)
+    writer.option("path", path).saveAsTable(table)
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     """CSV with a header, one part file per task; texts keep their outer spaces."""
     writer = df.write.mode("overwrite").option("header", True).option("escape", '"')
