@@ -18,6 +18,8 @@ from tradeloom.operators.quantiles import (
 FIVE_NUMBERS = {"min": (0, 1), "q1": (1, 4), "median": (1, 2), "q3": (3, 4), "max": (1, 1)}
 
 
+_HALF = 10**5  # unscaled amounts are squared in two halves
+
 #: What a roll-up groups by: coarser groups are made from it without the sales rows.
 ROLLUP_KEYS = ("CID", "sls_ord_num", "CAT", "CNTRY", "GEN", "customer_age")
 
@@ -26,22 +28,26 @@ def customer_rollup(base: DataFrame, order: Sequence[str] = ("order_date",)) ->
     """One pass over the sales rows: mergeable measures per customer, order, category and attributes.
 
     Counts, sums, bounds and the first place in ``order`` merge as they are.  The spread of the revenue merges
-    through moments: for decimals the exact sums of the unscaled numbers and of their squares, for doubles the squared distances
+    through moments: for decimals the exact sum of the squares of the unscaled numbers, for doubles the squared distances
     from each group's own mean.  Rows without customer are left out.
     """
     place = F.min(order[0]) if len(order) == 1 else F.min(F.struct(*order))
-    revenue = F.col("Revenue")
-    moments = [F.count(revenue).alias("n")]
-    if _scale(base) is None:
+    revenue, scale = F.col("Revenue"), _scale(base)
+    if scale is None:
         value = revenue.cast("double")
-        moments += [F.sum(value).alias("s1"), (F.var_pop(value) * F.count(value)).alias("m2")]
+        spread = (F.var_pop(value) * F.count(value)).alias("m2")
     else:
-        units = _units(revenue, _scale(base))
-        moments += [F.sum(units).alias("s1"), F.sum((units * units).cast("decimal(38,0)")).alias("s2")]
+        # squares in two halves of the unscaled number, as plain whole numbers; a sum that does not fit stops the job
+        units = (revenue.cast(f"decimal(18,{scale})") * F.lit(10**scale).cast(f"decimal({scale + 1},0)")).cast("long")
+        low = F.pmod(units, F.lit(_HALF))
+        high = F.try_divide(units - low, F.lit(_HALF)).cast("long")
+        parts = F.sum(high * high), F.sum(high * low), F.sum(low * low)
+        wide = [p.cast("decimal(38,0)") for p in parts]
+        spread = (wide[0] * F.lit(_HALF**2) + wide[1] * F.lit(2 * _HALF) + wide[2]).cast("decimal(38,0)").alias("s2")
     return base.where(F.col("CID").isNotNull()).groupBy(*ROLLUP_KEYS).agg(
         F.min("order_date").alias("first_order"), F.max("order_date").alias("last_order"),
         F.count("order_date").alias("orders"), F.sum("Revenue").alias("revenue"), F.sum("Profit").alias("profit"),
-        place.alias("place"), *moments,
+        F.count("Revenue").alias("n"), place.alias("place"), spread,
     )
 
 
@@ -51,11 +57,6 @@ def _scale(base: DataFrame) -> int | None:
     return kind.scale if isinstance(kind, T.DecimalType) else None
 
 
-def _units(revenue: Column, scale: int) -> Column:
-    """Whole number of the smallest unit; squares of 19 digits fit a decimal, and their sums are checked by Spark."""
-    return (revenue.cast(f"decimal(19,{scale})") * F.lit(10**scale).cast(f"decimal({scale + 1},0)")).cast("decimal(19,0)")
-
-
 def _spread(scale: int | None) -> Column:
     """Sample standard deviation from merged moments; null below two values."""
     n = F.sum("n").cast("double")
@@ -63,10 +64,10 @@ def _spread(scale: int | None) -> Column:
         deviations = F.sum("m2")
     else:
         # n * s2 - s1 * s1 loses nothing in decimals; only where these products pass 38 digits are they taken in doubles
-        whole = lambda c: F.sum(c).cast("decimal(38,0)")
+        s1 = (F.sum("revenue").cast(f"decimal(38,{scale})") * F.lit(10**scale).cast(f"decimal({scale + 1},0)")).cast("decimal(38,0)")
         product = lambda a, b: F.try_multiply(a, b).cast("decimal(38,0)")
-        exact = F.try_subtract(product(F.sum("n").cast("decimal(19,0)"), whole("s2")), product(whole("s1"), whole("s1")))
-        rough = n * F.sum("s2").cast("double") - F.sum("s1").cast("double") * F.sum("s1").cast("double")
+        exact = F.try_subtract(product(F.sum("n").cast("decimal(19,0)"), F.sum("s2").cast("decimal(38,0)")), product(s1, s1))
+        rough = n * F.sum("s2").cast("double") - s1.cast("double") * s1.cast("double")
         deviations = F.try_divide(F.coalesce(exact.cast("double"), F.greatest(rough, F.lit(0.0))), n * F.lit(float(10 ** (2 * scale))))
     return F.when(F.sum("n") > 1, F.sqrt(deviations / (n - 1)))
 
@@ -86,10 +87,10 @@ def metrics_of_rollup(rollup: DataFrame, as_of=None, scale: int | None = 2) -> D
     A hot customer's groups are spread: they meet per order, per category and per combination of
     attributes before anything is summed per customer.  The three results are partitioned by customer.
     """
-    sums = ("n", "s1", "m2" if scale is None else "s2", "orders", "revenue", "profit")
+    sums = ("n", "m2" if scale is None else "s2", "orders", "revenue", "profit")
     if scale is None:  # distances from each group's own mean become distances from the customer's
-        means = rollup.groupBy("CID").agg(F.try_divide(F.sum("s1"), F.sum("n").cast("double")).alias("_mean"))
-        off = F.try_divide(F.col("s1"), F.col("n").cast("double")) - F.col("_mean")
+        means = rollup.groupBy("CID").agg(F.try_divide(F.sum("revenue"), F.sum("n").cast("double")).alias("_mean"))
+        off = F.try_divide(F.col("revenue"), F.col("n").cast("double")) - F.col("_mean")
         rollup = rollup.join(means, "CID").withColumn("m2", F.col("m2") + F.col("n") * off * off).drop("_mean")
     per_order = rollup.groupBy("CID", "sls_ord_num").agg(
         F.min("first_order").alias("first_order"), F.max("last_order").alias("last_order"),
