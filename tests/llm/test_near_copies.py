@@ -68,3 +68,15 @@ def test_row_without_id_does_not_hide_its_copies(spark):
     got = {r["id"]: r["component_id"] for r in jaccard.join(docs).collect()}
     assert got == {None: None, 5: 5, 6: 5}
     assert {r["doc_id"] for r in jaccard.dedup(docs).collect()} == {None, 5}
+
+
+def test_different_texts_of_one_id_are_kept_apart(spark):
+    """Nothing is lost under a repeated id, in the operator and in the stage; equal rows still count once."""
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(1, a, "en", "x"), (1, b, "en", "x"), (1, b, "en", "x"), (2, b, "en", "x"), (2, c, "en", "x"), (3, a + " tail", "en", "x"),
+            (4, None, "en", "x"), (4, "", "en", "x"), (None, a, "en", "x")]
+    docs = docs_of(spark, rows)
+    want = sorted([("1", a), ("1", b), ("2", c), ("4", "None"), ("4", ""), ("None", a)])
+    for kept in (jaccard.dedup(docs, words=5, percent=80), corpus_pipeline.drop_near_duplicates(spark, docs, "")):
+        assert kept.columns == docs.columns
+        assert sorted((str(r["doc_id"]), str(r["text"])) for r in kept.collect()) == want

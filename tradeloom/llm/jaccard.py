@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from tradeloom.llm.graph import components, smallest_reached
 from tradeloom.materialize import materialize
+from tradeloom.operators.ranking import global_rank
 
 WORDS, PERCENT = 3, 90  # the contract of op10; the pipeline passes its own
 BAND_RATIO = 1.5
@@ -449,7 +450,26 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` of which one stays per component, that with the smallest id; rows without id stay."""
-    kept = join(docs, id_col, text, words, percent).where("id = component_id").select(F.col("id").alias(id_col)).distinct()
-    one_each = docs.join(kept.withColumn(id_col, F.col(id_col).cast(docs.schema[id_col].dataType)), id_col, "left_semi")
-    return one_each.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)
+    """The rows of ``docs`` of which one stays per component, that with the smallest id; rows without id stay.
+
+    Rows equal in id and text are one document, of which any one stays.  Different texts under one id are documents of
+    their own: each may stay or go, and of those in one component that with the smallest id, then text digest, stays.
+    """
+    digest = F.coalesce(F.sha2(F.col(f"`{text}`"), 256), F.lit("null"))
+    named = docs.where(F.col(f"`{id_col}`").isNotNull())
+    keys = named.select(F.col(f"`{id_col}`").cast("long").alias("_id"), digest.alias("_digest"))
+    several = keys.groupBy("_id").agg(F.min("_digest").alias("low"), F.max("_digest").alias("high")).where("low < high")
+    if several.isEmpty():
+        kept = join(named, id_col, text, words, percent).where("id = component_id").select(F.col("id").alias(id_col)).distinct()
+        one_each = named.join(kept.withColumn(id_col, F.col(id_col).cast(docs.schema[id_col].dataType)), id_col, "left_semi")
+        one_each = one_each.dropDuplicates([id_col])
+    else:
+        # numbers in the order of id and digest are the nodes, so the smallest number of a component is its survivor
+        numbers = materialize(global_rank(keys.distinct(), "_id", ["_digest"], "_node"))
+        box = named.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+        own = F.col("_row")[id_col].cast("long"), F.coalesce(F.sha2(F.col("_row")[text], 256), F.lit("null"))
+        rows = materialize(box.withColumn("_id", own[0]).withColumn("_digest", own[1]).join(numbers, ["_id", "_digest"]))
+        kept = join(rows.select("_node", F.col("_row")[text].alias("text")), "_node", "text", words, percent)
+        kept = kept.where("id = component_id").select(F.col("id").alias("_node")).distinct()
+        one_each = rows.join(kept, "_node", "left_semi").dropDuplicates(["_node"]).select("_row.*")
+    return one_each.select(*docs.columns).unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
