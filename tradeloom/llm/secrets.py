@@ -172,13 +172,18 @@ def _scanned(docs: DataFrame, text: str) -> DataFrame:
     rows = boxed(docs, "spans").withColumn("_text", F.coalesce(F.col("_row")[text], F.lit("")))
     base = F.concat(_spans(F.col("_text"), ASSIGN, 0, 2, MIN_VALUE), _spans(F.col("_text"), ACCESS, 1), _spans(F.col("_text"), HEX, 2))
     mixed = lambda s: F.rlike(s["value"], F.lit("[0-9]")) & F.rlike(s["value"], F.lit("[A-Za-z]"))
-    rows = rows.withColumns({"_base": base, "_runs": F.filter(_spans(F.col("_text"), CANDIDATE, 3), mixed)})
-    rows = rows.withColumn("_runs", F.filter("_runs", lambda s: ~_overlaps(s, F.col("_base"))))
-    banded = F.transform("_runs", lambda s: F.struct(
-        s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value"),
-        _band(s["end"] - s["start"]).alias("band"),
-    ))
-    return rows.withColumn("_found", banded).drop("_text", "_runs")
+
+    def banded(x):
+        free = F.filter(x["runs"], lambda s: ~_overlaps(s, x["base"]))
+        return F.struct(x["base"].alias("base"), F.transform(free, lambda s: F.struct(
+            s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value"),
+            _band(s["end"] - s["start"]).alias("band"),
+        )).alias("found"))
+
+    # both arrays are bound before the function of each candidate uses them: as columns they would be found anew for each
+    runs = F.filter(_spans(F.col("_text"), CANDIDATE, 3), mixed)
+    rows = rows.withColumn("_scan", _let(F.struct(base.alias("base"), runs.alias("runs")), banded))
+    return rows.select("_row", F.col("_scan.base").alias("_base"), F.col("_scan.found").alias("_found"))
 
 
 def fit(docs: DataFrame, text: str = "text") -> tuple[list[float], list[float]]:
