@@ -29,7 +29,7 @@ STEPS, RATE, DECAY = 40, 0.5, 1e-4
 HELD_OUT = 5  # one labelled document in so many calibrates
 FACTS = 8  # metadata of a document
 BINS_PER_UNIT, FARTHEST = 512, 30  # of the histogram of log-odds
-SLICE_ROWS, SLICE_WORDS = 1000, 1 << 21  # of a block of stored documents
+SLICE_ROWS, SLICE_WORDS = 250, 1 << 18  # of a block of stored documents
 SLOPES, GROUPS = 32, 16  # more slopes than that are added up in groups before they reach the driver
 
 
