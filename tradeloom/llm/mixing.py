@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tradeloom.llm.rows import boxed, unboxed
 from tradeloom.materialize import materialize
+from tradeloom.operators.ranking import global_rank
 
 SIZE_PATTERN = r"[^\x20\x09-\x0D]+"
 RANK_BITS, DIGIT_BITS = 50, 10
@@ -68,10 +69,33 @@ def log_weight(size: Column) -> Column:
 def _draw(doc_id: Column, text: Column, seed: int) -> Column:
     """Reproducible number in (0, 1); documents without id draw by their text."""
     key = F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), F.coalesce(text, F.lit(""))))
-    bits = F.conv(F.substring(F.md5(F.concat(key, F.lit(f":{seed}"))), 1, 12), 16, 10).cast("long")
+    return _uniform(F.concat(key, F.lit(f":{seed}")))
+
+
+def _uniform(key: Column) -> Column:
+    bits = F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("long")
     return (bits + F.lit(0.5)) / F.lit(float(2**48))
 
 
+def _apart(sized: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Give rows that draw alike draws of their own, from the first draw and the row's number among them.
+
+    The numbers come from a ranking by range, so a group that holds a third of all rows is spread over tasks.  Which of the
+    rows gets which number does not matter, as they agree in all that the mix looks at; they are stored so that a row
+    keeps its number.
+    """
+    stored = materialize(sized.withColumn("_n", F.monotonically_increasing_id()))
+    alike = F.xxhash64(F.col("_source").isNull(), "_source", "size", "_u")
+    groups = repeated.select(alike.alias("_alike"))
+    rows = stored.select("_n", "_u", alike.alias("_alike")).join(groups, "_alike", "left_semi")
+    ranked = materialize(global_rank(rows, "_alike", ["_n"], "_at"))
+    firsts = ranked.groupBy("_alike").agg(F.min("_at").alias("_first"))
+    number = F.col("_at") - F.col("_first")
+    own = F.when(number == 0, F.col("_u")).otherwise(_uniform(F.concat_ws(":", F.col("_u").cast("string"), number)))
+    draws = materialize(ranked.join(firsts, "_alike").select("_n", own.alias("_own")))
+    return stored.join(draws, "_n", "left").withColumn("_u", F.coalesce("_own", "_u")).drop("_n", "_own")
+
+
 def _edges(rows: DataFrame, gaps: DataFrame) -> DataFrame:
     """Per source the largest rank such that all rows up to it fill no more than ``gap``: ``(key, gap, edge, got)``."""
     active = rows.join(gaps.where("gap > 0"), "key").where("size <= gap and size > 0")
@@ -122,8 +146,8 @@ def mix(
 
     ``doc_weight`` maps the size column to a positive whole number; the chance of the extra copy is proportional to it
     (``None``: equal chances).  A null source is a source of its own; null and empty texts have size 0 and take part only
-    with certain copies.  Rows that agree in id and size draw the same rank and are taken or left together.  An
-    empty table stays empty.  Columns of the added names are replaced.
+    with certain copies.  Rows that agree in id, source and size are numbered and draw one by one; with them the rows are stored
+    once.  An empty table stays empty.  Columns of the added names are replaced.
     """
     added = ("size", "source_size", "target", "copies")
     of = lambda c: F.col("_row")[c]
@@ -131,6 +155,10 @@ def mix(
         "size": words(of(text)), "_u": _draw(of(doc_id), of(text), seed), "_source": of(source),
     }).withColumn("_w", doc_weight(F.col("size")) if doc_weight else F.lit(1).cast("long"))
     table = materialize(sized.select("_source", "size", "_u", "_w"))
+    repeated = materialize(table.groupBy("_source", "size", "_u").count().where("count > 1 and size > 0").drop("count"))
+    if not repeated.isEmpty():
+        sized = _apart(sized, repeated)
+        table = materialize(sized.select("_source", "size", "_u", "_w"))
     totals = table.groupBy(F.col("_source").alias("source")).agg(
         F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("_w")).alias("weighted")
     )
