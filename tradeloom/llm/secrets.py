@@ -1,7 +1,7 @@
 """Secret scan: fixed patterns plus a battery of randomness tests (built-in functions only).
 
 Patterns find assignments, access keys and long hex runs.  Besides, every other run of letters, digits and ``+ / _ -`` with
-at least ``MIN_RUN`` characters, one letter and one digit is a candidate.  Its encoding is inferred from the characters it uses
+at least ``MIN_RUN`` characters, one letter and one digit is a candidate, also where it reaches beyond a pattern's span.  Its encoding is inferred from the characters it uses
 (hex, base 32, 36, 62 or 64), and its evidence is the log likelihood ratio of uniform draws from that alphabet against ordinary
 text, a chain in which the class of character (lower, upper, digit, sign) before decides on the next symbol.  The chain starts
 from fixed values (classes change with chance ``ORDINARY_CHANGE``) and is fitted on all candidates, each by its chance to be
@@ -51,6 +51,7 @@ BANDS = (24, 32, 48, 96)  # upper ends of the length bands; the last is open
 STEP, STEPS = 0.25, 800  # of the histogram of -ln p
 
 _SPAN = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
+_RUN = "array<struct<start:bigint,kind:int,end:bigint,value:string,band:int>>"
 
 
 def _spans(text: Column, pattern: str, kind: int, group: int = 0, at_least: int = 0) -> Column:
@@ -75,10 +76,6 @@ def _spans(text: Column, pattern: str, kind: int, group: int = 0, at_least: int
     return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(parts, start, step, lambda s: s["found"])).otherwise(none)
 
 
-def _overlaps(span: Column, others: Column) -> Column:
-    return F.exists(others, lambda o: (o["start"] < span["end"]) & (span["start"] < o["end"]))
-
-
 def _normal_tail(z: Column) -> Column:
     """P(Z > z), by the logistic approximation (error below 0.0002)."""
     return 1 / (1 + F.exp(1.5976 * z + 0.07056 * z * z * z))
@@ -168,17 +165,31 @@ def _band(length: Column) -> Column:
 
 
 def _scanned(docs: DataFrame, text: str) -> DataFrame:
-    """Add ``_base`` (spans of the patterns) and ``_found`` (all other candidates with their bands)."""
+    """Add ``_base`` (spans of the patterns) and ``_found`` (candidates not inside one of those, with their bands)."""
     rows = boxed(docs, "spans").withColumn("_text", F.coalesce(F.col("_row")[text], F.lit("")))
     base = F.concat(_spans(F.col("_text"), ASSIGN, 0, 2, MIN_VALUE), _spans(F.col("_text"), ACCESS, 1), _spans(F.col("_text"), HEX, 2))
     mixed = lambda s: F.rlike(s["value"], F.lit("[0-9]")) & F.rlike(s["value"], F.lit("[A-Za-z]"))
 
+    none = F.array().cast(_RUN)
+
     def banded(x):
-        free = F.filter(x["runs"], lambda s: ~_overlaps(s, x["base"]))
-        return F.struct(x["base"].alias("base"), F.transform(free, lambda s: F.struct(
-            s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value"),
-            _band(s["end"] - s["start"]).alias("band"),
-        )).alias("found"))
+        # one pass over both by start: a candidate is known already if a pattern's span from there or before reaches its end
+        both = F.array_sort(F.concat(
+            F.transform(x["base"], lambda s: F.struct(s["start"].alias("start"), F.lit(0).alias("run"), s["end"].alias("end"), F.lit("").alias("value"))),
+            F.transform(x["runs"], lambda s: F.struct(s["start"].alias("start"), F.lit(1).alias("run"), s["end"].alias("end"), s["value"].alias("value"))),
+        ))
+        start = F.struct(F.lit(0).cast("bigint").alias("reach"), none.alias("found"))
+
+        def step(state, s):
+            span = F.struct(s["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), s["end"].alias("end"),
+                            s["value"].alias("value"), _band(s["end"] - s["start"]).alias("band"))
+            return F.struct(
+                F.when(s["run"] == 0, F.greatest(state["reach"], s["end"])).otherwise(state["reach"]).cast("bigint").alias("reach"),
+                F.when((s["run"] == 1) & (s["end"] > state["reach"]), F.concat(state["found"], F.array(span)))
+                .otherwise(state["found"]).cast(_RUN).alias("found"),
+            )
+
+        return F.struct(x["base"].alias("base"), F.aggregate(both, start, step, lambda s: s["found"]).alias("found"))
 
     # both arrays are bound before the function of each candidate uses them: as columns they would be found anew for each
     runs = F.filter(_spans(F.col("_text"), CANDIDATE, 3), mixed)
