@@ -80,3 +80,15 @@ def test_different_texts_of_one_id_are_kept_apart(spark):
     for kept in (jaccard.dedup(docs, words=5, percent=80), corpus_pipeline.drop_near_duplicates(spark, docs, "")):
         assert kept.columns == docs.columns
         assert sorted((str(r["doc_id"]), str(r["text"])) for r in kept.collect()) == want
+
+
+def test_equal_sets_are_compared_once_on_any_number_of_tasks(spark, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(300))
+    rows = [(i, text, "en", "a") for i in range(3, 803)] + [(1000 + i, f"{text} x{i % 5}", "en", "a") for i in range(200)]
+    rows += [(5000 + i, " ".join(f"z{i}y{j}" for j in range(50)), "en", "a") for i in range(20)]
+    compared, dealt = [], jaccard._dealt
+    monkeypatch.setattr(jaccard, "_dealt", lambda clusters, percent: compared.append(clusters.count()) or dealt(clusters, percent))
+    for tasks in (4, 32):
+        got = {r["id"]: r["component_id"] for r in jaccard.join(docs_of(spark, rows).repartition(tasks)).collect()}
+        assert got == {r[0]: 3 if r[0] < 5000 else r[0] for r in rows}
+    assert compared == [6, 6]

@@ -9,13 +9,14 @@ A segment whose subset is empty or tiny matches many sets.  The first segments o
 with one shingle deleted: asking there with one deletion allowed counts twice in the pigeonhole, so a set may skip a segment.
 Each set chooses what to skip by the cost it expects, the number of sets that share a subset of that size.
 
-Rows meet by sorting on subset and id over range partitions, which splits any subset that many sets share.  Sets that
+Equal sets are one class, named by a hash: however many copies there are in however many tasks, a class is found, sketched
+and compared once.  Classes meet by sorting on subset and name over range partitions, which splits any subset that many share.  Sets that
 share a subset are first compared by parity sketches: a bit per hash value, flipped by each shingle, so two sketches differ
 in no more bits than the sets in shingles.  Pairs that may still link connect clusters.  In clusters whole sets are compared, as
 bit sets, each set being sent once; a cluster that is too large for one comparison is dealt into overlapping ranges of
 size, and a range that is still too large into blocks of which each two meet in a task of their own.  A task returns
 what is connected and no pairs, however many there are.  The links that count are all found on the
-whole sets; equal sets are one class from the start.  Shingles are told apart by 64 bits.
+whole sets.  Shingles are told apart by 64 bits.
 """
 
 import functools
@@ -215,7 +216,7 @@ def _signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def _bucket_pairs(batches):
-    """From rows sorted by key and id: pairs of small buckets and members of large ones.
+    """From rows sorted by key and id: pairs of small buckets and members of large ones; a repeated row counts once.
 
     The first and last bucket of a partition may go on elsewhere, so their members are kept too.
     """
@@ -225,6 +226,8 @@ def _bucket_pairs(batches):
         return pa.RecordBatch.from_arrays([pa.array(x) for x in table], ["kind", "key", "a", "b"])
 
     def settle(key, ids, asks, edge_first, edge_last):
+        new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])]))
+        key, ids, asks = key[new], ids[new], np.logical_or.reduceat(asks, new)
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         sizes = np.diff(np.concatenate([starts, [len(key)]]))
         large = np.repeat(sizes > SMALL_BUCKET, sizes)
@@ -371,13 +374,15 @@ def _connected(pairs):
     return run
 
 
-def _dealt(clusters: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+def _dealt(clusters: DataFrame, percent: int) -> DataFrame:
     """``(id, n, groups)``: the comparisons that a set takes part in; ``side`` 2 means with all others there.
 
+    ``clusters`` has ``cluster``, ``id`` and ``n`` of one set of each class.
+
     Sizes of linked sets lie in the same or neighbouring levels, so a range of levels also gets the lowest of the next.
     """
     level = F.floor(F.log("n") / math.log(100 / percent) + 1e-9)
-    rows = materialize(clusters.join(sizes.where("n > 0").select("id", "n").distinct(), "id").withColumn("level", level))
+    rows = materialize(clusters.withColumn("level", level))
     large = materialize(rows.groupBy("cluster").agg(F.sum("n").alias("total")).where(F.col("total") > BLOCK_SHINGLES))
     large = large.select("cluster", F.lit(True).alias("large"))
     own = F.floor(F.col("level") / LEVELS)
@@ -432,16 +437,22 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     signed = materialize(_signed(rows, words, percent))
     sized = signed.select("id", "n", "c1", "c2")
-    copied = materialize(sized.where("n > 0 and id is not null").groupBy("n", "c1", "c2").agg(
+    same = ["n", "c1", "c2"]
+    copied = materialize(sized.where("n > 0 and id is not null").groupBy(*same).agg(
         F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last"))
-    equal = sized.where("n > 0 and id is not null").join(copied, ["n", "c1", "c2"]).select(
+    equal = sized.where("n > 0 and id is not null").join(copied, same).select(
         F.col("id").alias("a"), F.col("first").alias("b"))
-    keys = signed.select("id", F.explode("asked").alias("key"), F.lit(True).alias("asks")).unionByName(
-        signed.select("id", F.explode("listed").alias("key"), F.lit(False).alias("asks")))
-    dealt = keys.select("key", "id", "asks").repartitionByRange("key", "id").sortWithinPartitions("key", "id")
+    named = signed.where("n > 0 and id is not null").withColumn("node", F.xxhash64("n", "c1", "c2"))
+    keys = named.select("node", F.explode("asked").alias("key"), F.lit(True).alias("asks")).unionByName(
+        named.select("node", F.explode("listed").alias("key"), F.lit(False).alias("asks")))
+    dealt = keys.select("key", F.col("node").alias("id"), "asks").repartitionByRange("key", "id").sortWithinPartitions("key", "id")
     met = materialize(dealt.mapInArrow(_bucket_pairs, "kind long, key long, a long, b long"))
-    sketches = signed.where("size(sketch) > 0 and id is not null").select("id", "n", "sketch")
-    dealt = _dealt(_clusters(met, sketches, percent), sized, percent)
+    sketched = named.where("size(sketch) > 0").groupBy(F.col("node").alias("id"), "n", "c1", "c2")
+    sketches = materialize(sketched.agg(F.any_value("sketch").alias("sketch")).select("id", "n", "sketch"))
+    clusters = _clusters(met, sketches, percent).withColumnRenamed("id", "node")
+    # a class is compared by the text of its smallest id
+    clusters = named.select("node", "id", *same).join(clusters, "node").groupBy("cluster", *same).agg(F.min("id").alias("id"))
+    dealt = _dealt(clusters.select("cluster", "id", "n"), percent)
     links = materialize(equal.unionByName(_within(rows, dealt, words, percent)))
     labels = components(links)
     return sized.join(labels, "id", "left").select(
