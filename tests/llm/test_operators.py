@@ -138,6 +138,30 @@ def test_embedding_dedup_equals_brute_force(spark, monkeypatch, block):
     assert linked.sum() > 100 and embed_dedup.dedup(df.limit(0)).count() == 0
 
 
+def test_embedding_copies_are_compared_once(spark, monkeypatch):
+    """Copies count as links of every member; ids with several vectors, opposite scales and extreme sizes keep their links."""
+    rng = np.random.default_rng(8)
+    a, b = rng.standard_normal((2, 8))
+    close = a + 1e-3 * rng.standard_normal(8)
+    rows = [(i, a, 0) for i in range(40, 100)] + [(200 + i, close, 0) for i in range(30)] + [(300, b, 0), (300, a, 0), (301, b * 4, 0)]
+    rows += [(400, b * 1e200, 1), (401, b * 1e200, 1), (402, b * 1e-200, 1), (403, b * 5e-324 * 2**60, 1), (404, -b, 1)]
+    df = spark.createDataFrame([(i, [float(x) for x in v], k) for i, v, k in rows], "vec_id long, embedding array<double>, label int")
+    seen = []
+    links = embed_dedup.links
+    monkeypatch.setattr(embed_dedup, "links", lambda v, *p: seen.append(v.count()) or links(v, *p))
+    got = {(r["vec_id"]): (r["n_links"], r["component_id"]) for r in embed_dedup.dedup(df.repartition(7)).collect()}
+    matrix = np.array([v / np.abs(v).max() for _, v, _ in rows])
+    cosine = matrix @ matrix.T / np.outer(*[np.linalg.norm(matrix, axis=1)] * 2)
+    want, reached = collections.Counter(), {i: i for i, *_ in rows}
+    pairs = [(rows[x][0], rows[y][0]) for x, y in zip(*np.nonzero(cosine >= 0.98)) if rows[x][0] != rows[y][0] and rows[x][2] == rows[y][2]]
+    for x, _ in pairs:
+        want[x] += 1
+    for _ in range(5):
+        for x, y in pairs:
+            reached[x] = min(reached[x], reached[y])
+    assert got == {i: (want[i], reached[i]) for i in reached} and seen[0] < 12
+
+
 def test_warc_round_trip(spark):
     rows = [(i, f"http://h/{i}", f"<p>{i % 7}</p>é", "x") for i in range(60)]
     rows += [(100, None, None, "x"), (101, "u\r\nX: 1", "", "x"), (None, "http://n", "<p>0</p>é", "x"), (3, "http://again", "<p>3</p>é", "x"),
@@ -264,6 +288,22 @@ def test_mix_reaches_targets(spark):
     assert len(odd) == len(DOCS) and all(r["size"] == 0 for r in odd if not r["text"]) and odd[0]["key"] == "clash"
 
 
+def test_repeated_rows_are_drawn_one_by_one(spark):
+    """Half of a source under one id, and rows without id that agree: each source ends within one document of its target."""
+    rows = [(7, "w " * 9 + str(i % 2), "en", "a") for i in range(500)] + [(1000 + i, "w " * 10, "en", "a") for i in range(500)]
+    rows += [(None, "v " * 7, "en", "b")] * 300 + [(5000 + i, "v " * (1 + i % 9), "en", "b") for i in range(300)]
+    runs = [mixing.mix(docs_of(spark, rows).repartition(n)).collect() for n in (2, 5)]
+    for got in runs:
+        taken, target = collections.Counter(), {r["source"]: r["target"] for r in got}
+        for r in got:
+            assert 0 <= r["copies"] <= 2
+            taken[r["source"]] += r["copies"] * r["size"]
+        assert len(got) == len(rows) and all(0 <= target[s] - taken[s] <= 10 for s in target)
+        assert len({r["copies"] for r in got if r["doc_id"] == 7}) == 2
+    one, two = (collections.Counter((r["doc_id"], r["size"], r["copies"]) for r in got) for got in runs)
+    assert one == two
+
+
 def test_mix_finds_the_edge_digit_by_digit(spark, monkeypatch):
     rows = [(i, "w " * (i % 9 + 1), "en", "ab"[i % 5 == 0]) for i in range(600)]
     want = sorted((r["doc_id"], r["copies"]) for r in mixing.mix(docs_of(spark, rows)).collect())

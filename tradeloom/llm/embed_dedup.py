@@ -4,6 +4,9 @@ Each table cuts the space by ``bits`` random planes; vectors of one label on the
 number of bits follows the size of the largest label, so that a bucket holds few unrelated vectors at any size, and
 the number of tables follows from the bits so that a pair at the threshold is missed with chance ``MISS``.
 
+Equal vectors of a label are compared as one, with the number of ids that hold them.  Vectors are first scaled by a power of two,
+which leaves every cosine as it is and keeps norms of very large and very small components finite.
+
 A bucket is compared in blocks of bounded size, each pair of blocks in a task of its own, so a large group of copies is
 spread.  A pair counts in the first table where it meets, hence once.  What leaves a task is one row per vector: its links
 and the smallest id it is connected with there; pairs are never written.
@@ -33,6 +36,13 @@ def is_usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def _scaled(vector: Column) -> Column:
+    """Divided by a power of two near the largest component, so no product over- or underflows; digits stay."""
+    exponent = F.floor(F.log2(F.array_max(F.transform(vector, F.abs)))).cast("double")
+    scale = F.pow(F.lit(2.0), F.least(F.greatest(exponent, F.lit(-1000.0)), F.lit(1000.0)))
+    return F.zip_with(vector, F.array_repeat(scale, F.size(vector)), lambda x, by: x / by)
+
+
 def tables_for(bits: int, threshold: float, miss: float) -> int:
     agree = (1 - math.acos(threshold) / math.pi) ** bits
     return max(1, math.ceil(math.log(miss) / math.log1p(-agree)))
@@ -83,7 +93,7 @@ def _compare(threshold: float):
 
     def settle(table):
         sizes = np.diff(table.column("vector").combine_chunks().offsets.to_numpy())
-        ids, labels = table.column("id").to_numpy(), table.column("label").to_numpy()
+        ids, labels, weights = (table.column(c).to_numpy() for c in ("id", "label", "weight"))
         group, block, at = (table.column(c).to_numpy() for c in ("group", "block", "at"))
         halves = table.column("cross").to_numpy(zero_copy_only=False)
         codes = table.column("codes").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
@@ -105,12 +115,14 @@ def _compare(threshold: float):
                     found[0].append(a[keep])
                     found[1].append(b[keep])
         a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in found)
-        links = np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids))
+        links = np.zeros(len(ids), np.int64)
+        np.add.at(links, a, weights[b])
+        np.add.at(links, b, weights[a])
         rows = np.flatnonzero(links)
         unique, place = np.unique(ids, return_inverse=True)
         lowest = smallest_reached(unique, place[a], place[b])[place]
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids[rows]), pa.array(links[rows].astype(np.int64)), pa.array(lowest[rows])], ["id", "n_links", "lowest"]
+            [pa.array(ids[rows]), pa.array(links[rows]), pa.array(lowest[rows])], ["id", "n_links", "lowest"]
         )
 
     def run(batches):
@@ -132,8 +144,10 @@ def _compare(threshold: float):
 def links(vectors: DataFrame, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
     """``(id, n_links, lowest)`` parts: links found in a task and the smallest id reached there.
 
-    ``vectors`` has a long ``id``, a long ``label`` and a ``vector`` of doubles that :func:`is_usable`, ids not null.
+    ``vectors`` has a long ``id``, a long ``label``, a ``vector`` of doubles that :func:`is_usable` and a long ``weight``, what
+    a link to it counts; ids are not null, and rows of one id do not link.
     """
+    # the size of a label in rows that are compared: copies make no bucket larger
     largest = vectors.groupBy("label").count().agg(F.max("count")).first()[0] or 1
     bits = min(40, max(4, math.ceil(math.log2(largest + 1)) + SPARE_BITS))
     tables = tables_for(bits, threshold, miss)
@@ -141,8 +155,8 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, miss: float = MISS)
     bucket = F.xxhash64("label", F.size("vector"), "at", "code").alias("bucket")
     keys = signed.select("id", "label", "vector", F.posexplode("codes").alias("at", "code")).select(bucket)
     shared = materialize(keys.groupBy("bucket").count().where("count > 1"))
-    members = signed.select("id", "label", "vector", "codes", F.posexplode("codes").alias("at", "code")).select(
-        "id", "label", "vector", "codes", "at", bucket
+    members = signed.select("id", "label", "vector", "weight", "codes", F.posexplode("codes").alias("at", "code")).select(
+        "id", "label", "vector", "weight", "codes", "at", bucket
     ).join(shared, "bucket")
     blocks = F.ceil(F.col("count") / BLOCK).cast("int")
     members = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", "at"), F.col("blocks")).cast("int"))
@@ -150,7 +164,7 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, miss: float = MISS)
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     group = F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other"))
     members = members.select(
-        "id", "label", "vector", "codes", "at", "block", (F.col("blocks") > 1).alias("many"),
+        "id", "label", "vector", "weight", "codes", "at", "block", (F.col("blocks") > 1).alias("many"),
         (F.col("block") != F.col("other")).alias("cross"), group.alias("group"),
     ).drop("many")
     dealt = members.repartition("group").sortWithinPartitions("group")
@@ -170,16 +184,27 @@ def dedup(
     """
     added = ("n_links", "component_id", "kept")
     usable = vectors.where(is_usable(F.col(vector)) & F.col(label).isNotNull() & F.col(id_col).isNotNull())
+    doubles = F.col(vector).cast("array<double>")
     usable = materialize(usable.select(
-        F.col(id_col).cast("long").alias("id"), F.col(label).cast("long").alias("label"),
-        F.col(vector).cast("array<double>").alias("vector"),
-    ).distinct())
-    found = links(usable, threshold, miss)
+        F.col(id_col).cast("long").alias("id"), F.col(label).cast("long").alias("label"), _scaled(doubles).alias("vector"),
+    ).distinct().withColumns({"h1": F.xxhash64("label", "vector"), "h2": F.xxhash64("vector", "label")}))
+    # a class is all ids that hold equal vectors; the vectors of an id that has several are classes of their own
+    several = materialize(usable.groupBy("id").count().where("count > 1").select("id", F.col("id").alias("alone")))
+    same = ["label", "h1", "h2", "shared", "alone"]
+    rows = usable.join(several, "id", "left").withColumn("shared", F.col("alone").isNull())
+    rows = rows.withColumn("alone", F.coalesce("alone", F.lit(0).cast("long")))
+    classes = materialize(rows.groupBy(*same).agg(
+        F.min("id").alias("first"), F.count("*").alias("weight"), F.any_value("vector").alias("vector")))
+    found = links(classes.select(F.col("first").alias("id"), "label", "vector", "weight"), threshold, miss)
+    members = rows.select("id", *same).join(classes.select(*same, "first", "weight"), same)
     grouped = components(found.select(F.col("id").alias("a"), F.col("lowest").alias("b")))
-    totals = found.groupBy("id").agg(F.sum("n_links").alias("n_links"))
-    nodes = totals.join(grouped, "id", "left").select(
-        F.col("id").alias("_id"), "n_links", F.coalesce("component", "id").alias("component_id")
-    )
+    totals = found.groupBy(F.col("id").alias("first")).agg(F.sum("n_links").alias("n_links"))
+    per_class = classes.select("first", (F.col("weight") - 1).alias("n_links")).unionByName(totals).groupBy("first").agg(
+        F.sum("n_links").alias("n_links"))
+    nodes = members.select("id", "first").distinct().join(per_class, "first", "left").join(
+        grouped.withColumnRenamed("id", "first"), "first", "left"
+    ).select(F.col("id").alias("_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
+             F.coalesce("component", "first").alias("component_id"))
     own = F.col("_row")[id_col].cast("long")
     joined = boxed(vectors, *added).join(nodes, own == F.col("_id"), "left")
     joined = joined.withColumns({
