@@ -3,10 +3,11 @@
 The index deals the vectors into blocks.  In a block every non-zero component is a posting, and its impact, the size of the
 component, is quantised to its power of two; postings of one quantised impact form a segment, kept in descending order.
 A search adds segment after segment to the scores of all vectors in the block.  What is still unread of a vector can
-change its score by no more than the largest unread impact times the query's weights there.  Once these bounds prove for every
-query that few vectors can be among its best, reading stops, and those are scored again exactly.
+change its score by no more than the largest unread impact times the query's weights there.  Once these bounds prove for a
+query that few vectors can be among its best, that query leaves; the others read on.  Possible members are scored again exactly.
 
-Queries and blocks meet in pairs of bounded size; each pair gives ``k`` rows a query, of which the best are kept.
+Blocks and parts of the queries meet in pairs of bounded size, so the index is copied once per ``QUERY_PART`` queries; each
+pair gives ``k`` rows a query, of which the best are kept.
 """
 
 import numpy as np
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 
 from tradeloom.materialize import materialize
 
-BLOCK_ROWS, QUERY_ROWS = 8192, 512
+BLOCK_ROWS = 8192
+QUERY_PART, QUERY_ROWS = 32768, 256  # queries that travel to a block together, and those that read it side by side
 FEW = 32  # reading stops when at most one vector in so many (or 4 k) is a possible member
 _EXACT = 2**53
 SEGMENT = "size int, block int, level int, ids array<long>, row array<int>, dim array<int>, value array<long>"
@@ -49,6 +51,36 @@ def build(vectors: DataFrame) -> DataFrame:
     return materialize(dealt.groupBy("size", "block").applyInPandas(segments, SEGMENT))
 
 
+def _members(postings, ids, asked, owners, k: int):
+    """Places in the block that may be among the ``k`` best of each query, and the number of postings each query read.
+
+    ``postings`` has per segment its level and, per dimension, the places and values there, largest impacts first.
+    """
+    members, reads = [None] * len(asked), np.zeros(len(asked), np.int64)
+    active, weight = np.arange(len(asked)), asked.T.astype(float)
+    own = ids[:, None] == owners[None, :]
+    scores = np.where(own, -np.inf, 0.0)
+    unread = np.repeat(np.abs(weight).sum(0)[None, :], len(ids), axis=0)
+    keep = min(k, len(ids))
+    for i, (_, parts) in enumerate(postings):
+        for dim, places, values in parts:
+            scores[places] += values[:, None] * weight[dim]
+            unread[places] -= np.abs(weight[dim])
+            reads[active] += len(places)
+        limit = 2.0 ** postings[i + 1][0] if i + 1 < len(postings) else 0.0
+        slack = limit * unread
+        sure = np.partition(scores - slack, len(ids) - keep, axis=0)[len(ids) - keep]
+        possible = (scores + slack >= sure) & ~own
+        done = (possible.sum(0) <= max(4 * k, len(ids) // FEW)) | (limit == 0.0)
+        for q in np.flatnonzero(done):
+            members[active[q]] = np.flatnonzero(possible[:, q])
+        active, weight, own = active[~done], weight[:, ~done], own[:, ~done]
+        scores, unread = scores[:, ~done], unread[:, ~done]
+        if not len(active):
+            break
+    return members, reads
+
+
 def _search(k: int):
     def run(key, index, queries):
         names = ["query_id", "id", "score"]
@@ -57,38 +89,25 @@ def _search(k: int):
         size = int(key[0])
         segments = index.sort_values("level", ascending=False)
         ids = np.asarray(segments["ids"].iloc[0], np.int64)
-        segments = segments.iloc[1:]
-        asked = np.array(queries["values"].tolist(), np.int64).reshape(len(queries), size)
-        owners = queries["query_id"].to_numpy()
-        weight, size_of = asked.astype(float), np.abs(asked).astype(float)
-        matrix, unread = np.zeros((len(ids), size), np.int64), np.ones((len(ids), size))
-        scores, own = np.zeros((len(asked), len(ids))), owners[:, None] == ids[None, :]
-        scores[own] = -np.inf
-        possible, keep = ~own, min(k, len(ids))
-        largest = max((float(np.abs(v).max()) for v in segments["value"]), default=0.0)
-        exact = largest * float(size_of.sum(1).max(initial=0.0)) < _EXACT  # doubles then hold every sum exactly
-        levels = segments["level"].tolist()
-        for i, (row, dim, value) in enumerate(zip(segments["row"], segments["dim"], segments["value"])):
-            matrix[row, dim], unread[row, dim] = value, 0.0
-            part = np.zeros_like(unread)
-            part[row, dim] = value
-            scores += weight @ part.T
-            if not exact:
-                continue
-            limit = 2.0 ** levels[i + 1] if i + 1 < len(levels) else 0.0
-            slack = limit * (size_of @ unread.T)
-            sure = np.partition(scores - slack, len(ids) - keep, axis=1)[:, len(ids) - keep]
-            possible = (scores + slack >= sure[:, None]) & ~own
-            if possible.sum(1).max() <= max(4 * k, len(ids) // FEW):
-                for r, d, v in zip(segments["row"].iloc[i + 1 :], segments["dim"].iloc[i + 1 :], segments["value"].iloc[i + 1 :]):
-                    matrix[r, d] = v
-                break
+        matrix, postings = np.zeros((len(ids), size), np.int64), []
+        for level, row, dim, value in segments[["level", "row", "dim", "value"]].iloc[1:].itertuples(index=False):
+            matrix[row, dim] = value
+            order = np.argsort(dim, kind="stable")
+            dims, starts = np.unique(np.asarray(dim)[order], return_index=True)
+            cut = lambda x: np.split(np.asarray(x)[order], starts[1:])
+            postings.append((level, list(zip(dims, cut(row), cut(np.asarray(value, float))))))
+        largest = np.abs(matrix.astype(float)).max(initial=0.0)
         out = []
-        for q, members in enumerate(possible):
-            places = np.flatnonzero(members)
-            own_scores = matrix[places] @ asked[q] if exact else (matrix[places].astype(object) @ asked[q].astype(object))
-            order = np.lexsort((ids[places], -own_scores.astype(np.int64)))[:k]
-            out += [(owners[q], ids[places[o]], int(own_scores[o])) for o in order]
+        for at in range(0, len(queries), QUERY_ROWS):
+            part = queries.iloc[at : at + QUERY_ROWS]
+            asked, owners = np.array(part["values"].tolist(), np.int64).reshape(len(part), size), part["query_id"].to_numpy()
+            # doubles then hold every sum exactly, and bounds are proofs
+            exact = largest * np.abs(asked.astype(float)).sum(1).max(initial=0.0) < _EXACT
+            members = _members(postings, ids, asked, owners, k)[0] if exact and postings else [np.flatnonzero(ids != q) for q in owners]
+            for q, places in enumerate(members):
+                own_scores = matrix[places] @ asked[q] if exact else (matrix[places].astype(object) @ asked[q].astype(object))
+                order = np.lexsort((ids[places], -own_scores.astype(np.int64)))[:k]
+                out += [(owners[q], ids[places[o]], int(own_scores[o])) for o in order]
         return pd.DataFrame(out, columns=names).astype("int64")
 
     return run
@@ -99,14 +118,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     ``vectors`` has a long ``id`` and an integer array ``values``; ``queries`` the same as ``query_id`` and ``values``.  A query
     does not find rows of its own id.  Vectors of another size, and rows with a null id, null values or a null among them, take no
-    part; equal rows count once.  Scores are whole numbers of 64 bits.  Fewer than ``k`` rows give them all; no rows give none.
+    part; equal rows count once.  Rows of one id with different vectors all take part: a query id's best are taken over all its
+    vectors, and an id may then be found more than once.  Scores are whole numbers of 64 bits.  Fewer than ``k`` rows give them
+    all; no rows give none.
     """
     whole = lambda c: F.col(c).isNotNull() & F.coalesce(F.forall("values", lambda x: x.isNotNull()), F.lit(False))
     rows = vectors.where(whole("id")).select("id", F.col("values").cast("array<long>").alias("values")).distinct()
     asked = materialize(queries.where(whole("query_id")).select(
         "query_id", F.col("values").cast("array<long>").alias("values")).distinct())
     index = build(materialize(rows))
-    chunks = max(1, -(-asked.count() // QUERY_ROWS))
+    chunks = max(1, -(-asked.count() // QUERY_PART))
     places = materialize(index.select("size", "block").distinct())
     per_chunk = index.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     chunk = F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int")

@@ -1,9 +1,11 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are range-sorted by id; each task writes its range as gzip members, one per record, and opens the next file
-when the compressed size reaches the limit.  Headers, record ids and digests are made anew from the payload, so the same
-rows give the same bytes.  Tasks write under names of their own attempt; the manifest, which Spark commits, lists the files
-of the attempts that count, and only those get their final names.  A reader follows the manifest alone.
+Records are range-sorted by id, payload digest and url.  The ranges, called shards, are cut at exact running sums of the
+payload bytes in that order, so they depend on the rows alone and not on how Spark dealt them; ids that many rows share
+are cut like all others.  A task writes a shard as gzip members, one per record, and opens the next file when the
+compressed size reaches the limit.  Headers, record ids and digests are made anew from the payload, so the same
+rows give the same files, byte for byte.  Tasks write under names of their own attempt; the manifest, which Spark commits, lists
+the files of the attempts that count, and only those get their final names.  A reader follows the manifest alone.
 
 Files are opened through Arrow's file systems, so the folder may be any store that they and Spark both know.
 """
@@ -12,17 +14,22 @@ import base64
 import hashlib
 import uuid
 import zlib
+from bisect import bisect_right
 
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tradeloom.materialize import materialize
 
 ROLL_BYTES = 16 << 20  # compressed
-TASK_BYTES = 24 << 20  # of payload, on average
+SHARD_BYTES = 24 << 20  # of payload
+MOST_SHARDS = 1 << 15  # beyond, shards grow; bounds the list of cuts
+RECORD_BYTES = 512  # added to a payload for its headers, so that empty ones are dealt too
+ROWS_PER_RANGE = 200_000  # narrow rows
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # of URLs, RFC 4122
@@ -67,61 +74,115 @@ def _member(data: bytes) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def write(pages: DataFrame, path: str, min_bytes: int = 0, roll_bytes: int = ROLL_BYTES) -> DataFrame:
+_KEY = ("page_id", "sha1", "place")
+
+
+def _ordered(values) -> tuple:
+    """A key as Python orders it the way Spark does, nulls first."""
+    return tuple((v is not None, v) for v in values)
+
+
+def _place(rows: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
+    """``(page_id, sha1, place, bytes, n, shard, copies)`` and the number of shards, for rows with a key and ``bytes``.
+
+    ``n`` rows share a key and are therefore the same record; ``copies`` of them start in the shard.
+    """
+    slim = materialize(rows.groupBy(*_KEY, "bytes").agg(F.count("*").alias("n")))
+    weight = F.col("bytes") + RECORD_BYTES
+    keys, total = slim.agg(F.count("*"), F.coalesce(F.sum(F.col("n") * weight), F.lit(0))).first()
+    size = max(shard_bytes, -(-total // MOST_SHARDS))
+    ranges = max(1, min(MOST_SHARDS, -(-keys // ROWS_PER_RANGE)))
+    dealt = materialize(slim.repartitionByRange(ranges, *_KEY).withColumn("range", F.spark_partition_id()))
+    sums = dealt.groupBy("range").agg(F.sum(F.col("n") * weight).alias("sum"))  # at most MOST_SHARDS rows
+    before = sums.select("range", (F.sum("sum").over(Window.orderBy("range")) - F.col("sum")).alias("before"))
+    inside = Window.partitionBy("range").orderBy(*_KEY).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("before") + F.coalesce(F.sum(F.col("n") * weight).over(inside), F.lit(0))
+    upto = lambda edge: F.least(F.greatest(F.expr(f"({edge} - start + weight - 1) div weight"), F.lit(0)), F.col("n"))
+    placed = (
+        dealt.join(F.broadcast(before), "range").withColumn("start", start).withColumn("weight", weight)
+        .withColumn("shard", F.explode(F.expr(f"sequence(start div {size}, (start + (n - 1) * weight) div {size})")))
+        .withColumn("copies", upto(f"(shard + 1) * {size}") - upto(f"shard * {size}"))
+    )
+    return materialize(placed.where("copies > 0").select(*_KEY, "bytes", "n", "shard", "copies")), total // size + 1
+
+
+def write(pages: DataFrame, path: str, min_bytes: int = 0, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write ``page_id``, ``url`` and ``html`` as archives below ``path``; returns the committed manifest.
 
     A payload is the html in UTF-8, empty for null.  Of records with equal payloads of at least ``min_bytes`` the one
     with the smallest page_id is the response and the others are revisits.  Rows that share that id are all
     responses; rows without id too, and nothing refers to them.  A null url leaves its header out; control
-    characters in it are percent-encoded.  Other columns are left out.
+    characters in it are percent-encoded.  Rows equal in all three are written once each.  Other columns are left out.
     """
     spark = pages.sparkSession
+    id_type = pages.schema["page_id"].dataType
     body = F.encode(F.coalesce("html", F.lit("")), "utf-8")
-    rows = pages.select("page_id", "url", "html")
-    slim = materialize(rows.select("page_id", F.sha1(body).alias("sha1"), F.octet_length(body).alias("bytes")))
-    copied = slim.where(F.col("bytes") >= min_bytes).groupBy("sha1", "bytes").agg(
-        F.min("page_id").alias("first"), F.count("*").alias("n")
-    ).where("n > 1").select("sha1", "first")
-    notes = slim.where(F.col("bytes") >= min_bytes).join(copied, "sha1").where("page_id > first").select("page_id", "sha1", "first").distinct()
-    total = slim.agg(F.sum("bytes")).first()[0] or 0
-    # a note stands before the records of its page
-    merged = rows.select("page_id", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("string").alias("sha1"),
-                         F.lit(None).cast(pages.schema["page_id"].dataType).alias("first")).unionByName(
-        notes.select("page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"),
-                     F.lit(None).cast("string").alias("html"), "sha1", "first"))
-    dealt = merged.repartitionByRange(max(1, -(-total // TASK_BYTES)), "page_id").sortWithinPartitions("page_id", "kind", "url", "html")
+    keyed = pages.select("page_id", F.sha1(body).alias("sha1"), F.coalesce(F.sha1(F.encode("url", "utf-8")), F.lit("")).alias("place"),
+                         "url", "html")
+    size = F.octet_length(F.encode(F.coalesce("html", F.lit("")), "utf-8")).cast("long")
+    placed, shards = _place(keyed.select(*_KEY, size.alias("bytes")), shard_bytes)
+    copied = placed.where(F.col("bytes") >= min_bytes).groupBy("sha1").agg(
+        F.min("page_id").alias("first"), F.sum("copies").alias("all")
+    ).where("all > 1").select("sha1", "first")
+    notes = placed.where(F.col("bytes") >= min_bytes).join(copied, "sha1").where("page_id > first")
+
+    # a cut is the first key of a shard; keys whose rows start in several shards are at most as many as the shards
+    cuts = sorted((_ordered(r["key"]), r["shard"]) for r in placed.groupBy("shard").agg(F.min(F.struct(*_KEY)).alias("key")).collect())
+    split = placed.where("copies < n").select(*_KEY, "shard", "copies")
+    wide = {_ordered(r) for r in split.select(*_KEY).distinct().collect()}
+    edges, numbers = [key for key, _ in cuts], [shard for _, shard in cuts]
+
+    @F.arrow_udf("int")
+    def shard_of(page_id: pa.Array, sha1: pa.Array, place: pa.Array) -> pa.Array:
+        keys = (_ordered(k) for k in zip(page_id.to_pylist(), sha1.to_pylist(), place.to_pylist()))
+        return pa.array([-1 if k in wide else numbers[bisect_right(edges, k) - 1] for k in keys], pa.int32())
+
+    columns = ["shard", "copies", *_KEY, "kind", "url", "html", "first"]
+    text, none = (lambda name: F.lit(None).cast("string").alias(name)), F.lit(None).cast(id_type).alias("first")
+    own = keyed.withColumn("shard", shard_of(*_KEY)).where("shard >= 0").withColumn("copies", F.lit(1).cast("long"))
+    merged = own.select(*columns[:5], F.lit(1).alias("kind"), "url", "html", none)
+    if wide:
+        # one row per key that is split, then one per shard with the copies to write there
+        cut = split.select(*[F.col(c).alias(f"_{c}") for c in split.columns])
+        same = F.col("page_id").eqNullSafe(F.col("_page_id")) & (F.col("sha1") == F.col("_sha1")) & (F.col("place") == F.col("_place"))
+        once = keyed.join(F.broadcast(cut.select("_page_id", "_sha1", "_place").distinct()), same, "left_semi").groupBy(*_KEY).agg(
+            F.first("url").alias("url"), F.first("html").alias("html"))
+        spread = once.join(F.broadcast(cut), same).select(
+            F.col("_shard").cast("int").alias("shard"), F.col("_copies").alias("copies"), *_KEY, F.lit(1).alias("kind"), "url", "html", none)
+        merged = merged.unionByName(spread)
+    # a note stands before the records of its key
+    noted = notes.select(F.col("shard").cast("int").alias("shard"), "copies", *_KEY, F.lit(0).alias("kind"), text("url"), text("html"), "first")
+    dealt = merged.unionByName(noted).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", *_KEY, "kind")
 
     def put(batches):
         store, root = pafs.FileSystem.from_uri(path)
         context = TaskContext.get()
         attempt = f"_attempts/{context.partitionId():06d}-{uuid.uuid4().hex}"
         store.create_dir(f"{root}/{attempt}", recursive=True)
-        out, manifest, current, revisits = None, [], None, {}
+        out, manifest, current, note = None, [], None, None
 
         def close():
             if out is not None:
                 out.close()
 
         for batch in batches:
-            for page_id, kind, url, html, sha1, first in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                if page_id != current:
-                    current, revisits = page_id, {}
+            for shard, copies, page_id, sha1, place, kind, url, html, first in zip(*(c.to_pylist() for c in batch.columns)):
                 if kind == 0:
-                    revisits[sha1] = first
+                    note = (page_id, sha1, place), first
                     continue
-                payload = (html or "").encode()
-                member = _member(record(page_id, url, payload, revisits.get(hashlib.sha1(payload).hexdigest()) if revisits else None))
-                if out is None or manifest[-1]["bytes"] + len(member) > roll_bytes and manifest[-1]["records"]:
-                    close()
-                    name = f"part-{context.partitionId():06d}-{len(manifest):06d}.warc.gz"
-                    out = store.open_output_stream(f"{root}/{attempt}/{name}", compression=None)
-                    manifest.append({"file": name, "attempt": attempt, "records": 0, "bytes": 0})
-                out.write(member)
-                manifest[-1]["records"] += 1
-                manifest[-1]["bytes"] += len(member)
+                revisited = note[1] if note and note[0] == (page_id, sha1, place) else None
+                member = _member(record(page_id, url, (html or "").encode(), revisited))
+                for _ in range(copies):
+                    if shard != current or manifest[-1]["bytes"] + len(member) > roll_bytes:
+                        close()
+                        rolled = rolled + 1 if shard == current else 0
+                        name, current = f"part-{shard:06d}-{rolled:06d}.warc.gz", shard
+                        out = store.open_output_stream(f"{root}/{attempt}/{name}", compression=None)
+                        manifest.append({"file": name, "attempt": attempt, "records": 0, "bytes": 0})
+                    out.write(member)
+                    manifest[-1]["records"] += 1
+                    manifest[-1]["bytes"] += len(member)
         close()
-        import pyarrow as pa
-
         if manifest:
             yield pa.RecordBatch.from_pylist(manifest)
 
@@ -187,5 +248,4 @@ def read(spark: SparkSession, path: str, id_type: str = "long", with_payload: bo
         frame = pd.DataFrame(rows, columns=names)
         return frame.astype({"page_id": "object", "refers_to": "object"})
 
-    files = manifest.repartition(max(1, spark.sparkContext.defaultParallelism), "file")
-    return files.mapInPandas(get, RECORDS.format(id_type, id_type))
+    return manifest.repartition(max(1, manifest.count())).mapInPandas(get, RECORDS.format(id_type, id_type))
