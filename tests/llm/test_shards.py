@@ -76,14 +76,14 @@ def test_queries_leave_when_their_own_proof_holds():
     postings = []
     for at in np.unique(level[vectors != 0])[::-1]:
         row, dim = np.nonzero((level == at) & (vectors != 0))
-        postings.append((int(at), [(d, row[dim == d], vectors[row[dim == d], d].astype(float)) for d in np.unique(dim)]))
+        postings.append((int(at), row, dim, vectors[row, dim]))
     members, reads = topk._members(postings, ids, asked, np.full(40, -1), 5)
     for q, places in enumerate(members):
         assert {i for i, _ in _best(ids, vectors, asked[q], -1, 5)} <= set(places.tolist())
     assert reads.min() < reads.max() <= (vectors != 0).sum()
 
 
-@pytest.mark.parametrize("part, rows, block", [(7, 3, 50), (32768, 256, 8192)])
+@pytest.mark.parametrize("part, rows, block", [(7, 3, 50), (32768, 512, 8192)])
 def test_parts_of_queries_and_blocks(spark, monkeypatch, part, rows, block):
     monkeypatch.setattr(topk, "QUERY_PART", part)
     monkeypatch.setattr(topk, "QUERY_ROWS", rows)

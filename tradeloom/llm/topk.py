@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tradeloom.materialize import materialize
 
 BLOCK_ROWS = 8192
-QUERY_PART, QUERY_ROWS = 32768, 256  # queries that travel to a block together, and those that read it side by side
+QUERY_PART, QUERY_ROWS = 32768, 512  # queries that travel to a block together, and those that read it side by side
 FEW = 32  # reading stops when at most one vector in so many (or 4 k) is a possible member
 _EXACT = 2**53
 SEGMENT = "size int, block int, level int, ids array<long>, row array<int>, dim array<int>, value array<long>"
@@ -54,28 +54,31 @@ def build(vectors: DataFrame) -> DataFrame:
 def _members(postings, ids, asked, owners, k: int):
     """Places in the block that may be among the ``k`` best of each query, and the number of postings each query read.
 
-    ``postings`` has per segment its level and, per dimension, the places and values there, largest impacts first.
+    ``postings`` has per segment its level and the place, dimension and value of each posting, largest impacts first.
     """
     members, reads = [None] * len(asked), np.zeros(len(asked), np.int64)
-    active, weight = np.arange(len(asked)), asked.T.astype(float)
-    own = ids[:, None] == owners[None, :]
+    active, weight = np.arange(len(asked)), asked.astype(float)
+    own = owners[:, None] == ids[None, :]
     scores = np.where(own, -np.inf, 0.0)
-    unread = np.repeat(np.abs(weight).sum(0)[None, :], len(ids), axis=0)
+    unread = np.repeat(np.abs(weight).sum(1)[:, None], len(ids), axis=1)
     keep = min(k, len(ids))
-    for i, (_, parts) in enumerate(postings):
-        for dim, places, values in parts:
-            scores[places] += values[:, None] * weight[dim]
-            unread[places] -= np.abs(weight[dim])
-            reads[active] += len(places)
+    for i, (_, row, dim, value) in enumerate(postings):
+        rows, at = np.unique(row, return_inverse=True)
+        part, read = np.zeros((len(rows), asked.shape[1])), np.zeros((len(rows), asked.shape[1]))
+        part[at, dim], read[at, dim] = value, 1.0
+        touched = slice(None) if len(rows) == len(ids) else rows
+        scores[:, touched] += weight @ part.T
+        unread[:, touched] -= np.abs(weight) @ read.T
+        reads[active] += len(row)
         limit = 2.0 ** postings[i + 1][0] if i + 1 < len(postings) else 0.0
         slack = limit * unread
-        sure = np.partition(scores - slack, len(ids) - keep, axis=0)[len(ids) - keep]
-        possible = (scores + slack >= sure) & ~own
-        done = (possible.sum(0) <= max(4 * k, len(ids) // FEW)) | (limit == 0.0)
+        sure = np.partition(scores - slack, len(ids) - keep, axis=1)[:, len(ids) - keep]
+        possible = (scores + slack >= sure[:, None]) & ~own
+        done = (possible.sum(1) <= max(4 * k, len(ids) // FEW)) | (limit == 0.0)
         for q in np.flatnonzero(done):
-            members[active[q]] = np.flatnonzero(possible[:, q])
-        active, weight, own = active[~done], weight[:, ~done], own[:, ~done]
-        scores, unread = scores[:, ~done], unread[:, ~done]
+            members[active[q]] = np.flatnonzero(possible[q])
+        if done.any():
+            active, weight, own, scores, unread = (x[~done] for x in (active, weight, own, scores, unread))
         if not len(active):
             break
     return members, reads
@@ -92,10 +95,7 @@ def _search(k: int):
         matrix, postings = np.zeros((len(ids), size), np.int64), []
         for level, row, dim, value in segments[["level", "row", "dim", "value"]].iloc[1:].itertuples(index=False):
             matrix[row, dim] = value
-            order = np.argsort(dim, kind="stable")
-            dims, starts = np.unique(np.asarray(dim)[order], return_index=True)
-            cut = lambda x: np.split(np.asarray(x)[order], starts[1:])
-            postings.append((level, list(zip(dims, cut(row), cut(np.asarray(value, float))))))
+            postings.append((level, row, dim, value))
         largest = np.abs(matrix.astype(float)).max(initial=0.0)
         out = []
         for at in range(0, len(queries), QUERY_ROWS):
