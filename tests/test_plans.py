@@ -5,6 +5,7 @@ import re
 import pytest
 
 from bindings import queries as q
+from tradeloom.marts import customers
 from tradeloom.operators.quantiles import ROWS_PER_RANGE, _in_ranges, _ranges, _running_total
 from tradeloom.plans.fact import build_fact
 
@@ -135,3 +136,15 @@ def test_bucketed_sales_are_not_moved_for_the_customer_join(spark):
     assert joined < scan and not any("Exchange" in line for line in plan[joined:scan])
     with pytest.raises(ValueError, match="largest"):
         write_bucketed(sales.selectExpr("if(id % 3 > 0, 1, sls_cust_id) as sls_cust_id"), "hot", new_path(spark), ["sls_cust_id"], 16)
+
+
+def test_rollup_deals_its_rows_over_bounded_tasks(spark, monkeypatch):
+    """A task groups no more sales rows when there are more of them, also where they come in one partition."""
+    monkeypatch.setattr(customers, "ROWS_PER_TASK", 500)
+    for rows, tasks in ((400, 1), (5000, 10)):
+        base = spark.range(rows, numPartitions=1).selectExpr(
+            "id % 70 as CID", "id as sls_ord_num", "'c' as CAT", "'x' as CNTRY", "'M' as GEN", "id % 70 as customer_age",
+            "date '2020-01-01' as order_date", "cast(1 as decimal(18,2)) as Revenue", "cast(1 as decimal(18,2)) as Profit")
+        rollup = customers.customer_rollup(base)
+        assert f"hashpartitioning(CID#, sls_ord_num#, {tasks})" in re.sub(r"#\d+L?", "#", rollup._jdf.queryExecution().executedPlan().toString())
+        assert rollup.agg({"n": "sum"}).first()[0] == rows

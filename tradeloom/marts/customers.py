@@ -19,6 +19,7 @@ FIVE_NUMBERS = {"min": (0, 1), "q1": (1, 4), "median": (1, 2), "q3": (3, 4), "ma
 
 
 _HALF = 10**5  # unscaled amounts are squared in two halves
+ROWS_PER_TASK = 200_000  # sales rows that one task groups; decides the memory of a task, not the result
 
 #: What a roll-up groups by: coarser groups are made from it without the sales rows.
 ROLLUP_KEYS = ("CID", "sls_ord_num", "CAT", "CNTRY", "GEN", "customer_age")
@@ -30,7 +31,13 @@ def customer_rollup(base: DataFrame, order: Sequence[str] = ("order_date",)) ->
     Counts, sums, bounds and the first place in ``order`` merge as they are.  The spread of the revenue merges
     through moments: for decimals the exact sum of the squares of the unscaled numbers, for doubles the squared distances
     from each group's own mean.  Rows without customer are left out.
+
+    Almost every row is a group of its own, so the tables of groups are as large as what a task reads.  The rows
+    are therefore stored, which tells how many they are, and dealt over tasks of :data:`ROWS_PER_TASK`.
     """
+    needed = dict.fromkeys((*ROLLUP_KEYS, "order_date", "Revenue", "Profit", *order))
+    base = materialize(base.where(F.col("CID").isNotNull()).select(*needed))
+    base = base.repartition(-(-base.count() // ROWS_PER_TASK) or 1, "CID", "sls_ord_num")  # lines of an order stay together
     place = F.min(order[0]) if len(order) == 1 else F.min(F.struct(*order))
     revenue, scale = F.col("Revenue"), _scale(base)
     if scale is None:
@@ -44,7 +51,7 @@ def customer_rollup(base: DataFrame, order: Sequence[str] = ("order_date",)) ->
         parts = F.sum(high * high), F.sum(high * low), F.sum(low * low)
         wide = [p.cast("decimal(38,0)") for p in parts]
         spread = (wide[0] * F.lit(_HALF**2) + wide[1] * F.lit(2 * _HALF) + wide[2]).cast("decimal(38,0)").alias("s2")
-    return base.where(F.col("CID").isNotNull()).groupBy(*ROLLUP_KEYS).agg(
+    return base.groupBy(*ROLLUP_KEYS).agg(
         F.min("order_date").alias("first_order"), F.max("order_date").alias("last_order"),
         F.count("order_date").alias("orders"), F.sum("Revenue").alias("revenue"), F.sum("Profit").alias("profit"),
         F.count("Revenue").alias("n"), place.alias("place"), spread,
