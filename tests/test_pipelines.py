@@ -2,11 +2,13 @@ import datetime as dt
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tradeloom.marts import customers, explorer, operations, products, sales
 from tradeloom.plans.dashboard import dashboard_base
 from tradeloom.plans.dimensions import build_customer, build_product
 from tradeloom.plans.fact import build_fact
+from tradeloom.plans import warehouse
 from tradeloom.plans.warehouse import build_warehouse, clean_warehouse
 
 AS_OF = dt.date(2020, 1, 1)
@@ -296,3 +298,36 @@ def test_merged_spread_equals_the_spread_of_the_rows(spark, kind):
     assert got[3]["revenue_std"] is None and got[4]["revenue_std"] is None and got[5]["revenue_std"] == pytest.approx(2**0.5)
     assert (got[1]["unique_orders"], got[1]["categories_bought"], got[1]["total_orders"]) == (50, 4, 3000)
     assert (got[5]["unique_orders"], got[5]["categories_bought"], got[4]["total_revenue"]) == (0, 0, 0)
+
+
+def _all_rows(df):
+    return sorted(map(repr, df.select(sorted(df.columns)).collect()))
+
+
+@pytest.mark.parametrize("key", ["sls_ord_num", ["sls_ord_num", "prd_key"]])
+@pytest.mark.parametrize("order", [None, ["_sales_row", "prd_id"], ["sls_due_dt_parsed"]])
+def test_warehouse_equals_the_cleaned_fact_with_repeated_rows(raw, key, order):
+    """Sales, customers and products that repeat, share a place or have no key; orders that the tables share."""
+    sales_rows = raw["sales"].withColumn("sls_due_dt_parsed", F.col("sls_due_dt"))
+    moved = sales_rows.withColumn("sls_price", F.col("sls_price") + 1)
+    lost = sales_rows.withColumn("sls_ord_num", F.lit(None).cast("string")).withColumn("sls_cust_id", F.lit(None).cast("bigint"))
+    sales_rows = sales_rows.unionByName(sales_rows).unionByName(moved).unionByName(lost)
+    customer = build_customer(raw["cust"], raw["cust_info"], raw["loc"])
+    customer = customer.unionByName(customer.withColumn("CNTRY", F.lit("FRANCE"))).unionByName(customer.withColumn("CID", F.lit(None).cast("bigint")))
+    product = build_product(raw["prd"], raw["cat"])
+    product = product.unionByName(product.withColumn("prd_cost", F.col("prd_cost") + 7))
+    early = build_warehouse(sales_rows, customer, product, as_of=AS_OF, key=key, order=order, required=["sls_price"], row_order="place")
+    late = clean_warehouse(build_fact(sales_rows, customer, product), AS_OF, key=key, order=order, required=["sls_price"], row_order="place")
+    assert early.columns == [c for c in early.columns if c in late.columns] and set(early.columns) == set(late.columns)
+    assert _all_rows(early) == _all_rows(late)
+
+
+def test_warehouse_stores_no_row_that_cannot_come_first(raw, monkeypatch):
+    stored = []
+    keep = warehouse.materialize
+    monkeypatch.setattr(warehouse, "materialize", lambda df: stored.append(keep(df)) or stored[-1])
+    customer = build_customer(raw["cust"], raw["cust_info"], raw["loc"])
+    build_warehouse(raw["sales"], customer, build_product(raw["prd"], raw["cat"]), as_of=AS_OF, order=["_sales_row", "prd_id"])
+    wide = [df.count() for df in stored if {"cst_firstname", "prd_nm", "sls_price"} <= set(df.columns)]
+    # six orders; two locations of a customer, which no row order tells apart, stay until the values decide
+    assert wide and max(wide) <= raw["sales"].select("sls_ord_num").distinct().count() + 1
