@@ -141,7 +141,7 @@ def test_bucketed_sales_are_not_moved_for_the_customer_join(spark):
 def test_rollup_deals_its_rows_over_bounded_tasks(spark, monkeypatch):
     """A task groups no more sales rows when there are more of them, also where they come in one partition."""
     monkeypatch.setattr(customers, "ROWS_PER_TASK", 500)
-    for rows, tasks in ((400, 1), (5000, 10)):
+    for rows, tasks in ((1200, 3), (5000, 10)):
         base = spark.range(rows, numPartitions=1).selectExpr(
             "id % 70 as CID", "id as sls_ord_num", "'c' as CAT", "'x' as CNTRY", "'M' as GEN", "id % 70 as customer_age",
             "date '2020-01-01' as order_date", "cast(1 as decimal(18,2)) as Revenue", "cast(1 as decimal(18,2)) as Profit")
