@@ -4,10 +4,11 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from bindings import queries
 from tradeloom.materialize import materialize, new_path, release, released
 from tradeloom.plans.staging import stage
 from tradeloom.schemas import RAW_SCHEMAS
-from tradeloom.sources import footers, versions
+from tradeloom.sources import footers, versions, writers
 from tradeloom.sources.readers import read_raw, read_table, read_warehouse
 from tradeloom.sources.writers import export_csv, export_json, verify_write, write_table, write_warehouse
 
@@ -198,3 +199,24 @@ def test_counts_and_bounds_come_from_footers(spark, tmp_path):
     with pytest.raises(TypeError, match="t string"):
         footers.bounds(spark, target, ["t"])
     assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"  # the caller's session is as it was
+
+
+def test_compressed_export_is_staged_like_a_plain_one(spark, tmp_path):
+    rows = spark.range(300).selectExpr("cast(id as double) as cst_id", "concat('K', id) as cst_key", "'a, \"b\" ' as cst_firstname",
+                                       "'x' as cst_lastname", "'M' as cst_marital_status", "'f' as cst_gndr", "'2010-01-01' as cst_create_date")
+    found = []
+    for name, options in (("plain", {}), ("small", {"compression": "gzip"})):
+        writers.export_csv(rows, str(tmp_path / name), **options)
+        raw = stage(spark, {"cust_info": str(tmp_path / name)}, str(tmp_path / f"raw_{name}"))["cust_info"]
+        found.append(sorted(map(repr, raw.drop("_cust_info_row").collect())))
+    assert found[0] == found[1] and len(found[0]) == 300
+    assert list((tmp_path / "small").glob("*.csv.gz")) and not list((tmp_path / "small").glob("*.csv"))
+
+
+def test_bucketed_sales_hold_only_what_the_fact_shows(spark, monkeypatch):
+    stored = []
+    write = writers.write_bucketed
+    monkeypatch.setattr(writers, "write_bucketed", lambda df, *rest: stored.extend(df.columns) or write(df, *rest))
+    shown = queries.wide_fact_bucketed(spark, "/root/testdata/sf0.001").columns
+    assert stored and {"sls_prd_key": "prd_key", "sls_cust_id": "CID"}.get(stored[1]) in shown
+    assert not [c for c in stored if c.startswith("_")]

@@ -15,6 +15,6 @@ def stage(spark: SparkSession, csv_paths: Mapping[str, str], raw_root: str) -> d
     for table, path in csv_paths.items():
         raw = read_raw(spark, path, RAW_SCHEMAS[table], row_order=row_column(table))
         target = f"{raw_root.rstrip('/')}/{table}"
-        write_table(raw, target)
+        write_table(raw, target, compression="zstd")
         stored[table] = read_table(spark, target)
     return stored
