@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.test_oracle import SF
 from tradeloom.llm import codes
@@ -86,3 +87,26 @@ def test_query(spark):
     for row, code, error in zip(table, want, errors):
         r = got[row["vec_id"]]
         assert (r["code"], r["error"], r["codebooks_sha256"]) == (code, error, codes.books_digest(books))
+
+
+def test_a_round_takes_few_jobs_on_any_number_of_partitions(spark):
+    """Totals come back at once: with a job per partition a round over many partitions is mostly waiting."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(64)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    scaled = vectors.select(codes._scaled(F.col("embedding"), 64).alias("values"))
+    start = np.array([r[0] for r in scaled.limit(4).collect()], np.int64).reshape(4, 4, 2).transpose(1, 0, 2)
+    settings = {"spark.sql.shuffle.partitions": "20", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        distinct = codes.distinct_parts(scaled, 4)
+        spark.sparkContext.setJobGroup("codes-rounds", "rounds")
+        codes.learn(distinct, start, 2)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("codes-rounds")
+        assert 0 < len(jobs) <= 2 * 3
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

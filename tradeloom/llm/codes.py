@@ -146,7 +146,8 @@ def learn(distinct: DataFrame, books: np.ndarray, rounds: int = ROUNDS) -> np.nd
 
         told = distinct.mapInArrow(run, "position long, entry long, n long, sums array<long>")
         told = told.select("position", "entry", "n", F.posexplode("sums").alias("at", "total"))
-        for r in told.groupBy("position", "entry", "at").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).toLocalIterator():
+        # as many rows as the codebooks have components; collected at once, as an iterator starts a job per partition
+        for r in told.groupBy("position", "entry", "at").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect():
             books[r["position"], r["entry"], r["at"]] = r["total"] // r["n"]
     return books
 
