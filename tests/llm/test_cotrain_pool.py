@@ -110,3 +110,25 @@ def test_models_equal_brute_force(spark, monkeypatch):
     want = plain([tuple(r) for r in keyed], labels, 8)
     for (weights, bias, _, _), (expected, expected_bias) in zip(got, want):
         assert np.allclose(weights, expected, atol=1e-4) and abs(bias - expected_bias) < 1e-4
+
+
+def test_metadata_features_encode_a_text_once_and_keep_their_places():
+    class Text(str):
+        encoded = 0
+
+        def encode(self, *args):
+            Text.encoded += 1
+            return super().encode(*args)
+
+    texts = ["", "a", "One two\nTHREE", "é" * 7 + " x", "\ud800 y", "w " * 1023, "w " * 1024, "line\n" * 64, "A" * 8191 + "\n" * 3]
+    for text in texts:
+        n, lines, words = max(len(text), 1), text.count("\n") + 1, text.count(" ") + 1
+        raw = text.encode("utf-8", "surrogatepass")
+        letters = sum(65 <= b <= 90 or 97 <= b <= 122 or b > 127 for b in raw)
+        upper = sum(65 <= b <= 90 for b in raw)
+        facts = ["source=s", "lang=None", f"length={int(np.log2(n))}", f"lines={int(np.log2(lines))}", f"line={int(np.log2(n / lines))}",
+                 f"word={min(int(n / words), 20)}", f"letters={int(20 * min(letters / n, 1.0))}", f"upper={int(20 * upper / n)}"]
+        places, values = cotrain.meta_features(Text(text), None, "s")
+        assert places.tolist() == sorted({zlib.crc32(f.encode()) % cotrain.META_FEATURES for f in facts})
+        assert (values == 1 / np.sqrt(cotrain.FACTS)).all() and len(values) == len(places)
+    assert Text.encoded <= len(texts)

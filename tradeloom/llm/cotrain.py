@@ -11,6 +11,7 @@ passes them is stored, and each gradient step adds up the slopes of the stored r
 is an array of fixed size that travels with the tasks.
 """
 
+import math
 import zlib
 
 import numpy as np
@@ -50,14 +51,14 @@ def meta_features(text: str | None, lang, source) -> tuple[np.ndarray, np.ndarra
     """Hashed metadata: names, and bins of length, lines and shares of kinds of characters."""
     text = text or ""
     n, lines, words = max(len(text), 1), text.count("\n") + 1, text.count(" ") + 1
-    letters = len(text.encode("utf-8", "surrogatepass").translate(None, _NOT_LETTERS))
-    upper = len(text.encode("utf-8", "surrogatepass").translate(None, _NOT_UPPER))
-    facts = [
-        f"source={source}", f"lang={lang}", f"length={int(np.log2(n))}", f"lines={int(np.log2(lines))}",
-        f"line={int(np.log2(n / lines))}", f"word={min(int(n / words), 20)}", f"letters={int(20 * min(letters / n, 1.0))}",
+    encoded = text.encode("utf-8", "surrogatepass")
+    letters, upper = len(encoded.translate(None, _NOT_LETTERS)), len(encoded.translate(None, _NOT_UPPER))
+    facts = (
+        f"source={source}", f"lang={lang}", f"length={n.bit_length() - 1}", f"lines={lines.bit_length() - 1}",
+        f"line={int(math.log2(n / lines))}", f"word={min(int(n / words), 20)}", f"letters={int(20 * min(letters / n, 1.0))}",
         f"upper={int(20 * upper / n)}",
-    ]
-    places = np.unique(np.fromiter((zlib.crc32(f.encode()) for f in facts), np.int64, len(facts)) % META_FEATURES)
+    )
+    places = np.array(sorted({zlib.crc32(f.encode()) % META_FEATURES for f in facts}), np.int64)  # few: no array work
     return places, np.full(len(places), 1 / np.sqrt(FACTS))
 
 
