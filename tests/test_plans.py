@@ -138,13 +138,20 @@ def test_bucketed_sales_are_not_moved_for_the_customer_join(spark):
         write_bucketed(sales.selectExpr("if(id % 3 > 0, 1, sls_cust_id) as sls_cust_id"), "hot", new_path(spark), ["sls_cust_id"], 16)
 
 
-def test_rollup_deals_its_rows_over_bounded_tasks(spark, monkeypatch):
+def test_rollup_deals_its_rows_over_bounded_tasks(spark, monkeypatch, tmp_path):
     """A task groups no more sales rows when there are more of them, also where they come in one partition."""
-    monkeypatch.setattr(customers, "ROWS_PER_TASK", 500)
-    for rows, tasks in ((1200, 3), (5000, 10)):
-        base = spark.range(rows, numPartitions=1).selectExpr(
+    sizes = {}
+    for rows in (1200, 5000):
+        spark.range(rows, numPartitions=1).selectExpr(
             "id % 70 as CID", "id as sls_ord_num", "'c' as CAT", "'x' as CNTRY", "'M' as GEN", "id % 70 as customer_age",
-            "date '2020-01-01' as order_date", "cast(1 as decimal(18,2)) as Revenue", "cast(1 as decimal(18,2)) as Profit")
+            "date '2020-01-01' as order_date", "cast(1 as decimal(18,2)) as Revenue", "cast(1 as decimal(18,2)) as Profit",
+        ).write.parquet(path := str(tmp_path / f"base {rows}"))
+        base = spark.read.parquet(path)
+        sizes[rows] = customers.input_bytes(base)
+        assert sizes[rows] == sum(f.stat().st_size for f in (tmp_path / f"base {rows}").glob("part-*"))
+        monkeypatch.setattr(customers, "BYTES_PER_TASK", 3000)
         rollup = customers.customer_rollup(base)
-        assert f"hashpartitioning(CID#, sls_ord_num#, {tasks})" in re.sub(r"#\d+L?", "#", rollup._jdf.queryExecution().executedPlan().toString())
+        plan = re.sub(r"#\d+L?", "#", rollup._jdf.queryExecution().executedPlan().toString())
+        assert f"hashpartitioning(CID#, sls_ord_num#, {-(-sizes[rows] // 3000)})" in plan
         assert rollup.agg({"n": "sum"}).first()[0] == rows
+    assert sizes[5000] > 2 * sizes[1200] > 6000

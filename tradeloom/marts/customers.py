@@ -10,7 +10,7 @@ from tradeloom import config
 from tradeloom.functions.dates import as_of_date, days_between, month_end
 from tradeloom.functions.numbers import floor_bin, mean, percent_of, segment, total
 from tradeloom.functions.text import gender_bucket
-from tradeloom.materialize import materialize
+from tradeloom.materialize import input_bytes, materialize
 from tradeloom.operators.quantiles import (
     SKETCH_ACCURACY, fifths, quantiles, scalar_struct, score_by_edges, score_by_position, with_first_rank_order,
 )
@@ -19,7 +19,7 @@ FIVE_NUMBERS = {"min": (0, 1), "q1": (1, 4), "median": (1, 2), "q3": (3, 4), "ma
 
 
 _HALF = 10**5  # unscaled amounts are squared in two halves
-ROWS_PER_TASK = 200_000  # sales rows that one task groups; decides the memory of a task, not the result
+BYTES_PER_TASK = 4 << 20  # of input files, a few hundred thousand sales rows; decides the memory of a task, not the result
 
 #: What a roll-up groups by: coarser groups are made from it without the sales rows.
 ROLLUP_KEYS = ("CID", "sls_ord_num", "CAT", "CNTRY", "GEN", "customer_age")
@@ -33,11 +33,12 @@ def customer_rollup(base: DataFrame, order: Sequence[str] = ("order_date",)) ->
     from each group's own mean.  Rows without customer are left out.
 
     Almost every row is a group of its own, so the tables of groups are as large as what a task reads.  The rows
-    are therefore stored, which tells how many they are, and dealt over tasks of :data:`ROWS_PER_TASK`.
+    are therefore dealt, lines of an order together, over a task per :data:`BYTES_PER_TASK` of the files that ``base`` reads.
     """
-    needed = dict.fromkeys((*ROLLUP_KEYS, "order_date", "Revenue", "Profit", *order))
-    base = materialize(base.where(F.col("CID").isNotNull()).select(*needed))
-    base = base.repartition(-(-base.count() // ROWS_PER_TASK) or 1, "CID", "sls_ord_num")  # lines of an order stay together
+    base = base.where(F.col("CID").isNotNull())
+    tasks = -(-input_bytes(base) // BYTES_PER_TASK)
+    if tasks:
+        base = base.repartition(tasks, "CID", "sls_ord_num")
     place = F.min(order[0]) if len(order) == 1 else F.min(F.struct(*order))
     revenue, scale = F.col("Revenue"), _scale(base)
     if scale is None:
