@@ -132,3 +132,26 @@ def test_metadata_features_encode_a_text_once_and_keep_their_places():
         assert places.tolist() == sorted({zlib.crc32(f.encode()) % cotrain.META_FEATURES for f in facts})
         assert (values == 1 / np.sqrt(cotrain.FACTS)).all() and len(values) == len(places)
     assert Text.encoded <= len(texts)
+
+
+def test_a_step_takes_as_many_tasks_as_its_words_need(spark, monkeypatch):
+    """Not one per stored file of each round; the sums are the same in any number of tasks."""
+    rows = [(i, f"word{i} word{i % 7} text", "en", "a") for i in range(4_000)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    seen = {}
+    monkeypatch.setattr(cotrain, "co_train", lambda text, meta, labels, held, pool: seen.update(rows=(text, meta), pool=pool))
+    cotrain.fit(docs_of(spark, rows).repartition(16), labels)
+    views = [cotrain._View(*r, w) for r, w in zip(seen["rows"], (cotrain.TEXT_FEATURES, cotrain.META_FEATURES))]
+    for _ in range(3):
+        seen["pool"].teach(views, 0.5)
+    tracker, sums = spark.sparkContext.statusTracker(), []
+    for words in (cotrain.WORDS_PER_TASK, seen["pool"].words // 3):
+        monkeypatch.setattr(cotrain, "WORDS_PER_TASK", words)
+        spark.sparkContext.setJobGroup(f"step {words}", "")
+        sums.append(seen["pool"].slopes(views))
+        jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(f"step {words}")]
+        tasks = [tracker.getStageInfo(s).numTasks for j in jobs for s in j.stageIds]
+        assert tasks == [1] if words > 1 << 20 else len(tasks) == 1 and 2 <= tasks[0] <= 4
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    for (slope, bias), (other, other_bias) in zip(*sums):
+        assert np.allclose(slope, other) and np.isclose(bias, other_bias) and np.abs(slope).sum() > 0

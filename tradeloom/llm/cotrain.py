@@ -31,6 +31,7 @@ HELD_OUT = 5  # one labelled document in so many calibrates
 FACTS = 8  # metadata of a document
 BINS_PER_UNIT, FARTHEST = 512, 30  # of the histogram of log-odds
 SLICE_ROWS, SLICE_WORDS = 250, 1 << 18  # of a block of stored documents
+WORDS_PER_TASK = 1 << 22  # of the taught documents, in each gradient step: fewer would not pay for the start of a task
 SLOPES, GROUPS = 32, 16  # more slopes than that are added up in groups before they reach the driver
 
 
@@ -70,12 +71,13 @@ class _View:
     """Sparse rows of one view and a logistic regression on them."""
 
     def __init__(self, places, values, sizes, width):
-        self.place, self.value, self.width, self.count = places, values, width, len(sizes)
-        self.row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        # numbers of the kind that numpy counts by, so that no call converts them again
+        self.place, self.value, self.width, self.count = places.astype(np.intp), values, width, len(sizes)
+        self.row = np.repeat(np.arange(len(sizes)), sizes)
         self.weights, self.bias = np.zeros(width), 0.0
 
     def scores(self):
-        return np.bincount(self.row, self.value * self.weights[self.place], self.count) + self.bias
+        return np.bincount(self.row, self.value * self.weights.take(self.place), self.count) + self.bias
 
     def start(self):
         self.squared, self.squared_bias = np.full(self.width, 1e-8), 1e-8
@@ -83,7 +85,7 @@ class _View:
     def slope(self, target, weight):
         """Sums of the errors over all rows by weight, and of the bias."""
         error = weight * (_chance(self.scores()) - target)
-        return np.bincount(self.place, self.value * error[self.row], self.width), error.sum()
+        return np.bincount(self.place, self.value * error.take(self.row), self.width), error.sum()
 
     def step(self, slope, slope_bias):
         """A gradient step with a rate per weight."""
@@ -214,7 +216,7 @@ class _Unlabelled:
 
     def __init__(self, rows: DataFrame):
         self.rows, self.count = rows, rows.agg(F.sum("n")).first()[0] or 0
-        self.rounds, self.tables, self.tasks, self.taught = [], None, 0, [0, 0]
+        self.rounds, self.tables, self.words, self.taught = [], None, 0, [0, 0]
 
     def teach(self, views, share):
         """Each view labels the rows that it is surest of and that it has not labelled yet."""
@@ -225,10 +227,12 @@ class _Unlabelled:
 
         def free(block, k, rows):
             """Log-odds by view ``k`` and which rows it has not labelled."""
-            open_ = np.ones(block["n"], bool)
+            view, open_ = _view(k, rows, models[k]), np.ones(block["n"], bool)
+            z = view.scores()
             for turn, (old, limits) in enumerate(past):
-                open_ &= _judged(_view(k, rows, old[k]).scores(), _draws(_array(block, "keys"), turn), limits[k]) < 0
-            return _view(k, rows, models[k]).scores(), open_
+                view.weights, view.bias = old[k]
+                open_ &= _judged(view.scores(), _draws(_array(block, "keys"), turn), limits[k]) < 0
+            return z, open_
 
         def count(batches):
             total = np.zeros((2, 2 * FARTHEST * BINS_PER_UNIT + 1), np.int64)
@@ -268,11 +272,9 @@ class _Unlabelled:
                     yield taught(k)
 
         new = materialize(self.rows.mapInArrow(pick, _TAUGHT))
-        placed = new.select("view", "n", F.spark_partition_id().alias("task")).groupBy("view")
-        stored = placed.agg(F.sum("n").alias("n"), F.max("task").alias("task")).collect()
-        for row in stored:
+        for row in new.groupBy("view").agg(F.sum("n").alias("n"), F.sum(F.octet_length("places")).alias("bytes")).collect():
             self.taught[row["view"]] += row["n"]
-        self.tasks += max((row["task"] + 1 for row in stored), default=0)
+            self.words += row["bytes"] // 2
         self.tables = new if self.tables is None else self.tables.unionByName(new)
         self.rounds.append((models, limits))
 
@@ -301,8 +303,9 @@ class _Unlabelled:
                     total[part] = total.get(part, 0.0) + np.frombuffer(sums)
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["part", "sums"])
 
-        parts = self.tables.mapInArrow(run, "part int, sums binary")
-        if self.tasks > SLOPES:
+        tasks = max(-(-self.words // WORDS_PER_TASK), 1)  # by what they read, however many files each round left
+        parts = self.tables.coalesce(tasks).mapInArrow(run, "part int, sums binary")
+        if tasks > SLOPES:
             parts = parts.repartition(GROUPS, "part").mapInArrow(add, "part int, sums binary")
         total = np.zeros(sum(widths) + 2)
         for sums in parts.toArrow().column("sums").to_pylist():
