@@ -40,6 +40,9 @@ BAND_SHARE = 0.05  # expected share of all sets in a band
 SMALL_BUCKET = 8
 BLOCK_ROWS = 2048  # of one side of a comparison of sketches
 BLOCK_SHINGLES = 1 << 20  # of the sets that one side of a comparison holds
+BLOCK_SETS = 4096  # that one side of a comparison holds
+HELD_PAIRS = 1 << 20  # of which a comparison knows the common size at a time
+COMMON = 20  # a shingle that more than one in so many sets of a comparison hold is compared by bit sets
 LEVELS = 4
 BIT_COLUMNS = 1 << 14
 BITMAP_WORDS = 1 << 18
@@ -143,16 +146,22 @@ def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
 
 
 def _may_link(sizes: np.ndarray, sketches: list[np.ndarray], percent: int):
-    """Places of the pairs that the sketches cannot tell to differ too much."""
+    """Places of the pairs that the sketches cannot tell to differ too much, some at a time."""
     words = min(map(len, sketches))
-    bits, left, right = np.stack([_folded(x, words) for x in sketches]), [], []
+    bits, left, right, held = np.stack([_folded(x, words) for x in sketches]), [], [], 0
     for i in range(len(bits) - 1):
         apart = np.bitwise_count(bits[i] ^ bits[i + 1 :]).sum(1, dtype=np.int64)
         both, small, large = sizes[i] + sizes[i + 1 :], np.minimum(sizes[i], sizes[i + 1 :]), np.maximum(sizes[i], sizes[i + 1 :])
         near = np.flatnonzero((apart * (100 + percent) <= (100 - percent) * both) & (100 * small >= percent * large)) + i + 1
-        left.append(np.full(len(near), i))
-        right.append(near)
-    return np.concatenate(left), np.concatenate(right)
+        if len(near):
+            left.append(np.full(len(near), i))
+            right.append(near)
+            held += len(near)
+        if held >= HELD_PAIRS:
+            yield np.concatenate(left), np.concatenate(right)
+            left, right, held = [], [], 0
+    if held:
+        yield np.concatenate(left), np.concatenate(right)
 
 
 def signatures(text: str, words: int, percent: int, others: float):
@@ -297,8 +306,8 @@ def _clusters(met: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             a, b, n_a, n_b = (batch.column(c).to_numpy() for c in ("a", "b", "n_a", "n_b"))
             one, two = batch.column("s_a"), batch.column("s_b")
-            kept = [i for i in range(len(a)) if len(_may_link(
-                np.array([n_a[i], n_b[i]]), [np.asarray(x[i].values, np.int64).view(np.uint64) for x in (one, two)], percent)[0])]
+            kept = [i for i in range(len(a)) if any(True for _ in _may_link(
+                np.array([n_a[i], n_b[i]]), [np.asarray(x[i].values, np.int64).view(np.uint64) for x in (one, two)], percent))]
             yield pa.RecordBatch.from_arrays([pa.array(a[kept]), pa.array(b[kept])], ["a", "b"])
 
     close = pairs.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(near, "a long, b long")
@@ -315,46 +324,81 @@ def _clusters(met: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return materialize(components(materialize(close.unionByName(alike))).withColumnRenamed("component", "cluster"))
 
 
-def _common(arrays: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairwise intersections, by bit sets over the hashes that at least two arrays hold."""
-    owner = np.repeat(np.arange(len(arrays)), [len(x) for x in arrays])
-    _, column, often = np.unique(np.concatenate(arrays), return_inverse=True, return_counts=True)
-    shared = often[column] > 1
-    owner, column = owner[shared], np.cumsum(often > 1)[column[shared]] - 1
-    total = np.zeros((len(arrays), len(arrays)), np.int64)
+def _bit_sets(owner: np.ndarray, column: np.ndarray, count: int) -> list[np.ndarray]:
+    """Bit sets of ``count`` arrays over the columns ``0, 1, ...`` that they own, some columns at a time."""
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    for start in range(0, int(column[-1]) + 1 if len(column) else 0, BIT_COLUMNS):
-        a, b = np.searchsorted(column, [start, start + BIT_COLUMNS])
-        width = min(BIT_COLUMNS, int(column[-1]) + 1 - start)
-        flags = np.zeros((len(arrays), -(-width // 64) * 64), bool)
+    total, parts = int(column[-1]) + 1 if len(column) else 0, []
+    most = min(BIT_COLUMNS, max(64, 16 * HELD_PAIRS // count))
+    for start in range(0, total, most):
+        a, b = np.searchsorted(column, [start, start + most])
+        flags = np.zeros((count, -(-min(most, total - start) // 64) * 64), bool)
         flags[owner[a:b], column[a:b] - start] = True
-        bits = np.packbits(flags, axis=1).view(np.uint64)
-        for i in range(len(arrays)):
-            total[i, i:] += np.bitwise_count(bits[i] & bits[i:]).sum(1, dtype=np.int64)
-    return total
+        parts.append(np.packbits(flags, axis=1).view(np.uint64))
+    return parts
+
+
+def _common(arrays: list[np.ndarray]):
+    """Sizes of all pairwise intersections, a block of arrays at a time: the first one's place, and a row per array with its
+    intersections with all (those with arrays before it are not counted).
+
+    Hashes that many arrays hold are compared by bit sets, the others through the lists of the arrays that hold them.
+    """
+    count = len(arrays)
+    owner = np.repeat(np.arange(count), [len(x) for x in arrays])
+    _, column, often = np.unique(np.concatenate(arrays), return_inverse=True, return_counts=True)
+    dense = (often > 1) & (often * COMMON > count)
+    among = dense[column]
+    bits = _bit_sets(owner[among], (np.cumsum(dense) - 1)[column[among]], count)
+    listed = (often[column] > 1) & ~among
+    owner, column = owner[listed], column[listed]
+    order = np.argsort(column, kind="stable")  # of one column by array, as the arrays follow each other
+    owner, column = owner[order], column[order]
+    later = np.searchsorted(column, column, side="right") - np.arange(len(column)) - 1
+    places = np.argsort(owner, kind="stable")
+    begins = np.searchsorted(owner[places], np.arange(count + 1))
+    pairs = np.concatenate([[0], np.cumsum(later[places])])[begins]  # that the arrays before have
+    first = 0
+    while first < count:
+        few = int(np.searchsorted(pairs, pairs[first] + HELD_PAIRS, side="right")) - 1
+        last = min(count, first + max(1, HELD_PAIRS // count), max(first + 1, few))
+        held = places[begins[first] : begins[last]]
+        times = later[held]
+        others = owner[np.repeat(held + 1 - np.cumsum(times) + times, times) + np.arange(times.sum())]
+        cells = np.repeat((owner[held] - first) * count, times) + others
+        sizes = np.bincount(cells, minlength=(last - first) * count).reshape(-1, count)
+        for i in range(first, last):
+            for part in bits:
+                sizes[i - first, i:] += np.bitwise_count(part[i] & part[i:]).sum(1, dtype=np.int64)
+        yield first, sizes
+        first = last
 
 
 def _links(sizes: np.ndarray, arrays: list[np.ndarray], percent: int):
-    """Places of the pairs that link."""
-    common = _common(arrays)
-    return np.nonzero(np.triu(100 * common >= percent * (sizes[:, None] + sizes[None, :] - common), 1))
+    """Places of the pairs that link, some at a time."""
+    for first, common in _common(arrays):
+        both = sizes[first : first + len(common), None] + sizes[None, :] - common
+        a, b = np.nonzero(np.triu(100 * common >= percent * both, first + 1))
+        yield a + first, b
 
 
 def _connected(pairs):
     """From rows sorted by group: what ``pairs`` connects inside each, as ``(a, b)`` with ``b`` the smallest id.
 
-    Rows are group, id, side, size and an array; in a group of two sides only pairs across count.
+    ``pairs`` gives places some at a time, so that not all pairs of a group are ever held.  Rows are group, id, side, size and an array; in a group of two sides only pairs across count.
     """
 
     def settle(rows):
         if len(rows) < 2:
             return
         ids, sides, sizes = (np.array([r[i] for r in rows]) for i in range(3))
-        a, b = pairs(sizes, [r[3] for r in rows])
-        across = (sides[a] != sides[b]) | (sides[a] == 2)
         unique, place = np.unique(ids, return_inverse=True)
-        lowest = smallest_reached(unique, place[a[across]], place[b[across]])
+        lowest = unique
+        for a, b in pairs(sizes, [r[3] for r in rows]):
+            across = (sides[a] != sides[b]) | (sides[a] == 2)
+            known = np.flatnonzero(lowest < unique)  # earlier pairs take part as one from each id to the lowest
+            lowest = smallest_reached(unique, np.concatenate([place[a[across]], known]),
+                                      np.concatenate([place[b[across]], np.searchsorted(unique, lowest[known])]))
         moved = lowest < unique
         if moved.any():
             yield pa.RecordBatch.from_arrays([pa.array(unique[moved]), pa.array(lowest[moved])], ["a", "b"])
@@ -383,12 +427,12 @@ def _dealt(clusters: DataFrame, percent: int) -> DataFrame:
     """
     level = F.floor(F.log("n") / math.log(100 / percent) + 1e-9)
     rows = materialize(clusters.withColumn("level", level))
-    large = materialize(rows.groupBy("cluster").agg(F.sum("n").alias("total")).where(F.col("total") > BLOCK_SHINGLES))
-    large = large.select("cluster", F.lit(True).alias("large"))
+    needed = F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).alias("blocks")
+    large = materialize(rows.groupBy("cluster").agg(needed).where("blocks > 1").select("cluster", F.lit(True).alias("large")))
     own = F.floor(F.col("level") / LEVELS)
     ranges = F.when(F.col("large") & (F.col("level") % LEVELS == 0), F.array(own, own - 1)).when(F.col("large"), F.array(own))
     rows = materialize(rows.join(large, "cluster", "left").withColumn("range", F.explode(F.coalesce(ranges, F.array(F.lit(-2).cast("long"))))))
-    blocks = materialize(rows.groupBy("cluster", "range").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks")))
+    blocks = materialize(rows.groupBy("cluster", "range").agg(needed))
     rows = rows.join(blocks, ["cluster", "range"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
 
     def group(other):
@@ -405,21 +449,29 @@ def _dealt(clusters: DataFrame, percent: int) -> DataFrame:
 def _within(docs: DataFrame, dealt: DataFrame, words: int, percent: int) -> DataFrame:
     """Edges ``(a, b)`` that connect what is linked inside the clusters."""
 
+    def out(rows):
+        ends = np.cumsum([0, *(len(r[3]) for r in rows)])
+        flat = np.concatenate([np.empty(0, np.uint64), *(r[3] for r in rows)]).view(np.int64)
+        return pa.RecordBatch.from_arrays([
+            pa.array([r[0] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()),
+            pa.array([r[1] for r in rows], pa.int32()), pa.array([len(r[3]) for r in rows], pa.int64()),
+            pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
+        ], ["group", "id", "side", "n", "values"])
+
     def run(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part, rows = batch.slice(start, 256), []
-                for key, text, n, groups in zip(*(part.column(i) for i in range(4))):
-                    hashes = shingles(text.as_py() or "", words)
-                    if len(hashes) == n.as_py():  # else another text of the same id
-                        rows += [(g["group"], g["side"], key.as_py(), hashes) for g in groups.as_py()]
-                ends = np.cumsum([0, *(len(r[3]) for r in rows)])
-                flat = np.concatenate([np.empty(0, np.uint64), *(r[3] for r in rows)]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([r[0] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()),
-                    pa.array([r[1] for r in rows], pa.int32()), pa.array([len(r[3]) for r in rows], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
-                ], ["group", "id", "side", "n", "values"])
+            rows, held = [], 0
+            for key, text, n, groups in zip(*(batch.column(i) for i in range(4))):
+                hashes = shingles(text.as_py() or "", words)
+                if len(hashes) != n.as_py():  # another text of the same id
+                    continue
+                for g in groups.as_py():  # a set goes to many groups, so a batch is cut by what it holds
+                    rows.append((g["group"], g["side"], key.as_py(), hashes))
+                    held += len(hashes)
+                    if held >= BLOCK_SHINGLES:
+                        yield out(rows)
+                        rows, held = [], 0
+            yield out(rows)
 
     near = _maybe_among(docs, "id", dealt).join(dealt, "id").select("id", "text", "n", "groups")
     sets = near.mapInArrow(run, "group long, id long, side int, n long, values array<long>")
