@@ -1,4 +1,4 @@
-"""What steps leave on disk."""
+"""What steps leave on disk, and which dimensions pass through the driver."""
 
 import time
 
@@ -73,3 +73,17 @@ def test_warehouse_without_row_order_equals_the_cleaned_fact(raw, repeat):  # no
     late = clean_warehouse(build_fact(raw["sales"], customer, product), AS_OF, **arguments)
     rows = [sorted(map(repr, df.select(sorted(late.columns)).collect())) for df in (early, late)]
     assert rows[0] == rows[1] and rows[0]
+
+
+def test_dimensions_of_many_rows_are_not_broadcast(spark):
+    """Files of a few kilobytes, as most columns have one value."""
+    sales = spark.range(1000).selectExpr("id % 10 as sls_cust_id", "concat('P', id % 10) as sls_prd_key")
+    customer = spark.range(150_000).selectExpr("id as CID", "'a long name that all of them have' as cst_name")
+    product = spark.range(150_000).selectExpr("concat('P', id) as prd_key", "'another name' as prd_nm")
+    plan = lambda rows: build_fact(sales, customer.where(f"CID < {rows}"), product.limit(rows))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan(150_000) and plan(50).count("BroadcastHashJoin") >= 2
+    key = "concat('C', id) as"
+    columns = [f"{key} CID", "'1980-01-01' as BDATE"], [f"{key} cst_key", "'Ann' as cst_firstname"], [f"{key} CID", "'us' as CNTRY"]
+    stored = [materialize(spark.range(1000).selectExpr(*c)) for c in columns]
+    joined = build_customer(*stored)
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 1000
